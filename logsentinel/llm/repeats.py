@@ -6,7 +6,7 @@ anchor that occurs in one run only proves all windows of that run unique, which
 after one aggregation of some 2 / (length - gram + 2) rows a token; no window that repeats is ever discarded.
 
 ``Lookup`` hands a table of 64-bit keys to the passes over the documents: as a broadcast when its counted
-size is at most ``BROADCAST_ROWS``, else through a join that gives each document the entries it needs.
+size is at most ``BROADCAST_BYTES``, else through a join that gives each document the entries it needs.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from .storage import staged
 from .tokens import U64, Rolling, sliding_min
 
-#: A lookup table of more rows than this is joined, not broadcast (about 24 bytes a row).
-BROADCAST_ROWS = 4_000_000
+#: A lookup table of more bytes than this (8 for each column of each row) is joined, not broadcast.
+BROADCAST_BYTES = 96_000_000
 
 
 @dataclass
@@ -60,8 +60,9 @@ def runs_of(tokens: np.ndarray, first: np.ndarray, length: int, gram: int, only:
     end = np.append(start[1:], n)
     start, end = start[valid[start]], end[valid[start]]
     # an anchor that stands twice in one run: then the run itself may repeat a window
-    peak = -(sliding_min(-np.concatenate([np.zeros(width - 1), low.astype(np.float64), np.zeros(width - 1)]), width))
-    hit = np.flatnonzero(grams.astype(np.float64) <= peak[: len(grams)])
+    edge = np.full(width - 1, ~U64(0), U64)
+    peak = ~sliding_min(np.concatenate([edge, ~low, edge]), width)
+    hit = np.flatnonzero(grams <= peak[: len(grams)])
     same = (grams[hit[1:]] == grams[hit[:-1]]) & (hit[1:] - hit[:-1] <= width)
     return Runs(roll, low[start], start, end - start, roll.ranges(start, end + length - 1), grams[hit[1:][same]])
 
@@ -98,7 +99,7 @@ class Lookup:
         self.table = staged(table, name)
         self.rows = self.table.count()
         self.columns = self.table.columns
-        self.small = self.rows <= (BROADCAST_ROWS if limit is None else limit)
+        self.small = self.rows <= (BROADCAST_BYTES // (8 * len(self.columns)) if limit is None else limit)
         self._sent = None
 
     def run(self, docs: DataFrame, fn: Callable[[pa.RecordBatch, Entries], Iterator[pa.RecordBatch]], keys: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], schema: str) -> DataFrame:

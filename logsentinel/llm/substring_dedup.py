@@ -100,13 +100,14 @@ def dedup(docs: DataFrame, window: int = 20, hot_anchor: int = 1000, broadcast_r
             if not got:
                 continue
             anchor, content, twice = (np.concatenate(x) for x in zip(*got, strict=True))
+            content = content.view(np.int64)
             order = np.lexsort((content, anchor))
             a, c = anchor[order], content[order]
             head = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.zeros(0, np.int64)
             tail = np.append(head[1:], len(a)) - 1
-            yield pa.RecordBatch.from_arrays([signed(a[head]), pa.array(np.diff(np.append(head, len(a)))), signed(c[head]), signed(c[tail])], names=["key", "n", "lo", "hi"])
+            yield pa.RecordBatch.from_arrays([signed(a[head]), pa.array(np.diff(np.append(head, len(a)))), pa.array(c[head]), pa.array(c[tail])], names=["key", "n", "lo", "hi"])
             t = np.unique(twice)  # counts as another run with other content
-            yield pa.RecordBatch.from_arrays([signed(t), pa.array(np.ones(len(t), np.int64)), signed(np.zeros(len(t), U64)), signed(t | U64(1))], names=["key", "n", "lo", "hi"])
+            yield pa.RecordBatch.from_arrays([signed(t), pa.array(np.ones(len(t), np.int64)), pa.array(np.full(len(t), np.iinfo(np.int64).min)), pa.array(np.full(len(t), np.iinfo(np.int64).max))], names=["key", "n", "lo", "hi"])
 
     anchors = src.mapInArrow(count_anchors, "key long, n long, lo long, hi long").groupBy("key").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("n > 1")
     anchors = anchors.select("key", F.when(F.col("lo") == F.col("hi"), 0).when(F.col("n") <= hot_anchor, 1).otherwise(2).cast("long").alias("kind"))
