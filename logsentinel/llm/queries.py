@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import substring_dedup
+from . import mixing, substring_dedup, suffix_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +17,33 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
+def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """The quality label of the document that a page's url names (its path is /lang/doc_id): page_id, good."""
+    doc = F.expr(r"try_cast(regexp_extract(url, '://[^/?#]*/[a-z]{2}/([0-9]+)', 1) AS BIGINT)")
+    votes = labels.groupBy("doc_id").agg(F.max("quality").alias("good"))
+    return pages.select("page_id", doc.alias("doc_id")).join(votes, "doc_id").groupBy("page_id").agg(F.max("good").alias("good"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    got = url_filter.judge(pages, page_outcomes(pages, _table(spark, sf_dir, "labels")))
+    return got.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = suffix_dedup.dedup(_table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_mixing": mixing.ORACLE,
+    "op9_url_filter": url_filter.ORACLE,
+}
