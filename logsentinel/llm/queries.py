@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, substring_dedup, suffix_dedup, url_filter
+from . import html_extract, media, mixing, substring_dedup, suffix_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,23 @@ def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
     return pages.select("page_id", doc.alias("doc_id")).join(votes, "doc_id").groupBy("page_id").agg(F.max("good").alias("good"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = html_extract.extract(_table(spark, sf_dir, "pages"))
+    return got.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op8_of(docs: DataFrame) -> DataFrame:
+    """Each document as a page that shows its payload as a captioned figure, parsed and resolved again."""
+    html = F.concat(F.lit("<figure><img src='media:"), media.digest(F.col("text")), F.lit("'><figcaption>"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("</figcaption></figure>"))
+    sequences = media.interleave(docs.select("doc_id", html.alias("html")), "doc_id", "html")
+    got = media.resolve(sequences, media.store(docs, with_media=False))
+    return got.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_of(_table(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
     got = url_filter.judge(pages, page_outcomes(pages, _table(spark, sf_dir, "labels")))
@@ -40,7 +57,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
+    return {k: f for k, f in globals().items() if k.startswith("op") and "_" in k and callable(f) and k != "op8_of"}
 
 
 ORACLES: dict[str, str] = {
