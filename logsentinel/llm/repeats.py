@@ -36,8 +36,9 @@ class Runs:
     twice: np.ndarray  # anchors that occur twice within one run
 
 
-def runs_of(tokens: np.ndarray, first: np.ndarray, length: int, gram: int, only: np.ndarray | None = None) -> Runs:
-    """Runs of the documents whose tokens start at first[:-1]. only: a mask of the window starts that take part."""
+def runs_of(tokens: np.ndarray, first: np.ndarray, length: int, gram: int, only: np.ndarray | None = None, twice: bool = False) -> Runs:
+    """Runs of the documents whose tokens start at first[:-1]. only: a mask of the window starts that take part;
+    twice: also look for anchors that stand twice in one run."""
     width = length - gram + 1
     roll = Rolling(tokens)
     grams = roll.grams(gram)
@@ -59,12 +60,15 @@ def runs_of(tokens: np.ndarray, first: np.ndarray, length: int, gram: int, only:
     start = np.flatnonzero(new)
     end = np.append(start[1:], n)
     start, end = start[valid[start]], end[valid[start]]
+    content = roll.ranges(start, end + length - 1)
+    if not twice:
+        return Runs(roll, low[start], start, end - start, content, none.view(U64))
     # an anchor that stands twice in one run: then the run itself may repeat a window
     edge = np.full(width - 1, ~U64(0), U64)
     peak = ~sliding_min(np.concatenate([edge, ~low, edge]), width)
     hit = np.flatnonzero(grams <= peak[: len(grams)])
     same = (grams[hit[1:]] == grams[hit[:-1]]) & (hit[1:] - hit[:-1] <= width)
-    return Runs(roll, low[start], start, end - start, roll.ranges(start, end + length - 1), grams[hit[1:][same]])
+    return Runs(roll, low[start], start, end - start, content, grams[hit[1:][same]])
 
 
 def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -36,12 +36,12 @@ def _ids(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column("_id").fill_null(NULL_ID).to_numpy()
 
 
-def _parts(batch: pa.RecordBatch, window: int):
+def _parts(batch: pa.RecordBatch, window: int, twice: bool = False):
     """(rows from, to, bytes, offsets, word starts, ends, first words, word hashes, runs, row of each run)."""
     for lo, hi, data, off in slices(batch.column("_text")):
         start, end, first = word_bounds(data, off)
         words = word_hashes(data, start, end)
-        runs = runs_of(words, first, window, GRAM)
+        runs = runs_of(words, first, window, GRAM, twice=twice)
         row = np.searchsorted(first, runs.start, side="right") - 1
         yield lo, hi, data, off, start, end, first, words, runs, row
 
@@ -96,7 +96,7 @@ def dedup(docs: DataFrame, window: int = 20, hot_anchor: int = 1000, broadcast_r
 
     def count_anchors(batches):
         for b in batches:
-            got = [(runs.anchor, runs.content, runs.twice) for *_, runs, _ in _parts(b, window)]
+            got = [(runs.anchor, runs.content, runs.twice) for *_, runs, _ in _parts(b, window, twice=True)]
             if not got:
                 continue
             anchor, content, twice = (np.concatenate(x) for x in zip(*got, strict=True))

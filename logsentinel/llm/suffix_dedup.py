@@ -50,11 +50,10 @@ def _pairs(rank: np.ndarray, content: np.ndarray, twice: np.ndarray):
     yield pa.RecordBatch.from_arrays([signed(t), pa.array(np.ones(len(t), np.int64)), pa.array(np.full(len(t), np.iinfo(np.int64).min)), pa.array(np.full(len(t), np.iinfo(np.int64).max))], names=["key", "n", "lo", "hi"])
 
 
-def _parts(col, length: int, lengths: tuple[int, ...]):
-    """For each slice: rows, bytes, offsets, and levels(table), which walks the lengths as far as table goes."""
+def _parts(col):
+    """For each slice: rows from and to, bytes, offsets, tokens."""
     for lo, hi, data, off in slices(col):
-        tokens = byte_tokens(data)
-        yield lo, hi, data, off, tokens
+        yield lo, hi, data, off, byte_tokens(data)
 
 
 def _spans(windows_from: np.ndarray, count: np.ndarray, size: int) -> np.ndarray:
@@ -64,19 +63,25 @@ def _spans(windows_from: np.ndarray, count: np.ndarray, size: int) -> np.ndarray
     return np.cumsum(step)[:-1] > 0
 
 
-def _walk(tokens, off, length: int, lengths: tuple[int, ...], table, depth: int):
-    """Runs at level ``depth``, of the windows that the levels before leave open; and the windows settled so far."""
+def _walk(tokens, off, length: int, lengths: tuple[int, ...], table, depth: int, twice: bool = False):
+    """Runs at level ``depth``, of the windows that the levels before leave open; the windows settled so far; and where
+    the tokens that the runs count stand, as documents without open windows leave."""
     settled = np.zeros(len(tokens), bool)
-    open_ = None
+    open_, at = None, np.arange(len(tokens))
     for level in range(depth + 1):
-        runs = runs_of(tokens, off, length, lengths[level], open_)
+        runs = runs_of(tokens, off, length, lengths[level], open_, twice and level == depth)
         if level == depth:
-            return runs, settled
-        has, at = find(table["key"], _named(runs.anchor, level))
-        kind = np.where(has, table["kind"][at] if len(table["key"]) else -1, -1)
+            return runs, settled, at
+        has, where = find(table["key"], _named(runs.anchor, level))
+        kind = np.where(has, table["kind"][where] if len(table["key"]) else -1, -1)
         done, more = kind == SETTLED, kind == AMBIGUOUS
-        settled |= _spans(runs.start[done], runs.windows[done], len(tokens))
+        settled[at] |= _spans(runs.start[done], runs.windows[done], len(tokens))
         open_ = _spans(runs.start[more], runs.windows[more], len(tokens))
+        total = np.concatenate([[0], np.cumsum(open_)])
+        stays = total[off[1:]] > total[off[:-1]]
+        mask = np.repeat(stays, np.diff(off))
+        tokens, open_, at = tokens[mask], open_[mask], at[mask]
+        off = np.concatenate([[0], np.cumsum(np.diff(off)[stays])])
     raise AssertionError
 
 
@@ -92,7 +97,7 @@ def dedup(docs: DataFrame, length: int = 400, lengths: tuple[int, ...] = LENGTHS
 
         def keys(b):
             rows, names = [], []
-            for lo, _, _, off, tokens in _parts(b.column("_text"), length, lengths):
+            for lo, _, _, off, tokens in _parts(b.column("_text")):
                 for level in range(depth + 1):
                     runs = runs_of(tokens, off, length, lengths[level])
                     rows.append(lo + np.searchsorted(off, runs.start, side="right") - 1)
@@ -109,8 +114,8 @@ def dedup(docs: DataFrame, length: int = 400, lengths: tuple[int, ...] = LENGTHS
 
         def rank(b, entries, depth=depth):
             got = []
-            for _, _, _, off, tokens in _parts(b.column("_text"), length, lengths):
-                runs, _ = _walk(tokens, off, length, lengths, entries, depth)
+            for _, _, _, off, tokens in _parts(b.column("_text")):
+                runs, _, _ = _walk(tokens, off, length, lengths, entries, depth, twice=True)
                 got.append((runs.anchor, runs.content, runs.twice))
             if got:
                 yield from _pairs(*(np.concatenate(x) for x in zip(*got, strict=True)))
@@ -131,10 +136,10 @@ def dedup(docs: DataFrame, length: int = 400, lengths: tuple[int, ...] = LENGTHS
 
     def remove(b, entries):
         ids = b.column("_id")
-        for lo, hi, data, off, tokens in _parts(b.column("_text"), length, lengths):
-            runs, settled = _walk(tokens, off, length, lengths, entries, len(lengths) - 1)
+        for lo, hi, data, off, tokens in _parts(b.column("_text")):
+            runs, settled, where = _walk(tokens, off, length, lengths, entries, len(lengths) - 1)
             has, _ = find(entries["key"], _named(runs.anchor, len(lengths) - 1))
-            settled |= _spans(runs.start[has], runs.windows[has], len(data))
+            settled[where] |= _spans(runs.start[has], runs.windows[has], len(where))
             at = np.flatnonzero(settled)
             step = np.zeros(len(data) + 1, np.int32)
             step[at] += 1
