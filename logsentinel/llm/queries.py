@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, media, mixing, pii, quality, substring_dedup, suffix_dedup, url_filter
+from . import html_extract, media, mixing, ngram_join, pii, quality, substring_dedup, suffix_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(_table(spark, sf_dir, "documents"))
+
+
 def op8_of(docs: DataFrame) -> DataFrame:
     """Each document as a page that shows its payload as a captioned figure, parsed and resolved again."""
     html = F.concat(F.lit("<figure><img src='media:"), media.digest(F.col("text")), F.lit("'><figcaption>"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("</figcaption></figure>"))
