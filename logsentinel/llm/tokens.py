@@ -109,11 +109,12 @@ def slices(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         at = to
 
 
-def word_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends (bytes) of the words, and for each row the index of its first word (one more at the end)."""
+def word_bounds(data: np.ndarray, off: np.ndarray, parts: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends (bytes) of the words, and for each row the index of its first word (one more at the end).
+    parts: which bytes part words."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
-    solid = ~IS_SPACE[data]
+    solid = ~parts[data]
     first, last = solid.copy(), solid.copy()
     first[1:] &= ~solid[:-1]
     last[:-1] &= ~solid[1:]
