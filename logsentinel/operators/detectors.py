@@ -51,21 +51,21 @@ def finish(found: DataFrame, rule: RuleConfig, ordinal: int) -> DataFrame:
     return found.select(*(F.col(c).cast(kinds[c]).alias(c) for c in FINDING.names))
 
 
-def _in(status: Column, allowed: list[int]) -> Column:
+def in_statuses(status: Column, allowed: list[int]) -> Column:
     return F.coalesce(status.isin(*allowed), F.lit(False)) if allowed else F.lit(False)
 
 
-def _says(marker: str) -> Column:
+def says(marker: str) -> Column:
     return F.coalesce(F.col("message").contains(marker), F.lit(False))
 
 
 def failure(rule: RuleConfig) -> Column:
-    web = _in(F.col("status"), rule.params.get("statuses", FAILURE_STATUSES)) & any_prefix(F.col("path"), rule.params.get("match_paths", []))
-    return F.when(F.col("source") == "web", web).otherwise(_says(FAILED))
+    web = in_statuses(F.col("status"), rule.params.get("statuses", FAILURE_STATUSES)) & any_prefix(F.col("path"), rule.params.get("match_paths", []))
+    return F.when(F.col("source") == "web", web).otherwise(says(FAILED))
 
 
 def success(rule: RuleConfig) -> Column:
-    return F.when(F.col("source") == "web", _in(F.col("status"), rule.params.get("success_statuses", SUCCESS_STATUSES))).otherwise(_says(ACCEPTED))
+    return F.when(F.col("source") == "web", in_statuses(F.col("status"), rule.params.get("success_statuses", SUCCESS_STATUSES))).otherwise(says(ACCEPTED))
 
 
 def _proof() -> Column:
@@ -73,7 +73,7 @@ def _proof() -> Column:
     return F.struct("_o", F.col("timestamp").alias("ts"), F.struct("file", "line_no", excerpt(F.col("raw"), F.col("message")).alias("excerpt")).alias("e"))
 
 
-def _from_list(grouped: DataFrame) -> DataFrame:
+def from_list(grouped: DataFrame) -> DataFrame:
     """first_seen, last_seen, count and evidence of the sorted list _hits."""
     return grouped.withColumns({
         "first_seen": F.element_at("_hits", 1)["ts"], "last_seen": F.element_at("_hits", -1)["ts"], "count": F.size("_hits").cast("long"),
@@ -89,7 +89,7 @@ def _window_hits(windowed: DataFrame, fires: DataFrame, key: str, also: Column |
     extra = [F.first("_values").alias("_values")] if "_values" in fires.columns else []
     hit = F.struct(F.col("_o1").alias("_o"), F.col("timestamp").alias("ts"), F.struct("file", "line_no", excerpt(F.col("raw"), F.col("message")).alias("excerpt")).alias("e"))
     out = both.groupBy(F.col("_key").alias("ip")).agg(F.array_sort(F.collect_list(hit)).alias("_hits"), F.first("_o").alias("emit"), *extra)
-    return _from_list(out)
+    return from_list(out)
 
 
 def _slim(events: DataFrame) -> DataFrame:
@@ -100,12 +100,31 @@ def _no_users() -> Column:
     return F.array().cast("array<string>")
 
 
+DESCRIBE: dict[str, Callable[[DataFrame, RuleConfig], DataFrame]] = {}
+
+
+def describes(kind: str):
+    """Register what adds users, title and description to hits; batch and stream share it."""
+
+    def add(fn):
+        DESCRIBE[kind] = fn
+        return fn
+
+    return add
+
+
 @detector("brute-force")
 def brute_force(events: DataFrame, rule: RuleConfig) -> DataFrame:
     """Threshold failures of an ip within the window; once for each ip."""
     threshold = rule.params.get("threshold", 5)
     w = trailing_count(_slim(events.where(failure(rule))), "ip", rule.window_seconds)
     found = _window_hits(w, first_fire(w, "ip", F.col("_n") >= threshold, []), "ip")
+    return DESCRIBE["brute-force"](found, rule)
+
+
+@describes("brute-force")
+def said_brute_force(found: DataFrame, rule: RuleConfig) -> DataFrame:
+    threshold = rule.params.get("threshold", 5)
     return found.withColumns({
         "users": _no_users(), "title": F.concat(F.lit("Brute-force attempt from "), "ip"),
         "description": F.concat(F.col("count").cast("string"), F.lit(" authentication failures from "), "ip", F.lit(f" within {rule.window_seconds}s (threshold {threshold}).")),
@@ -115,8 +134,14 @@ def brute_force(events: DataFrame, rule: RuleConfig) -> DataFrame:
 @detector("rate-limit-abuse")
 def rate_limit(events: DataFrame, rule: RuleConfig) -> DataFrame:
     threshold = rule.params.get("threshold", 5)
-    w = trailing_count(_slim(events.where(_in(F.col("status"), rule.params.get("statuses", RATE_STATUSES)))), "ip", rule.window_seconds)
+    w = trailing_count(_slim(events.where(in_statuses(F.col("status"), rule.params.get("statuses", RATE_STATUSES)))), "ip", rule.window_seconds)
     found = _window_hits(w, first_fire(w, "ip", F.col("_n") >= threshold, []), "ip")
+    return DESCRIBE["rate-limit-abuse"](found, rule)
+
+
+@describes("rate-limit-abuse")
+def said_rate_limit_abuse(found: DataFrame, rule: RuleConfig) -> DataFrame:
+    threshold = rule.params.get("threshold", 5)
     return found.withColumns({
         "users": _no_users(), "title": F.concat(F.lit("Rate-limit abuse from "), "ip"),
         "description": F.concat(F.col("count").cast("string"), F.lit(" rate-limited (429) responses to "), "ip", F.lit(f" within {rule.window_seconds}s (threshold {threshold}).")),
@@ -132,8 +157,14 @@ def _distinct(events: DataFrame, rule: RuleConfig, value: str, threshold: int) -
 def scanner_burst(events: DataFrame, rule: RuleConfig) -> DataFrame:
     """Threshold distinct probe paths (with their query strings) of an ip within the window."""
     threshold = rule.params.get("threshold", 6)
-    probes = events.where(_in(F.col("status"), rule.params.get("statuses", SCANNER_STATUSES)) & any_prefix(F.col("path"), rule.params.get("probe_paths", [])))
+    probes = events.where(in_statuses(F.col("status"), rule.params.get("statuses", SCANNER_STATUSES)) & any_prefix(F.col("path"), rule.params.get("probe_paths", [])))
     found = _distinct(probes, rule, "path", threshold)
+    return DESCRIBE["scanner-burst"](found, rule)
+
+
+@describes("scanner-burst")
+def said_scanner_burst(found: DataFrame, rule: RuleConfig) -> DataFrame:
+    threshold = rule.params.get("threshold", 6)
     return found.withColumns({
         "users": _no_users(), "title": F.concat(F.lit("Scanner burst from "), "ip"),
         "description": F.concat(F.col("ip"), F.lit(" probed "), F.size("_values").cast("string"), F.lit(f" distinct sensitive paths within {rule.window_seconds}s (threshold {threshold}).")),
@@ -143,7 +174,13 @@ def scanner_burst(events: DataFrame, rule: RuleConfig) -> DataFrame:
 @detector("ssh-invalid-user-enum")
 def invalid_users(events: DataFrame, rule: RuleConfig) -> DataFrame:
     threshold = rule.params.get("threshold", 4)
-    found = _distinct(events.where(_says(INVALID_USER)), rule, "user", threshold)
+    found = _distinct(events.where(says(INVALID_USER)), rule, "user", threshold)
+    return DESCRIBE["ssh-invalid-user-enum"](found, rule)
+
+
+@describes("ssh-invalid-user-enum")
+def said_ssh_invalid_user_enum(found: DataFrame, rule: RuleConfig) -> DataFrame:
+    threshold = rule.params.get("threshold", 4)
     return found.withColumns({
         "users": F.col("_values"), "title": F.concat(F.lit("SSH invalid-user enumeration from "), "ip"),
         "description": F.concat(F.col("ip"), F.lit(" attempted "), F.size("_values").cast("string"), F.lit(f" distinct invalid usernames within {rule.window_seconds}s (threshold {threshold}).")),
@@ -160,6 +197,11 @@ def brute_force_success(events: DataFrame, rule: RuleConfig) -> DataFrame:
     span = rule.window_seconds * 1_000_000
     inside = ((F.col("_rn1") < F.col("_rn")) & F.col("_f") & (F.col("_o1.us") >= F.col("_o.us") - span)) | (F.col("_rn1") == F.col("_rn"))
     found = _window_hits(w, fires, "ip", inside)
+    return DESCRIBE["brute-force-success"](found, rule)
+
+
+@describes("brute-force-success")
+def said_brute_force_success(found: DataFrame, rule: RuleConfig) -> DataFrame:
     return found.withColumns({
         "users": _no_users(), "title": F.concat(F.lit("Brute-force followed by successful login from "), "ip"),
         "description": F.concat((F.col("count") - 1).cast("string"), F.lit(" authentication failures from "), "ip", F.lit(" were followed by a successful login within the same window — the attack likely succeeded.")),
@@ -170,7 +212,7 @@ def brute_force_success(events: DataFrame, rule: RuleConfig) -> DataFrame:
 def rapid_success(events: DataFrame, rule: RuleConfig) -> DataFrame:
     """Streaks of failures of an ip that a success ends within max_gap_seconds; may report an ip again."""
     least, gap = rule.params.get("min_failures", 3), rule.params.get("max_gap_seconds", 30)
-    tagged = events.where("ip IS NOT NULL").withColumn("_f", _says(FAILED)).withColumn("_s", ~F.col("_f") & _says(ACCEPTED)).where("_f OR _s")
+    tagged = events.where("ip IS NOT NULL").withColumn("_f", says(FAILED)).withColumn("_s", ~F.col("_f") & says(ACCEPTED)).where("_f OR _s")
     before = Window.partitionBy("ip").orderBy("_o").rowsBetween(Window.unboundedPreceding, -1)
     streaks = tagged.withColumn("_streak", F.coalesce(F.sum(F.col("_s").cast("int")).over(before), F.lit(0)))
     ends = F.max(F.when(F.col("_s"), F.col("_o")))
@@ -178,36 +220,56 @@ def rapid_success(events: DataFrame, rule: RuleConfig) -> DataFrame:
     got = streaks.groupBy("ip", "_streak").agg(F.array_sort(F.collect_list(_proof())).alias("_hits"), ends.alias("emit"), last.alias("_last"))
     wait = (F.col("emit.us") - F.col("_last")) / 1e6
     got = got.where(F.col("emit").isNotNull() & (F.size("_hits") > least) & (F.size("_hits") > 1) & wait.between(0, gap))
-    return _from_list(got).withColumns({
+    return DESCRIBE["rapid-success-after-failures"](from_list(got.withColumn("_wait", wait)), rule)
+
+
+@describes("rapid-success-after-failures")
+def said_rapid_success(found: DataFrame, rule: RuleConfig) -> DataFrame:
+    return found.withColumns({
         "users": _no_users(), "title": F.concat(F.lit("Rapid success after failures from "), "ip"),
-        "description": F.concat(F.lit("A login from "), "ip", F.lit(" succeeded "), F.format_string("%.0f", wait), F.lit("s after "), (F.col("count") - 1).cast("string"), F.lit(" consecutive failures.")),
+        "description": F.concat(F.lit("A login from "), "ip", F.lit(" succeeded "), F.format_string("%.0f", F.col("_wait")), F.lit("s after "), (F.col("count") - 1).cast("string"), F.lit(" consecutive failures.")),
     })
 
 
-def _pattern(title: str, what: str) -> Detector:
+def pattern_hit(rule: RuleConfig) -> Column:
+    patterns = rule.params.get("patterns", [])
+    return any_match(F.col("path"), patterns) | any_match(unquote(F.col("path")), patterns)
+
+
+def _pattern(kind: str, title: str, what: str) -> None:
+    @detector(kind)
     def detect(events: DataFrame, rule: RuleConfig) -> DataFrame:
-        patterns = rule.params.get("patterns", [])
-        hit = any_match(F.col("path"), patterns) | any_match(unquote(F.col("path")), patterns)
         # the ip's first appearance among all events of the source is its place in the report
-        got = events.where("ip IS NOT NULL").groupBy("ip").agg(F.array_sort(F.collect_list(F.when(hit, _proof()))).alias("_hits"), F.min("_o").alias("emit")).where(F.size("_hits") > 0)
-        return _from_list(got).withColumns({
+        hits = F.array_sort(F.collect_list(F.when(pattern_hit(rule), _proof())))
+        got = events.where("ip IS NOT NULL").groupBy("ip").agg(hits.alias("_hits"), F.min("_o").alias("emit")).where(F.size("_hits") > 0)
+        return DESCRIBE[kind](from_list(got), rule)
+
+    @describes(kind)
+    def said(found: DataFrame, rule: RuleConfig) -> DataFrame:
+        return found.withColumns({
             "users": _no_users(), "title": F.concat(F.lit(f"{title} from "), "ip"),
             "description": F.concat(F.col("count").cast("string"), F.lit(" request(s) from "), "ip", F.lit(f" {what}.")),
         })
 
-    return detect
 
+_pattern("path-traversal", "Path traversal attempt", "attempted directory traversal")
+_pattern("sqli-probe", "SQL injection probe", "matched a SQL-injection pattern")
 
-detector("path-traversal")(_pattern("Path traversal attempt", "attempted directory traversal"))
-detector("sqli-probe")(_pattern("SQL injection probe", "matched a SQL-injection pattern"))
+
+def sudo_hit(rule: RuleConfig) -> Column:
+    return F.coalesce(F.col("extra.program") == "sudo", F.lit(False)) & any_match(F.coalesce("message", F.lit("")), rule.params.get("sensitive_patterns", []))
 
 
 @detector("sudo-sensitive-command")
 def sudo_command(events: DataFrame, rule: RuleConfig) -> DataFrame:
-    hit = (F.col("extra.program") == "sudo") & any_match(F.coalesce("message", F.lit("")), rule.params.get("sensitive_patterns", []))
     who = F.coalesce(F.when(F.col("user") != "", F.col("user")), F.lit("unknown"))
-    got = events.where(hit).groupBy(who.alias("_user")).agg(F.array_sort(F.collect_list(_proof())).alias("_hits"), F.min("_o").alias("emit"))
-    return _from_list(got).withColumns({
+    got = events.where(sudo_hit(rule)).groupBy(who.alias("_user")).agg(F.array_sort(F.collect_list(_proof())).alias("_hits"), F.min("_o").alias("emit"))
+    return DESCRIBE["sudo-sensitive-command"](from_list(got), rule)
+
+
+@describes("sudo-sensitive-command")
+def said_sudo_sensitive_command(found: DataFrame, rule: RuleConfig) -> DataFrame:
+    return found.withColumns({
         "ip": F.lit(None).cast("string"), "users": F.array("_user"), "title": F.concat(F.lit("Sensitive sudo command by "), "_user"),
         "description": F.concat(F.col("_user"), F.lit(" ran "), F.col("count").cast("string"), F.lit(" sudo command(s) touching a sensitive path.")),
     })

@@ -13,19 +13,27 @@ SOURCE_RANK = {"web": 0, "auth": 1}
 
 EVIDENCE = "struct<file:string,line_no:int,excerpt:string>"
 
-EVENT = T._parse_datatype_string(
-    "source string, file string, file_ord int, line_no int, timestamp timestamp, raw string, ip string, user string, method string, path string,"
-    " status int, size bigint, message string, extra struct<protocol:string,referer:string,user_agent:string,program:string,pid:bigint,host:string,future_dated:boolean>"
-)
-FAILURE = T._parse_datatype_string("file string, line_no int, reason string")
+
+
+def _struct(**columns: str | T.DataType) -> T.StructType:
+    out = T.StructType()
+    for name, kind in columns.items():
+        out.add(name, kind)
+    return out
+
+
+EVENT = _struct(
+    source="string", file="string", file_ord="integer", line_no="integer", timestamp="timestamp", raw="string", ip="string", user="string", method="string", path="string", status="integer", size="long", message="string",
+    extra=_struct(protocol="string", referer="string", user_agent="string", program="string", pid="long", host="string", future_dated="boolean"))
+FAILURE = _struct(file="string", line_no="integer", reason="string")
 
 #: Position of an event in the total order; ties of the one-second timestamps are decided by file and line.
 ORDER = "struct<us:bigint,source_rank:int,file_ord:int,line_no:int>"
 
-FINDING = T._parse_datatype_string(
-    "finding_id string, rule_id string, severity string, severity_rank int, title string, description string, first_seen timestamp, last_seen timestamp,"
-    f" count bigint, ip string, users array<string>, evidence array<{EVIDENCE}>, correlated_rule_ids array<string>, rule_ord int, emit {ORDER}"
-)
+_STRINGS = T.ArrayType(T.StringType())
+FINDING = _struct(
+    finding_id="string", rule_id="string", severity="string", severity_rank="integer", title="string", description="string", first_seen="timestamp", last_seen="timestamp", count="long", ip="string", users=_STRINGS,
+    evidence=T.ArrayType(_struct(file="string", line_no="integer", excerpt="string")), correlated_rule_ids=_STRINGS, rule_ord="integer", emit=_struct(us="long", source_rank="integer", file_ord="integer", line_no="integer"))
 
 
 def order_of() -> Column:
