@@ -38,6 +38,17 @@ def _part(text: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract(text, java_regex(pattern), group)
 
 
+#: A character that no text holds; parts the groups of a line that is matched once.
+_SEP = "\uffff"
+
+
+def _groups(text: Column, pattern: str, n: int) -> Column:
+    """All groups of one match ('' for those without part in it), or the text alone where it does not match."""
+    once = F.split(F.regexp_replace(text, java_regex(pattern), _SEP.join(f"${i}" for i in range(1, n + 1))), _SEP)
+    slow = F.when(text.rlike(java_regex(pattern)), F.array(*(_part(text, pattern, i) for i in range(1, n + 1)))).otherwise(F.array(text))
+    return F.when(text.contains(_SEP), slow).otherwise(once)
+
+
 def _null_if(text: Column, what: str) -> Column:
     return F.when(text != what, text)
 
@@ -45,20 +56,21 @@ def _null_if(text: Column, what: str) -> Column:
 def parse_access(lines: DataFrame, reference: Column | datetime | None = None) -> DataFrame:
     """Web access lines in the common or combined format."""
     raw = F.col("_raw")
-    df = lines.withColumn("_raw", clean(F.col("value"))).withColumn("_ok", raw.rlike(java_regex(ACCESS_LINE)))
-    at = _part(raw, ACCESS_LINE, 3)
+    df = lines.withColumn("_raw", clean(F.col("value"))).withColumn("_p", _groups(raw, ACCESS_LINE, 9)).withColumn("_ok", F.size("_p") == 9)
+    part = lambda i: F.get("_p", F.lit(i - 1))
+    at = part(3)
     ts = F.coalesce(*(F.try_to_timestamp(at, F.lit(f"d/MMM/yyyy:HH:mm:ss {z}")) for z in ("Z", "xxx")))
-    request = F.split(_part(raw, ACCESS_LINE, 4), " ")
-    tail = _part(raw, ACCESS_LINE, 7) != ""
+    request = F.split(part(4), " ")
+    tail = part(7) != ""
     df = df.withColumn("timestamp", F.when(F.col("_ok"), ts))
     reason = F.when(raw == "", "empty line").when(~F.col("_ok"), "does not match Apache access-log format").when(F.col("timestamp").isNull(), "invalid or missing Apache timestamp")
     extra = F.struct(
-        F.get(request, F.lit(2)).alias("protocol"), F.when(tail, _part(raw, ACCESS_LINE, 8)).alias("referer"), F.when(tail, _part(raw, ACCESS_LINE, 9)).alias("user_agent"),
+        F.get(request, F.lit(2)).alias("protocol"), F.when(tail, part(8)).alias("referer"), F.when(tail, part(9)).alias("user_agent"),
         *(F.lit(None).cast(t).alias(n) for n, t in (("program", "string"), ("pid", "bigint"), ("host", "string"), ("future_dated", "boolean"))))
     return df.select(
-        F.lit("web").alias("source"), "file", "file_ord", "line_no", "timestamp", raw.alias("raw"), _null_if(_part(raw, ACCESS_LINE, 1), "-").alias("ip"), _null_if(_part(raw, ACCESS_LINE, 2), "-").alias("user"),
-        _null_if(F.get(request, F.lit(0)), "").alias("method"), F.get(request, F.lit(1)).alias("path"), _part(raw, ACCESS_LINE, 5).try_cast("int").alias("status"),
-        _part(raw, ACCESS_LINE, 6).try_cast("bigint").alias("size"), F.lit(None).cast("string").alias("message"), extra.alias("extra"), reason.alias("reason"))
+        F.lit("web").alias("source"), "file", "file_ord", "line_no", "timestamp", raw.alias("raw"), _null_if(part(1), "-").alias("ip"), _null_if(part(2), "-").alias("user"),
+        _null_if(F.get(request, F.lit(0)), "").alias("method"), F.get(request, F.lit(1)).alias("path"), part(5).try_cast("int").alias("status"),
+        part(6).try_cast("bigint").alias("size"), F.lit(None).cast("string").alias("message"), extra.alias("extra"), reason.alias("reason"))
 
 
 def auth_timestamp(month: Column, day: Column, clock: Column, reference: Column) -> Column:
@@ -79,14 +91,15 @@ def parse_auth(lines: DataFrame, reference: Column | datetime | None = None) ->
     """Syslog auth lines; reference is the instant that years are inferred from (now, if none is given)."""
     ref = F.current_timestamp() if reference is None else reference if isinstance(reference, Column) else F.lit(reference)
     raw, message = F.col("_raw"), F.col("_message")
-    df = lines.withColumn("_raw", clean(F.col("value"))).withColumn("_ok", raw.rlike(java_regex(AUTH_LINE))).withColumn("_ref", ref)
-    month = F.array_position(F.array(*map(F.lit, MONTHS)), _part(raw, AUTH_LINE, 1)).cast("int")
-    day = _part(raw, AUTH_LINE, 2).try_cast("int")
-    df = df.withColumn("timestamp", F.when(F.col("_ok") & (month > 0), auth_timestamp(month, day, _part(raw, AUTH_LINE, 3), F.col("_ref")))).withColumn("_message", F.when(F.col("_ok"), _part(raw, AUTH_LINE, 7)))
+    df = lines.withColumn("_raw", clean(F.col("value"))).withColumn("_p", _groups(raw, AUTH_LINE, 7)).withColumn("_ok", F.size("_p") == 7).withColumn("_ref", ref)
+    part = lambda i: F.get("_p", F.lit(i - 1))
+    month = F.array_position(F.array(*map(F.lit, MONTHS)), part(1)).cast("int")
+    day = part(2).try_cast("int")
+    df = df.withColumn("timestamp", F.when(F.col("_ok") & (month > 0), auth_timestamp(month, day, part(3), F.col("_ref")))).withColumn("_message", F.when(F.col("_ok"), part(7)))
     reason = F.when(raw == "", "empty line").when(~F.col("_ok"), "does not match syslog auth format").when(F.col("timestamp").isNull(), "invalid syslog timestamp")
     extra = F.struct(
-        *(F.lit(None).cast("string").alias(n) for n in ("protocol", "referer", "user_agent")), _part(raw, AUTH_LINE, 5).alias("program"), _part(raw, AUTH_LINE, 6).try_cast("bigint").alias("pid"),
-        _part(raw, AUTH_LINE, 4).alias("host"), F.when(F.col("timestamp") > F.col("_ref") + F.expr("INTERVAL 1 DAY"), True).alias("future_dated"))
+        *(F.lit(None).cast("string").alias(n) for n in ("protocol", "referer", "user_agent")), part(5).alias("program"), part(6).try_cast("bigint").alias("pid"),
+        part(4).alias("host"), F.when(F.col("timestamp") > F.col("_ref") + F.expr("INTERVAL 1 DAY"), True).alias("future_dated"))
     return df.select(
         F.lit("auth").alias("source"), "file", "file_ord", "line_no", "timestamp", raw.alias("raw"), ip_of(message).alias("ip"), user_of(message).alias("user"),
         *(F.lit(None).cast(t).alias(n) for n, t in (("method", "string"), ("path", "string"), ("status", "int"), ("size", "bigint"))), message.alias("message"), extra.alias("extra"), reason.alias("reason"))
