@@ -34,7 +34,7 @@ BLOCK_ITEMS, BLOCK_CHARS = 2_000, 4_000_000
 BUCKET_BITS = 16
 PASSAGE = 32
 SIZES = (12, 24, 48)
-RANK, EXTRA = 96, 16
+RANK, EXTRA = 48, 8
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
