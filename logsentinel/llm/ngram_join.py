@@ -163,7 +163,7 @@ def join(docs: DataFrame, n: int = 3, threshold: int = 90, broadcast_rows: int |
     def _batch(out):
         return pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if c == "tokens" else pa.int64()) for c, v in out.items()], names=list(out))
 
-    def ids_of(b):
+    def ids_of(b, _entries, _step):
         ids = b.column("_id").fill_null(NULL_ID).to_numpy()
         return np.arange(len(ids)), ids.view(U64)
 

@@ -11,7 +11,7 @@ size is at most ``BROADCAST_BYTES``, else through a join that gives each documen
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -93,11 +93,7 @@ def _sorted(columns: Entries) -> Entries:
 
 
 class Lookup:
-    """Entries by key for a function over batches of documents.
-
-    The documents have columns _id and _text. keys(batch) yields the keys that a document may look up; it is
-    only called when the table is too large to broadcast.
-    """
+    """Entries by key for a function over batches of documents, which have columns _id and _text."""
 
     def __init__(self, table: DataFrame, name: str, limit: int | None = None):
         self.table = staged(table, name)
@@ -106,13 +102,16 @@ class Lookup:
         self.small = self.rows <= (BROADCAST_BYTES // (8 * len(self.columns)) if limit is None else limit)
         self._sent = None
 
-    def run(self, docs: DataFrame, fn: Callable[[pa.RecordBatch, Entries], Iterator[pa.RecordBatch]], keys: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], schema: str) -> DataFrame:
-        """fn over every batch of docs, with the entries that its documents need (or more)."""
-        names = self.columns
+    def run(self, docs: DataFrame, fn: Callable[[pa.RecordBatch, Entries], Iterator[pa.RecordBatch]], keys: Callable[[pa.RecordBatch, Entries, int], tuple[np.ndarray, np.ndarray]], schema: str, before: Sequence[Lookup] = ()) -> DataFrame:
+        """fn over every batch of docs, with the entries that its documents need (or more).
+
+        keys(batch, entries, step) yields (row, key) of what each document looks up; it is only called when the table is
+        too large to broadcast. Then the steps look into ``before`` and last into this table, each with the entries
+        that the step before it found, so that only keys which can matter are ever joined."""
         if self.small:
             if self._sent is None:
                 got = self.table.toArrow()
-                self._sent = docs.sparkSession.sparkContext.broadcast(_sorted({c: got.column(c).to_numpy() for c in names}))
+                self._sent = docs.sparkSession.sparkContext.broadcast(_sorted({c: got.column(c).to_numpy() for c in self.columns}))
             sent = self._sent
 
             def near(batches):
@@ -121,22 +120,33 @@ class Lookup:
 
             return docs.mapInArrow(near, schema)
 
-        def wanted(batches):
-            for b in batches:
-                row, key = keys(b)
-                pairs = np.unique(np.stack([row, key.view(np.int64)], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([b.column("_id").take(pa.array(pairs[:, 0])), b.column("_hash").take(pa.array(pairs[:, 0])), pa.array(pairs[:, 1])], names=["_id", "_hash", "key"])
-
         docs = docs.withColumn("_hash", F.xxhash64("_text"))
-        need = docs.mapInArrow(wanted, "_id long, _hash long, key long").distinct()
-        lists = need.join(self.table, "key").groupBy("_id", "_hash").agg(*(F.collect_list(c).alias(f"_k_{c}") for c in names))
-        lists = lists.withColumnRenamed("_id", "_id2").withColumnRenamed("_hash", "_hash2")
-        joined = docs.join(lists, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_hash") == F.col("_hash2")), "left").drop("_id2", "_hash2")
+        joined, found, needs = docs, [], None
+
+        def entries(b: pa.RecordBatch, names: list[str]) -> Entries:
+            if not names:
+                return {"key": np.zeros(0, U64)}
+            return _sorted({c: b.column(f"_k_{c}").flatten().to_numpy(zero_copy_only=False) for c in names})
+
+        for step, look in enumerate((*before, self)):
+
+            def wanted(batches, step=step, names=tuple(found)):
+                for b in batches:
+                    row, key = keys(b, entries(b, names), step)
+                    pairs = np.unique(np.stack([row, key.view(np.int64)], 1), axis=0)
+                    at = pa.array(pairs[:, 0])
+                    yield pa.RecordBatch.from_arrays([b.column("_id").take(at), b.column("_hash").take(at), pa.array(pairs[:, 1])], names=["_id", "_hash", "key"])
+
+            need = staged(joined.mapInArrow(wanted, "_id long, _hash long, key long").distinct(), "needs")
+            needs = need if needs is None else needs.union(need)
+            found = look.columns
+            lists = needs.join(look.table, "key").groupBy("_id", "_hash").agg(*(F.collect_list(c).alias(f"_k_{c}") for c in found))
+            lists = lists.withColumnsRenamed({"_id": "_id2", "_hash": "_hash2"})
+            joined = docs.join(lists, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_hash") == F.col("_hash2")), "left").drop("_id2", "_hash2")
 
         def far(batches):
             for b in batches:
-                flat = {c: pa.concat_arrays([b.column(f"_k_{c}")]).flatten().to_numpy(zero_copy_only=False) for c in names}
-                yield from fn(b, _sorted(flat))
+                yield from fn(b, entries(b, found))
 
         return joined.mapInArrow(far, schema)
 

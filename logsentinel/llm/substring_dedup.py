@@ -113,7 +113,7 @@ def dedup(docs: DataFrame, window: int = 20, hot_anchor: int = 1000, broadcast_r
     anchors = anchors.select("key", F.when(F.col("lo") == F.col("hi"), 0).when(F.col("n") <= hot_anchor, 1).otherwise(2).cast("long").alias("kind"))
     repeated = Lookup(anchors, "anchors", broadcast_rows)
 
-    def anchor_keys(b):
+    def anchor_keys(b, _entries, _step):
         got = [(lo + row, runs.anchor) for lo, *_, runs, row in _parts(b, window)]
         return tuple(np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.zeros(0, np.int64), np.zeros(0, U64))
 
@@ -175,11 +175,15 @@ def dedup(docs: DataFrame, window: int = 20, hot_anchor: int = 1000, broadcast_r
     earliest = firsts.where("words is null and n > 1").select("key", "doc", "at").union(shards.mapInArrow(verdicts, "key long, doc long, at long"))
     earliest = Lookup(earliest.groupBy("key").agg(F.min(F.struct("doc", "at")).alias("first")).select("key", "first.*"), "earliest", broadcast_rows)
 
-    def content_keys(b):
+    def content_keys(b, entries, step):
+        """First the anchors; then, of runs whose anchor is repeated, the contents and windows."""
+        if step == 0:
+            return anchor_keys(b, entries, step)
         got = []
         for lo, *_, runs, row in _parts(b, window):
-            run, pos = _spread(runs, np.ones(len(runs.start), bool))
-            got += [(lo + row, runs.content), (lo + row[run], runs.roll.ranges(pos, pos + window))]
+            has, at = find(entries["key"], runs.anchor)
+            run, pos = _spread(runs, has & (entries["kind"][at] > 0) if len(entries["key"]) else has)
+            got += [(lo + row[has], runs.content[has]), (lo + row[run], runs.roll.ranges(pos, pos + window))]
         return tuple(np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.zeros(0, np.int64), np.zeros(0, U64))
 
     def remove(b, table):
@@ -206,7 +210,7 @@ def dedup(docs: DataFrame, window: int = 20, hot_anchor: int = 1000, broadcast_r
             yield _result(id_col_.slice(lo, hi - lo), data, off, start, end, first, cut)
 
     schema = "doc_id long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept_text string"
-    return earliest.run(src, remove, content_keys, schema)
+    return earliest.run(src, remove, content_keys, schema, [repeated])
 
 
 def _result(ids, data, off, start, end, first, cut) -> pa.RecordBatch:

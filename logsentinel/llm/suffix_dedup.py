@@ -92,23 +92,14 @@ def dedup(docs: DataFrame, length: int = 400, lengths: tuple[int, ...] = LENGTHS
     table: DataFrame | None = None
     look: Lookup | None = None
 
-    def keys_to(depth):
-        """All names that a document may look up on its way to that level."""
-
-        def keys(b):
-            rows, names = [], []
-            for lo, _, _, off, tokens in _parts(b.column("_text")):
-                for level in range(depth + 1):
-                    runs = runs_of(tokens, off, length, lengths[level])
-                    rows.append(lo + np.searchsorted(off, runs.start, side="right") - 1)
-                    names.append(_named(runs.anchor, level))
-                    if level:  # what an earlier level leaves open may begin a run of its own
-                        grams = runs.roll.grams(lengths[level])
-                        rows.append(lo + np.minimum(np.searchsorted(off, np.arange(len(grams)), side="right") - 1, len(off) - 2))
-                        names.append(_named(grams, level))
-            return (np.concatenate(rows), np.concatenate(names)) if rows else (np.zeros(0, np.int64), np.zeros(0, U64))
-
-        return keys
+    def keys(b, entries, step):
+        """Names of the ranks of that level, for the windows that the levels before it leave open."""
+        rows, names = [], []
+        for lo, _, _, off, tokens in _parts(b.column("_text")):
+            runs, _, at = _walk(tokens, off, length, lengths, entries, step)
+            rows.append(lo + np.searchsorted(off, at[runs.start], side="right") - 1)
+            names.append(_named(runs.anchor, step))
+        return (np.concatenate(rows), np.concatenate(names)) if rows else (np.zeros(0, np.int64), np.zeros(0, U64))
 
     for depth in range(len(lengths)):
 
@@ -124,7 +115,7 @@ def dedup(docs: DataFrame, length: int = 400, lengths: tuple[int, ...] = LENGTHS
         if look is None:
             pairs = src.mapInArrow(lambda batches, f=rank: (x for b in batches for x in f(b, {"key": np.zeros(0, U64)})), schema)
         else:
-            pairs = look.run(src, rank, keys_to(depth - 1), schema)
+            pairs = look.run(src, rank, keys, schema, [look] * (depth - 1))
         ranks = pairs.groupBy("key").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("n > 1")
         kind = F.lit(SETTLED) if depth == len(lengths) - 1 else F.when(F.col("lo") == F.col("hi"), SETTLED).otherwise(AMBIGUOUS)
         mine = ranks.select(F.col("key"), kind.cast("long").alias("kind"))
@@ -146,7 +137,8 @@ def dedup(docs: DataFrame, length: int = 400, lengths: tuple[int, ...] = LENGTHS
             np.add.at(step, np.minimum(at + length, len(data)), -1)
             yield _result(ids.slice(lo, hi - lo), data, off, np.cumsum(step)[:-1] > 0)
 
-    return look.run(src, remove, keys_to(len(lengths) - 1), "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
+    schema = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
+    return look.run(src, remove, keys, schema, [look] * (len(lengths) - 1))
 
 
 def _result(ids, data, off, cut) -> pa.RecordBatch:
