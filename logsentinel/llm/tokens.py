@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 U64 = np.uint64
 
 #: Bytes 0x20 and 0x09-0x0D part words; every other byte of the UTF-8 text is part of one.
