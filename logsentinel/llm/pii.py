@@ -139,9 +139,11 @@ def surrogate(key: str, kind: Column, core: Column, attempt: Column) -> Column:
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """entities: kind, core, distinct. Adds surrogate, distinct within a kind and never an entity of the corpus."""
     open_, done, attempt = entities, None, 0
+    width = entities.sparkSession.sparkContext.defaultParallelism * 4
     real = entities.select(F.col("kind").alias("_k"), F.col("core").alias("_c"))
     while True:
-        drawn = open_.select("kind", "core", surrogate(key, F.col("kind"), F.col("core"), F.lit(attempt)).alias("surrogate"))
+        # few bytes but costly expressions: dealt out by number, as sizes would put them into one task
+        drawn = open_.repartition(width, "kind", "core").select("kind", "core", surrogate(key, F.col("kind"), F.col("core"), F.lit(attempt)).alias("surrogate"))
         taken = real if done is None else real.union(done.select("kind", "surrogate"))
         free = drawn.join(taken.distinct(), (drawn["kind"] == F.col("_k")) & (drawn["surrogate"] == F.col("_c")), "left_anti")
         first = free.groupBy("kind", "surrogate").agg(F.min("core").alias("core")).select("kind", "core", "surrogate")
