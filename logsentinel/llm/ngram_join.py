@@ -33,7 +33,7 @@ from .storage import staged
 from .tokens import U64, Rolling, mix, signed, slices, word_bounds, word_hashes
 
 ORDERS, TRIALS = 3, 20
-BLOCK_TOKENS = 128_000
+BLOCK_TOKENS = 64_000
 NULL_ID = -(1 << 63)
 
 _SEED = mix(np.arange(1, ORDERS * TRIALS + 1, dtype=U64)) | U64(1)
