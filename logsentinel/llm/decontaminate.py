@@ -30,7 +30,8 @@ from .repeats import prepared
 from .storage import staged
 from .tokens import IS_SPACE, U64, slices, word_bounds, word_hashes
 
-BLOCK_ITEMS, BLOCK_CHARS = 2_000, 4_000_000
+#: So a block's dense item-term table stays under some 70 MB.
+BLOCK_ITEMS, BLOCK_CHARS = 500, 200_000
 BUCKET_BITS = 16
 PASSAGE = 32
 SIZES = (12, 24, 48)
@@ -69,11 +70,20 @@ def frequencies(src: DataFrame) -> tuple[np.ndarray, float]:
         total, n = np.zeros(buckets, np.int64), 0
         for b in batches:
             for _, _, words, first in _words(b.column("_text")):
-                if len(words):
-                    p = _passages(first)
-                    pair = np.unique(p * buckets + _bucket(words))
-                    total += np.bincount(pair % buckets, minlength=buckets)
-                    n += int(p[-1]) + 1
+                # a row of at most PASSAGE buckets for each passage, sorted, so that repeats stand together
+                size = np.diff(first)
+                parts = -(-size // PASSAGE)
+                inner = (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)) * PASSAGE
+                begin = np.repeat(first[:-1], parts) + inner
+                last = np.minimum(PASSAGE, np.repeat(size, parts) - inner) - 1
+                bucket = _bucket(words).astype(np.uint16)
+                for lo in range(0, len(begin), 8192):
+                    at = begin[lo : lo + 8192, None] + np.minimum(np.arange(PASSAGE), last[lo : lo + 8192, None])
+                    row = np.sort(bucket[at], axis=1)
+                    new = np.ones(row.shape, bool)
+                    new[:, 1:] = row[:, 1:] != row[:, :-1]
+                    total += np.bincount(row[new], minlength=buckets)
+                n += len(begin)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], n))], names=["bucket", "n"])
 
