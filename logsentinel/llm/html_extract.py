@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import bounded_batches
+
 WINDOW = 3  # lines in a window
 SURGE = 0.1  # share of the largest window sum at which text surges, without a marked article
 
@@ -148,5 +150,6 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([main_text(x) for x in b.column(2).to_pylist()], pa.string())], names=["page_id", "url", "text"])
 
+    bounded_batches(pages.sparkSession)
     src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     return src.mapInArrow(run, "page_id long, url string, text string")

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import bounded_batches
+
 BLOCK = 64
 RATE = 8000
 
@@ -86,6 +88,7 @@ def store(docs: DataFrame, with_media: bool = True, id_col: str = "doc_id", text
 
     schema = STORE + (", media binary" if with_media else "")
     names = [x.split()[0] for x in schema.split(", ")]
+    bounded_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return src.mapInArrow(run, schema)
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import staged
+from .storage import bounded_batches, staged
 from .tokens import Rolling, mix, slices, word_bounds, word_hashes
 
 #: Byte classes: 0 rest, 1 lower, 2 upper, 3 digit, 4 blank, 5 line feed, 6 punctuation, 7 exclamation, 8 symbol, 9 bar, 10 lead byte, 11 continuation.
@@ -86,6 +86,7 @@ def vectors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), flat], names=["doc_id", "x"])
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, x array<double>")
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import staged
+from .storage import bounded_batches, staged
 from .tokens import U64, Rolling, sliding_min
 
 #: A lookup table of more bytes than this (8 for each column of each row) is joined, not broadcast.
@@ -153,4 +153,5 @@ class Lookup:
 
 def prepared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns used, under names that no extra column can clash with."""
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))

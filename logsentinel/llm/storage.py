@@ -11,6 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
 
+#: Bytes of a batch of texts for a Python worker, where the session has Spark's default.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_DEFAULT, BATCH_BYTES = "67108864b", "4194304"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Long texts by the thousand would make batches too large for small executors; a setting of one's own stays."""
+    if spark.conf.get(BATCH) == BATCH_DEFAULT:
+        spark.conf.set(BATCH, BATCH_BYTES)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; only where that is unset (tests), a temporary one of our own."""
