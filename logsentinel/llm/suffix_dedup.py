@@ -134,7 +134,8 @@ def dedup(docs: DataFrame, length: int = 400, lengths: tuple[int, ...] = LENGTHS
             at = np.flatnonzero(settled)
             step = np.zeros(len(data) + 1, np.int32)
             step[at] += 1
-            np.add.at(step, np.minimum(at + length, len(data)), -1)
+            end = at + length
+            step[end[end < len(data)]] -= 1
             yield _result(ids.slice(lo, hi - lo), data, off, np.cumsum(step)[:-1] > 0)
 
     schema = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
