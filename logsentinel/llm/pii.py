@@ -104,13 +104,23 @@ def _check_sum(digits: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda a, x: a + x)
 
 
-def surrogate(key: str, kind: Column, core: Column, attempt: Column) -> Column:
-    draw = _digest(key, kind, core, attempt.cast("string"))
+def draws(key: str, kind: Column, core: Column, attempt: int) -> dict[str, Column]:
+    """Keyed digests that a surrogate is made from: of the entity, and of the parts that it shares with others."""
+    again = F.lit(str(attempt) if attempt else "")
+    return {
+        "_draw": _digest(key, kind, core, F.lit(str(attempt))), "_domain": _digest(key, F.lit("domain"), F.lower(F.substring_index(core, "@", -1))),
+        "_given": _digest(key, F.lit("given"), kind, F.substring_index(core, " ", 1), again), "_family": _digest(key, F.lit("family"), F.substring_index(core, " ", -1), again),
+    }
+
+
+def surrogate(kind: Column, core: Column) -> Column:
+    """Of an entity whose draws are columns beside it."""
+    draw = F.col("_draw")
     plain = _redraw(core, draw)
 
     domain = F.substring_index(core, "@", -1)
     host = F.regexp_extract(domain, r"^(.*)\.[^.]*$", 1)
-    mail = F.concat(_redraw(F.substring_index(core, "@", 1), draw), F.lit("@"), _redraw(host, _digest(key, F.lit("domain"), F.lower(domain))), F.lit("."), F.substring_index(domain, ".", -1))
+    mail = F.concat(_redraw(F.substring_index(core, "@", 1), draw), F.lit("@"), _redraw(host, F.col("_domain")), F.lit("."), F.substring_index(domain, ".", -1))
 
     ip = F.array_join(F.transform(F.split(core, r"\."), lambda c, i: (_byte(draw, i) % 254 + 1).cast("string")), ".")
 
@@ -121,15 +131,11 @@ def surrogate(key: str, kind: Column, core: Column, attempt: Column) -> Column:
     number = F.when(_check_sum(digits) % 10 == 0, checked).otherwise(new)
     card = F.array_join(F.transform(F.split(core, ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(number, F.length(F.regexp_replace(F.substring(core, F.lit(1), i + 1), "[^0-9]", "")), F.lit(1))).otherwise(c)), "")
 
-    given, family = F.substring_index(core, " ", 1), F.substring_index(core, " ", -1)
     two = F.instr(core, " ") > 0
-    again = F.when(attempt > 0, attempt.cast("string")).otherwise("")
 
     def named(script):
-        first = _digest(key, F.lit("given"), kind, given, again)
-        pick = lambda g: F.element_at(F.array(*map(F.lit, GIVEN[g, script])), _byte(first, F.lit(0)) % 16 + 1)
-        last = _digest(key, F.lit("family"), family, again)
-        parts = [F.element_at(F.array(*map(F.lit, SYLLABLES[script])), _byte(last, F.lit(i)) % 16 + 1) for i in range(4)]
+        pick = lambda g: F.element_at(F.array(*map(F.lit, GIVEN[g, script])), _byte(F.col("_given"), F.lit(0)) % 16 + 1)
+        parts = [F.element_at(F.array(*map(F.lit, SYLLABLES[script])), _byte(F.col("_family"), F.lit(i)) % 16 + 1) for i in range(4)]
         return F.concat(F.when(two, F.concat(F.when(kind == "name_f", pick("f")).otherwise(pick("m")), F.lit(" "))).otherwise(""), F.initcap(F.concat(*parts)))
 
     name = F.when(core.rlike(r"\p{IsCyrillic}"), named("cyrillic")).otherwise(named("latin"))
@@ -142,8 +148,9 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     width = entities.sparkSession.sparkContext.defaultParallelism * 4
     real = entities.select(F.col("kind").alias("_k"), F.col("core").alias("_c"))
     while True:
-        # few bytes but costly expressions: dealt out by number, as sizes would put them into one task
-        drawn = open_.repartition(width, "kind", "core").select("kind", "core", surrogate(key, F.col("kind"), F.col("core"), F.lit(attempt)).alias("surrogate"))
+        # digests once, before the exchange; few bytes but costly expressions, so dealt out by number and not by size
+        drawn = open_.withColumns(draws(key, F.col("kind"), F.col("core"), attempt)).repartition(width, "kind", "core")
+        drawn = drawn.select("kind", "core", surrogate(F.col("kind"), F.col("core")).alias("surrogate"))
         taken = real if done is None else real.union(done.select("kind", "surrogate"))
         free = drawn.join(taken.distinct(), (drawn["kind"] == F.col("_k")) & (drawn["surrogate"] == F.col("_c")), "left_anti")
         first = free.groupBy("kind", "surrogate").agg(F.min("core").alias("core")).select("kind", "core", "surrogate")

@@ -22,7 +22,7 @@ def luhn(s):
 def test_surrogates(spark):
     rows = [(i, t, len(t or ""), "x") for i, t in enumerate(TEXTS)] + [(0, TEXTS[0], len(TEXTS[0]), "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, kind string")
-    got = pii.anonymise(df, count_col="n_entities")
+    got = pii.anonymise(df, count_col="n_entities").persist()
     assert got.columns == [*df.columns, "n_entities"]
     out = {r.doc_id: r for r in got.collect()}
     assert got.count() == len(rows)
