@@ -5,7 +5,9 @@
    Y = A'A * Omega for a random Omega; the small factorisation of (Omega, Y) on the driver gives the leading right
    singular vectors. The benchmark's own passages are rows of A too, weighted to carry as much as the corpus.
 3. Each document is searched whole: windows of three sizes whose TF-IDF mass lies in benchmark terms are folded into
-   the latent space and compared with the items by cosine; candidates must also hold a share of the item's mass.
+   the latent space and compared with the items by cosine; half of a candidate's mass must be words of the item.
+   Items of fewer than ``SHORT`` words may fill too little of any window. They are looked up too by their heaviest terms:
+   a place that holds the share of the item's mass holds one of them, so each such place is a candidate.
 4. Around each candidate the longest common subsequence with the item must reach ``lcs`` of the item's words, and the
    item's answer (its last sentence, or what follows its question) must be there too, so paraphrases and edits are caught
    while chance likeness is not.
@@ -35,6 +37,7 @@ BLOCK_ITEMS, BLOCK_CHARS = 500, 200_000
 BUCKET_BITS = 16
 PASSAGE = 32
 SIZES = (12, 24, 48)
+SHORT = 14  # words from which an item holds a whole window of the smallest size, wherever it stands
 RANK, EXTRA = 48, 8
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -108,6 +111,7 @@ class Query:
     vectors: np.ndarray  # (items, terms) TF-IDF, unit length
     basis: np.ndarray | None = None  # (terms, rank)
     latent: np.ndarray | None = None  # (items, rank), unit length
+    short: list[tuple[int, np.ndarray, np.ndarray]] | None = None  # item, its terms (heaviest first), their shares of its mass
 
 
 def _hash_text(text: str) -> list[int]:
@@ -137,6 +141,17 @@ def query_of(rows: list[tuple[int, str]], idf: np.ndarray) -> Query:
     return Query(idf, terms, weight.astype(np.float32), [i for i, _ in rows], items, [set(_hash_text(answer_of(t))) for _, t in rows], vectors)
 
 
+def _short_items(q: Query) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    out = []
+    for k, x in enumerate(q.items):
+        if len(x) < SHORT:
+            term = np.searchsorted(q.terms, np.unique(np.array(x, U64)))
+            mass = q.weight[term].astype(np.float64) ** 2
+            order = np.argsort(-mass, kind="stable")
+            out.append((k, term[order], mass[order] / mass.sum()))
+    return out
+
+
 def _known(q: Query, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.minimum(np.searchsorted(q.terms, words), len(q.terms) - 1)
     return q.terms[at] == words, at
@@ -239,6 +254,39 @@ def _search(q: Query, words: np.ndarray, lo: int, hi: int, has, at, mass, gate:
         yield from zip(item[good].tolist(), a[row[good]].tolist(), strict=True)
 
 
+def _look_up(q: Query, words: np.ndarray, first: np.ndarray, has, at, share: float):
+    """Candidates (item, row, first and end word) of the short items: places with ``share`` of the item's mass."""
+    if not q.short:
+        return
+    anchors = []
+    for _, term, mass in q.short:  # without these terms less than the share is left
+        rest = 1 - np.cumsum(mass)
+        anchors.append(term[: int(np.argmax(rest < share - 1e-9)) + 1])
+    wanted = np.zeros(len(q.terms), bool)
+    wanted[np.concatenate(anchors)] = True
+    pos = np.flatnonzero(has)
+    pos = pos[wanted[at[pos]]]
+    pos = pos[np.argsort(at[pos], kind="stable")]
+    held = at[pos]
+    term_at = np.where(has, at, -1)
+    for (item, term, mass), anchor in zip(q.short, anchors, strict=True):
+        lo, hi = np.searchsorted(held, anchor), np.searchsorted(held, anchor, side="right")
+        if not (hi - lo).sum():
+            continue
+        places = np.sort(np.concatenate([pos[a:b] for a, b in zip(lo, hi, strict=True)]))
+        m = len(q.items[item])
+        reach = m + m // 4
+        for part in range(0, len(places), 20_000):
+            p = places[part : part + 20_000]
+            row = np.searchsorted(first, p, side="right") - 1
+            a, z = np.maximum(first[row], p - reach + 1), np.minimum(first[row + 1], p + reach)
+            span = a[:, None] + np.arange(2 * reach - 1)
+            near = np.where(span < z[:, None], term_at[np.minimum(span, len(words) - 1)], -1)
+            mine = sum(w * (near == t).any(axis=1) for t, w in zip(term, mass, strict=True))
+            good = np.flatnonzero(mine >= share - 1e-9)
+            yield from zip([item] * len(good), row[good].tolist(), a[good].tolist(), z[good].tolist(), strict=True)
+
+
 def find(docs: DataFrame, benchmark: DataFrame, lcs_share: float = 0.6, gate: float = 0.6, cosine: float = 0.5, share: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, item_id, lcs (share of the item's words), start (word) of the best match: one row a leaking pair."""
     src = prepared(docs, id_col, text_col)
@@ -255,6 +303,7 @@ def find(docs: DataFrame, benchmark: DataFrame, lcs_share: float = 0.6, gate: fl
         q.basis = singular_vectors(src, q)
         latent = q.vectors @ q.basis
         q.latent = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+        q.short = _short_items(q)
         out = out.union(_matches(src, spark.sparkContext.broadcast(q), schema, lcs_share, gate, cosine, share))
     return out.groupBy("doc_id", "item_id").agg(F.max(F.struct("lcs", (-F.col("start")).alias("s"))).alias("m")).select("doc_id", "item_id", "m.lcs", (-F.col("m.s")).alias("start"))
 
@@ -283,6 +332,18 @@ def _matches(src: DataFrame, sent, schema: str, lcs_share: float, gate: float, c
                 square = q.idf[_bucket(words)] ** 2
                 mass = [np.concatenate([[0], np.cumsum(np.where(has, square, 0))]), np.concatenate([[0], np.cumsum(square)])]
                 seen = set()
+
+                def look(row, item, a, z, lo=lo, words=words, first=first, best=best):
+                    region = words[a:z].tolist()
+                    got = lcs(q.items[item], region) / len(q.items[item])
+                    if got >= lcs_share:
+                        answer = q.answers[item]
+                        if not answer or 2 * len(answer & set(region)) >= len(answer):
+                            key = (lo + row, item)
+                            best[key] = max(best.get(key, (0.0, 0)), (got, -int(a - first[row])))
+
+                for item, row, a, z in _look_up(q, words, first, has, at, share):
+                    look(row, item, a, z)
                 for size in SIZES:
                     n = np.diff(first)
                     step = size // 4
@@ -300,13 +361,7 @@ def _matches(src: DataFrame, sent, schema: str, lcs_share: float, gate: float, c
                         if where in seen:
                             continue
                         seen.add(where)
-                        region = words[a:z].tolist()
-                        got = lcs(q.items[item], region) / m
-                        if got >= lcs_share:
-                            answer = q.answers[item]
-                            if not answer or 2 * len(answer & set(region)) >= len(answer):
-                                key = (lo + row, item)
-                                best[key] = max(best.get(key, (0.0, 0)), (got, -int(a - first[row])))
+                        look(row, item, a, z)
             ids = b.column("_id").to_pylist()
             rows = [(ids[row], q.ids[item], got, -start) for (row, item), (got, start) in best.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int64()))], names=["doc_id", "item_id", "lcs", "start"])

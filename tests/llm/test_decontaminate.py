@@ -68,6 +68,18 @@ def test_finds_copies_and_paraphrases(spark):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i, _ in docs} - {i for i, _ in want} | {1000, 1001, None}
 
 
+def test_short_items_inside_longer_texts(spark):
+    """Exact copies of items of 3 to 13 words, common words among them, between other words of a document."""
+    r = random.Random(8)
+    vocab = ["the", "of", "and", "in"] * 60 + ["".join(r.choices("aeioustnr", k=r.randint(3, 8))) for _ in range(2500)]
+    text = lambda n: " ".join(r.choices(vocab, k=n))
+    items = [(10 * n + i, text(n)) for n in range(3, 14) for i in range(10)]
+    docs = [(k, f"{text(60)} {t} {text(60)}") for k, t in items]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id): x.lcs for x in d.find(df, bench).collect()}
+    assert [k for k, _ in items if got.get((k, k)) != 1.0] == []
+
+
 def test_blocks_and_empty(spark, monkeypatch):
     docs, items, want = corpus(6)
     df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
