@@ -3,7 +3,9 @@
 Markup is stripped into lines (one for each block element). Lines of menus, headers, footers, sidebars, notices,
 adverts, forms and comments, and lines that are mostly link text, weigh nothing; the others weigh their length. Sums
 over sliding windows of lines then show where text surges and where it dives; the lines between are the main text.
-Where the page marks an article (or main) only its lines have weight, so any text there is a surge.
+The level of a surge is absolute, one character: a page's longest line doesn't judge its other lines. So all lines with
+weight from the first surge to the last dive stay, short ones too, and what goes is decided by the weights alone.
+Where the page marks an article (or main) only its lines have weight.
 
 Defined cases: null html is empty; a page without text gives ``""``; a body, main or article
 ends an unclosed header or menu before it, and any other boilerplate element that never ends is read as text;
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from .storage import bounded_batches
 
 WINDOW = 3  # lines in a window
-SURGE = 0.1  # share of the largest window sum at which text surges, without a marked article
+SURGE = 1  # characters of a window at which text surges
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -132,15 +134,11 @@ def main_text(source: str | None) -> str:
     marked = any(x[2] for x in found)
     weights = [w if inside or not marked else 0 for _, w, inside in found]
     sums = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
-    level = 1 if marked else max(1, SURGE * max(sums, default=0))
-    kept: list[str] = []
-    until = 0  # lines before it are between a surge and the next dive
-    for i, (line, _, _) in enumerate(found):
-        if sums[i] >= level:
-            until = max(until, i + WINDOW)
-        if i < until and weights[i]:
-            kept.append(line)
-    return "\n\n".join(kept)
+    surges = [i for i, x in enumerate(sums) if x >= SURGE]
+    if not surges:
+        return ""
+    start, dive = surges[0], surges[-1] + WINDOW
+    return "\n\n".join(line for (line, _, _), w in zip(found[start:dive], weights[start:dive], strict=True) if w)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -18,6 +18,14 @@ def test_without_article():
     assert main_text(page).split("\n\n") == ([f"Paragraph {i} with a good deal of running text that goes on and on." for i in range(6)] + ["Short."] + [f"Paragraph {i} with a good deal of running text that goes on and on." for i in range(6)])
 
 
+def test_long_block_keeps_short_ones():
+    """Without a marked article, a very long paragraph takes none of the short ones with it, before or after."""
+    for sizes in ([5000, 80, 80, 80, 80, 80], [7, 9, 80, 4, 80, 80, 300_000, 80, 3, 80, 80, 2]):
+        body = [chr(97 + i) * n for i, n in enumerate(sizes)]
+        page = "<nav><a href=x>menu</a></nav><div>" + "".join(f"<p>{x}</p><div class='ad'>Buy</div>" for x in body) + "<div><a href=y>next page</a></div></div>"
+        assert main_text(page).split("\n\n") == body
+
+
 def test_edges():
     assert main_text(None) == main_text("") == main_text("<p> \n </p>") == ""
     assert main_text("just text") == "just text"
