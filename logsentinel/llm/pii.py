@@ -8,7 +8,10 @@ honorific) and script, mails of one domain keep a common domain.
 
 Collision checks: a draw that two entities share goes to one of them; a draw that is itself an entity of the corpus goes
 to none. The others draw again until none is left, so distinct entities stay distinct, and equal ones equal, in every
-document. The map is joined to the documents by entity, never collected, and only texts with entities are shuffled.
+document. No space of surrogates is empty or stays full: letters of other alphabets, and all of a secret without letters
+and digits, are drawn from a known alphabet; names gain a syllable with each attempt, and after some failed attempts
+secrets, keys, mails and numbers gain a character with each. Cards and IP addresses keep their length: 1e11 and 4e9 of a kind.
+The map is joined to the documents by entity, never collected, and only texts with entities are shuffled.
 
 Defined cases: null and empty texts and texts without entities are unchanged; all rows and columns are kept (n_chars
 follows the text where there is such a column); equal rows change alike; entities never cross documents.
@@ -56,6 +59,9 @@ GIVEN = {
 SYLLABLES = {"latin": "ba ben dor fel gar hol kan lin mar nor pel ram sol tur vel wen".split(), "cyrillic": "ба бен дор фел гар хол кан лин мар нор пел рам сол тур вел вен".split()}
 
 _ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâäèéêëìíîïòóôöùúûüñç", "ÀÁÂÄÈÉÊËÌÍÎÏÒÓÔÖÙÚÛÜÑÇ", "абвгдежзиклмнопрстуфхцчшщэюя", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЩЭЮЯ")
+_DIGITS, _SMALL, _CAPITAL = _ALPHABETS[:3]
+#: Failed attempts after which a surrogate gets longer than its entity: of letters, and of digits only.
+LONGER, LONGER_NUMBER = 4, 16
 
 
 def kind_of(entity: Column) -> Column:
@@ -84,20 +90,30 @@ def _byte(digest: Column, i: Column) -> Column:
     return F.conv(F.substring(digest, (i % 128) * 2 + 1, F.lit(2)), 16, 10).cast("int")
 
 
+def _pick(letters: str, digest: Column, i: Column) -> Column:
+    return F.substring(F.lit(letters), _byte(digest, i) % len(letters) + 1, F.lit(1))
+
+
 def _redraw(text: Column, digest: Column) -> Column:
-    """Each digit or letter by another of its own alphabet; all else as it is."""
+    """Each digit or letter by another of its own alphabet, or of a Latin one if its own is not known; all else as it
+    is, unless there is nothing but that."""
     hex_ = text.rlike("^[0-9a-f]+$") & text.rlike("[a-f]")
+    bare = ~text.rlike(r"[\p{L}\p{N}]")
 
     def char(c, i):
-        out = c
+        out = F.when(c.rlike(r"\p{Lu}"), _pick(_CAPITAL, digest, i)).when(bare | c.rlike(r"[\p{L}\p{M}\p{N}]"), _pick(_SMALL, digest, i)).otherwise(c)
         for letters in reversed(_ALPHABETS):
-            n = len(letters)
-            out = F.when(F.lit(letters).contains(c), F.substring(F.lit(letters), _byte(digest, i) % n + 1, F.lit(1))).otherwise(out)
-        return F.when(hex_, F.substring(F.lit("0123456789abcdef"), _byte(digest, i) % 16 + 1, F.lit(1))).otherwise(out)
+            out = F.when(F.lit(letters).contains(c), _pick(letters, digest, i)).otherwise(out)
+        return F.when(hex_, _pick("0123456789abcdef", digest, i)).otherwise(out)
 
     return F.array_join(F.transform(F.split(text, ""), char), "")
 
 
+def _more(letters: str, digest: Column, n: int) -> Column:
+    """n letters, from the end of the digest."""
+    return F.concat(F.lit(""), *(_pick(letters, digest, F.lit(127 - i % 128)) for i in range(n)))
+
+
 def _check_sum(digits: Column) -> Column:
     """Luhn sum, the last digit counting once."""
     each = F.transform(F.reverse(F.split(digits, "")), lambda c, i: F.when(i % 2 == 0, c.cast("int")).otherwise(c.cast("int") * 2 - F.when(c.cast("int") > 4, 9).otherwise(0)))
@@ -113,14 +129,15 @@ def draws(key: str, kind: Column, core: Column, attempt: int) -> dict[str, Colum
     }
 
 
-def surrogate(kind: Column, core: Column) -> Column:
+def surrogate(kind: Column, core: Column, attempt: int = 0) -> Column:
     """Of an entity whose draws are columns beside it."""
     draw = F.col("_draw")
     plain = _redraw(core, draw)
+    letters, longer = _more(_SMALL, draw, max(0, attempt - LONGER + 1)), _more(_DIGITS, draw, max(0, attempt - LONGER_NUMBER + 1))
 
     domain = F.substring_index(core, "@", -1)
     host = F.regexp_extract(domain, r"^(.*)\.[^.]*$", 1)
-    mail = F.concat(_redraw(F.substring_index(core, "@", 1), draw), F.lit("@"), _redraw(host, F.col("_domain")), F.lit("."), F.substring_index(domain, ".", -1))
+    mail = F.concat(_redraw(F.substring_index(core, "@", 1), draw), letters, F.lit("@"), _redraw(host, F.col("_domain")), F.lit("."), F.substring_index(domain, ".", -1))
 
     ip = F.array_join(F.transform(F.split(core, r"\."), lambda c, i: (_byte(draw, i) % 254 + 1).cast("string")), ".")
 
@@ -135,11 +152,11 @@ def surrogate(kind: Column, core: Column) -> Column:
 
     def named(script):
         pick = lambda g: F.element_at(F.array(*map(F.lit, GIVEN[g, script])), _byte(F.col("_given"), F.lit(0)) % 16 + 1)
-        parts = [F.element_at(F.array(*map(F.lit, SYLLABLES[script])), _byte(F.col("_family"), F.lit(i)) % 16 + 1) for i in range(4)]
+        parts = [F.element_at(F.array(*map(F.lit, SYLLABLES[script])), _byte(F.col("_family"), F.lit(i)) % 16 + 1) for i in range(4 + attempt)]
         return F.concat(F.when(two, F.concat(F.when(kind == "name_f", pick("f")).otherwise(pick("m")), F.lit(" "))).otherwise(""), F.initcap(F.concat(*parts)))
 
     name = F.when(core.rlike(r"\p{IsCyrillic}"), named("cyrillic")).otherwise(named("latin"))
-    return F.when(kind == "mail", mail).when(kind == "ip", ip).when(kind == "card", card).when(kind.startswith("name"), name).otherwise(plain)
+    return F.when(kind == "mail", mail).when(kind == "ip", ip).when(kind == "card", card).when(kind.startswith("name"), name).when(kind.isin("secret", "key"), F.concat(plain, letters)).otherwise(F.concat(plain, longer))
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
@@ -150,7 +167,7 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     while True:
         # digests once, before the exchange; few bytes but costly expressions, so dealt out by number and not by size
         drawn = open_.withColumns(draws(key, F.col("kind"), F.col("core"), attempt)).repartition(width, "kind", "core")
-        drawn = drawn.select("kind", "core", surrogate(F.col("kind"), F.col("core")).alias("surrogate"))
+        drawn = drawn.select("kind", "core", surrogate(F.col("kind"), F.col("core"), attempt).alias("surrogate"))
         taken = real if done is None else real.union(done.select("kind", "surrogate"))
         free = drawn.join(taken.distinct(), (drawn["kind"] == F.col("_k")) & (drawn["surrogate"] == F.col("_c")), "left_anti")
         first = free.groupBy("kind", "surrogate").agg(F.min("core").alias("core")).select("kind", "core", "surrogate")

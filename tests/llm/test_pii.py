@@ -50,3 +50,22 @@ def test_collisions_are_redrawn(spark):
     got = pii.surrogates(cores, "k").collect()
     assert len(got) == 400 == len({r.surrogate for r in got})
     assert not {r.surrogate for r in got} & {r.core for r in got}
+
+
+def test_masked_and_foreign_secrets(spark):
+    """Secrets without a known letter have surrogates too, and spaces of surrogates that are full grow."""
+    kept = ["********", "κωδικός-μου", "密码密码密码密码", "-----------------"]
+    texts = ["login password: ******** now", "pwd=κωδικός-μου, ok", "token=密码密码密码密码", "key sk------------------ end"] + [f"secret: *****{i}" for i in range(10)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r.text for r in pii.anonymise(df).collect()}
+    assert len(set(out.values())) == len(texts) and not set(out.values()) & set(texts)
+    assert not any(k in t for k in kept for t in out.values()) and not re.search("[α-ωά-ώ密码]", "".join(out.values()))
+    assert re.fullmatch(r"login password: [a-z]{8} now", out[0]) and re.fullmatch(r"key sk-[a-z]{17} end", out[3])
+
+
+def test_more_names_than_short_surrogates(spark, monkeypatch):
+    """600 one-word names where four syllables make 16 surrogates only."""
+    monkeypatch.setattr(pii, "SYLLABLES", {k: v[:2] * 8 for k, v in pii.SYLLABLES.items()})
+    cores = spark.range(600).select(F.lit("name_m").alias("kind"), F.concat(F.lit("N"), F.col("id").cast("string")).alias("core"))
+    got = pii.surrogates(cores, "k").collect()
+    assert len(got) == 600 == len({r.surrogate for r in got})
