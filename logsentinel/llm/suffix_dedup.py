@@ -1,4 +1,4 @@
-"""Suffix-array deduplication by distributed prefix doubling over sparse positions.
+"""Deduplication of repeated strings by fingerprint ranks at growing lengths, over sparse positions.
 
 Every byte covered by a ``length``-byte string that also starts anywhere else in the corpus is removed.
 
@@ -6,9 +6,9 @@ A full suffix array ranks each byte position again and again at doubled lengths.
 that can still matter, at growing lengths (32, 384, then the 400 of the threshold):
 
 * At each length the windows left are cut into runs by their smallest rank of that length (see ``repeats``), one
-  (rank, content) pair a run. The name of a rank is a 64-bit fingerprint: that of a longer string is the pair of
-  the ranks at its start and at its offset, so equal strings have equal names everywhere and no global
-  renumbering is needed. Spark aggregates the pairs by rank with partial sums.
+  (rank, content) pair a run. The name of a rank is a 64-bit fingerprint of the string's own bytes, so equal strings
+  have equal names everywhere and no global renumbering is needed. It is not prefix doubling: each length is hashed
+  afresh, no name is a pair of shorter ranks. Spark aggregates the pairs by rank with partial sums.
 * A rank that one run has is unique: its windows leave, as do all longer strings there. A rank whose runs all have
   the same content repeats as a whole: its windows are settled. Only ranks with different contents are ranked
   again at the next length, and at the threshold itself every window left is a position of its own.
