@@ -33,8 +33,8 @@ def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes."""
-    return mixing.mix(docs)
+    """The mixed corpus: each document's text as often and as far as the mix takes it."""
+    return mixing.mixed(docs)
 
 
 STAGES = [

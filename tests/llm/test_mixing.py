@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from logsentinel.llm.mixing import mix
+from logsentinel.llm.mixing import mix, mixed
 
 
 def waterfill(sizes, weights, budget):
@@ -41,3 +41,45 @@ def test_targets_and_takes(spark):
 
 def test_empty(spark):
     assert mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_the_global_order_decides(spark):
+    """Sources are never cut at their own targets: without the budget every document is taken twice."""
+    rows = [(i, "w " * (1 + i % 97), f"s{i % 3}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mix(df).collect()
+    total = sum(len(t.split()) for _, t, _ in rows)
+    assert sum(x.taken for x in got) == sum(int(t) for t in {x.source: x.target for x in got}.values()) <= 1.5 * total
+    for s in ("s0", "s1", "s2"):
+        mine = sorted((x for x in got if x.source == s), key=lambda x: x.virtual_finish)
+        full = [x for x in mine if x.virtual_finish <= 1]
+        assert all(x.taken >= x.size for x in full) and all(x.taken < x.size for x in mine if x.virtual_finish > 1.001)
+
+
+def test_packets_are_whole_documents_when_small(spark, monkeypatch):
+    """With few packets a source may miss its target by less than one, and the total is still the budget."""
+    from logsentinel.llm import mixing
+
+    monkeypatch.setattr(mixing, "PACKETS", 50)
+    rows = [(i, "w " * (i % 41), f"s{i % 4}") for i in range(200)] + [(999, "v " * 3000, "s1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mix(df).collect()
+    goal = {x.source: x.target for x in got}
+    budget = sum(int(t) for t in goal.values())
+    assert sum(x.taken for x in got) == budget
+    for s, t in goal.items():
+        assert abs(sum(x.taken for x in got if x.source == s) - t) <= -(-budget // 50) + 1
+
+
+def test_mixed_texts(spark):
+    rows = [(1, "a b\tc", "x", 5, "old"), (2, "d  e", "x", 4, "old"), (3, None, "y", None, "old"), (4, "f " * 40, "y", 80, "old"), (4, "f " * 40, "y", 80, "old"), (None, "g h i j", None, 7, "old")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, taken string")
+    got = mixed(df).collect()
+    assert mixed(df).columns == ["doc_id", "text", "source", "n_chars", "size", "source_size", "target", "taken", "virtual_finish"] and len(got) == 6
+    plain = {(r.doc_id, r.taken) for r in mix(df).collect()}
+    assert {(r.doc_id, r.taken) for r in got} == plain
+    for r in got:
+        words = (next(t for d, t, *_ in rows if d == r.doc_id) or "").split()
+        assert len((r.text or "").split()) == r.taken and (r.text or "").split() == (words + words)[: r.taken]
+        assert r.text is None or r.n_chars == len(r.text)
+    assert mixed(df.limit(0)).count() == 0
