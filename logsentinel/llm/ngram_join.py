@@ -1,21 +1,23 @@
-"""N-gram Jaccard self-join with multiple global token orders.
+"""N-gram Jaccard self-join by prefix filters under multiple global token orders.
 
 A document's set is its distinct word shingles. Two documents link when 100 * intersection >= threshold * union.
 
 * Equal sets form a class first (by size and two 64-bit sums of token hashes); the rest works on one of each class.
-* Filter. Under a global order of all tokens (a hash of the token) similar sets tend to have the same first token.
-  ``ORDERS`` orders are intersected: a candidate shares its prefix token under all of them at once. ``TRIALS``
-  such filters with orders of their own are united, so a pair at the threshold of 0.9 passes none of them with
-  probability (1 - 0.9**3)**20 < 5e-12, and sets that merely share a passage rarely pass one. A longer prefix under
-  a single order would be certain, but then every pair that shares a common passage of a tenth of its words passes.
-* Candidates of one filter value are not paired: each is joined to the smallest of them, and the components of that
-  graph are the clusters in which links can be.
-* Verification. The sets of a cluster are dealt in blocks of bounded size to one task for each two blocks, which counts
+* Filter. Under any global order of all tokens, two sets x and y that link share a token among the first
+  |x| - ceil(threshold% of |x|) + 1 of x and those of y. That is certain, no pair is missed. The first of ``ORDERS`` orders puts
+  rare tokens first (by the number of tokens in the 65536 hash buckets of the corpus, then by hash), so that passages which many
+  documents share come last; the others are hashes of the token. A candidate must share prefix tokens under all of them:
+  sets are parted by the first order, each part by the second, each of those by the third.
+* The sets that share a token are not paired: each is joined to the smallest of them, and the components of that
+  graph, within the part that the orders before have left, are the next parts. A pair that shares a token under
+  every order is never parted.
+* Verification. The sets of a part are dealt in blocks of bounded size to one task for each two blocks, which counts
   all their intersections exactly through an inverted index of the block. A task returns a spanning forest of
   its links and the number of links of each set, never the pairs.
 
 Defined cases: null or wordless text has an empty set and links to nothing; fewer words than a shingle are one token;
-rows that repeat a doc_id are one node; a null doc_id is the smallest; component_id is the smallest doc_id reachable.
+rows that repeat a doc_id are one node, whatever their texts; null doc_ids are one node, the smallest; component_id is the
+smallest doc_id reachable.
 """
 
 from __future__ import annotations
@@ -29,14 +31,15 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .repeats import Lookup, find, prepared
-from .storage import staged
+from .storage import free_name, staged
 from .tokens import U64, Rolling, mix, signed, slices, word_bounds, word_hashes
 
-ORDERS, TRIALS = 3, 20
+ORDERS = 3
+BUCKET_BITS = 16  # of the counts behind the first order: 65536 numbers, whatever the corpus
 BLOCK_TOKENS = 64_000
 NULL_ID = -(1 << 63)
 
-_SEED = mix(np.arange(1, ORDERS * TRIALS + 1, dtype=U64)) | U64(1)
+_SEED = mix(np.arange(1, ORDERS + 1, dtype=U64))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -55,24 +58,39 @@ def _sets(col: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndar
         yield lo, hi, Rolling(words).ranges(at, to), begin
 
 
-def _profile(tokens: np.ndarray, begin: np.ndarray):
-    """For each row: number of distinct tokens, two sums of them, and its filter values (TRIALS of them, flat)."""
-    n = len(begin) - 1
-    size, sums = np.zeros(n, np.int64), np.zeros((2, n), U64)
-    for i in np.flatnonzero(np.diff(begin)):
-        t = np.unique(tokens[begin[i] : begin[i + 1]])
-        size[i] = len(t)
-        sums[0, i], sums[1, i] = t.sum(dtype=U64), mix(t).sum(dtype=U64)
-    full = np.flatnonzero(size)
-    keys = np.zeros((n, TRIALS), U64)
-    for k in range(TRIALS):
-        for j in range(ORDERS):
-            rank = tokens * _SEED[k * ORDERS + j]
-            rank ^= rank >> U64(31)
-            rank *= U64(0x9E3779B97F4A7C15)
-            if len(full):
-                keys[full, k] = mix(keys[full, k] + np.minimum.reduceat(rank, begin[full]) + U64(k + 1))
-    return size, sums, keys
+def _bucket(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> U64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def bucket_ranks(src: DataFrame, n: int) -> np.ndarray:
+    """The place of each hash bucket when buckets are ordered by the tokens of the corpus in them."""
+    buckets = 1 << BUCKET_BITS
+
+    def count(batches):
+        total = np.zeros(buckets, np.int64)
+        for b in batches:
+            for _, _, tokens, _ in _sets(b.column("_text"), n):
+                total += np.bincount(_bucket(tokens), minlength=buckets)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
+
+    got = src.select("_text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(buckets, np.int64)
+    total[got.column("bucket").to_numpy()] = got.column("n").to_numpy()
+    ranks = np.empty(buckets, U64)
+    ranks[np.argsort(total, kind="stable")] = np.arange(buckets, dtype=U64)
+    return ranks
+
+
+def _prefixes(t: np.ndarray, ranks: np.ndarray, threshold: int) -> list[np.ndarray]:
+    """The tokens of a set's prefix under each order (and those that tie with its last)."""
+    size = len(t) - (threshold * len(t) + 99) // 100 + 1
+    mixed = mix(t)
+    out = []
+    for k in range(ORDERS):
+        place = (ranks[_bucket(t)] << U64(64 - BUCKET_BITS)) | (mixed >> U64(BUCKET_BITS)) if k == 0 else mix(mixed ^ _SEED[k])
+        out.append(t[place <= np.partition(place, size - 1)[size - 1]])
+    return out
 
 
 def _links(doc: np.ndarray, weight: np.ndarray, size: np.ndarray, tokens: np.ndarray, half: np.ndarray, cross: bool, threshold: int):
@@ -113,46 +131,71 @@ def _links(doc: np.ndarray, weight: np.ndarray, size: np.ndarray, tokens: np.nda
     return forest, links
 
 
+def _parted(held: DataFrame, tokens: str) -> DataFrame:
+    """held: node, part, and an array of tokens for each order. Joins the nodes of a part that share one of ``tokens``;
+    part is then the smallest node that can be reached; nodes that share none leave."""
+    values = held.select("node", "part", F.explode(tokens).alias("token"))
+    first = values.groupBy("part", "token").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("part", "token", "least")
+    near = values.join(first, ["part", "token"]).where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+    roots = components(near).select(F.col("node").alias("_node"), "root")
+    rest = [c for c in held.columns if c not in ("node", "part", tokens)]
+    return staged(held.join(roots, held["node"] == roots["_node"]).select("node", F.col("root").alias("part"), *rest), "parts")
+
+
 def join(docs: DataFrame, n: int = 3, threshold: int = 90, broadcast_rows: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, n_links (documents linked directly) for every row of docs."""
-    src = prepared(docs, id_col, text_col)
+    src = prepared(docs, id_col, text_col).withColumn("_key", F.xxhash64("_id", "_text"))
+    sent = docs.sparkSession.sparkContext.broadcast(bucket_ranks(src, n))
+    orders = [f"p{k}" for k in range(ORDERS)]
 
     def profile(batches):
+        ranks = sent.value
         for b in batches:
             for lo, hi, tokens, begin in _sets(b.column("_text"), n):
-                size, sums, keys = _profile(tokens, begin)
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, TRIALS, dtype=np.int32)), signed(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([b.column("_id").slice(lo, hi - lo).fill_null(NULL_ID), pa.array(size), signed(sums[0]), signed(sums[1]), flat], names=["doc", "size", "s1", "s2", "keys"])
+                rows = len(begin) - 1
+                size, sums = np.zeros(rows, np.int64), np.zeros((2, rows), U64)
+                prefixes, ends = [[] for _ in orders], np.zeros((ORDERS, rows + 1), np.int32)
+                for i in np.flatnonzero(np.diff(begin)):
+                    t = np.unique(tokens[begin[i] : begin[i + 1]])
+                    size[i] = len(t)
+                    sums[0, i], sums[1, i] = t.sum(dtype=U64), mix(t).sum(dtype=U64)
+                    for k, p in enumerate(_prefixes(t, ranks, threshold)):
+                        prefixes[k].append(p)
+                        ends[k, i + 1] = len(p)
+                flat = [pa.ListArray.from_arrays(pa.array(np.cumsum(ends[k], dtype=np.int32)), signed(np.concatenate([np.zeros(0, U64), *prefixes[k]]))) for k in range(ORDERS)]
+                yield pa.RecordBatch.from_arrays([b.column("_id").slice(lo, hi - lo).fill_null(NULL_ID), b.column("_key").slice(lo, hi - lo), pa.array(size), signed(sums[0]), signed(sums[1]), *flat], names=["doc", "key", "size", "s1", "s2", *orders])
 
-    rows = staged(src.mapInArrow(profile, "doc long, size long, s1 long, s2 long, keys array<long>"), "profiles")
+    rows = staged(src.mapInArrow(profile, "doc long, key long, size long, s1 long, s2 long, " + ", ".join(f"{p} array<long>" for p in orders)), "profiles")
     same = ["size", "s1", "s2"]
-    classes = staged(rows.where("size > 0").groupBy(*same).agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("members")), "classes")
-    reps = rows.where("size > 0").join(classes, same).where("doc = rep").select("doc", "keys")
-    values = reps.select("doc", F.posexplode("keys").alias("trial", "key"))
-    first = values.groupBy("trial", "key").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("trial", "key", "least")
-    near = values.join(first, ["trial", "key"]).where("doc <> least").select(F.col("least").alias("a"), F.col("doc").alias("b"))
-    clusters = components(near)
-    member = clusters.join(classes, clusters["node"] == classes["rep"]).select("node", "root", "size", "members", "s1")
-    volume = member.groupBy("root").agg(F.sum("size").alias("volume")).withColumnRenamed("root", "_root")
-    member = member.join(volume, member["root"] == F.col("_root")).select(F.col("node").alias("key"), "root", F.ceil(F.col("volume") / BLOCK_TOKENS).cast("long").alias("blocks"), "members", "s1")
+    full = rows.where("size > 0")
+    classes = staged(full.groupBy(*same).agg(F.min(F.struct("doc", "key")).alias("rep"), F.count(F.lit(1)).alias("members")).select(*same, "rep.doc", "rep.key", "members"), "classes")
+    # of equal rows one is enough
+    held = full.join(classes.select(F.col("key").alias("_key")), F.col("key") == F.col("_key")).groupBy(F.col("key").alias("node")).agg(*(F.first(p).alias(p) for p in orders))
+    held = held.select("node", F.lit(0).cast("long").alias("part"), *orders)
+    for p in orders:
+        held = _parted(held, p)
+    member = held.join(classes, held["node"] == classes["key"]).select("node", "part", "size", "members")
+    volume = member.groupBy("part").agg(F.sum("size").alias("volume")).withColumnRenamed("part", "_part")
+    member = member.join(volume, member["part"] == F.col("_part")).select(F.col("node").alias("key"), F.col("part").alias("root"), F.ceil(F.col("volume") / BLOCK_TOKENS).cast("long").alias("blocks"), "members", "size")
     wanted = Lookup(member, "members", broadcast_rows)
+    work = wanted.table.agg(F.sum(F.col("size") * F.col("blocks")).alias("n")).first()["n"] or 0
+    width = max(docs.sparkSession.sparkContext.defaultParallelism, work // (4 * BLOCK_TOKENS))
 
     def fetch(b, table):
-        ids = b.column("_id").fill_null(NULL_ID).to_numpy()
-        for lo, hi, tokens, begin in _sets(b.column("_text"), n):
-            has, at = find(table["key"], ids[lo:hi].view(U64))
+        keys = b.column("_key").to_numpy()
+        has, at = find(table["key"], keys.view(U64))
+        for lo, hi, tokens, begin in _sets(b.column("_text").filter(pa.array(has)), n):
+            mine = np.flatnonzero(has)[lo:hi]
             out = {k: [] for k in ("root", "x", "y", "half", "doc", "weight", "size", "tokens")}
-            for i in np.flatnonzero(has & (np.diff(begin) > 0)):
+            for i in range(len(begin) - 1):
                 t = np.unique(tokens[begin[i] : begin[i + 1]])
-                k = at[i]
-                if int(t.sum(dtype=U64).view(np.int64)) != table["s1"][k]:
-                    continue  # another text under a repeated id
-                blocks, doc = int(table["blocks"][k]), int(ids[lo + i])
-                mine = int(mix(np.array([doc], np.int64).view(U64))[0] % U64(blocks))
+                k, key = at[mine[i]], int(keys[mine[i]])
+                blocks = int(table["blocks"][k])
+                block = int(mix(np.array([key], np.int64).view(U64))[0] % U64(blocks))
                 blob = t.tobytes()
                 for other in range(blocks):
-                    x, y = min(mine, other), max(mine, other)
-                    for c, v in zip(out, (int(table["root"][k]), x, y, int(mine == y), doc, int(table["members"][k]), len(t), blob), strict=True):
+                    x, y = min(block, other), max(block, other)
+                    for c, v in zip(out, (int(table["root"][k]), x, y, int(block == y), key, int(table["members"][k]), len(t), blob), strict=True):
                         out[c].append(v)
                     if len(out["root"]) >= 1000:
                         yield _batch(out)
@@ -163,12 +206,10 @@ def join(docs: DataFrame, n: int = 3, threshold: int = 90, broadcast_rows: int |
     def _batch(out):
         return pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if c == "tokens" else pa.int64()) for c, v in out.items()], names=list(out))
 
-    def ids_of(b, _entries, _step):
-        ids = b.column("_id").fill_null(NULL_ID).to_numpy()
-        return np.arange(len(ids)), ids.view(U64)
+    def keys_of(b, _entries, _step):
+        return np.arange(b.num_rows), b.column("_key").to_numpy().view(U64)
 
-    dealt = wanted.run(src, fetch, ids_of, "root long, x long, y long, half long, doc long, weight long, size long, tokens binary")
-    width = max(1, docs.sparkSession.sparkContext.defaultParallelism * 8)
+    dealt = wanted.run(src, fetch, keys_of, "root long, x long, y long, half long, doc long, weight long, size long, tokens binary")
     dealt = dealt.repartition(width, "root", "x", "y").sortWithinPartitions("root", "x", "y")
 
     def verify(batches):
@@ -189,6 +230,7 @@ def join(docs: DataFrame, n: int = 3, threshold: int = 90, broadcast_rows: int |
 
         for (_, x, y), parts in blocks():
             t = pa.Table.from_batches(parts)
+            t = t.take(np.unique(t.column("doc").to_numpy(), return_index=True)[1])  # of rows that repeat an id and a text one
             doc, weight, size, half = (t.column(c).to_numpy() for c in ("doc", "weight", "size", "half"))
             tokens = np.frombuffer(b"".join(t.column("tokens").to_pylist()), U64)
             forest, links = _links(doc, weight, size, tokens, half, x != y, threshold)
@@ -197,17 +239,27 @@ def join(docs: DataFrame, n: int = 3, threshold: int = 90, broadcast_rows: int |
             yield pa.RecordBatch.from_arrays([pa.array([*a, *doc[has]], pa.int64()), pa.array([*b, *doc[has]], pa.int64()), pa.array([0] * len(a) + links[has].tolist(), pa.int64())], names=["a", "b", "links"])
 
     found = staged(dealt.mapInArrow(verify, "a long, b long, links long"), "links")
-    roots = components(found.where("a <> b").select("a", "b"))
+    edges = found.where("a <> b").select("a", "b")
+    shared = full.groupBy("doc").agg(F.min(F.struct(*same)).alias("one"), F.max(F.struct(*same)).alias("other")).where("one <> other").select("doc")
+    if not shared.isEmpty():  # several texts under one id
+        by_text = full.join(shared, "doc").join(classes.select(*same, F.col("key").alias("node")), same).select("doc", "node")
+        edges = edges.union(by_text.join(by_text.groupBy("doc").agg(F.min("node").alias("a")), "doc").where("a <> node").select("a", F.col("node").alias("b")))
+    roots = components(edges)
     links = found.where("a = b").groupBy(F.col("a").alias("_doc")).agg(F.sum("links").alias("_links"))
-    info = classes.join(roots, classes["rep"] == roots["node"], "left").join(links, F.col("rep") == F.col("_doc"), "left")
-    info = info.select(*(F.col(c).alias(f"_{c}") for c in same), F.coalesce("root", "rep").alias("_root"), (F.coalesce("_links", F.lit(0)) + F.col("members") - 1).alias("_n"))
+    linked = classes.join(roots, classes["key"] == roots["node"]).select("key", "root", "doc")
+    least = linked.groupBy("root").agg(F.min("doc").alias("_root"))
+    linked = linked.join(least, "root").select(F.col("key").alias("_key"), "_root")
+    info = classes.join(linked, F.col("key") == F.col("_key"), "left").join(links, F.col("key") == F.col("_doc"), "left")
+    info = info.select(*(F.col(c).alias(f"_{c}") for c in same), F.coalesce("_root", "doc").alias("_root"), (F.coalesce("_links", F.lit(0)) + F.col("members") - 1).alias("_n"))
     every = rows.select("doc", *same)
     out = every.join(info, (every["size"] == info["_size"]) & (every["s1"] == info["_s1"]) & (every["s2"] == info["_s2"]), "left")
     real = lambda c: F.when(c != NULL_ID, c)
     return out.select(real(F.col("doc")).alias("doc_id"), F.col("size").alias("n_shingles"), real(F.coalesce("_root", "doc")).alias("component_id"), F.coalesce("_n", F.lit(0)).alias("n_links"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component; rows that repeat a doc_id stay or go together."""
-    found = join(docs).where("component_id is distinct from doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(staged(found, "copies"), docs["doc_id"] == F.col("_gone"), "left_anti")
+def keep_one(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFrame:
+    """The rows of docs whose doc_id is the smallest of its component; rows that repeat a doc_id stay or go together.
+    Near duplicates share 80 of 100 five-word shingles."""
+    found = join(docs, n, threshold).where("component_id is distinct from doc_id").select("doc_id").distinct()
+    gone = staged(found, "copies").withColumnRenamed("doc_id", free_name(docs, "gone"))
+    return docs.join(gone, docs["doc_id"] == gone[gone.columns[0]], "left_anti")

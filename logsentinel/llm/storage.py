@@ -33,6 +33,14 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_OWN[0]}"
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or with as many marks before it as it takes to be no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df there and read it again: lineage ends at files that outlive any executor."""
     spark = df.sparkSession

@@ -10,13 +10,13 @@ from logsentinel.llm.ngram_join import join, keep_one
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def shingles(text):
+def shingles(text, n=3):
     w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    return {tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) > 2 else {tuple(w)} - {()}
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} - {()}
 
 
-def brute(rows):
-    sets = [(d, shingles(t)) for d, t in rows]
+def brute(rows, n=3, threshold=90):
+    sets = [(d, shingles(t, n)) for d, t in rows]
     parent = {d: d for d, _ in sets}
 
     def root(x):
@@ -27,7 +27,7 @@ def brute(rows):
     links = {d: 0 for d, _ in sets}
     for i, (a, x) in enumerate(sets):
         for b, y in sets[:i]:
-            if x and y and 100 * len(x & y) >= 90 * len(x | y):
+            if x and y and 100 * len(x & y) >= threshold * len(x | y):
                 links[a] += 1
                 links[b] += 1
                 p, q = root(a), root(b)
@@ -68,3 +68,41 @@ def test_keep_one_and_edges(spark):
     assert sorted((r.doc_id if r.doc_id is not None else -1, r.component_id if r.component_id is not None else -1) for r in join(df).collect()) == [(-1, -1), (3, 3), (5, 3), (5, 3), (7, 7), (8, 8)]
     assert sorted(str(r.doc_id) for r in keep_one(df).collect()) == ["3", "7", "8", "None"]
     assert join(df.limit(0)).count() == 0 and keep_one(df).columns == df.columns
+
+
+def test_prefixes_are_certain():
+    """Every pair at the threshold shares prefix tokens under every order; sets of few tokens too."""
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    ranks = r.permutation(1 << ngram_join.BUCKET_BITS).astype(np.uint64)
+    for threshold in (80, 90, 100):
+        for size in (1, 2, 9, 10, 11, 57, 400):
+            for _ in range(30):
+                x = np.unique(r.integers(0, 1 << 63, size, dtype=np.uint64))
+                y = x.copy()
+                gone = r.integers(0, max(1, size // 10) + 1)
+                y[:gone] = r.integers(0, 1 << 63, gone, dtype=np.uint64)
+                y = np.unique(y)
+                both = len(np.intersect1d(x, y))
+                if 100 * both < threshold * (len(x) + len(y) - both):
+                    continue
+                for a, b in zip(ngram_join._prefixes(x, ranks, threshold), ngram_join._prefixes(y, ranks, threshold), strict=True):
+                    assert len(np.intersect1d(a, b))
+
+
+def test_several_texts_under_one_id(spark):
+    """Texts under one id, or under none, are one node: a copy of either is linked to it."""
+    a, b, c, d = (" ".join(f"{p}{i}" for i in range(40)) for p in "abcd")
+    rows = [(None, a), (None, b), (5, b + " x"), (6, a), (7, c), (7, d), (8, d + " y"), (9, c), (9, c)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in join(df).collect()}
+    assert got == {(None, None), (5, None), (6, None), (7, 7), (8, 7), (9, 7)}
+
+
+def test_keep_one_takes_five_words_and_four_fifths(spark):
+    rows = corpus(5)
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("gone", F.lit(1)).withColumn("_gone", F.lit(2))
+    root = brute(rows, 5, 80)
+    assert {r.doc_id for r in keep_one(df).collect()} == {d for d, _ in rows if root[d][1] == d}
+    assert root != brute(rows, 5, 90)

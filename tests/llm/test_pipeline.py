@@ -43,7 +43,7 @@ def test_against_brute_force(spark, tmp_path):
     scores = {x.doc_id: x.predicted for x in quality.classify(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet")).collect()}
     kept = {d: t for d, t, *_ in docs if scores[d]}
     assert all("!!" not in (t or "") for t in kept.values()) and len(kept) > 300
-    root = brute(list(kept.items()))
+    root = brute(list(kept.items()), 5, 80)
     kept = {d: t for d, t in kept.items() if root[d][1] == d}
     grams = [shingles(t) for _, t in items]
     kept = {d: t for d, t in kept.items() if not any(len(g & shingles(t)) >= 0.6 * len(g) for g in grams)}
@@ -63,4 +63,6 @@ def test_against_brute_force(spark, tmp_path):
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {x.doc_id: x.size for x in rows} == {d: len((t or "").split()) for d, t in kept.items()}
     total = sum(x.size for x in rows)
+    whole = {d: (t or "").split() for d, t in got.items()}
+    assert all((x.text or "").split() == (whole[x.doc_id] * 2)[: x.taken] for x in rows)
     assert 0 <= 1.5 * total - sum(x.taken for x in rows) <= 5
