@@ -62,35 +62,22 @@ def _bucket(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> U64(64 - BUCKET_BITS)).astype(np.int64)
 
 
-def bucket_ranks(src: DataFrame, n: int) -> np.ndarray:
+def _ranks(counts: DataFrame) -> np.ndarray:
     """The place of each hash bucket when buckets are ordered by the tokens of the corpus in them."""
-    buckets = 1 << BUCKET_BITS
-
-    def count(batches):
-        total = np.zeros(buckets, np.int64)
-        for b in batches:
-            for _, _, tokens, _ in _sets(b.column("_text"), n):
-                total += np.bincount(_bucket(tokens), minlength=buckets)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
-
-    got = src.select("_text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    total = np.zeros(buckets, np.int64)
+    got = counts.groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(1 << BUCKET_BITS, np.int64)
     total[got.column("bucket").to_numpy()] = got.column("n").to_numpy()
-    ranks = np.empty(buckets, U64)
-    ranks[np.argsort(total, kind="stable")] = np.arange(buckets, dtype=U64)
+    ranks = np.empty(1 << BUCKET_BITS, U64)
+    ranks[np.argsort(total, kind="stable")] = np.arange(1 << BUCKET_BITS, dtype=U64)
     return ranks
 
 
-def _prefixes(t: np.ndarray, ranks: np.ndarray, threshold: int) -> list[np.ndarray]:
-    """The tokens of a set's prefix under each order (and those that tie with its last)."""
+def _prefix(t: np.ndarray, order: int, ranks: np.ndarray, threshold: int) -> np.ndarray:
+    """The tokens of a set's prefix under an order (and those that tie with its last)."""
     size = len(t) - (threshold * len(t) + 99) // 100 + 1
-    mixed = mix(t)
-    out = []
-    for k in range(ORDERS):
-        place = (ranks[_bucket(t)] << U64(64 - BUCKET_BITS)) | (mixed >> U64(BUCKET_BITS)) if k == 0 else mix(mixed ^ _SEED[k])
-        out.append(t[place <= np.partition(place, size - 1)[size - 1]])
-    return out
+    place = mix(t)
+    place = mix(place ^ _SEED[order]) if order else (ranks[_bucket(t)] << U64(64 - BUCKET_BITS)) | (place >> U64(BUCKET_BITS))
+    return t[place <= np.partition(place, size - 1)[size - 1]]
 
 
 def _links(doc: np.ndarray, weight: np.ndarray, size: np.ndarray, tokens: np.ndarray, half: np.ndarray, cross: bool, threshold: int):
@@ -131,49 +118,73 @@ def _links(doc: np.ndarray, weight: np.ndarray, size: np.ndarray, tokens: np.nda
     return forest, links
 
 
-def _parted(held: DataFrame, tokens: str) -> DataFrame:
-    """held: node, part, and an array of tokens for each order. Joins the nodes of a part that share one of ``tokens``;
-    part is then the smallest node that can be reached; nodes that share none leave."""
-    values = held.select("node", "part", F.explode(tokens).alias("token"))
+def _near(values: DataFrame) -> DataFrame:
+    """values: node, part, token. Joins the nodes of a part that share a token, each to the smallest: node, root for
+    those that share any, root being the smallest node that can be reached."""
     first = values.groupBy("part", "token").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("part", "token", "least")
-    near = values.join(first, ["part", "token"]).where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    roots = components(near).select(F.col("node").alias("_node"), "root")
-    rest = [c for c in held.columns if c not in ("node", "part", tokens)]
-    return staged(held.join(roots, held["node"] == roots["_node"]).select("node", F.col("root").alias("part"), *rest), "parts")
+    near = values.join(first, ["part", "token"]).where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    return components(near)
 
 
 def join(docs: DataFrame, n: int = 3, threshold: int = 90, broadcast_rows: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, n_links (documents linked directly) for every row of docs."""
     src = prepared(docs, id_col, text_col).withColumn("_key", F.xxhash64("_id", "_text"))
-    sent = docs.sparkSession.sparkContext.broadcast(bucket_ranks(src, n))
-    orders = [f"p{k}" for k in range(ORDERS)]
 
     def profile(batches):
-        ranks = sent.value
+        """A row for each document; in the end one for each bucket (size -1), with its number of tokens."""
+        names = ["doc", "key", "size", "s1", "s2"]
+        count = np.zeros(1 << BUCKET_BITS, np.int64)
         for b in batches:
             for lo, hi, tokens, begin in _sets(b.column("_text"), n):
-                rows = len(begin) - 1
-                size, sums = np.zeros(rows, np.int64), np.zeros((2, rows), U64)
-                prefixes, ends = [[] for _ in orders], np.zeros((ORDERS, rows + 1), np.int32)
+                count += np.bincount(_bucket(tokens), minlength=len(count))
+                size, sums = np.zeros(hi - lo, np.int64), np.zeros((2, hi - lo), U64)
                 for i in np.flatnonzero(np.diff(begin)):
                     t = np.unique(tokens[begin[i] : begin[i + 1]])
                     size[i] = len(t)
                     sums[0, i], sums[1, i] = t.sum(dtype=U64), mix(t).sum(dtype=U64)
-                    for k, p in enumerate(_prefixes(t, ranks, threshold)):
-                        prefixes[k].append(p)
-                        ends[k, i + 1] = len(p)
-                flat = [pa.ListArray.from_arrays(pa.array(np.cumsum(ends[k], dtype=np.int32)), signed(np.concatenate([np.zeros(0, U64), *prefixes[k]]))) for k in range(ORDERS)]
-                yield pa.RecordBatch.from_arrays([b.column("_id").slice(lo, hi - lo).fill_null(NULL_ID), b.column("_key").slice(lo, hi - lo), pa.array(size), signed(sums[0]), signed(sums[1]), *flat], names=["doc", "key", "size", "s1", "s2", *orders])
+                yield pa.RecordBatch.from_arrays([b.column("_id").slice(lo, hi - lo).fill_null(NULL_ID), b.column("_key").slice(lo, hi - lo), pa.array(size), signed(sums[0]), signed(sums[1])], names=names)
+        at = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (at, at, np.full(len(at), -1), at, count[at])], names=names)
 
-    rows = staged(src.mapInArrow(profile, "doc long, key long, size long, s1 long, s2 long, " + ", ".join(f"{p} array<long>" for p in orders)), "profiles")
+    scanned = staged(src.mapInArrow(profile, "doc long, key long, size long, s1 long, s2 long"), "profiles")
+    sent = docs.sparkSession.sparkContext.broadcast(_ranks(scanned.where("size = -1").select(F.col("s1").alias("bucket"), F.col("s2").alias("n"))))
+    rows = scanned.where("size >= 0")
     same = ["size", "s1", "s2"]
     full = rows.where("size > 0")
     classes = staged(full.groupBy(*same).agg(F.min(F.struct("doc", "key")).alias("rep"), F.count(F.lit(1)).alias("members")).select(*same, "rep.doc", "rep.key", "members"), "classes")
-    # of equal rows one is enough
-    held = full.join(classes.select(F.col("key").alias("_key")), F.col("key") == F.col("_key")).groupBy(F.col("key").alias("node")).agg(*(F.first(p).alias(p) for p in orders))
-    held = held.select("node", F.lit(0).cast("long").alias("part"), *orders)
+
+    def keys_of(b, _entries, _step):
+        return np.arange(b.num_rows), b.column("_key").to_numpy().view(U64)
+
+    def chosen(b, table):
+        """The rows of a batch whose key the table has: key, set, and place in the table."""
+        keys = b.column("_key").to_numpy()
+        has, at = find(table["key"], keys.view(U64))
+        keys, at = keys[has], at[has]
+        for lo, _, tokens, begin in _sets(b.column("_text").filter(pa.array(has)), n):
+            for i in range(len(begin) - 1):
+                yield int(keys[lo + i]), np.unique(tokens[begin[i] : begin[i + 1]]), int(at[lo + i])
+
+    def rare(b, table):
+        got = [(key, _prefix(t, 0, sent.value, threshold)) for key, t, _ in chosen(b, table)]
+        if got:
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat([k for k, _ in got], [len(p) for _, p in got])), signed(np.concatenate([p for _, p in got]))], names=["node", "token"])
+
+    def others(b, table):
+        got = [(key, [_prefix(t, k, sent.value, threshold) for k in range(1, ORDERS)]) for key, t, _ in chosen(b, table)]
+        if got:
+            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(p[k]) for _, p in got)]), pa.int32()), signed(np.concatenate([p[k] for _, p in got]))) for k in range(ORDERS - 1)]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.int64()), *lists], names=["node", *orders])
+
+    orders = [f"p{k}" for k in range(1, ORDERS)]
+    values = staged(Lookup(classes.select("key"), "reps", broadcast_rows).run(src, rare, keys_of, "node long, token long"), "prefixes")
+    parts = staged(_near(values.withColumn("part", F.lit(0))), "parts")
+    left = Lookup(parts.select(F.col("node").alias("key")), "left", broadcast_rows)
+    held = staged(left.run(src, others, keys_of, "node long, " + ", ".join(f"{p} array<long>" for p in orders)), "prefixes")
     for p in orders:
-        held = _parted(held, p)
+        part = parts.select(F.col("node").alias("_node"), F.col("root").alias("part"))
+        parts = staged(_near(held.join(part, held["node"] == F.col("_node")).select("node", "part", F.explode(p).alias("token"))), "parts")
+    held = parts.select("node", F.col("root").alias("part"))
     member = held.join(classes, held["node"] == classes["key"]).select("node", "part", "size", "members")
     volume = member.groupBy("part").agg(F.sum("size").alias("volume")).withColumnRenamed("part", "_part")
     member = member.join(volume, member["part"] == F.col("_part")).select(F.col("node").alias("key"), F.col("part").alias("root"), F.ceil(F.col("volume") / BLOCK_TOKENS).cast("long").alias("blocks"), "members", "size")
@@ -182,33 +193,24 @@ def join(docs: DataFrame, n: int = 3, threshold: int = 90, broadcast_rows: int |
     width = max(docs.sparkSession.sparkContext.defaultParallelism, work // (4 * BLOCK_TOKENS))
 
     def fetch(b, table):
-        keys = b.column("_key").to_numpy()
-        has, at = find(table["key"], keys.view(U64))
-        for lo, hi, tokens, begin in _sets(b.column("_text").filter(pa.array(has)), n):
-            mine = np.flatnonzero(has)[lo:hi]
-            out = {k: [] for k in ("root", "x", "y", "half", "doc", "weight", "size", "tokens")}
-            for i in range(len(begin) - 1):
-                t = np.unique(tokens[begin[i] : begin[i + 1]])
-                k, key = at[mine[i]], int(keys[mine[i]])
-                blocks = int(table["blocks"][k])
-                block = int(mix(np.array([key], np.int64).view(U64))[0] % U64(blocks))
-                blob = t.tobytes()
-                for other in range(blocks):
-                    x, y = min(block, other), max(block, other)
-                    for c, v in zip(out, (int(table["root"][k]), x, y, int(block == y), key, int(table["members"][k]), len(t), blob), strict=True):
-                        out[c].append(v)
-                    if len(out["root"]) >= 1000:
-                        yield _batch(out)
-                        out = {k: [] for k in out}
-            if out["root"]:
-                yield _batch(out)
+        out = {k: [] for k in ("root", "x", "y", "half", "doc", "weight", "size", "tokens")}
+        for key, t, k in chosen(b, table):
+            blocks = int(table["blocks"][k])
+            block = int(mix(np.array([key], np.int64).view(U64))[0] % U64(blocks))
+            blob = t.tobytes()
+            for other in range(blocks):
+                x, y = min(block, other), max(block, other)
+                for c, v in zip(out, (int(table["root"][k]), x, y, int(block == y), key, int(table["members"][k]), len(t), blob), strict=True):
+                    out[c].append(v)
+                if len(out["root"]) >= 1000:
+                    yield _batch(out)
+                    out = {k: [] for k in out}
+        if out["root"]:
+            yield _batch(out)
 
     def _batch(out):
         return pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if c == "tokens" else pa.int64()) for c, v in out.items()], names=list(out))
 
-    def keys_of(b, _entries, _step):
-        return np.arange(b.num_rows), b.column("_key").to_numpy().view(U64)
-
     dealt = wanted.run(src, fetch, keys_of, "root long, x long, y long, half long, doc long, weight long, size long, tokens binary")
     dealt = dealt.repartition(width, "root", "x", "y").sortWithinPartitions("root", "x", "y")
 
