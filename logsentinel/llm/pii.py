@@ -8,13 +8,15 @@ honorific) and script, mails of one domain keep a common domain.
 
 Collision checks: a draw that two entities share goes to one of them; a draw that is itself an entity of the corpus goes
 to none. The others draw again until none is left, so distinct entities stay distinct, and equal ones equal, in every
-document. No space of surrogates is empty or stays full: letters of other alphabets, and all of a secret without letters
+document. Domains of mails are entities of their own (whatever their case) and are settled first, so distinct ones stay
+distinct. After ``ATTEMPTS`` draws the query fails with the kind that has no free surrogate, rather than run on. No space of surrogates is empty or stays full: letters of other alphabets, and all of a secret without letters
 and digits, are drawn from a known alphabet; names gain a syllable with each attempt, and after some failed attempts
 secrets, keys, mails and numbers gain a character with each. Cards and IP addresses keep their length: 1e11 and 4e9 of a kind.
 The map is joined to the documents by entity, never collected, and only texts with entities are shuffled.
 
 Defined cases: null and empty texts and texts without entities are unchanged; all rows and columns are kept (n_chars
-follows the text where there is such a column); equal rows change alike; entities never cross documents.
+follows the text where there is such a column); equal rows change alike; entities never cross documents; columns of any
+name are carried as they are, but for one named as ``count_col``, which the count replaces.
 """
 
 from __future__ import annotations
@@ -58,10 +60,11 @@ GIVEN = {
 }
 SYLLABLES = {"latin": "ba ben dor fel gar hol kan lin mar nor pel ram sol tur vel wen".split(), "cyrillic": "ба бен дор фел гар хол кан лин мар нор пел рам сол тур вел вен".split()}
 
-_ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâäèéêëìíîïòóôöùúûüñç", "ÀÁÂÄÈÉÊËÌÍÎÏÒÓÔÖÙÚÛÜÑÇ", "абвгдежзиклмнопрстуфхцчшщэюя", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЩЭЮЯ")
+_ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâäèéêëìíîïòóôöùúûüñç", "ÀÁÂÄÈÉÊËÌÍÎÏÒÓÔÖÙÚÛÜÑÇ", "āăąćčďđēėęěğģīįķļłńņňőřśşšťţūůűųźżž", "ĀĂĄĆČĎĐĒĖĘĚĞĢĪĮĶĻŁŃŅŇŐŘŚŞŠŤŢŪŮŰŲŹŻŽ", "абвгдежзиклмнопрстуфхцчшщэюя", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЩЭЮЯ")
 _DIGITS, _SMALL, _CAPITAL = _ALPHABETS[:3]
 #: Failed attempts after which a surrogate gets longer than its entity: of letters, and of digits only.
 LONGER, LONGER_NUMBER = 4, 16
+ATTEMPTS = 100
 
 
 def kind_of(entity: Column) -> Column:
@@ -97,7 +100,7 @@ def _pick(letters: str, digest: Column, i: Column) -> Column:
 def _redraw(text: Column, digest: Column) -> Column:
     """Each digit or letter by another of its own alphabet, or of a Latin one if its own is not known; all else as it
     is, unless there is nothing but that."""
-    hex_ = text.rlike("^[0-9a-f]+$") & text.rlike("[a-f]")
+    hex_ = text.rlike("^[0-9a-f]+$") & text.rlike("[a-f]") & text.rlike("[0-9]")
     bare = ~text.rlike(r"[\p{L}\p{N}]")
 
     def char(c, i):
@@ -124,20 +127,19 @@ def draws(key: str, kind: Column, core: Column, attempt: int) -> dict[str, Colum
     """Keyed digests that a surrogate is made from: of the entity, and of the parts that it shares with others."""
     again = F.lit(str(attempt) if attempt else "")
     return {
-        "_draw": _digest(key, kind, core, F.lit(str(attempt))), "_domain": _digest(key, F.lit("domain"), F.lower(F.substring_index(core, "@", -1))),
+        "_draw": _digest(key, kind, core, F.lit(str(attempt))),
         "_given": _digest(key, F.lit("given"), kind, F.substring_index(core, " ", 1), again), "_family": _digest(key, F.lit("family"), F.substring_index(core, " ", -1), again),
     }
 
 
 def surrogate(kind: Column, core: Column, attempt: int = 0) -> Column:
-    """Of an entity whose draws are columns beside it."""
+    """Of an entity whose draws, and the surrogate of whose domain if it is a mail, are columns beside it."""
     draw = F.col("_draw")
     plain = _redraw(core, draw)
     letters, longer = _more(_SMALL, draw, max(0, attempt - LONGER + 1)), _more(_DIGITS, draw, max(0, attempt - LONGER_NUMBER + 1))
 
-    domain = F.substring_index(core, "@", -1)
-    host = F.regexp_extract(domain, r"^(.*)\.[^.]*$", 1)
-    mail = F.concat(_redraw(F.substring_index(core, "@", 1), draw), letters, F.lit("@"), _redraw(host, F.col("_domain")), F.lit("."), F.substring_index(domain, ".", -1))
+    mail = F.concat(_redraw(F.substring_index(core, "@", 1), draw), letters, F.lit("@"), F.col("domain"))
+    domain = F.concat(_redraw(F.regexp_extract(core, r"^(.*)\.[^.]*$", 1), draw), letters, F.lit("."), F.substring_index(core, ".", -1))
 
     ip = F.array_join(F.transform(F.split(core, r"\."), lambda c, i: (_byte(draw, i) % 254 + 1).cast("string")), ".")
 
@@ -156,15 +158,18 @@ def surrogate(kind: Column, core: Column, attempt: int = 0) -> Column:
         return F.concat(F.when(two, F.concat(F.when(kind == "name_f", pick("f")).otherwise(pick("m")), F.lit(" "))).otherwise(""), F.initcap(F.concat(*parts)))
 
     name = F.when(core.rlike(r"\p{IsCyrillic}"), named("cyrillic")).otherwise(named("latin"))
-    return F.when(kind == "mail", mail).when(kind == "ip", ip).when(kind == "card", card).when(kind.startswith("name"), name).when(kind.isin("secret", "key"), F.concat(plain, letters)).otherwise(F.concat(plain, longer))
+    return F.when(kind == "mail", mail).when(kind == "domain", domain).when(kind == "ip", ip).when(kind == "card", card).when(kind.startswith("name"), name).when(kind.isin("secret", "key"), F.concat(plain, letters)).otherwise(F.concat(plain, longer))
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
-    """entities: kind, core, distinct. Adds surrogate, distinct within a kind and never an entity of the corpus."""
-    open_, done, attempt = entities, None, 0
+    """entities: kind, core, distinct, and for mails domain (its surrogate). Adds surrogate, distinct within a kind and never
+    an entity of the corpus."""
+    if "domain" not in entities.columns:
+        entities = entities.withColumn("domain", F.substring_index("core", "@", -1))
+    open_, done = entities, None
     width = entities.sparkSession.sparkContext.defaultParallelism * 4
     real = entities.select(F.col("kind").alias("_k"), F.col("core").alias("_c"))
-    while True:
+    for attempt in range(ATTEMPTS):
         # digests once, before the exchange; few bytes but costly expressions, so dealt out by number and not by size
         drawn = open_.withColumns(draws(key, F.col("kind"), F.col("core"), attempt)).repartition(width, "kind", "core")
         drawn = drawn.select("kind", "core", surrogate(F.col("kind"), F.col("core"), attempt).alias("surrogate"))
@@ -173,31 +178,38 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
         first = free.groupBy("kind", "surrogate").agg(F.min("core").alias("core")).select("kind", "core", "surrogate")
         done = staged(first if done is None else done.union(first), "surrogates")
         open_ = staged(open_.join(done.select("kind", "core"), ["kind", "core"], "left_anti"), "again")
-        attempt += 1
         if open_.isEmpty():
             return done
+    raise RuntimeError(f"no free surrogate after {ATTEMPTS} draws for a {open_.first()['kind']}")
 
 
 def anonymise(docs: DataFrame, key: str = "surrogate-key", text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """All rows and columns of docs with the entities of the text replaced; count_col: also their number."""
-    text = F.col(text_col)
-    found = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
-    marked = docs.select(F.sha2(text.cast("binary"), 256).alias("_text"), F.array_distinct(found).alias("_found")).where(F.size("_found") > 0)
+    text = F.col(text_col).cast("string")
+    marked = docs.select(F.sha2(text.cast("binary"), 256).alias("_text"), F.array_distinct(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).alias("_found")).where(F.size("_found") > 0)
     seen = staged(marked.distinct().select("_text", F.explode("_found").alias("_entity")), "entities")
 
     kind = kind_of(F.col("_entity"))
     parts = seen.groupBy("_entity").agg(F.count(F.lit(1)).alias("_n")).select("_entity", kind.alias("kind"), prefix_of(F.col("_entity"), kind).alias("_prefix"))
     parts = staged(parts.withColumn("core", F.expr("substring(_entity, length(_prefix) + 1)")), "parts")
-    chosen = surrogates(staged(parts.select("kind", "core").distinct(), "cores"), key)
+    domain = F.lower(F.substring_index("core", "@", -1))
+    domains = surrogates(staged(parts.where("kind = 'mail'").select(F.lit("domain").alias("kind"), domain.alias("core")).distinct(), "domains"), key)
+    cores = parts.select("kind", "core", F.when(F.col("kind") == "mail", domain).alias("_of")).distinct()
+    cores = cores.join(domains.select(F.col("core").alias("_of"), F.col("surrogate").alias("domain")), "_of", "left").select("kind", "core", "domain")
+    chosen = surrogates(staged(cores, "cores"), key)
     swaps = parts.join(chosen, ["kind", "core"]).select(F.col("_entity").alias("_entity2"), F.concat("_prefix", "surrogate").alias("_new"))
     by_text = seen.join(swaps, seen["_entity"] == swaps["_entity2"]).groupBy("_text").agg(F.map_from_entries(F.collect_list(F.struct("_entity", "_new"))).alias("_swap"))
     by_text = by_text.withColumnRenamed("_text", "_text2")
 
     has = F.coalesce(text.rlike(PATTERN), F.lit(False))
-    dirty = docs.where(has).withColumn("_text", F.sha2(text.cast("binary"), 256)).join(by_text, F.col("_text") == F.col("_text2"))
-    new = F.array_join(F.zip_with(F.split(text, PATTERN, -1), found, lambda a, b: F.concat(a, F.coalesce(F.element_at(F.col("_swap"), b), F.lit("")))), "")
-    dirty = dirty.withColumn("_new_text", new)
-    kept = [F.col("_new_text").alias(text_col) if c == text_col else F.length("_new_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    dirty = docs.where(has).select(F.struct(*docs.columns).alias("_row"), text.alias("_old"), F.sha2(text.cast("binary"), 256).alias("_text"))  # no column of docs beside ours
+    dirty = dirty.join(by_text, F.col("_text") == F.col("_text2"))
+    old = F.col("_old")
+    found = F.regexp_extract_all(old, F.lit(PATTERN), F.lit(0))
+    new = F.array_join(F.zip_with(F.split(old, PATTERN, -1), found, lambda a, b: F.concat(a, F.coalesce(F.element_at(F.col("_swap"), b), F.lit("")))), "")
+    dirty = dirty.withColumn("_changed", new)
+    columns = [c for c in docs.columns if c != count_col]
+    kept = [F.col("_changed").alias(c) if c == text_col else F.length("_changed").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("_row")[c].alias(c) for c in columns]
     count = [F.size(found).cast("long").alias(count_col)] if count_col else []
     none = [F.lit(0).cast("long").alias(count_col)] if count_col else []
-    return docs.where(~has).select(*docs.columns, *none).union(dirty.select(*kept, *count))
+    return docs.where(~has).select(*columns, *none).union(dirty.select(*kept, *count))

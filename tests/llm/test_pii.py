@@ -69,3 +69,59 @@ def test_more_names_than_short_surrogates(spark, monkeypatch):
     cores = spark.range(600).select(F.lit("name_m").alias("kind"), F.concat(F.lit("N"), F.col("id").cast("string")).alias("core"))
     got = pii.surrogates(cores, "k").collect()
     assert len(got) == 600 == len({r.surrogate for r in got})
+
+
+def test_columns_of_any_name(spark):
+    """Columns named as the operator's own are carried as they are; one named as the count is replaced."""
+    names = ["_text", "_text2", "_swap", "_row", "_old", "_changed", "_found", "_entity", "kind", "core", "_new", "n"]
+    df = spark.createDataFrame([(1, TEXTS[0], *(f"mine-{c}" for c in names)), (2, "clean", *(f"mine-{c}" for c in names))], ["doc_id", "text", *names])
+    got = pii.anonymise(df, count_col="n")
+    assert got.columns == ["doc_id", "text", *names[:-1], "n"]
+    for r in got.collect():
+        assert all(r[c] == f"mine-{c}" for c in names[:-1]) and (r.doc_id == 2) == (r.text == "clean") and r.n == (3 if r.doc_id == 1 else 0)
+
+
+def test_letters_of_other_alphabets_and_domains(spark):
+    texts = [f"write to ă@{c}.com today" for c in "abcdefghijklmnopqrstuvwxyz"] + ["or to Ă@A.COM, ź.ż@a.com, x@ab.cd"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r.text for r in pii.anonymise(df).collect()}
+    mails = {i: re.findall(r"\S+@[\w.]+\w", t) for i, t in out.items()}
+    flat = [m for x in mails.values() for m in x]
+    assert len(flat) == 29 == len(set(flat)) and not set(flat) & set(re.findall(r"\S+@[\w.]+\w", " ".join(texts)))
+    domains = {m.split("@")[1] for i in range(26) for m in mails[i]}
+    assert len(domains) == 26 and mails[26][1].split("@")[1] == mails[0][0].split("@")[1]
+
+
+def test_random_entities_against_plain_rules(spark):
+    """Injective, in format, coreferent, and nothing but the entities changes; ten thousand drawn at random."""
+    import random
+
+    r = random.Random(4)
+    digits = lambda n: "".join(r.choices("0123456789", k=n))
+    make = {
+        "mail": lambda: f"{''.join(r.choices('abcxyz', k=r.randint(1, 3)))}@{r.choice('pqrs')}{r.randint(0, 30)}.org",
+        "ip": lambda: ".".join(str(r.randint(1, 254)) for _ in range(4)),
+        "ssn": lambda: f"{digits(3)}-{digits(2)}-{digits(4)}",
+        "phone": lambda: f"({digits(3)}) {digits(3)}-{digits(4)}",
+        "key": lambda: "AKIA" + "".join(r.choices("ABCDEFGHIJ0123456789", k=16)),
+        "name": lambda: f"Mr. {r.choice(['Jon', 'Tim', 'Abe'])} {r.choice('BCDFGH')}{''.join(r.choices('aeiou', k=2))}",
+    }
+    shape = {"mail": r"[a-z]+@[a-z]+\d*[a-z]*\.org", "ip": r"(\d{1,3}\.){3}\d{1,3}", "ssn": r"\d{3}-\d\d-\d{4}", "phone": r"\(\d{3}\) \d{3}-\d{4}", "key": "AKIA[A-Z0-9]{16}", "name": r"Mr\. [A-Z][a-z]+ [A-Z][a-z]+"}
+    docs = [[(k, make[k]()) for k in r.choices(list(make), k=r.randint(0, 9))] for _ in range(2500)]
+    text = lambda d, by: "start " + " ; ".join(by(k, e) for k, e in d) + " end"
+    df = spark.createDataFrame([(i, text(d, lambda k, e: e)) for i, d in enumerate(docs)], "doc_id long, text string")
+    seen: dict = {}
+    for x in pii.anonymise(df).collect():
+        inner = x.text.removeprefix("start ").removesuffix(" end")
+        pieces = inner.split(" ; ") if docs[x.doc_id] else []
+        assert len(pieces) == len(docs[x.doc_id])
+        for (k, e), new in zip(docs[x.doc_id], pieces, strict=True):
+            assert re.fullmatch(shape[k], new), (k, e, new)
+            assert seen.setdefault((k, e), new) == new
+    assert len({(k, v) for (k, _), v in seen.items()}) == len(seen) > 5000
+    assert not {v for v in seen.values()} & {e for _, e in seen}
+    domain = {}
+    for (k, e), v in seen.items():
+        if k == "mail":
+            assert domain.setdefault(e.split("@")[1], v.split("@")[1]) == v.split("@")[1]
+    assert len(set(domain.values())) == len(domain)
