@@ -1,17 +1,16 @@
-"""N-gram Jaccard self-join by prefix filters under multiple global token orders.
+"""N-gram Jaccard self-join with multiple global token orders.
 
 A document's set is its distinct word shingles. Two documents link when 100 * intersection >= threshold * union.
 
 * Equal sets form a class first (by size and two 64-bit sums of token hashes); the rest works on one of each class.
-* Filter. Under any global order of all tokens, two sets x and y that link share a token among the first
-  |x| - ceil(threshold% of |x|) + 1 of x and those of y. That is certain, no pair is missed. The first of ``ORDERS`` orders puts
-  rare tokens first (by the number of tokens in the 65536 hash buckets of the corpus, then by hash), so that passages which many
-  documents share come last; the others are hashes of the token. A candidate must share prefix tokens under all of them:
-  sets are parted by the first order, each part by the second, each of those by the third.
-* The sets that share a token are not paired: each is joined to the smallest of them, and the components of that
-  graph, within the part that the orders before have left, are the next parts. A pair that shares a token under
-  every order is never parted.
-* Verification. The sets of a part are dealt in blocks of bounded size to one task for each two blocks, which counts
+* Filter. Under a global order of all tokens (a hash of the token) similar sets tend to have the same first token.
+  ``ORDERS`` orders are intersected: a candidate shares its prefix token under all of them at once. Such filters with orders
+  of their own are united, as many as it takes (``trials``) that a pair at the threshold passes none of them with
+  probability under ``MISS``: 20 at 0.9, 37 at 0.8; sets that merely share a passage rarely pass one. A longer prefix under
+  a single order would be certain, but then every pair that shares a few words by chance passes (figures in the README).
+* Candidates of one filter value are not paired: each is joined to the smallest of them, and the components of that
+  graph are the clusters in which links can be.
+* Verification. The sets of a cluster are dealt in blocks of bounded size to one task for each two blocks, which counts
   all their intersections exactly through an inverted index of the block. A task returns a spanning forest of
   its links and the number of links of each set, never the pairs.
 
@@ -22,6 +21,7 @@ smallest doc_id reachable.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,12 +34,10 @@ from .repeats import Lookup, find, prepared
 from .storage import free_name, staged
 from .tokens import U64, Rolling, mix, signed, slices, word_bounds, word_hashes
 
-ORDERS = 3
-BUCKET_BITS = 16  # of the counts behind the first order: 65536 numbers, whatever the corpus
+ORDERS, MISS = 3, 5e-12
 BLOCK_TOKENS = 64_000
 NULL_ID = -(1 << 63)
 
-_SEED = mix(np.arange(1, ORDERS + 1, dtype=U64))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -58,26 +56,31 @@ def _sets(col: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndar
         yield lo, hi, Rolling(words).ranges(at, to), begin
 
 
-def _bucket(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> U64(64 - BUCKET_BITS)).astype(np.int64)
-
-
-def _ranks(counts: DataFrame) -> np.ndarray:
-    """The place of each hash bucket when buckets are ordered by the tokens of the corpus in them."""
-    got = counts.groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    total = np.zeros(1 << BUCKET_BITS, np.int64)
-    total[got.column("bucket").to_numpy()] = got.column("n").to_numpy()
-    ranks = np.empty(1 << BUCKET_BITS, U64)
-    ranks[np.argsort(total, kind="stable")] = np.arange(1 << BUCKET_BITS, dtype=U64)
-    return ranks
-
-
-def _prefix(t: np.ndarray, order: int, ranks: np.ndarray, threshold: int) -> np.ndarray:
-    """The tokens of a set's prefix under an order (and those that tie with its last)."""
-    size = len(t) - (threshold * len(t) + 99) // 100 + 1
-    place = mix(t)
-    place = mix(place ^ _SEED[order]) if order else (ranks[_bucket(t)] << U64(64 - BUCKET_BITS)) | (place >> U64(BUCKET_BITS))
-    return t[place <= np.partition(place, size - 1)[size - 1]]
+def trials(threshold: int) -> int:
+    """How many filters are united."""
+    share = (threshold / 100) ** ORDERS
+    return 1 if share == 1 else math.ceil(math.log(MISS) / math.log(1 - share))
+
+
+def _profile(tokens: np.ndarray, begin: np.ndarray, filters: int):
+    """For each row: number of distinct tokens, two sums of them, and its filter values (filters of them, flat)."""
+    n = len(begin) - 1
+    size, sums = np.zeros(n, np.int64), np.zeros((2, n), U64)
+    for i in np.flatnonzero(np.diff(begin)):
+        t = np.unique(tokens[begin[i] : begin[i + 1]])
+        size[i] = len(t)
+        sums[0, i], sums[1, i] = t.sum(dtype=U64), mix(t).sum(dtype=U64)
+    full = np.flatnonzero(size)
+    keys = np.zeros((n, filters), U64)
+    seed = mix(np.arange(1, ORDERS * filters + 1, dtype=U64)) | U64(1)
+    for k in range(filters):
+        for j in range(ORDERS):
+            rank = tokens * seed[k * ORDERS + j]
+            rank ^= rank >> U64(31)
+            rank *= U64(0x9E3779B97F4A7C15)
+            if len(full):
+                keys[full, k] = mix(keys[full, k] + np.minimum.reduceat(rank, begin[full]) + U64(k + 1))
+    return size, sums, keys
 
 
 def _links(doc: np.ndarray, weight: np.ndarray, size: np.ndarray, tokens: np.ndarray, half: np.ndarray, cross: bool, threshold: int):
@@ -118,40 +121,27 @@ def _links(doc: np.ndarray, weight: np.ndarray, size: np.ndarray, tokens: np.nda
     return forest, links
 
 
-def _near(values: DataFrame) -> DataFrame:
-    """values: node, part, token. Joins the nodes of a part that share a token, each to the smallest: node, root for
-    those that share any, root being the smallest node that can be reached."""
-    first = values.groupBy("part", "token").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("part", "token", "least")
-    near = values.join(first, ["part", "token"]).where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
-    return components(near)
-
-
 def join(docs: DataFrame, n: int = 3, threshold: int = 90, broadcast_rows: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, n_links (documents linked directly) for every row of docs."""
     src = prepared(docs, id_col, text_col).withColumn("_key", F.xxhash64("_id", "_text"))
+    filters = trials(threshold)
 
     def profile(batches):
-        """A row for each document; in the end one for each bucket (size -1), with its number of tokens."""
-        names = ["doc", "key", "size", "s1", "s2"]
-        count = np.zeros(1 << BUCKET_BITS, np.int64)
         for b in batches:
             for lo, hi, tokens, begin in _sets(b.column("_text"), n):
-                count += np.bincount(_bucket(tokens), minlength=len(count))
-                size, sums = np.zeros(hi - lo, np.int64), np.zeros((2, hi - lo), U64)
-                for i in np.flatnonzero(np.diff(begin)):
-                    t = np.unique(tokens[begin[i] : begin[i + 1]])
-                    size[i] = len(t)
-                    sums[0, i], sums[1, i] = t.sum(dtype=U64), mix(t).sum(dtype=U64)
-                yield pa.RecordBatch.from_arrays([b.column("_id").slice(lo, hi - lo).fill_null(NULL_ID), b.column("_key").slice(lo, hi - lo), pa.array(size), signed(sums[0]), signed(sums[1])], names=names)
-        at = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (at, at, np.full(len(at), -1), at, count[at])], names=names)
-
-    scanned = staged(src.mapInArrow(profile, "doc long, key long, size long, s1 long, s2 long"), "profiles")
-    sent = docs.sparkSession.sparkContext.broadcast(_ranks(scanned.where("size = -1").select(F.col("s1").alias("bucket"), F.col("s2").alias("n"))))
-    rows = scanned.where("size >= 0")
+                size, sums, keys = _profile(tokens, begin, filters)
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, filters, dtype=np.int32)), signed(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column("_id").slice(lo, hi - lo).fill_null(NULL_ID), b.column("_key").slice(lo, hi - lo), pa.array(size), signed(sums[0]), signed(sums[1]), flat], names=["doc", "key", "size", "s1", "s2", "keys"])
+
+    rows = staged(src.mapInArrow(profile, "doc long, key long, size long, s1 long, s2 long, keys array<long>"), "profiles")
     same = ["size", "s1", "s2"]
     full = rows.where("size > 0")
     classes = staged(full.groupBy(*same).agg(F.min(F.struct("doc", "key")).alias("rep"), F.count(F.lit(1)).alias("members")).select(*same, "rep.doc", "rep.key", "members"), "classes")
+    reps = full.join(classes.select(F.col("key").alias("_key")), F.col("key") == F.col("_key")).select(F.col("key").alias("node"), "keys")
+    values = reps.select("node", F.posexplode("keys").alias("trial", "token"))
+    first = values.groupBy("trial", "token").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("trial", "token", "least")
+    near = values.join(first, ["trial", "token"]).where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    held = components(near).select("node", F.col("root").alias("part"))
 
     def keys_of(b, _entries, _step):
         return np.arange(b.num_rows), b.column("_key").to_numpy().view(U64)
@@ -165,26 +155,6 @@ def join(docs: DataFrame, n: int = 3, threshold: int = 90, broadcast_rows: int |
             for i in range(len(begin) - 1):
                 yield int(keys[lo + i]), np.unique(tokens[begin[i] : begin[i + 1]]), int(at[lo + i])
 
-    def rare(b, table):
-        got = [(key, _prefix(t, 0, sent.value, threshold)) for key, t, _ in chosen(b, table)]
-        if got:
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat([k for k, _ in got], [len(p) for _, p in got])), signed(np.concatenate([p for _, p in got]))], names=["node", "token"])
-
-    def others(b, table):
-        got = [(key, [_prefix(t, k, sent.value, threshold) for k in range(1, ORDERS)]) for key, t, _ in chosen(b, table)]
-        if got:
-            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(p[k]) for _, p in got)]), pa.int32()), signed(np.concatenate([p[k] for _, p in got]))) for k in range(ORDERS - 1)]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.int64()), *lists], names=["node", *orders])
-
-    orders = [f"p{k}" for k in range(1, ORDERS)]
-    values = staged(Lookup(classes.select("key"), "reps", broadcast_rows).run(src, rare, keys_of, "node long, token long"), "prefixes")
-    parts = staged(_near(values.withColumn("part", F.lit(0))), "parts")
-    left = Lookup(parts.select(F.col("node").alias("key")), "left", broadcast_rows)
-    held = staged(left.run(src, others, keys_of, "node long, " + ", ".join(f"{p} array<long>" for p in orders)), "prefixes")
-    for p in orders:
-        part = parts.select(F.col("node").alias("_node"), F.col("root").alias("part"))
-        parts = staged(_near(held.join(part, held["node"] == F.col("_node")).select("node", "part", F.explode(p).alias("token"))), "parts")
-    held = parts.select("node", F.col("root").alias("part"))
     member = held.join(classes, held["node"] == classes["key"]).select("node", "part", "size", "members")
     volume = member.groupBy("part").agg(F.sum("size").alias("volume")).withColumnRenamed("part", "_part")
     member = member.join(volume, member["part"] == F.col("_part")).select(F.col("node").alias("key"), F.col("part").alias("root"), F.ceil(F.col("volume") / BLOCK_TOKENS).cast("long").alias("blocks"), "members", "size")
