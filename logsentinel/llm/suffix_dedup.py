@@ -1,20 +1,19 @@
-"""Deduplication of repeated strings by fingerprint ranks at growing lengths, over sparse positions.
+"""Deduplication of repeated strings by distributed prefix doubling over content-defined positions.
 
 Every byte covered by a ``length``-byte string that also starts anywhere else in the corpus is removed.
 
-A full suffix array ranks each byte position again and again at doubled lengths. Here Spark ranks only the positions
-that can still matter, at growing lengths (32, 384, then the 400 of the threshold):
+* Positions. A suffix array of every byte would sort the corpus at each offset. Here the positions are the bytes at which
+  a ``gram``-byte hash is 0 mod ``step``: one in ``step`` bytes, and equal strings have them at equal places. Rows with a
+  text that other rows have too are whole repeats; one of them stands for the text.
+* Doubling. The string at a position reaches to the next one; its rank is the smallest position with that string. Then Spark
+  sorts the pairs (rank at a position, rank at the position 1, 2, ... further on) and ranks each group of equal pairs anew by its
+  smallest position, so ranks are of strings of 1, 2, 4, ... steps. A position whose pair is unique leaves, as all longer
+  strings there are unique too; the rounds end past the threshold.
+* Windows of ``length`` bytes. Those between the same first and last positions are a run. A run takes part only if the steps
+  between them are ranked as repeats. Runs with equal strings between their positions are compared: all alike, they repeat
+  as a whole; else, and where a window holds no position, each window is named by itself and counted.
 
-* At each length the windows left are cut into runs by their smallest rank of that length (see ``repeats``), one
-  (rank, content) pair a run. The name of a rank is a 64-bit fingerprint of the string's own bytes, so equal strings
-  have equal names everywhere and no global renumbering is needed. It is not prefix doubling: each length is hashed
-  afresh, no name is a pair of shorter ranks. Spark aggregates the pairs by rank with partial sums.
-* A rank that one run has is unique: its windows leave, as do all longer strings there. A rank whose runs all have
-  the same content repeats as a whole: its windows are settled. Only ranks with different contents are ranked
-  again at the next length, and at the threshold itself every window left is a position of its own.
-
-So the positions sorted shrink as the length grows, rather than being all bytes in each round. Settled and
-ambiguous ranks reach the next pass as a ``Lookup``: broadcast when counted small, joined otherwise.
+Ranks and runs reach the next pass over the texts as a ``Lookup``: broadcast when counted small, joined otherwise.
 
 Defined cases: null text is empty; texts shorter than ``length`` lose nothing; rows that repeat a text, whatever
 their ids, all lose it (each starts elsewhere); a string may be cut inside a character, so the kept bytes are binary.
@@ -24,122 +23,251 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .repeats import Lookup, find, prepared, runs_of
-from .tokens import U64, byte_tokens, mix, signed, slices
+from .repeats import Entries, Lookup, find, prepared
+from .storage import staged
+from .tokens import U64, Rolling, byte_tokens, mix, signed, slices
+
+GRAM, STEP = 16, 64
+#: Kinds of entries in the lookup table; below 100 the kind is the number of steps that repeat at a position.
+COPIED, STANDS, SETTLED, AMBIGUOUS, WINDOW = 100, 101, 102, 103, 104
+_RUN, _WINDOW = U64(0x52554E), U64(0x57494E)
+
+#: Constants of the 64-bit xxHash (fixed values).
+_P1, _P2, _P3, _P4, _P5 = map(U64, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def sizes(length: int, step: int) -> list[int]:
+    """The numbers of steps that are ranked: doubled while strings of so many, on average, are not past the threshold."""
+    out = [1]
+    while 2 * out[-1] * step <= length:
+        out.append(2 * out[-1])
+    return out
+
+
+def _turned(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x << U64(bits)) | (x >> U64(64 - bits))
+
+
+def _hashed(x: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    h = (seed + _P5 + U64(8)) ^ (_turned(x * _P2, 31) * _P1)
+    h = _turned(h, 27) * _P1 + _P4
+    h = (h ^ (h >> U64(33))) * _P2
+    h = (h ^ (h >> U64(29))) * _P3
+    return h ^ (h >> U64(32))
+
+
+def position_names(key: np.ndarray, i: np.ndarray) -> np.ndarray:
+    """What F.xxhash64(key, i) gives for longs."""
+    return _hashed(i.astype(np.int64).view(U64), _hashed(key.view(U64), np.full(len(key), 42, U64)))
+
+
+class Slice:
+    """Positions and runs of the texts of one slice."""
+
+    def __init__(self, data: np.ndarray, off: np.ndarray, length: int, gram: int, step: int):
+        self.off, self.length, self.gram, self.sizes = off, length, gram, sizes(length, step)
+        self.roll = Rolling(byte_tokens(data))
+        hit = np.flatnonzero(self.roll.grams(gram) % U64(step) == 0)
+        doc = np.searchsorted(off, hit, side="right") - 1
+        inside = hit + gram <= off[doc + 1]
+        self.at, self.doc = hit[inside], doc[inside]
+        self.index = np.arange(len(self.at)) - np.searchsorted(self.doc, self.doc)  # within its document
+
+    def steps(self) -> tuple[np.ndarray, np.ndarray]:
+        """Positions that have a next one in their document; hash of the string up to it."""
+        some = np.flatnonzero(self.doc[1:] == self.doc[:-1])
+        return some, self.roll.ranges(self.at[some], self.at[some + 1] + self.gram)
+
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """First and end window of each run; first and last position (an index of ``at``; last < first if there is none)."""
+        begin, end = self.off[:-1], self.off[1:] - self.length + 1
+        some = end > begin
+        begin, end = begin[some], end[some]
+        if not len(begin):
+            return (np.zeros(0, np.int64),) * 4
+        cuts = [begin, self.at + 1, self.at - (self.length - self.gram)]
+        start, stop, first, last = self._cut(begin, end, cuts)
+        lone = np.flatnonzero(first == last)  # one position: the longer side of it names the run, so it must not change
+        side = self.at[first[lone]] - self.half
+        start, stop, first, last = self._cut(begin, end, [start, side[(side > start[lone]) & (side < stop[lone])]])
+        return start, stop, first, last
+
+    @property
+    def half(self) -> int:
+        return (self.length - self.gram) // 2
+
+    def _cut(self, begin, end, cuts):
+        start = np.unique(np.concatenate(cuts))
+        owner = np.searchsorted(begin, start, side="right") - 1
+        ok = (owner >= 0) & (start < end[np.maximum(owner, 0)])
+        start, owner = start[ok], owner[ok]
+        stop = np.minimum(np.append(start[1:], np.iinfo(np.int64).max), end[owner])
+        return start, stop, np.searchsorted(self.at, start), np.searchsorted(self.at, start + self.length - self.gram, side="right") - 1
 
-LENGTHS = (32, 384)
-SETTLED, AMBIGUOUS = 0, 1
+    def open_runs(self, level: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """level: steps that repeat at each position. Start, end and name of the runs that may repeat; and a mask of those
+        without a position, which have no name."""
+        start, stop, first, last = self.runs()
+        n = last - first
+        maybe = np.ones(len(n), bool)
+        for size in self.sizes:
+            at = np.flatnonzero((n >= size) & ((n < 2 * size) | (size == self.sizes[-1])))
+            a, b = first[at], last[at] - size
+            mid = np.minimum(a + size, b)
+            maybe[at] = (level[a] >= size) & (level[b] >= size) & (level[mid] >= size)
+        start, stop, first, last, n = (x[maybe] for x in (start, stop, first, last, n))
+        name = np.zeros(len(n), U64)
+        many = np.flatnonzero(n >= 1)
+        name[many] = self.roll.ranges(self.at[first[many]], self.at[last[many]] + self.gram)
+        lone = np.flatnonzero(n == 0)
+        p = self.at[first[lone]]
+        right = p - start[lone] <= self.half
+        name[lone] = self.roll.ranges(np.where(right, p, p - self.half), np.where(right, p + self.length - self.half, p + self.gram))
+        return start, stop, mix(name ^ _RUN), n < 0
 
+    def windows(self, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Every window of the runs, and its name."""
+        n = stop - start
+        at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return at, mix(self.roll.ranges(at, at + self.length) ^ _WINDOW)
 
-def _named(key: np.ndarray, level: int) -> np.ndarray:
-    """Ranks of different lengths never share a name in one table."""
-    return mix(key + U64(level)) if level else key
 
+def _kinds(table: Entries, names: np.ndarray) -> np.ndarray:
+    """The kind of each name in the table; 0 if it has none."""
+    has, at = find(table["key"], names)
+    return np.where(has, table["kind"][at], 0) if len(table["key"]) else np.zeros(len(names), np.int64)
 
-def _pairs(rank: np.ndarray, content: np.ndarray, twice: np.ndarray):
+
+def _counted(names: np.ndarray, content: np.ndarray):
+    """For each name: how often it stands, least and greatest content."""
     content = content.view(np.int64)
-    order = np.lexsort((content, rank))
-    a, c = rank[order], content[order]
+    order = np.lexsort((content, names))
+    a, c = names[order], content[order]
     head = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.zeros(0, np.int64)
     n = np.diff(np.append(head, len(a)))
-    yield pa.RecordBatch.from_arrays([signed(a[head]), pa.array(n), pa.array(c[head]), pa.array(c[head + n - 1])], names=["key", "n", "lo", "hi"])
-    t = np.unique(twice)  # a run that holds its rank twice counts as another run with other content
-    yield pa.RecordBatch.from_arrays([signed(t), pa.array(np.ones(len(t), np.int64)), pa.array(np.full(len(t), np.iinfo(np.int64).min)), pa.array(np.full(len(t), np.iinfo(np.int64).max))], names=["key", "n", "lo", "hi"])
-
-
-def _parts(col):
-    """For each slice: rows from and to, bytes, offsets, tokens."""
-    for lo, hi, data, off in slices(col):
-        yield lo, hi, data, off, byte_tokens(data)
-
-
-def _spans(windows_from: np.ndarray, count: np.ndarray, size: int) -> np.ndarray:
-    step = np.zeros(size + 1, np.int64)
-    np.add.at(step, windows_from, 1)
-    np.add.at(step, windows_from + count, -1)
-    return np.cumsum(step)[:-1] > 0
-
-
-def _walk(tokens, off, length: int, lengths: tuple[int, ...], table, depth: int, twice: bool = False):
-    """Runs at level ``depth``, of the windows that the levels before leave open; the windows settled so far; and where
-    the tokens that the runs count stand, as documents without open windows leave."""
-    settled = np.zeros(len(tokens), bool)
-    open_, at = None, np.arange(len(tokens))
-    for level in range(depth + 1):
-        runs = runs_of(tokens, off, length, lengths[level], open_, twice and level == depth)
-        if level == depth:
-            return runs, settled, at
-        has, where = find(table["key"], _named(runs.anchor, level))
-        kind = np.where(has, table["kind"][where] if len(table["key"]) else -1, -1)
-        done, more = kind == SETTLED, kind == AMBIGUOUS
-        settled[at] |= _spans(runs.start[done], runs.windows[done], len(tokens))
-        open_ = _spans(runs.start[more], runs.windows[more], len(tokens))
-        total = np.concatenate([[0], np.cumsum(open_)])
-        stays = total[off[1:]] > total[off[:-1]]
-        mask = np.repeat(stays, np.diff(off))
-        tokens, open_, at = tokens[mask], open_[mask], at[mask]
-        off = np.concatenate([[0], np.cumsum(np.diff(off)[stays])])
-    raise AssertionError
-
-
-def dedup(docs: DataFrame, length: int = 400, lengths: tuple[int, ...] = LENGTHS, broadcast_rows: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    return pa.RecordBatch.from_arrays([signed(a[head]), pa.array(n), pa.array(c[head]), pa.array(c[head + n - 1])], names=["key", "n", "lo", "hi"])
+
+
+def _ranked(rows: DataFrame, *by: str) -> DataFrame:
+    """rows: key, i and what to rank by. The rows whose group has others, ranked by the smallest position of the group."""
+    groups = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(F.xxhash64("key", "i")).alias("rank")).where("n > 1").drop("n")
+    return staged(rows.join(groups.hint("merge"), list(by)).select("key", "i", "rank"), "ranks")
+
+
+def doubled(steps: DataFrame, length: int, step: int) -> DataFrame:
+    """steps: key (document), h (array: hash of the string from each position to the next). key (name of a position), kind
+    (1, 2, 4, ...: how many steps from there repeat, up to the last round)."""
+    held = _ranked(steps.select("key", F.posexplode("h").alias("i", "h")).withColumn("i", F.col("i").cast("long")), "h")
+    found = held.select("key", "i", F.lit(1).alias("kind"))
+    for size in sizes(length, step)[1:]:
+        ahead = F.max("rank1").over(Window.partitionBy("key").orderBy("i").rangeBetween(size // 2, size // 2))
+        held = _ranked(held.withColumnRenamed("rank", "rank1").withColumn("rank2", ahead).where("rank2 is not null"), "rank1", "rank2")
+        found = found.union(held.select("key", "i", F.lit(size).alias("kind")))
+    return found.groupBy(F.xxhash64("key", "i").alias("key")).agg(F.max("kind").cast("long").alias("kind"))
+
+
+def dedup(docs: DataFrame, length: int = 400, gram: int = GRAM, step: int = STEP, broadcast_rows: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (byte ranges removed, end exclusive), kept (binary) for every row of docs."""
-    src = prepared(docs, id_col, text_col)
-    lengths = (*(x for x in lengths if x < length), length)
-    table: DataFrame | None = None
-    look: Lookup | None = None
-
-    def keys(b, entries, step):
-        """Names of the ranks of that level, for the windows that the levels before it leave open."""
-        rows, names = [], []
-        for lo, _, _, off, tokens in _parts(b.column("_text")):
-            runs, _, at = _walk(tokens, off, length, lengths, entries, step)
-            rows.append(lo + np.searchsorted(off, at[runs.start], side="right") - 1)
-            names.append(_named(runs.anchor, step))
-        return (np.concatenate(rows), np.concatenate(names)) if rows else (np.zeros(0, np.int64), np.zeros(0, U64))
-
-    for depth in range(len(lengths)):
-
-        def rank(b, entries, depth=depth):
-            got = []
-            for _, _, _, off, tokens in _parts(b.column("_text")):
-                runs, _, _ = _walk(tokens, off, length, lengths, entries, depth, twice=True)
-                got.append((runs.anchor, runs.content, runs.twice))
-            if got:
-                yield from _pairs(*(np.concatenate(x) for x in zip(*got, strict=True)))
-
-        schema = "key long, n long, lo long, hi long"
-        if look is None:
-            pairs = src.mapInArrow(lambda batches, f=rank: (x for b in batches for x in f(b, {"key": np.zeros(0, U64)})), schema)
-        else:
-            pairs = look.run(src, rank, keys, schema, [look] * (depth - 1))
-        ranks = pairs.groupBy("key").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("n > 1")
-        kind = F.lit(SETTLED) if depth == len(lengths) - 1 else F.when(F.col("lo") == F.col("hi"), SETTLED).otherwise(AMBIGUOUS)
-        mine = ranks.select(F.col("key"), kind.cast("long").alias("kind"))
-        if depth:
-            mine = mine.mapInArrow(lambda batches, level=depth: (pa.RecordBatch.from_arrays([signed(_named(x.column(0).to_numpy().view(U64), level)), x.column(1)], names=["key", "kind"]) for x in batches), "key long, kind long")
-        table = mine if table is None else table.union(mine)
-        look = Lookup(table, f"ranks{depth}", broadcast_rows)
-        table = look.table
+    src = prepared(docs, id_col, text_col).withColumns({"_key": F.xxhash64(F.lit(1), "_id", "_text"), "_hash": F.xxhash64("_text")})
+    texts = src.where(F.octet_length("_text") >= length).groupBy("_hash").agg(F.count(F.lit(1)).alias("n"), F.min("_key").alias("least")).where("n > 1")
+    texts = staged(texts, "copies")
+    table = texts.select(F.col("_hash").alias("key"), F.lit(COPIED).cast("long").alias("kind")).union(texts.select("least", F.lit(STANDS).cast("long")))
+
+    def own(b: pa.RecordBatch, entries: Entries) -> pa.RecordBatch:
+        """The rows that stand for their text."""
+        copied = _kinds(entries, b.column("_hash").to_numpy().view(U64)) == COPIED
+        return b.filter(pa.array(~copied | (_kinds(entries, b.column("_key").to_numpy().view(U64)) == STANDS)))
+
+    def parts(b: pa.RecordBatch):
+        for lo, hi, data, off in slices(b.column("_text")):
+            yield lo, hi, data, Slice(data, off, length, gram, step), b.column("_key").slice(lo, hi - lo).to_numpy()
+
+    def open_runs(s: Slice, key: np.ndarray, entries: Entries):
+        return s.open_runs(_kinds(entries, position_names(key[s.doc], s.index)))
+
+    def keys(b, entries, depth):
+        """What each document looks up: 0 its text and positions, 1 its open runs, 2 the windows of runs still open."""
+        rows, names = [np.zeros(0, np.int64)], [np.zeros(0, U64)]
+        if depth == 0:
+            rows += [np.arange(b.num_rows)] * 2
+            names += [b.column("_hash").to_numpy().view(U64), b.column("_key").to_numpy().view(U64)]
+        for lo, _, _, s, key in parts(b):
+            if depth == 0:
+                rows.append(lo + s.doc)
+                names.append(position_names(key[s.doc], s.index))
+                continue
+            start, stop, name, bare = open_runs(s, key, entries)
+            if depth == 1:
+                at = start
+            else:
+                kind = _kinds(entries, name)
+                pick = bare | (kind == AMBIGUOUS)
+                at, name = s.windows(start[pick], stop[pick])
+            rows.append(lo + np.searchsorted(s.off, at, side="right") - 1)
+            names.append(name)
+        return np.concatenate(rows), np.concatenate(names)
+
+    def cut_up(b, entries):
+        b = own(b, entries)
+        for _, _, _, s, key in parts(b):
+            some, h = s.steps()
+            size = np.bincount(s.doc[some], minlength=len(key))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), signed(h))
+            yield pa.RecordBatch.from_arrays([pa.array(key), lists], names=["key", "h"]).filter(pa.array(size > 0))
+
+    steps = staged(Lookup(table, "copies", broadcast_rows).run(src, cut_up, lambda b, e, d: (np.arange(b.num_rows).repeat(2), np.stack([b.column("_hash").to_numpy(), b.column("_key").to_numpy()], 1).ravel().view(U64)), "key long, h array<long>"), "steps")
+    look = Lookup(table.union(doubled(steps, length, step)), "positions", broadcast_rows)
+
+    def compare(b, entries):
+        got = []
+        for _, _, _, s, key in parts(own(b, entries)):
+            start, stop, name, bare = open_runs(s, key, entries)
+            start, stop, name = (x[~bare] for x in (start, stop, name))
+            got.append((name, s.roll.ranges(start, stop - 1 + length)))
+        if got:
+            yield _counted(*(np.concatenate(x) for x in zip(*got, strict=True)))
+
+    runs = look.run(src, compare, keys, "key long, n long, lo long, hi long")
+    runs = runs.groupBy("key").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("n > 1")
+    runs = runs.select("key", F.when(F.col("lo") == F.col("hi"), SETTLED).otherwise(AMBIGUOUS).cast("long").alias("kind"))
+    look = Lookup(look.table.union(runs), "runs", broadcast_rows)
+
+    def single(b, entries):
+        got = []
+        for _, _, _, s, key in parts(own(b, entries)):
+            start, stop, name, bare = open_runs(s, key, entries)
+            pick = bare | (_kinds(entries, name) == AMBIGUOUS)
+            got.append(s.windows(start[pick], stop[pick])[1])
+        if got:
+            names, n = np.unique(np.concatenate(got), return_counts=True)
+            yield pa.RecordBatch.from_arrays([signed(names), pa.array(n)], names=["key", "n"])
+
+    found = look.run(src, single, keys, "key long, n long", [look]).groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
+    look = Lookup(look.table.union(found.select("key", F.lit(WINDOW).cast("long").alias("kind"))), "windows", broadcast_rows)
 
     def remove(b, entries):
-        ids = b.column("_id")
-        for lo, hi, data, off, tokens in _parts(b.column("_text")):
-            runs, settled, where = _walk(tokens, off, length, lengths, entries, len(lengths) - 1)
-            has, _ = find(entries["key"], _named(runs.anchor, len(lengths) - 1))
-            settled[where] |= _spans(runs.start[has], runs.windows[has], len(where))
-            at = np.flatnonzero(settled)
-            step = np.zeros(len(data) + 1, np.int32)
-            step[at] += 1
-            end = at + length
-            step[end[end < len(data)]] -= 1
-            yield _result(ids.slice(lo, hi - lo), data, off, np.cumsum(step)[:-1] > 0)
+        copied = _kinds(entries, b.column("_hash").to_numpy().view(U64)) == COPIED
+        for lo, hi, data, s, key in parts(b):
+            cut = np.zeros(len(data) + 1, np.int32)
+            start, stop, name, bare = open_runs(s, key, entries)
+            kind = _kinds(entries, name)
+            whole = (kind == SETTLED) & ~bare
+            np.add.at(cut, start[whole], 1)
+            np.add.at(cut, stop[whole] - 1 + length, -1)
+            pick = bare | (kind == AMBIGUOUS)
+            at, name = s.windows(start[pick], stop[pick])
+            at = at[_kinds(entries, name) == WINDOW]
+            np.add.at(cut, at, 1)
+            np.add.at(cut, at + length, -1)
+            np.add.at(cut, s.off[:-1][copied[lo:hi]], 1)
+            np.add.at(cut, s.off[1:][copied[lo:hi]], -1)
+            yield _result(b.column("_id").slice(lo, hi - lo), data, s.off, np.cumsum(cut)[:-1] > 0)
 
     schema = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
-    return look.run(src, remove, keys, schema, [look] * (len(lengths) - 1))
+    return look.run(src, remove, keys, schema, [look, look])
 
 
 def _result(ids, data, off, cut) -> pa.RecordBatch:

@@ -1,10 +1,11 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from logsentinel.llm.suffix_dedup import dedup
+from logsentinel.llm.suffix_dedup import dedup, doubled, position_names
 
 
 def brute(rows, n):
@@ -40,11 +41,11 @@ def corpus(seed, scale):
     return rows
 
 
-@pytest.mark.parametrize("length,lengths,limit", [(400, (32, 384), None), (60, (8, 56), None), (60, (8, 56), 0), (40, (10, 20), None)])
-def test_matches_brute_force(spark, length, lengths, limit):
+@pytest.mark.parametrize("length,gram,step,limit", [(400, 16, 64, None), (60, 8, 8, None), (60, 8, 8, 0), (40, 10, 16, None), (40, 4, 2, None)])
+def test_matches_brute_force(spark, length, gram, step, limit):
     rows = corpus(length, length)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).withColumn("kept", F.lit(1)).withColumn("_text", F.lit("x"))
-    got = [(x.doc_id, x.n_bytes, x.n_removed, len(x.spans), bytes(x.kept)) for x in dedup(df, length, lengths, limit).collect()]
+    got = [(x.doc_id, x.n_bytes, x.n_removed, len(x.spans), bytes(x.kept)) for x in dedup(df, length, gram, step, limit).collect()]
     want = brute(rows, length)
     assert sorted(got, key=str) == want
     assert any(w[2] for w in want)
@@ -52,3 +53,19 @@ def test_matches_brute_force(spark, length, lengths, limit):
 
 def test_empty(spark):
     assert dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_position_names(spark):
+    """Positions are named alike where Spark ranks them and where texts are walked."""
+    keys, at = [0, 1, -1, 2**63 - 1, -(2**63), 12345678901], [0, 1, 2**40, 7, 3, -5]
+    want = [r.h for r in spark.createDataFrame([*zip(keys, at, strict=True)], "k long, i long").select(F.xxhash64("k", "i").alias("h")).collect()]
+    assert position_names(np.array(keys), np.array(at)).view(np.int64).tolist() == want
+
+
+def test_rounds_sort_pairs(spark):
+    """Ranks double: of steps a b c d, e b c d, a b c x the pairs and fours that repeat stay, unique ones leave."""
+    rows = [(1, [1, 2, 3, 4, 5]), (2, [9, 2, 3, 4, 5]), (3, [1, 2, 3, 8]), (4, [7])]
+    got = {r.key: r.kind for r in doubled(spark.createDataFrame(rows, "key long, h array<long>"), 400, 64).collect()}
+    name = lambda k, i: position_names(np.array([k]), np.array([i])).view(np.int64)[0]
+    want = {(1, 0): 2, (1, 1): 4, (1, 2): 2, (1, 3): 2, (1, 4): 1, (2, 1): 4, (2, 2): 2, (2, 3): 2, (2, 4): 1, (3, 0): 2, (3, 1): 2, (3, 2): 1}
+    assert got == {name(*k): v for k, v in want.items()}
