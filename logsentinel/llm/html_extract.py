@@ -1,15 +1,19 @@
 """Main text of HTML by line-block distribution.
 
-Markup is stripped into lines (one for each block element). Lines of menus, headers, footers, sidebars, notices,
-adverts, forms and comments, and lines that are mostly link text, weigh nothing; the others weigh their length. Sums
-over sliding windows of lines then show where text surges and where it dives; the lines between are the main text.
-The level of a surge is absolute, one character: a page's longest line doesn't judge its other lines. So all lines with
-weight from the first surge to the last dive stay, short ones too, and what goes is decided by the weights alone.
-Where the page marks an article (or main) only its lines have weight.
+Markup is stripped into lines, one for each block element. Menus, headers, footers, sidebars, notices, adverts, forms and
+comments are stripped with it, and lines outside a marked article that are mostly link text. A line that is left weighs
+its length; where the page marks an article (or main), lines in it weigh ``LEVEL`` more and the others nothing.
+
+Sums of the weights over sliding windows of lines then show where text surges and where it dives: a region is covered by
+windows of at least ``LEVEL`` characters and runs from its first to its last line with weight. It breaks where a whole
+window of lines weighs nothing. The text between surge and dive is kept, whatever its lines weigh, and nothing else: a
+site's slogan before the surge, or its imprint after the dive, goes even where no tag or class tells what it is. The level is
+absolute, so a page's longest line doesn't judge its other lines; short lines stay with the lines around them.
+A page without any surge is taken whole.
 
 Defined cases: null html is empty; a page without text gives ``""``; a body, main or article
 ends an unclosed header or menu before it, and any other boilerplate element that never ends is read as text;
-nothing is dropped for its length.
+nothing between surge and dive is dropped for its length.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from pyspark.sql import functions as F
 from .storage import bounded_batches
 
 WINDOW = 3  # lines in a window
-SURGE = 1  # characters of a window at which text surges
+LEVEL = 40  # weight of a window at which text surges
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -63,7 +67,7 @@ def _boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
 
 
 def _lines(source: str, ignore: set[int]) -> tuple[list[tuple[str, int, bool]], int]:
-    """(text, weight, in a marked article) for each line; and where a skipped element began that never ends, or -1."""
+    """(text, length or 0 where it is link text, in a marked article) for each line; and where a skipped element began that never ends, or -1."""
     out: list[tuple[str, int, bool]] = []
     text: list[str] = []
     linked = total = article = 0
@@ -129,16 +133,28 @@ def lines(source: str) -> list[tuple[str, int, bool]]:
         ignore.add(unclosed)
 
 
+def regions(weights: list[int]) -> list[tuple[int, int]]:
+    """Surge and dive (the first and the last line) of each region of text."""
+    covered = [False] * len(weights)
+    for i in range(len(weights)):
+        if sum(weights[i : i + WINDOW]) >= LEVEL:
+            covered[i : i + WINDOW] = [True] * len(weights[i : i + WINDOW])
+    out: list[tuple[int, int]] = []
+    for i, w in enumerate(weights):
+        if covered[i] and w:
+            if out and i - out[-1][1] <= WINDOW and all(covered[out[-1][1] : i]):
+                out[-1] = (out[-1][0], i)
+            else:
+                out.append((i, i))
+    return out
+
+
 def main_text(source: str | None) -> str:
-    found = lines(source or "")
-    marked = any(x[2] for x in found)
-    weights = [w if inside or not marked else 0 for _, w, inside in found]
-    sums = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
-    surges = [i for i, x in enumerate(sums) if x >= SURGE]
-    if not surges:
-        return ""
-    start, dive = surges[0], surges[-1] + WINDOW
-    return "\n\n".join(line for (line, _, _), w in zip(found[start:dive], weights[start:dive], strict=True) if w)
+    found = [x for x in lines(source or "") if x[1]]
+    marked = any(inside for _, _, inside in found)
+    weights = [w + LEVEL if inside else 0 if marked else w for _, w, inside in found]
+    between = regions(weights) or [(0, len(found) - 1)]
+    return "\n\n".join(line for surge, dive in between for line, _, _ in found[surge : dive + 1])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

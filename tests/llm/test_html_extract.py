@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from logsentinel.llm.html_extract import extract, main_text
+from logsentinel.llm.html_extract import extract, main_text, regions
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{x}</style><script>var t="</p>";</script></head><body>
 <header><h1>Site</h1></header><nav><ul><li><a href="/a">Home</a></li></ul></nav><!-- <p>no</p> --><div class="ad">Buy now, this is a long advert text.</div>
@@ -26,6 +26,24 @@ def test_long_block_keeps_short_ones():
         assert main_text(page).split("\n\n") == body
 
 
+def test_surge_and_dive_decide():
+    """What lies before the surge or behind the dive goes though nothing marks it; what lies between stays."""
+    text = ["A paragraph of the article that is long enough to be one.", "Yes.", "Another paragraph of the same article, long too."]
+    outside = "<div>Tom's page</div><div>{}</div><div>&copy; Tom</div><div>up</div><div>top</div>"
+    body = "".join(f"<p>{x}</p>" for x in text)
+    assert main_text(outside.format(f"<article>{body}</article>")).split("\n\n") == text
+    slogans = "".join(f"<div>{x}</div>" for x in ("Tom", "home", "a b", "c d"))
+    assert main_text(f"{slogans}<hr>{body}{slogans}").split("\n\n") == ["a b", "c d", *text, "Tom", "home"]  # within a window of the text
+    two = main_text(f"{body}{slogans}{slogans}{slogans}{body}").split("\n\n")
+    assert two == [*text, "Tom", "home", "a b", "c d", *text]  # the lines further off lie between a dive and a surge
+
+
+def test_regions():
+    assert regions([]) == regions([0, 0, 5, 0]) == []
+    assert regions([0, 40, 0, 0, 0, 40]) == [(1, 1), (5, 5)] and regions([0, 40, 0, 0, 40, 0]) == [(1, 4)]
+    assert regions([1, 1, 1, 40, 2, 2, 2, 2]) == [(1, 5)] and regions([14, 13, 13]) == [(0, 2)]
+
+
 def test_edges():
     assert main_text(None) == main_text("") == main_text("<p> \n </p>") == ""
     assert main_text("just text") == "just text"
