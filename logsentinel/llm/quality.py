@@ -3,7 +3,8 @@
 ``statistics`` turns each whole text into a fixed vector (shares of character classes, word lengths, repetition),
 on a log or log-odds scale. ``fit`` takes each class's mean and covariance from distributed moment sums over all
 training rows (no sample), shrinks the covariance towards the pooled one and its diagonal, and caches the Cholesky
-factors. ``score`` is the posterior of label 1 from the difference of the two Mahalanobis log densities.
+factors. How far it shrinks is chosen among ``SHRINKAGES`` by log loss over ``FOLDS`` folds of the training rows: each fold
+is scored by models of the other folds, whose moments are sums that are there already. ``score`` is the posterior of label 1 from the difference of the two Mahalanobis log densities.
 
 Training rows are those whose crc32(doc_id as text) mod 3 is not 1; only the text is an input of the score. Defined
 cases: null text is empty; an empty text has a score like any other; with one class or none in training the score
@@ -104,24 +105,19 @@ class Model:
         return 1 / (1 + np.exp(np.clip(dense[0] - dense[1], -700, 700)))
 
 
-def fit(rows: DataFrame, shrink: float = 0.5, to_diagonal: float = 0.5) -> Model:
-    """rows: x, label (0 or 1). Moments are summed where the rows are; the driver gets one vector a class."""
-    d = len(NAMES)
+#: Weight of the pooled covariance in each class's, and of the diagonal in the pooled one; the first of equals is taken.
+SHRINKAGES = tuple((a, b) for a in (0.1, 0.3, 0.5, 0.8) for b in (0.1, 0.5, 0.9))
+FOLDS = 5
 
-    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, 1 + d + d * d))
-        for b in batches:
-            x = b.column(0).flatten().to_numpy().reshape(-1, d)
-            y = b.column(1).to_numpy()
-            for k in (0, 1):
-                z = x[y == k]
-                total[k] += np.concatenate([[len(z)], z.sum(0), (z.T @ z).ravel()])
-        size = total.shape[1]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat([0, 1], size)), pa.array(np.tile(np.arange(size), 2)), pa.array(total.ravel())], names=["k", "i", "v"])
-
-    sums = np.zeros((2, 1 + d + d * d))
-    for r in rows.select("x", F.col("label").cast("long").alias("label")).mapInArrow(moments, "k long, i long, v double").groupBy("k", "i").agg(F.sum("v").alias("v")).collect():
-        sums[r.k, r.i] = r.v
+
+def fold_of(doc_id: Column) -> Column:
+    """The fold of a training row; null ids are in the first."""
+    return F.coalesce(F.crc32(F.concat(doc_id.cast("string"), F.lit("/fold")).cast("binary")) % FOLDS, F.lit(0)).cast("int")
+
+
+def model_of(sums: np.ndarray, shrink: float, to_diagonal: float) -> Model:
+    """sums: for each class its count, sum of vectors and sum of their outer products."""
+    d = len(NAMES)
     n = sums[:, 0]
     prior = (n[1] + 1) / (n.sum() + 2)
     if n.min() < 2:
@@ -139,6 +135,56 @@ def fit(rows: DataFrame, shrink: float = 0.5, to_diagonal: float = 0.5) -> Model
     return Model(prior, mean, np.array(whiten), np.array(offset))
 
 
+def _rows(b: pa.RecordBatch) -> np.ndarray:
+    return b.column(0).flatten().to_numpy().reshape(-1, len(NAMES))
+
+
+def fit(rows: DataFrame, shrinkages: tuple[tuple[float, float], ...] = SHRINKAGES) -> Model:
+    """rows: x, label (0 or 1), fold. Moments are summed where the rows are; the driver gets one vector a fold and class,
+    and then one number a shrinkage."""
+    d = len(NAMES)
+    width = 1 + d + d * d
+    rows = staged(rows.select("x", F.col("label").cast("int").alias("label"), F.col("fold").cast("int").alias("fold")), "training")
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((FOLDS, 2, width))
+        for b in batches:
+            x, y, fold = _rows(b), b.column(1).to_numpy(), b.column(2).to_numpy()
+            for f in range(FOLDS):
+                for k in (0, 1):
+                    z = x[(y == k) & (fold == f)]
+                    total[f, k] += np.concatenate([[len(z)], z.sum(0), (z.T @ z).ravel()])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["i", "v"])
+
+    sums = np.zeros(FOLDS * 2 * width)
+    for r in rows.mapInArrow(moments, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toLocalIterator():
+        sums[r.i] = r.v
+    sums = sums.reshape(FOLDS, 2, width)
+    if sums.sum(0)[:, 0].min() < 2 or len(shrinkages) == 1:
+        return model_of(sums.sum(0), *shrinkages[0])
+    models = [[model_of(sums.sum(0) - sums[f], *s) for f in range(FOLDS)] for s in shrinkages]
+
+    def losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(models))
+        for b in batches:
+            x, y, fold = _rows(b), b.column(1).to_numpy(), b.column(2).to_numpy()
+            for f in np.unique(fold):
+                at = fold == f
+                for i, m in enumerate(models):
+                    score = np.clip(m[f].score(x[at]), 1e-6, 1 - 1e-6)
+                    total[i] -= np.log(np.where(y[at] == 1, score, 1 - score)).sum()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["i", "v"])
+
+    got = {r.i: r.v for r in rows.mapInArrow(losses, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()}
+    best = min(range(len(models)), key=lambda i: (round(got[i], 6), i))
+    return model_of(sums.sum(0), *shrinkages[best])
+
+
+def _trained(x: DataFrame, labels: DataFrame, label_col: str) -> Model:
+    known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col("doc_id").alias("_doc")).agg(F.max(label_col).alias("label"))
+    return fit(x.where(~held_out(F.col("doc_id"))).join(known, F.col("doc_id") == F.col("_doc")).select("x", "label", fold_of(F.col("doc_id")).alias("fold")))
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
@@ -146,9 +192,7 @@ def held_out(doc_id: Column) -> Column:
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs."""
     x = staged(vectors(docs, id_col, text_col), "vectors")
-    known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col("doc_id").alias("_doc")).agg(F.max(label_col).alias("label"))
-    train = x.where(~held_out(F.col("doc_id"))).join(known, F.col("doc_id") == F.col("_doc")).select("x", "label")
-    model = fit(train)
+    model = _trained(x, labels, label_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -161,8 +205,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs whose text is predicted to be good, all columns unchanged; scored in place, so nothing is shuffled but vectors of training rows."""
     x = staged(vectors(docs), "vectors")
-    known = labels.where(F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("_doc")).agg(F.max("quality").alias("label"))
-    model = fit(x.where(~held_out(F.col("doc_id"))).join(known, F.col("doc_id") == F.col("_doc")).select("x", "label"))
+    model = _trained(x, labels, "quality")
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

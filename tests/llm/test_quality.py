@@ -44,3 +44,46 @@ def test_no_labels_and_empty(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert [x.score for x in quality.classify(docs, none).collect()] == [0.5]
     assert quality.classify(docs.limit(0), none).count() == 0
+
+
+def test_one_class_only(spark):
+    """Without rows of both classes the score is the Laplace share of label 1."""
+    docs = spark.createDataFrame([(i, f"a b {i}") for i in range(30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(30)], "doc_id long, quality int")
+    n = sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(30))
+    assert {x.score for x in quality.classify(docs, labels).collect()} == {round((n + 1) / (n + 2), 9)}
+
+
+def test_scores_against_densities(spark):
+    """Scores from cached factors are those of the densities written out; the shrinkage is the best over the folds, and
+    held-out rows have no part in it."""
+    r = np.random.default_rng(8)
+    d = len(quality.NAMES)
+    mix = r.normal(size=(2, d, d)) * 0.4 + np.eye(d)
+    y = (r.random(600) < 0.6).astype(int)
+    x = np.stack([mix[k] @ r.normal(size=d) + 0.8 * k for k in y])
+    fold = r.integers(0, quality.FOLDS, 600)
+    rows = spark.createDataFrame([(a.tolist(), int(b), int(c)) for a, b, c in zip(x, y, fold, strict=True)], "x array<double>, label int, fold int").repartition(5)
+
+    def direct(train, shrink, diagonal, at):
+        cls = [x[train & (y == k)] for k in (0, 1)]
+        cov = [np.cov(z.T, bias=True) for z in cls]
+        pooled = sum(len(z) * c for z, c in zip(cls, cov, strict=True)) / train.sum()
+        base = (1 - diagonal) * pooled + diagonal * np.diag(np.diag(pooled)) + 1e-6 * np.eye(d)
+        dense = []
+        for z, c in zip(cls, cov, strict=True):
+            s = min(1, shrink + d / len(z))
+            full = (1 - s) * c + s * base
+            off = at - z.mean(0)
+            dense.append(np.log(len(z) / train.sum()) - 0.5 * np.linalg.slogdet(full)[1] - 0.5 * np.einsum("ij,jk,ik->i", off, np.linalg.inv(full), off))
+        return 1 / (1 + np.exp(dense[0] - dense[1]))
+
+    loss = {}
+    for s in quality.SHRINKAGES:
+        p = np.empty(600)
+        for f in range(quality.FOLDS):
+            p[fold == f] = direct(fold != f, *s, x[fold == f])
+        p = np.clip(p, 1e-6, 1 - 1e-6)
+        loss[s] = -np.log(np.where(y == 1, p, 1 - p)).sum()
+    best = min(loss, key=loss.get)
+    assert np.allclose(quality.fit(rows).score(x), direct(np.ones(600, bool), *best, x), atol=1e-7)
