@@ -5,8 +5,10 @@ a unit follow a beta-binomial around its parent's mean; the prior's strength is
 all units of that level. A host's verdict is its posterior bound: ``allow`` where the lower bound of the good share
 is at least ``threshold``, else ``block``. Hosts without labels get their domain's prior, and so on up to the whole.
 
-Counts are partial aggregates by host, so a host with a third of all pages is a few rows before any shuffle, and the
-host table is joined, not collected. Defined cases: a null url or one without ``://`` has empty host and path and
+Counts are partial aggregates by host, so a host with a third of all pages is a few rows before any shuffle; the host
+table is written once, the levels above it are read from there, and it is joined, not collected. The driver sees five numbers:
+the whole's mean and the strengths. A suffix is the last label, or the last two where a country code follows a short label
+of the kind under which names are registered (``SECOND_LEVELS``). Defined cases: a null url or one without ``://`` has empty host and path and
 the verdict of the global prior; rows that repeat a page_id are judged alike; empty tables give no rows or, for the
 outcomes, a flat prior; null outcomes are not counted.
 """
@@ -16,10 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import staged
+
 #: (host, path, verdict); a rule fits its host and all subdomains where the path starts with the rule's.
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
-#: Suffixes of more than one label under which names are registered (fixed values).
-LONG_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "ne.jp", "or.jp", "com.br", "com.cn", "co.in", "co.nz", "co.za", "com.mx", "com.tr")
+#: Labels before a two-letter country code that make a suffix with it (fixed values), whatever the country.
+SECOND_LEVELS = ("ac", "co", "com", "edu", "gob", "gov", "gouv", "mil", "ne", "net", "nom", "or", "org")
 
 
 def lower_ascii(c: Column) -> Column:
@@ -38,36 +42,35 @@ def domain_parts(host: Column) -> tuple[Column, Column]:
     labels = F.split(host, r"\.")
     n = F.size(labels)
     last = lambda k: F.concat_ws(".", F.slice(labels, F.greatest(F.lit(1), n - k + 1), F.lit(k)))
-    long = last(2).isin(*LONG_SUFFIXES)
+    long = (n > 2) & F.element_at(labels, -1).rlike("^[a-z]{2}$") & F.try_element_at(labels, F.lit(-2)).isin(*SECOND_LEVELS)
     return F.when(long, last(3)).otherwise(last(2)), F.when(long, last(2)).otherwise(last(1))
 
 
-def _strength(units: DataFrame, good: str, n: str, mean: str) -> DataFrame:
-    """One row: the prior's strength over units with counts good of n around mean, by moments."""
+def _strength(units: DataFrame, good: str, n: str, mean: str) -> float:
+    """The prior's strength over units with counts good of n around mean, by moments."""
     spread = F.col(n) * F.pow(F.col(good) / F.col(n) - F.col(mean), F.lit(2))
     noise = F.col(mean) * (1 - F.col(mean))
-    got = units.where(F.col(n) > 0).agg(F.sum(spread).alias("s"), F.sum(noise).alias("v"), F.sum((F.col(n) - 1) * noise).alias("w"))
-    rho = F.when(F.col("w") > 0, (F.col("s") - F.col("v")) / F.col("w")).otherwise(0.0)
-    rho = F.least(F.lit(0.9), F.greatest(F.lit(0.001), F.coalesce(rho, F.lit(0.001))))
-    return got.select((1 / rho - 1).alias("_k"))
+    got = units.where(F.col(n) > 0).agg(F.sum(spread).alias("s"), F.sum(noise).alias("v"), F.sum((F.col(n) - 1) * noise).alias("w")).first()
+    rho = (got["s"] - got["v"]) / got["w"] if got["w"] else 0.0
+    return 1 / min(0.9, max(0.001, rho)) - 1
 
 
 def reputation(outcomes: DataFrame) -> DataFrame:
     """outcomes: host, good (1, 0 or null), a row for each page. host, alpha, beta of the posterior for each host."""
     host = outcomes.groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("y"))
     domain, suffix = domain_parts(F.col("host"))
-    host = host.withColumn("domain", domain).withColumn("suffix", suffix)
-    by_domain = host.groupBy("suffix", "domain").agg(F.sum("n").alias("nd"), F.sum("y").alias("yd"))
-    by_suffix = by_domain.groupBy("suffix").agg(F.sum("nd").alias("ns"), F.sum("yd").alias("ys"))
-    whole = by_suffix.agg(((F.coalesce(F.sum("ys"), F.lit(0)) + 1) / (F.coalesce(F.sum("ns"), F.lit(0)) + 2)).alias("m0"))
-    one = lambda a, b: a.join(F.broadcast(b), how="inner")  # noqa: E731  b has one row
-    by_suffix = one(by_suffix, whole)
-    by_suffix = one(by_suffix, _strength(by_suffix, "ys", "ns", "m0")).select("suffix", ((F.col("ys") + F.col("_k") * F.col("m0")) / (F.col("ns") + F.col("_k"))).alias("ms"))
-    by_domain = by_domain.join(by_suffix, "suffix")
-    by_domain = one(by_domain, _strength(by_domain, "yd", "nd", "ms")).select("suffix", "domain", ((F.col("yd") + F.col("_k") * F.col("ms")) / (F.col("nd") + F.col("_k"))).alias("md"))
-    host = host.join(by_domain, ["suffix", "domain"])
-    host = one(host, _strength(host, "y", "n", "md"))
-    return host.select("host", (F.col("y") + F.col("_k") * F.col("md")).alias("alpha"), (F.col("n") - F.col("y") + F.col("_k") * (1 - F.col("md"))).alias("beta"))
+    host = staged(host.withColumn("domain", domain).withColumn("suffix", suffix), "hosts")
+    by_domain = staged(host.groupBy("suffix", "domain").agg(F.sum("n").alias("nd"), F.sum("y").alias("yd")), "domains")
+    by_suffix = staged(by_domain.groupBy("suffix").agg(F.sum("nd").alias("ns"), F.sum("yd").alias("ys")), "suffixes")
+    whole = by_suffix.agg(F.sum("ys").alias("y"), F.sum("ns").alias("n")).first()
+    m0 = ((whole["y"] or 0) + 1) / ((whole["n"] or 0) + 2)
+    by_suffix = by_suffix.withColumn("m0", F.lit(m0))
+    k = _strength(by_suffix, "ys", "ns", "m0")
+    by_domain = by_domain.join(by_suffix.select("suffix", ((F.col("ys") + k * F.col("m0")) / (F.col("ns") + k)).alias("ms")), "suffix")
+    k = _strength(by_domain, "yd", "nd", "ms")
+    host = host.join(by_domain.select("suffix", "domain", ((F.col("yd") + k * F.col("ms")) / (F.col("nd") + k)).alias("md")), ["suffix", "domain"])
+    k = _strength(host, "y", "n", "md")
+    return host.select("host", (F.col("y") + k * F.col("md")).alias("alpha"), (F.col("n") - F.col("y") + k * (1 - F.col("md"))).alias("beta"))
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, threshold: float = 0.5, z: float = 1.645, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -96,7 +99,8 @@ lab AS (SELECT doc_id, max(quality) AS good FROM labels GROUP BY doc_id),
 votes AS (SELECT page_id, max(good) AS good FROM page JOIN lab ON doc = doc_id GROUP BY page_id),
 h AS (SELECT host, count(good) AS n, coalesce(sum(good), 0) AS y FROM page LEFT JOIN votes USING (page_id) GROUP BY host),
 h2 AS (SELECT *, string_split(host, '.') AS l FROM h),
-h3 AS (SELECT host, n, y, array_to_string(l[greatest(1, len(l) - 1):], '.') AS domain, l[len(l)] AS suffix FROM h2),
+h25 AS (SELECT *, CASE WHEN len(l) > 2 AND regexp_full_match(l[len(l)], '[a-z]{2}') AND l[len(l) - 1] IN ('ac', 'co', 'com', 'edu', 'gob', 'gov', 'gouv', 'mil', 'ne', 'net', 'nom', 'or', 'org') THEN 1 ELSE 0 END AS more FROM h2),
+h3 AS (SELECT host, n, y, array_to_string(l[greatest(1, len(l) - 1 - more):], '.') AS domain, array_to_string(l[len(l) - more:], '.') AS suffix FROM h25),
 d AS (SELECT suffix, domain, sum(n) AS nd, sum(y) AS yd FROM h3 GROUP BY ALL),
 s AS (SELECT suffix, sum(nd) AS ns, sum(yd) AS ys FROM d GROUP BY ALL),
 m AS (SELECT (coalesce(sum(ys), 0) + 1) / (coalesce(sum(ns), 0) + 2) AS m0 FROM s),

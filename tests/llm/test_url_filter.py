@@ -28,3 +28,12 @@ def test_rules_and_reputation(spark):
     assert got[0].verdict == "allow" and got[100].verdict == "block"
     assert got[207].posterior_bound > got[208].posterior_bound  # domains pass on what their hosts have earned
     assert judge(p.limit(0), o).count() == 0 and judge(p, o.limit(0)).count() == len(pages)
+
+
+def test_suffixes(spark):
+    from logsentinel.llm.url_filter import domain_parts
+
+    want = {"a.b.example.co.uk": ("example.co.uk", "co.uk"), "example.com": ("example.com", "com"), "x.example.com": ("example.com", "com"), "co.uk": ("co.uk", "uk"), "localhost": ("localhost", "localhost"), "": ("", ""), "s.gov.za": ("s.gov.za", "gov.za"), "a.com.example.de": ("example.de", "de")}
+    df = spark.createDataFrame([(h,) for h in want], "host string")
+    d, s = domain_parts(F.col("host"))
+    assert {r.host: (r.d, r.s) for r in df.select("host", d.alias("d"), s.alias("s")).collect()} == want
