@@ -13,7 +13,9 @@
    while chance likeness is not.
 
 The benchmark is a stated query set: it goes out in blocks of at most ``BLOCK_ITEMS`` items and ``BLOCK_CHARS``
-characters, each against all documents. Y and the counts are summed in two levels before they reach the driver.
+characters, as many of them at once as ``LOT_BYTES`` hold, each against all documents: one pass for Y and one search a lot.
+Y is summed in levels of ``FAN`` parts before it reaches the driver, parts by number of the task and in its order, so
+tasks that run again give the same parts and reruns the same sums.
 Defined cases: null and empty texts match nothing; items without words match nothing; equal items are reported each;
 rows that repeat a doc_id are searched each and reported once; empty tables give no rows.
 """
@@ -25,15 +27,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .repeats import prepared
-from .storage import staged
+from .storage import free_name, staged
 from .tokens import IS_SPACE, U64, slices, word_bounds, word_hashes
 
 #: So a block's dense item-term table stays under some 70 MB.
 BLOCK_ITEMS, BLOCK_CHARS = 500, 200_000
+#: Bytes of the dense tables of the blocks that one pass takes along.
+LOT_BYTES = 150_000_000
+FAN = 64
 BUCKET_BITS = 16
 PASSAGE = 32
 SIZES = (12, 24, 48)
@@ -157,52 +163,77 @@ def _known(q: Query, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return q.terms[at] == words, at
 
 
-def singular_vectors(src: DataFrame, q: Query, rank: int = RANK) -> np.ndarray:
-    """Leading right singular vectors of the TF-IDF passages over q's terms: (terms, rank), orthonormal."""
-    n = len(q.terms)
-    width = min(rank + EXTRA, n)
-    omega = np.random.default_rng(7).standard_normal((n, width)).astype(np.float32)
-    sent = src.sparkSession.sparkContext.broadcast((q, omega))
+def singular_vectors(src: DataFrame, queries: list[Query], rank: int = RANK) -> list[np.ndarray]:
+    """For each block, leading right singular vectors of the TF-IDF passages over its terms: (terms, rank), orthonormal."""
+    omegas = []
+    for q in queries:
+        n = len(q.terms)
+        omegas.append(np.random.default_rng(7).standard_normal((n, min(rank + EXTRA, n))).astype(np.float32))
+    sent = src.sparkSession.sparkContext.broadcast((queries, omegas))
+    names = ["block", "task", "part"]
 
     def project(batches):
-        q, omega = sent.value
-        total = np.zeros((len(q.terms), omega.shape[1]))
-        scaled = omega * q.weight[:, None]
+        queries, omegas = sent.value
+        totals = [np.zeros(o.shape) for o in omegas]
         for b in batches:
             for _, _, words, first in _words(b.column("_text")):
-                if not len(words):
-                    continue
-                has, at = _known(q, words)
-                term, passage = at[has], _passages(first)[has]
-                if not len(term):
-                    continue
-                norm = np.sqrt(np.bincount(passage, q.weight[term] ** 2))
-                edge = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]])
-                z = np.zeros((int(passage[-1]) + 1, omega.shape[1]), np.float32)
-                for k in range(0, len(edge), 20_000):
-                    lo, hi = edge[k], edge[k + 20_000] if k + 20_000 < len(edge) else len(term)
-                    z[passage[edge[k : k + 20_000]]] = np.add.reduceat(scaled[term[lo:hi]], edge[k : k + 20_000] - lo, axis=0)
-                z /= np.maximum(norm, 1e-9)[:, None] ** 2  # both sides of A'A
-                order = np.argsort(term, kind="stable")
-                t, p = term[order], passage[order]
-                for lo in range(0, len(t), 200_000):
-                    block = t[lo : lo + 200_000]
-                    cut = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-                    total[block[cut]] += np.add.reduceat(z[p[lo : lo + 200_000]], cut, axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array([int(np.random.default_rng().integers(1 << 30))]), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["salt", "part"])
+                if len(words):
+                    passages = _passages(first)
+                    for q, omega, total in zip(queries, omegas, totals, strict=True):
+                        _project(q, omega, words, passages, total)
+        task = TaskContext.get().partitionId()
+        for k, total in enumerate(totals):
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([task], pa.int64()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=names)
 
     def add(batches):
-        total = np.zeros((n, width))
+        key, total = None, None
         for b in batches:
-            for part in b.column("part"):
-                total += np.frombuffer(part.as_buffer(), np.float32).reshape(n, width)
-        yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["part"])
-
-    parts = src.select("_text").mapInArrow(project, "salt long, part binary")
-    y = np.zeros((n, width))
-    for r in parts.repartition(12, "salt").select("part").mapInArrow(add, "part binary").toLocalIterator():
-        y += np.frombuffer(r.part, np.float32).reshape(n, width)
-    y *= q.weight[:, None]
+            for block, task, part in zip(*(b.column(c) for c in names), strict=True):
+                now, x = (block.as_py(), task.as_py() // FAN), np.frombuffer(part.as_buffer(), np.float32)
+                if now != key and key is not None:
+                    yield _part(key, total, names)
+                    total = None
+                key, total = now, x.astype(np.float64) if total is None else total + x
+        if key is not None:
+            yield _part(key, total, names)
+
+    parts = src.select("_text").mapInArrow(project, "block long, task long, part binary")
+    for _ in range(2):
+        parts = parts.repartition("block", F.floor(F.col("task") / FAN)).sortWithinPartitions("block", "task").mapInArrow(add, "block long, task long, part binary")
+    sums = [np.zeros(o.shape) for o in omegas]
+    for r in parts.orderBy("block", "task").toLocalIterator():
+        sums[r.block] += np.frombuffer(r.part, np.float32).reshape(sums[r.block].shape)
+    return [_basis(q, omega, y, rank) for q, omega, y in zip(queries, omegas, sums, strict=True)]
+
+
+def _part(key, total, names) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([key[0]]), pa.array([key[1]], pa.int64()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=names)
+
+
+def _project(q: Query, omega: np.ndarray, words: np.ndarray, passages: np.ndarray, total: np.ndarray) -> None:
+    """Adds A'A * omega of the passages of a slice to total (but for the weight of each term)."""
+    has, at = _known(q, words)
+    term, passage = at[has], passages[has]
+    if not len(term):
+        return
+    scaled = omega * q.weight[:, None]
+    norm = np.sqrt(np.bincount(passage, q.weight[term] ** 2))
+    edge = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]])
+    z = np.zeros((int(passage[-1]) + 1, omega.shape[1]), np.float32)
+    for k in range(0, len(edge), 20_000):
+        lo, hi = edge[k], edge[k + 20_000] if k + 20_000 < len(edge) else len(term)
+        z[passage[edge[k : k + 20_000]]] = np.add.reduceat(scaled[term[lo:hi]], edge[k : k + 20_000] - lo, axis=0)
+    z /= np.maximum(norm, 1e-9)[:, None] ** 2  # both sides of A'A
+    order = np.argsort(term, kind="stable")
+    t, p = term[order], passage[order]
+    for lo in range(0, len(t), 200_000):
+        block = t[lo : lo + 200_000]
+        cut = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+        total[block[cut]] += np.add.reduceat(z[p[lo : lo + 200_000]], cut, axis=0)
+
+
+def _basis(q: Query, omega: np.ndarray, y: np.ndarray, rank: int) -> np.ndarray:
+    y = y * q.weight[:, None]
     own = q.vectors.T @ (q.vectors @ omega)
     y = y / max(np.linalg.norm(y), 1e-9) + own / max(np.linalg.norm(own), 1e-9)
     core = omega.T @ y
@@ -294,20 +325,35 @@ def find(docs: DataFrame, benchmark: DataFrame, lcs_share: float = 0.6, gate: fl
     schema = "doc_id long, item_id long, lcs double, start long"
     out = spark.createDataFrame([], schema)
     idf = None
-    for block in _blocks(benchmark):
+    for lot in _lots(benchmark):
         if idf is None:
             idf, _ = frequencies(src)
-        q = query_of(block, idf)
-        if not q.items:
+        queries = [q for q in (query_of(block, idf) for block in lot) if q.items]
+        if not queries:
             continue
-        q.basis = singular_vectors(src, q)
-        latent = q.vectors @ q.basis
-        q.latent = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)).astype(np.float32)
-        q.short = _short_items(q)
-        out = out.union(_matches(src, spark.sparkContext.broadcast(q), schema, lcs_share, gate, cosine, share))
+        for q, basis in zip(queries, singular_vectors(src, queries), strict=True):
+            q.basis = basis
+            latent = q.vectors @ basis
+            q.latent = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+            q.short = _short_items(q)
+        out = out.union(_matches(src, spark.sparkContext.broadcast(queries), schema, lcs_share, gate, cosine, share))
     return out.groupBy("doc_id", "item_id").agg(F.max(F.struct("lcs", (-F.col("start")).alias("s"))).alias("m")).select("doc_id", "item_id", "m.lcs", (-F.col("m.s")).alias("start"))
 
 
+def _lots(benchmark: DataFrame) -> Iterator[list[list[tuple[int, str]]]]:
+    """Blocks of the benchmark, as many together as LOT_BYTES hold of their tables of items by words."""
+    lot, held = [], 0
+    for block in _blocks(benchmark):
+        size = 4 * len(block) * sum(len(t) for _, t in block) // 6  # a word, and so a term at most, for each six characters
+        if lot and held + size > LOT_BYTES:
+            yield lot
+            lot, held = [], 0
+        lot.append(block)
+        held += size
+    if lot:
+        yield lot
+
+
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     block, chars = [], 0
     for r in benchmark.select("item_id", "text").where("text is not null").toLocalIterator():
@@ -320,50 +366,51 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield block
 
 
+def _best(q: Query, words: np.ndarray, first: np.ndarray, lcs_share: float, gate: float, cosine: float, share: float) -> dict[tuple[int, int], tuple[float, int]]:
+    """The best match of each item in each row of a slice: its share of the item's words, and minus its place."""
+    best: dict[tuple[int, int], tuple[float, int]] = {}
+    has, at = _known(q, words)
+    square = q.idf[_bucket(words)] ** 2
+    mass = [np.concatenate([[0], np.cumsum(np.where(has, square, 0))]), np.concatenate([[0], np.cumsum(square)])]
+    seen = set()
+
+    def look(row, item, a, z):
+        region = words[a:z].tolist()
+        got = lcs(q.items[item], region) / len(q.items[item])
+        answer = q.answers[item]
+        if got >= lcs_share and (not answer or 2 * len(answer & set(region)) >= len(answer)):
+            best[row, item] = max(best.get((row, item), (0.0, 0)), (got, -int(a - first[row])))
+
+    for item, row, a, z in _look_up(q, words, first, has, at, share):
+        look(row, item, a, z)
+    n = np.diff(first)
+    for size in SIZES:
+        step = size // 4
+        count = np.where(n > 0, np.maximum(n - size, 0) // step + 1 + (np.maximum(n - size, 0) % step > 0), 0)
+        doc = np.repeat(np.arange(len(n)), count)
+        inner = (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)) * step
+        begin = first[doc] + np.minimum(inner, np.maximum(n[doc] - size, 0))
+        end = np.minimum(begin + size, first[doc + 1])
+        for item, pos in _search(q, words, begin, end, has, at, mass, gate, cosine, share):
+            row = int(np.searchsorted(first, pos, side="right")) - 1
+            m = len(q.items[item])
+            slack = m // 4  # one look serves all windows that begin within it
+            where = (row, item, pos // max(1, slack))
+            if where not in seen:
+                seen.add(where)
+                look(row, item, max(first[row], pos - m - slack), min(first[row + 1], pos + size + m + slack))
+    return best
+
+
 def _matches(src: DataFrame, sent, schema: str, lcs_share: float, gate: float, cosine: float, share: float) -> DataFrame:
     def search(batches):
-        q = sent.value
         for b in batches:
-            best: dict[tuple[int, int], tuple[float, int]] = {}
+            ids, rows = b.column("_id").to_pylist(), []
             for lo, _, words, first in _words(b.column("_text")):
-                if not len(words):
-                    continue
-                has, at = _known(q, words)
-                square = q.idf[_bucket(words)] ** 2
-                mass = [np.concatenate([[0], np.cumsum(np.where(has, square, 0))]), np.concatenate([[0], np.cumsum(square)])]
-                seen = set()
-
-                def look(row, item, a, z, lo=lo, words=words, first=first, best=best):
-                    region = words[a:z].tolist()
-                    got = lcs(q.items[item], region) / len(q.items[item])
-                    if got >= lcs_share:
-                        answer = q.answers[item]
-                        if not answer or 2 * len(answer & set(region)) >= len(answer):
-                            key = (lo + row, item)
-                            best[key] = max(best.get(key, (0.0, 0)), (got, -int(a - first[row])))
-
-                for item, row, a, z in _look_up(q, words, first, has, at, share):
-                    look(row, item, a, z)
-                for size in SIZES:
-                    n = np.diff(first)
-                    step = size // 4
-                    count = np.where(n > 0, np.maximum(n - size, 0) // step + 1 + (np.maximum(n - size, 0) % step > 0), 0)
-                    doc = np.repeat(np.arange(len(n)), count)
-                    inner = (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)) * step
-                    begin = first[doc] + np.minimum(inner, np.maximum(n[doc] - size, 0))
-                    end = np.minimum(begin + size, first[doc + 1])
-                    for item, pos in _search(q, words, begin, end, has, at, mass, gate, cosine, share):
-                        row = int(np.searchsorted(first, pos, side="right")) - 1
-                        m = len(q.items[item])
-                        slack = m // 4  # one look serves all windows that begin within it
-                        a, z = max(first[row], pos - m - slack), min(first[row + 1], pos + size + m + slack)
-                        where = (row, item, pos // max(1, slack))
-                        if where in seen:
-                            continue
-                        seen.add(where)
-                        look(row, item, a, z)
-            ids = b.column("_id").to_pylist()
-            rows = [(ids[row], q.ids[item], got, -start) for (row, item), (got, start) in best.items()]
+                if len(words):
+                    for q in sent.value:
+                        best = _best(q, words, first, lcs_share, gate, cosine, share)
+                        rows += [(ids[lo + row], q.ids[item], got, -start) for (row, item), (got, start) in best.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int64()))], names=["doc_id", "item_id", "lcs", "start"])
 
     return src.mapInArrow(search, schema)
@@ -371,5 +418,5 @@ def _matches(src: DataFrame, sent, schema: str, lcs_share: float, gate: float, c
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that leak no item; rows that repeat a doc_id go together."""
-    bad = staged(find(docs, benchmark).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_leak"]), "left_anti")
+    bad = staged(find(docs, benchmark).select("doc_id").distinct(), "leaks").withColumnRenamed("doc_id", free_name(docs, "leak"))
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad[bad.columns[0]]), "left_anti")

@@ -53,17 +53,18 @@ def test_finds_copies_and_paraphrases(spark):
     df = spark.createDataFrame([*docs, (1000, None), (1001, ""), (None, "x")], "doc_id long, text string").withColumn("item_id", F.lit(1)).repartition(5)
     bench = spark.createDataFrame([*items, (99, None), (98, "")], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in d.find(df, bench).collect()}
-    # every pair that the last checks accept, by brute force over all places of all documents
-    hashed = {k: d._hash_text(t) for k, t in items}
+    # every pair that the last checks accept at any place, by brute force over all places of all documents
     brute = set()
-    for i, t in docs:
-        words = d._hash_text(t)
-        for k, x in hashed.items():
-            m = len(x)
-            if any(d.lcs(x, words[a : a + 3 * m]) >= 0.75 * m for a in range(0, max(1, len(words)), max(1, m // 2))):
-                brute.add((i, k))
-    assert want <= brute | got
-    assert got == want
+    for k, t in items:
+        x, answer = d._hash_text(t), set(d._hash_text(d.answer_of(t)))
+        m = len(x)
+        for i, body in docs:
+            words = d._hash_text(body)
+            for a in range(0, max(1, len(words) - m // 2), max(1, m // 8)):
+                region = words[a : a + m + m // 4]
+                if len(set(x) & set(region)) >= 0.5 * len(set(x)) and lcs_table(x, region) >= 0.6 * m and 2 * len(answer & set(region)) >= len(answer):
+                    brute.add((i, k))
+    assert want <= brute and got == brute
     kept = d.keep_clean(df, bench)
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i, _ in docs} - {i for i, _ in want} | {1000, 1001, None}
 
@@ -86,3 +87,31 @@ def test_blocks_and_empty(spark, monkeypatch):
     monkeypatch.setattr(d, "BLOCK_ITEMS", 16)
     assert {(r.doc_id, r.item_id) for r in d.find(df, bench).collect()} == want
     assert d.find(df.limit(0), bench).count() == 0 and d.find(df, bench.limit(0)).count() == 0
+
+
+def test_lots_and_reruns(spark, monkeypatch):
+    """Several blocks in one pass, or a pass each, and other partitions give the same rows; two runs the very same numbers."""
+    docs, items, want = corpus(9)
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string").repartition(7), spark.createDataFrame(items, "item_id long, text string")
+    src = d.prepared(df)
+    idf, _ = d.frequencies(src)
+    queries = [d.query_of(x, idf) for x in (items[:10], items[10:])]
+    monkeypatch.setattr(d, "FAN", 2)
+    one, two = d.singular_vectors(src, queries), d.singular_vectors(src, queries)
+    assert all((a == b).all() for a, b in zip(one, two, strict=True))
+    for a, q in zip(one, queries, strict=True):
+        assert a.shape[0] == len(q.terms) and np.allclose(a.T @ a, np.eye(a.shape[1]), atol=1e-4)
+    monkeypatch.setattr(d, "BLOCK_ITEMS", 7)
+    for lot in (d.LOT_BYTES, 1):
+        monkeypatch.setattr(d, "LOT_BYTES", lot)
+        assert {(r.doc_id, r.item_id) for r in d.find(df, bench).collect()} == want
+
+
+def test_long_text_and_ties(spark):
+    """A text of 200,000 words, an item at its very end, items of equal text, rows that repeat an id."""
+    docs, items, _ = corpus(2)
+    filler = "x".join(docs[1][1].split()[:3]) + " "
+    df = spark.createDataFrame([(1, filler * 200_000 + items[3][1]), (2, "no"), (2, items[3][1]), (2, items[3][1])], "doc_id long, text string")
+    bench = spark.createDataFrame([items[3], (77, items[3][1])], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in d.find(df, bench).collect()) == [(1, 3), (1, 77), (2, 3), (2, 77)]
+    assert d.keep_clean(df, bench).count() == 0
