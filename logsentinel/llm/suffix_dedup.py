@@ -107,13 +107,13 @@ class Slice:
         stop = np.minimum(np.append(start[1:], np.iinfo(np.int64).max), end[owner])
         return start, stop, np.searchsorted(self.at, start), np.searchsorted(self.at, start + self.length - self.gram, side="right") - 1
 
-    def open_runs(self, level: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """level: steps that repeat at each position. Start, end and name of the runs that may repeat; and a mask of those
-        without a position, which have no name."""
+    def named_runs(self, level: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end and name of the runs; and a mask of those without a position, which have no name. level: steps that
+        repeat at each position; then only of the runs that may repeat."""
         start, stop, first, last = self.runs()
         n = last - first
         maybe = np.ones(len(n), bool)
-        for size in self.sizes:
+        for size in self.sizes if level is not None else ():
             at = np.flatnonzero((n >= size) & ((n < 2 * size) | (size == self.sizes[-1])))
             a, b = first[at], last[at] - size
             mid = np.minimum(a + size, b)
@@ -185,11 +185,12 @@ def dedup(docs: DataFrame, length: int = 400, gram: int = GRAM, step: int = STEP
         for lo, hi, data, off in slices(b.column("_text")):
             yield lo, hi, data, Slice(data, off, length, gram, step), b.column("_key").slice(lo, hi - lo).to_numpy()
 
-    def open_runs(s: Slice, key: np.ndarray, entries: Entries):
-        return s.open_runs(_kinds(entries, position_names(key[s.doc], s.index)))
+    def ranked_runs(s: Slice, key: np.ndarray, entries: Entries):
+        return s.named_runs(_kinds(entries, position_names(key[s.doc], s.index)))
 
     def keys(b, entries, depth):
-        """What each document looks up: 0 its text and positions, 1 its open runs, 2 the windows of runs still open."""
+        """What each document looks up: 0 its text and positions, 1 the runs that these leave, 2 the windows of runs that
+        those leave."""
         rows, names = [np.zeros(0, np.int64)], [np.zeros(0, U64)]
         if depth == 0:
             rows += [np.arange(b.num_rows)] * 2
@@ -199,10 +200,10 @@ def dedup(docs: DataFrame, length: int = 400, gram: int = GRAM, step: int = STEP
                 rows.append(lo + s.doc)
                 names.append(position_names(key[s.doc], s.index))
                 continue
-            start, stop, name, bare = open_runs(s, key, entries)
             if depth == 1:
-                at = start
+                at, _, name, _ = ranked_runs(s, key, entries)
             else:
+                start, stop, name, bare = s.named_runs()
                 kind = _kinds(entries, name)
                 pick = bare | (kind == AMBIGUOUS)
                 at, name = s.windows(start[pick], stop[pick])
@@ -219,40 +220,40 @@ def dedup(docs: DataFrame, length: int = 400, gram: int = GRAM, step: int = STEP
             yield pa.RecordBatch.from_arrays([pa.array(key), lists], names=["key", "h"]).filter(pa.array(size > 0))
 
     steps = staged(Lookup(table, "copies", broadcast_rows).run(src, cut_up, lambda b, e, d: (np.arange(b.num_rows).repeat(2), np.stack([b.column("_hash").to_numpy(), b.column("_key").to_numpy()], 1).ravel().view(U64)), "key long, h array<long>"), "steps")
-    look = Lookup(table.union(doubled(steps, length, step)), "positions", broadcast_rows)
+    positions = Lookup(table.union(doubled(steps, length, step)), "positions", broadcast_rows)
 
     def compare(b, entries):
         got = []
         for _, _, _, s, key in parts(own(b, entries)):
-            start, stop, name, bare = open_runs(s, key, entries)
+            start, stop, name, bare = ranked_runs(s, key, entries)
             start, stop, name = (x[~bare] for x in (start, stop, name))
             got.append((name, s.roll.ranges(start, stop - 1 + length)))
         if got:
             yield _counted(*(np.concatenate(x) for x in zip(*got, strict=True)))
 
-    runs = look.run(src, compare, keys, "key long, n long, lo long, hi long")
+    runs = positions.run(src, compare, keys, "key long, n long, lo long, hi long")
     runs = runs.groupBy("key").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("n > 1")
     runs = runs.select("key", F.when(F.col("lo") == F.col("hi"), SETTLED).otherwise(AMBIGUOUS).cast("long").alias("kind"))
-    look = Lookup(look.table.union(runs), "runs", broadcast_rows)
+    runs = Lookup(table.union(runs), "runs", broadcast_rows)  # positions have done their part: runs that don't repeat aren't in it
 
     def single(b, entries):
         got = []
         for _, _, _, s, key in parts(own(b, entries)):
-            start, stop, name, bare = open_runs(s, key, entries)
+            start, stop, name, bare = s.named_runs()
             pick = bare | (_kinds(entries, name) == AMBIGUOUS)
             got.append(s.windows(start[pick], stop[pick])[1])
         if got:
             names, n = np.unique(np.concatenate(got), return_counts=True)
             yield pa.RecordBatch.from_arrays([signed(names), pa.array(n)], names=["key", "n"])
 
-    found = look.run(src, single, keys, "key long, n long", [look]).groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
-    look = Lookup(look.table.union(found.select("key", F.lit(WINDOW).cast("long").alias("kind"))), "windows", broadcast_rows)
+    found = runs.run(src, single, keys, "key long, n long", [positions]).groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
+    windows = Lookup(runs.table.union(found.select("key", F.lit(WINDOW).cast("long").alias("kind"))), "windows", broadcast_rows)
 
     def remove(b, entries):
         copied = _kinds(entries, b.column("_hash").to_numpy().view(U64)) == COPIED
         for lo, hi, data, s, key in parts(b):
             cut = np.zeros(len(data) + 1, np.int32)
-            start, stop, name, bare = open_runs(s, key, entries)
+            start, stop, name, bare = s.named_runs()
             kind = _kinds(entries, name)
             whole = (kind == SETTLED) & ~bare
             np.add.at(cut, start[whole], 1)
@@ -267,7 +268,7 @@ def dedup(docs: DataFrame, length: int = 400, gram: int = GRAM, step: int = STEP
             yield _result(b.column("_id").slice(lo, hi - lo), data, s.off, np.cumsum(cut)[:-1] > 0)
 
     schema = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
-    return look.run(src, remove, keys, schema, [look, look])
+    return windows.run(src, remove, keys, schema, [positions, runs])
 
 
 def _result(ids, data, off, cut) -> pa.RecordBatch:
