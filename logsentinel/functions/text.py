@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,6 +28,14 @@ REDACTIONS = (
 )
 
 
+#: What a text must hold, in lower case, for each pattern to match at all; letters that fold to ASCII ones stand for any.
+MARKERS = (
+    ("private key-----",), ("://",), ("authorization",), ("passw", "pwd", "secret", "token", "credential", *(f"{a}{b}key" for a in ("api", "access", "private") for b in ("", "_", "-"))),
+    ("github_pat_",), ("ghp_", "gho_", "ghs_", "ghu_", "ghr_"), ("sk-ant-",), ("sk-",), ("glpat-",), ("xox",), ("akia",), ("@",),
+)
+FOLDING = ("\u017f", "\u0131", "\u212a", "\u0130")
+
+
 def java_regex(pattern: str, flags: str = "") -> str:
     """A Python pattern for Java's engine: Unicode classes, only \\n ends a line, named groups respelled."""
     out = re.sub(r"\(\?P<(\w+)>", r"(?<\1>", pattern)
@@ -36,10 +45,26 @@ def java_regex(pattern: str, flags: str = "") -> str:
 
 
 def redact(text: Column) -> Column:
-    """Secrets and e-mail addresses replaced by placeholders; redacting twice changes nothing."""
-    for pattern, flags, new in REDACTIONS:
-        text = F.regexp_replace(text, java_regex(pattern, flags), new)
-    return text
+    """Secrets and e-mail addresses replaced by placeholders; redacting twice changes nothing. A pattern only runs on texts
+    that hold one of its markers: placeholders bring none, so the markers are looked for once, in the text as it comes."""
+
+    def bound(value: Column, then) -> Column:  # the value is computed once, however often then refers to it
+        return F.element_at(F.transform(F.array(value), then), 1)
+
+    def replaced(has: Column, pattern: str, new: str):
+        return lambda t: F.when(has, F.regexp_replace(t, pattern, new)).otherwise(t)
+
+    def run(seen: Column) -> Column:
+        out = seen["text"]
+        folds = reduce(Column.__or__, [seen["text"].contains(c) for c in FOLDING])
+        for (pattern, flags, new), markers in zip(REDACTIONS, MARKERS, strict=True):
+            has = reduce(Column.__or__, [seen["low"].contains(m) for m in markers])
+            if "i" in flags:
+                has = has | folds
+            out = bound(out, replaced(has, java_regex(pattern, flags), new))
+        return out
+
+    return bound(F.struct(text.alias("text"), F.lower(text).alias("low")), run)
 
 
 def redact_text(text: object) -> str:

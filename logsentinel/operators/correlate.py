@@ -1,4 +1,8 @@
-"""Correlation: findings of one ip, from different rules and sources, within one window."""
+"""Correlation: findings of one ip, from different rules and sources, within one window.
+
+Rules report an ip once (streaks aside), so an ip's findings are few; all windows and the groups share one exchange by ip, and
+the findings are computed once.
+"""
 
 from __future__ import annotations
 
@@ -15,6 +19,7 @@ def correlate(findings: DataFrame, rule: RuleConfig, sources: dict[str, str | No
     order = ["first_seen", "rule_ord", "emit"]
     known = {k: v for k, v in sources.items() if v}
     source = F.coalesce(*(F.when(F.col("rule_id") == k, v) for k, v in known.items())) if known else F.lit(None).cast("string")
+    by_ip = Window.partitionBy("ip")
     f = findings.where("ip IS NOT NULL").withColumn("_us", F.unix_micros("first_seen")).withColumn("_source", source).withColumn("_i", F.row_number().over(Window.partitionBy("ip").orderBy(*order)))
     ahead = Window.partitionBy("ip").orderBy("_us").rangeBetween(0, span)
     near = F.filter(F.collect_list(F.struct("_i", "rule_id", "_source")).over(ahead), lambda x: x["_i"] >= F.col("_i"))
@@ -22,20 +27,19 @@ def correlate(findings: DataFrame, rule: RuleConfig, sources: dict[str, str | No
     enough = rules >= least
     if rule.params.get("require_distinct_sources", True):
         enough = enough & (F.size(F.array_distinct(F.filter(F.transform(near, lambda x: x["_source"]), lambda s: s.isNotNull()))) >= 2)
-    anchors = f.withColumn("_ok", enough).where("_ok").groupBy("ip").agg(F.min(F.struct("_i", "_us")).alias("_a")).select(F.col("ip").alias("_ip"), F.col("_a._i").alias("_ai"), F.col("_a._us").alias("_aus"))
-    group = f.join(anchors, (f["ip"] == anchors["_ip"]) & (F.col("_i") >= F.col("_ai")) & (F.col("_us") <= F.col("_aus") + span))
+    # reports follow the place of each ip's first finding: by rule, then by time
+    f = f.withColumn("_a", F.min(F.when(enough, F.struct("_i", "_us"))).over(by_ip)).withColumn("_first", F.min(F.struct("rule_ord", "emit")).over(by_ip))
+    group = f.where((F.col("_i") >= F.col("_a._i")) & (F.col("_us") <= F.col("_a._us") + span))
     members = F.array_sort(F.collect_list(F.struct("_i", "evidence", "users", "rule_id")))
-    got = group.groupBy("ip").agg(members.alias("_m"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("count").alias("count"))
+    got = group.groupBy("ip").agg(members.alias("_m"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("count").alias("count"), F.min("_first").alias("_first"))
     ids = F.array_sort(F.array_distinct(F.transform("_m", lambda x: x["rule_id"])))
     got = got.withColumns({
         "correlated_rule_ids": ids, "users": F.array_sort(F.array_distinct(F.flatten(F.transform("_m", lambda x: x["users"])))), "evidence": F.flatten(F.transform("_m", lambda x: x["evidence"])),
         "title": F.concat(F.lit("Multi-vector attack correlated on "), "ip"),
         "description": F.concat(F.col("ip"), F.lit(" triggered "), F.size(ids).cast("string"), F.lit(" distinct rules ("), F.array_join(ids, ", "), F.lit(") across multiple log sources within one window — likely a single coordinated attack.")),
     })
-    # reports follow the place of each ip's first finding: by rule, then by time
-    first = findings.where("ip IS NOT NULL").groupBy(F.col("ip").alias("_ip2")).agg(F.min(F.struct("rule_ord", "emit")).alias("_first"))
     place = F.struct((F.col("_first.rule_ord") * F.lit(10**17) + F.col("_first.emit.us")).alias("us"), "_first.emit.source_rank", "_first.emit.file_ord", "_first.emit.line_no")
-    got = got.join(first, got["ip"] == first["_ip2"]).withColumn("emit", place)
+    got = got.withColumn("emit", place)
     return finish(got, rule, ordinal)
 
 
