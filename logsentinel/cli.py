@@ -1,104 +1,31 @@
-"""Command line: analyze, watch, users. Exit codes: 0 nothing loud, 1 a high finding is shown, 2 a usage or input error."""
+"""Command line. Exit codes: 0 nothing loud, 1 a high finding is shown, 2 a usage or input error."""
 
 from __future__ import annotations
 
 import argparse
-import getpass
-import os
 import sys
-import tempfile
-
-from pyspark.sql import SparkSession
 
+from .commands import discovered
 from .functions.text import redact_text
-from .plans.analyze import analyze, at_least, exit_code
-from .rules import DEFAULT_RULES, ConfigError, apply_env, load_env_file, load_rules
-from .sinks.alerts import build_dispatcher
-from .sinks.export import WRITERS, report
+from .rules import ConfigError, apply_env, load_env_file
 from .sources.parsers import UnknownFormatError
 
 
-def session(name: str = "logsentinel") -> SparkSession:
-    return SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.scheduler.mode", "FAIR").getOrCreate()
-
-
-def _analyze(args: argparse.Namespace) -> int:
-    config, spark = load_rules(args.rules), session()
-    result = analyze(spark, args.files, config, args.format)
-    shown = at_least(result.findings, args.min_severity) if args.min_severity else result.findings
-    shown = shown.persist()
-    print(report(shown, result.events.count(), result.failures.count()))
-    if args.export:
-        WRITERS[args.export](shown, args.output)
-        print(f"wrote {args.output}")
-    if args.alert:
-        for o in build_dispatcher(config.alerts).dispatch(result.findings):
-            print(f"alert {o.sink}: {'sent' if o.ok else 'failed: ' + (o.error or '')}")
-    return exit_code(shown)
-
-
-def _watch(args: argparse.Namespace) -> int:
-    from .streaming.watch import WatchSession
-
-    def show(findings):
-        for f in findings:
-            print(redact_text(f"[{f['severity']}] {f['rule_id']}: {f['title']} ({f['count']})"), flush=True)
-
-    watch = WatchSession(session(), args.files, load_rules(args.rules), args.checkpoint or tempfile.mkdtemp(prefix="logsentinel-watch-"), args.format, args.interval, on_findings=show)
-    watch.run(max_seconds=args.seconds)
-    n = watch.counters()
-    print(f"{n['findings']} finding(s) across {n['events']} event(s); {n['failures']} line(s) failed to parse.")
-    return 0
-
-
-def _users(args: argparse.Namespace) -> int:
-    from .control.users import Role, UserStore
-
-    store = UserStore(args.store)
-    if args.do == "list":
-        for u in store.list_users():
-            print(u.username, u.role.value)
-    elif args.do == "remove":
-        if not store.remove(args.username):
-            raise ConfigError(f"no user {args.username!r}")
-    else:
-        try:
-            store.add(args.username, os.environ.get("LOGSENTINEL_PASSWORD") or getpass.getpass(), Role(args.role))
-        except ValueError as e:
-            raise ConfigError(str(e)) from e
-    return 0
+def parser() -> argparse.ArgumentParser:
+    top = argparse.ArgumentParser(prog="logsentinel")
+    top.add_argument("--env-file", default=".env")
+    commands = top.add_subparsers(dest="command", required=True)
+    for module in discovered():
+        module.register(commands)
+    return top
 
 
 def main(argv: list[str] | None = None) -> int:
-    top = argparse.ArgumentParser(prog="logsentinel")
-    top.add_argument("--env-file", default=".env")
-    sub = top.add_subparsers(dest="command", required=True)
-    for name, run in (("analyze", _analyze), ("watch", _watch)):
-        p = sub.add_parser(name)
-        p.set_defaults(run=run)
-        p.add_argument("files", nargs="+")
-        p.add_argument("--rules", default=str(DEFAULT_RULES))
-        p.add_argument("--format", default="auto", choices=["auto", "apache", "syslog"])
-        if name == "analyze":
-            p.add_argument("--min-severity")
-            p.add_argument("--export", choices=sorted(WRITERS))
-            p.add_argument("--output")
-            p.add_argument("--alert", action="store_true")
-        else:
-            p.add_argument("--interval", type=float, default=0.5)
-            p.add_argument("--seconds", type=float)
-            p.add_argument("--checkpoint")
-    p = sub.add_parser("users")
-    p.set_defaults(run=_users)
-    p.add_argument("do", choices=["add", "list", "remove"])
-    p.add_argument("username", nargs="?")
-    p.add_argument("--role", default="analyst", choices=["analyst", "admin"])
-    p.add_argument("--store", default="users.db")
+    top = parser()
     args = top.parse_args(argv)
-    if getattr(args, "export", None) and not args.output:
-        top.error("--export needs --output")
-    if args.command == "users" and args.do != "list" and not args.username:
-        top.error("a user name is needed")
+    wrong = args.check(args) if hasattr(args, "check") else None
+    if wrong:
+        top.error(wrong)
     apply_env(load_env_file(args.env_file))
     try:
         return args.run(args)

@@ -18,6 +18,7 @@ from ..functions.text import redact_text
 from ..plans.analyze import analyze
 from ..rules import AppConfig
 from ..sinks.export import to_dicts
+from .users import Permission, User, require_own_or
 
 
 class JobStatus(StrEnum):
@@ -46,16 +47,11 @@ class Job:
     stats: dict[str, float] = field(default_factory=dict)
 
 
-class CancelToken:
-    def __init__(self):
-        self._event = threading.Event()
+class CancelToken(threading.Event):
+    """Set when the job is to stop."""
 
-    def cancel(self) -> None:
-        self._event.set()
-
-    @property
-    def cancelled(self) -> bool:
-        return self._event.is_set()
+    cancel = threading.Event.set
+    cancelled = property(threading.Event.is_set)
 
 
 class JobWorker(Protocol):
@@ -136,6 +132,12 @@ class JobQueue:
             self._worker.interrupt(job_id)
         return True
 
+    def cancel_as(self, user: User, job_id: str) -> bool:
+        """A user's own jobs; those of others only with the permission for any."""
+        job = self.get(job_id)
+        require_own_or(user, job.submitted_by if job else user.username, Permission.CANCEL_JOB, Permission.CANCEL_ANY_JOB)
+        return self.cancel(job_id)
+
     def wait(self, job_id: str, timeout: float = 60) -> Job | None:
         end = time.monotonic() + timeout
         while time.monotonic() < end:

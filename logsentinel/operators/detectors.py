@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import any_match, any_prefix, excerpt, unquote
-from ..rules import RuleConfig
+from ..rules import OWN_TYPES, RULE_TYPES, RuleConfig
 from ..schema import EVIDENCE, FINDING, order_of, severity_rank
 from .windows import first_fire, trailing_before, trailing_count, trailing_distinct
 
@@ -24,10 +24,13 @@ REGISTRY: dict[str, Detector] = {}
 
 
 def detector(*types: str) -> Callable[[Detector], Detector]:
-    """Register a detector for rule types; so may code outside this package."""
+    """Register a detector for rule types; so may code outside this package, and rule files may then name its types. Its
+    findings need ip, users, title, description, emit and the columns of from_list. A stream needs ``streaming.detector.
+    follows`` for the type too."""
 
     def add(fn: Detector) -> Detector:
         REGISTRY.update(dict.fromkeys(types, fn))
+        OWN_TYPES.update(set(types) - set(RULE_TYPES))
         return fn
 
     return add
@@ -100,6 +103,7 @@ def _no_users() -> Column:
     return F.array().cast("array<string>")
 
 
+#: Titles and descriptions of findings are part of the output format (fixed values).
 DESCRIBE: dict[str, Callable[[DataFrame, RuleConfig], DataFrame]] = {}
 
 

@@ -26,24 +26,27 @@ class AnalysisResult:
     events: DataFrame
     failures: DataFrame
     findings: DataFrame
+    kept: tuple[DataFrame, ...] = ()
 
     def unpersist(self) -> None:
-        self.events.unpersist()
-        self.failures.unpersist()
+        """Release what the plan keeps; the frames can still be computed."""
+        for df in self.kept:
+            df.unpersist()
 
 
 def parse_files(spark: SparkSession, paths: list[str], fmt: str = "auto", reference: datetime | None = None) -> DataFrame:
     """All lines of all files, parsed. Web files are parsed first: their latest event is the instant that the yearless
     auth timestamps are read against (else now), unless a reference is given."""
-    lines = text.read(spark, paths)
+    files = text.listed(spark, paths)
+    lines = text.read_files(spark, files)
     if fmt.strip().lower() == "auto":
         scores = {r.file_ord: r.asDict() for r in parsers.sniff_scores(lines).collect()}  # a row a file
-        chosen = [parsers.choose(scores.get(i, {})) for i in range(len(paths))]
-        for path, parser in zip(paths, chosen, strict=True):
+        chosen = [parsers.choose(scores.get(i, {})) for i in range(len(files))]
+        for file, parser in zip(files, chosen, strict=True):
             if parser is None:
-                raise parsers.UnknownFormatError(f"could not detect the log format of {path}")
+                raise parsers.UnknownFormatError(f"could not detect the log format of {file.name}")
     else:
-        chosen = [parsers.get_parser(fmt)] * len(paths)
+        chosen = [parsers.get_parser(fmt)] * len(files)
 
     def of(parser: parsers.Parser) -> DataFrame:
         return lines.where(F.col("file_ord").isin(*(i for i, p in enumerate(chosen) if p is parser)))
@@ -72,14 +75,14 @@ def split_rules(config: AppConfig) -> tuple[list[tuple[int, RuleConfig]], list[t
     return found, [(last + i, r) for i, r in rules if r.type == "multi-vector-correlation"], {r.id: r.source for _, r in rules}
 
 
-def detect(events: DataFrame, config: AppConfig) -> DataFrame:
-    """Findings of all enabled rules, correlations last; these never feed other correlations."""
+def detect(events: DataFrame, config: AppConfig) -> tuple[DataFrame, tuple[DataFrame, ...]]:
+    """Findings of all enabled rules, correlations last; these never feed other correlations. And what is kept for them."""
     rules, joint, sources = split_rules(config)
     parts = [detectors.build(events, r, i) for i, r in rules]
     found = reduce(DataFrame.unionByName, parts) if parts else empty_findings(events.sparkSession)
     if joint:
         found = found.persist(StorageLevel.MEMORY_AND_DISK)  # read by each correlation and the union
-    return reduce(DataFrame.unionByName, [correlate(found, r, sources, i) for i, r in joint], found)
+    return reduce(DataFrame.unionByName, [correlate(found, r, sources, i) for i, r in joint], found), (found,) if joint else ()
 
 
 def analyze(spark: SparkSession, paths: list[str], config: AppConfig, fmt: str = "auto", reference: datetime | None = None, warn: int = 20) -> AnalysisResult:
@@ -89,7 +92,8 @@ def analyze(spark: SparkSession, paths: list[str], config: AppConfig, fmt: str =
     events, failures = parsers.events_and_failures(parsed)
     for f in failures.orderBy("file", "line_no").limit(warn).collect():
         log.warning("%s:%d: %s", f.file, f.line_no, f.reason)
-    return AnalysisResult(events, failures, detect(events, config))
+    findings, kept = detect(events, config)
+    return AnalysisResult(events, failures, findings, (parsed, *kept))
 
 
 def in_order(findings: DataFrame) -> DataFrame:

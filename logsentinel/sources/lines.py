@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,42 +11,76 @@ from pyspark.sql import functions as F
 
 from ..rules import ConfigError
 
-#: Every line boundary of the whole-file reader.
-BREAKS = "\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]"
-#: Files above this size are read in blocks.
+#: Line boundaries that Spark's line reader doesn't know, and all of them.
+MORE_BREAKS = "[\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+BREAKS = f"\r\n|[\n\r]|{MORE_BREAKS}"
+#: Files above this size are read in blocks; their lines are the same.
 WHOLE_BYTES = 64 << 20
 
 
-def whole(spark: SparkSession, path: str, ordinal: int) -> DataFrame:
-    """One file as (file, file_ord, line_no, value); invalid UTF-8 becomes U+FFFD."""
-    text = spark.read.text(path, wholetext=True).select(F.split(F.make_valid_utf8("value"), BREAKS, -1).alias("v"))
-    n = F.size("v") - F.when(F.element_at("v", -1) == "", 1).otherwise(0)
-    rows = text.select(F.posexplode(F.slice("v", F.lit(1), n)).alias("pos", "value"))
-    return rows.select(F.lit(path).alias("file"), F.lit(ordinal).alias("file_ord"), (F.col("pos") + 1).cast("int").alias("line_no"), "value")
-
-
-def blocks(spark: SparkSession, path: str, ordinal: int) -> DataFrame:
-    """A large file, split where Spark splits it: a line's number is its place in its block plus the lines of the blocks
-    before it, so no file passes through one task. Lines end at \\n, \\r or \\r\\n."""
-    df = spark.read.text(path).select(F.make_valid_utf8("value").alias("value"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
-    sizes = df.groupBy("_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
-    sizes = sizes.select(F.col("_block").alias("_b"), "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    out = df.join(sizes, df["_block"] == sizes["_b"])
-    return out.select(F.lit(path).alias("file"), F.lit(ordinal).alias("file_ord"), (F.col("_id") - F.col("_first") + F.col("_before") + 1).cast("int").alias("line_no"), "value")
+class LogFile(NamedTuple):
+    name: str  # as it is reported
+    path: str  # as it is read
+    uri: str  # as Spark's file metadata has it
+    size: int
 
 
-def read(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """All files in argument order; a file given twice is read twice."""
-    parts = []
-    for i, path in enumerate(paths):
+def listed(spark: SparkSession, paths: list[str]) -> list[LogFile]:
+    """The files of all paths in argument order, those of a folder or pattern by name; a file given twice is there twice."""
+    out = []
+    for path in paths:
         try:
-            size = spark.read.format("binaryFile").load(path).select("length").first()
+            found = spark.read.format("binaryFile").load(path).select("path", "length", F.col("_metadata.file_path").alias("uri")).orderBy("path").collect()
         except AnalysisException as e:
             raise ConfigError(f"log file not found: {path}") from e
         except Exception as e:
             raise ConfigError(f"cannot read {path}: {e}") from e
-        parts.append((whole if size is None or size[0] <= WHOLE_BYTES else blocks)(spark, path, i))
-    if not parts:
+        if not found:
+            raise ConfigError(f"log file not found: {path} holds no files")
+        plain = [r.path.removeprefix("file://").removeprefix("file:") for r in found]
+        own = len(found) == 1 and plain[0].endswith("/" + path.rsplit("/", 1)[-1])
+        out += [LogFile(path if own else name, r.path, r.uri, r.length) for r, name in zip(found, plain, strict=True)]
+    if not out:
         raise ConfigError("no log files given")
+    return out
+
+
+def whole(spark: SparkSession, files: list[tuple[int, LogFile]]) -> DataFrame:
+    """Files as (file, file_ord, line_no, value), in one scan; invalid UTF-8 becomes U+FFFD."""
+    text = spark.read.text(sorted({f.path for _, f in files}), wholetext=True).select(F.split(F.make_valid_utf8("value"), BREAKS, -1).alias("v"), F.col("_metadata.file_path").alias("_uri"))
+    n = F.size("v") - F.when(F.element_at("v", -1) == "", 1).otherwise(0)
+    rows = text.select("_uri", F.posexplode(F.slice("v", F.lit(1), n)).alias("pos", "value"))
+    names = spark.createDataFrame([(f.uri, f.name, i) for i, f in files], "_of string, file string, file_ord int")
+    rows = rows.join(F.broadcast(names), F.col("_uri") == F.col("_of"))  # a row a file
+    return rows.select("file", "file_ord", (F.col("pos") + 1).cast("int").alias("line_no"), "value")
+
+
+def blocks(spark: SparkSession, file: LogFile, ordinal: int) -> DataFrame:
+    """A large file, split where Spark splits it: a line's number is its place in its block plus the lines of the blocks
+    before it, so no file passes through one task. Where the other boundaries stand within Spark's lines these are cut
+    there, and counted in order within their block. (Only at the very end of a file without a last line feed, such a
+    boundary leaves an empty line that ``whole`` doesn't count.)"""
+    pieces = F.split(F.make_valid_utf8("value"), MORE_BREAKS, -1)
+    df = spark.read.text(file.path).select(pieces.alias("v"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    sizes = df.groupBy("_block").agg(F.min("_id").alias("_first"), F.sum(F.size("v")).alias("_n"), F.max(F.size("v")).alias("_most"))
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
+    sizes = sizes.select(F.col("_block").alias("_b"), "_first", "_most", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    place = F.col("_id") - F.col("_first")
+    if (sizes.agg(F.max("_most")).first()[0] or 1) > 1:
+        so_far = F.sum(F.size("v")).over(Window.partitionBy("_block").orderBy("_id").rowsBetween(Window.unboundedPreceding, -1))
+        df, place = df.withColumn("_at", F.coalesce(so_far, F.lit(0))), F.col("_at")
+    out = df.join(sizes, df["_block"] == sizes["_b"]).withColumn("_line", place + F.col("_before") + 1)
+    out = out.select("_line", F.posexplode("v").alias("pos", "value"))
+    return out.select(F.lit(file.name).alias("file"), F.lit(ordinal).alias("file_ord"), (F.col("_line") + F.col("pos")).cast("int").alias("line_no"), "value")
+
+
+def read_files(spark: SparkSession, files: list[LogFile]) -> DataFrame:
+    small = [(i, f) for i, f in enumerate(files) if f.size <= WHOLE_BYTES]
+    parts = [whole(spark, small)] if small else []
+    parts += [blocks(spark, f, i) for i, f in enumerate(files) if f.size > WHOLE_BYTES]
     return reduce(DataFrame.unionByName, parts)
+
+
+def read(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """All files of all paths; their ordinals are their places in ``listed``."""
+    return read_files(spark, listed(spark, paths))

@@ -9,7 +9,7 @@ an older row in a later batch joins the windows as they then stand (no watermark
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import any_prefix, excerpt
 from ..operators import detectors as d
-from ..rules import RuleConfig
+from ..rules import ConfigError, RuleConfig
 from ..schema import EVIDENCE, order_of
 
 KINDS = {"brute-force": "count", "rate-limit-abuse": "count", "scanner-burst": "distinct", "ssh-invalid-user-enum": "distinct", "brute-force-success": "success", "rapid-success-after-failures": "streak", "path-traversal": "all", "sqli-probe": "all", "sudo-sensitive-command": "all"}
@@ -27,6 +27,16 @@ _HIT = "struct<us:bigint,source_rank:int,file_ord:int,line_no:int,file:string,ex
 OUT = f"rule_ord int, ip string, hits array<{_HIT}>, names array<string>, wait double"
 
 
+#: For types of one's own: what an event counts as under a rule.
+MARKS: dict[str, Callable[[RuleConfig], tuple[Column, Column, Column]]] = {}
+
+
+def follows(kind: str, state: str, mark: Callable[[RuleConfig], tuple[Column, Column, Column]], threshold: int = 5) -> None:
+    """Register how a rule type of one's own runs on a stream: its state (count, distinct, success, streak or all) and its
+    mark, (counts, succeeds, value) of an event. What describes its findings is registered with ``detectors.describes``."""
+    KINDS[kind], MARKS[kind], THRESHOLDS[kind] = state, mark, threshold
+
+
 def mark(rule: RuleConfig) -> tuple[Column, Column, Column]:
     """(counts, succeeds, value) of an event under a rule."""
     no, none, p = F.lit(False), F.lit(None).cast("string"), rule.params
@@ -40,7 +50,11 @@ def mark(rule: RuleConfig) -> tuple[Column, Column, Column]:
         "path-traversal": lambda: (d.pattern_hit(rule), no, none),
         "sqli-probe": lambda: (d.pattern_hit(rule), no, none),
         "sudo-sensitive-command": lambda: (d.sudo_hit(rule), no, F.coalesce(F.when(F.col("user") != "", F.col("user")), F.lit("unknown"))),
-    }[rule.type]()
+        **{k: (lambda f=f: f(rule)) for k, f in MARKS.items()},
+    }.get(rule.type)
+    if got is None:
+        raise ConfigError(f"rule {rule.id!r}: type {rule.type!r} has no form on a stream")
+    got = got()
     source = F.lit(True) if rule.source is None else F.col("source") == rule.source
     return got[0] & source, got[1] & source & ~got[0], got[2]
 

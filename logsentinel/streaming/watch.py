@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import threading
+import time
 from collections.abc import Callable
 from datetime import datetime
 from functools import reduce
@@ -14,6 +15,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from ..operators.correlate import correlate, new_correlations
 from ..plans.analyze import empty_findings, split_rules
@@ -24,6 +26,32 @@ from .detector import as_findings, fired
 from .tail_source import TailSource
 
 
+class _Progress(StreamingQueryListener):
+    """What each batch of a query has read, as it is reported, and the number of polls."""
+
+    def __init__(self):
+        self.query_id, self.polls, self.last = None, 0, -1
+        self.counts: dict[int, tuple[int, int]] = {}
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        if str(p.id) == self.query_id:
+            seen = p.observedMetrics.get("lines")
+            if seen and (seen["events"] or seen["failures"]):
+                self.counts[p.batchId] = (seen["events"], seen["failures"])
+            self.polls, self.last = self.polls + 1, p.batchId
+
+    def onQueryIdle(self, event) -> None:
+        if str(event.id) == self.query_id:
+            self.polls += 1
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
 class WatchSession:
     """A streaming query over files. Offsets, detector state and reported findings live in the checkpoint folder, so a
     restarted session goes on where it stopped and reports nothing twice."""
@@ -31,7 +59,7 @@ class WatchSession:
     def __init__(self, spark: SparkSession, paths: list[str], config: AppConfig, checkpoint: str, fmt: str = "auto", interval: float = 0.5, reference: datetime | None = None, on_findings: Callable[[list[dict[str, Any]]], None] | None = None):
         self.spark, self.config, self.checkpoint, self.interval, self.on_findings = spark, config, checkpoint.rstrip("/"), interval, on_findings
         self.rules, self.joint, self.sources = split_rules(config)
-        self.events = self.failures = self.findings = 0
+        self._progress, self._written = _Progress(), set()
         self._reference = reference
         fmt = fmt if fmt.strip().lower() == "auto" else parsers.get_parser(fmt).name
         spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -47,7 +75,9 @@ class WatchSession:
         parsed = self._parsed().observe("lines", F.count(F.when(F.col("reason").isNull(), 1)).alias("events"), F.count("reason").alias("failures"))
         found = fired(parsers.events_and_failures(parsed)[0], self.rules)
         trigger = {"availableNow": True} if available_now else {"processingTime": f"{int(self.interval * 1000)} milliseconds"}
+        self.spark.streams.addListener(self._progress)
         self.query = found.writeStream.outputMode("append").option("checkpointLocation", f"{self.checkpoint}/query").trigger(**trigger).foreachBatch(self._batch).start()
+        self._progress.query_id = str(self.query.id)
 
     def _history(self, before: int) -> DataFrame:
         path = f"{self.checkpoint}/findings"
@@ -59,6 +89,7 @@ class WatchSession:
 
     def _batch(self, batch: DataFrame, batch_id: int) -> None:
         """Idempotent: a batch that is run again writes the same folder."""
+        self._keep_counts()
         path = f"{self.checkpoint}/findings/batch={batch_id}"
         batch = batch.persist()  # the detectors' state advances once
         new = as_findings(batch, self.rules)
@@ -71,10 +102,12 @@ class WatchSession:
             near = single.join(F.broadcast(latest), F.col("last_seen") >= F.col("_latest") - F.make_dt_interval(secs=F.lit(span))).drop("_latest")  # one row
             joint = [new_correlations(correlate(near, r, self.sources, i), past.where(F.col("rule_id") == r.id)) for i, r in self.joint]
             new = reduce(DataFrame.unionByName, joint, new)
-        new.coalesce(1).write.mode("overwrite").parquet(path)
-        rows = self.spark.read.schema(FINDING).parquet(path).orderBy(F.desc("severity_rank"), "rule_ord", "emit").collect()
+        new = new.persist()
+        rows = new.orderBy(F.desc("severity_rank"), "rule_ord", "emit").collect()
+        if rows:  # most polls find nothing and leave no folder
+            new.coalesce(1).write.mode("overwrite").parquet(path)
+        new.unpersist()
         batch.unpersist()
-        self.findings += len(rows)
         if rows and self.on_findings:
             self.on_findings([r.asDict(recursive=True) for r in rows])
 
@@ -82,15 +115,36 @@ class WatchSession:
         """Wait until all that the files hold now is processed."""
         self.query.processAllAvailable()
 
+    def _keep_counts(self) -> None:
+        """Totals of the batches reported so far go to the checkpoint, one row a batch that read lines."""
+        for batch in sorted(set(self._progress.counts) - self._written):
+            events, failures = self._progress.counts[batch]
+            self.spark.createDataFrame([(events, failures)], "events long, failures long").coalesce(1).write.mode("overwrite").parquet(f"{self.checkpoint}/totals/batch={batch}")
+            self._written.add(batch)
+
     def counters(self) -> dict[str, int]:
-        seen = [m for p in (self.query.recentProgress if self.query else []) if (m := p.observedMetrics.get("lines"))]
-        return {"events": sum(m["events"] for m in seen), "failures": sum(m["failures"] for m in seen), "findings": self.findings}
+        """Totals over the life of the checkpoint: whatever ran before, and however many batches."""
+        end = time.monotonic() + 5
+        while self.query and self.query.lastProgress and self._progress.last < self.query.lastProgress["batchId"] and time.monotonic() < end:
+            time.sleep(0.05)  # a batch is reported a moment after it ends
+        self._keep_counts()
+        out = {"events": 0, "failures": 0, "findings": 0}
+        for folder, names, sums in (("totals", ("events", "failures"), (F.sum("events"), F.sum("failures"))), ("findings", ("findings",), (F.count(F.lit(1)),))):
+            try:
+                got = self.spark.read.parquet(f"{self.checkpoint}/{folder}").agg(*sums).first()
+            except AnalysisException:  # nothing is written yet
+                continue
+            out |= {k: v or 0 for k, v in zip(names, got, strict=True)}
+        return out
 
-    def run(self, stop: threading.Event | None = None, max_seconds: float | None = None) -> None:
-        """Until stopped, interrupted or out of time."""
+    def run(self, stop: threading.Event | None = None, max_seconds: float | None = None, max_polls: int | None = None) -> None:
+        """Until stopped, interrupted, out of time or after so many polls (of the files, with or without new lines)."""
         self.start()
+        stop, end = stop or threading.Event(), time.monotonic() + (max_seconds if max_seconds is not None else float("inf"))
         try:
-            (stop or threading.Event()).wait(max_seconds)
+            while time.monotonic() < end and self.query.isActive and (max_polls is None or self._progress.polls < max_polls):
+                if stop.wait(min(self.interval, max(0.0, end - time.monotonic()), 1.0)):
+                    break
         except KeyboardInterrupt:
             pass
         finally:
@@ -99,3 +153,5 @@ class WatchSession:
     def stop(self) -> None:
         if self.query:
             self.query.stop()
+            self.counters()
+            self.spark.streams.removeListener(self._progress)

@@ -204,3 +204,69 @@ def test_windows_match_naive_loops(spark, seed, parts):
     assert got(RuleConfig("r", "brute-force", True, "high", "web", 10, {"threshold": 6})) == naive(fails, "count", 10, 6)
     assert got(RuleConfig("r", "scanner-burst", True, "high", "web", 10, {"threshold": 4, "statuses": [401]})) == naive(fails, "distinct", 10, 4)
     assert got(RuleConfig("r", "brute-force-success", True, "high", "web", 10, {"threshold": 5})) == naive(events, "success", 10, 5)
+
+
+def test_line_breaks_do_not_depend_on_size(spark, tmp_path, monkeypatch):
+    """A file read in blocks has the lines and numbers of the same file read whole, other boundaries within lines included."""
+    r = random.Random(5)
+    p = tmp_path / "odd.log"
+    p.write_bytes("".join(f"line {i}" + r.choice(["", "", "", "\x0b", " a\x0cb", "\u2028x\x85y", "\x1c"]) + r.choice(["\n", "\r\n"]) for i in range(3000)).encode())
+    want = text.read(spark, [str(p)]).orderBy("line_no").collect()
+    monkeypatch.setattr(text, "WHOLE_BYTES", 10)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        assert text.read(spark, [str(p)]).orderBy("line_no").collect() == want and len(want) > 4000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_folders_and_patterns(spark, tmp_path):
+    for name, n in (("b.log", 2), ("a.log", 1), ("c.txt", 3)):
+        (tmp_path / name).write_text("".join(f"{name} {i}\n" for i in range(n)))
+    got = text.read(spark, [str(tmp_path), str(tmp_path / "*.log"), str(tmp_path / "a.log")]).collect()
+    assert sorted((x.file_ord, x.file.rsplit("/", 1)[1], x.line_no) for x in got) == [(0, "a.log", 1), (1, "b.log", 1), (1, "b.log", 2), (2, "c.txt", 1), (2, "c.txt", 2), (2, "c.txt", 3), (3, "a.log", 1), (4, "b.log", 1), (4, "b.log", 2), (5, "a.log", 1)]
+    with pytest.raises(ConfigError):
+        text.read(spark, [str(tmp_path / "*.none")])
+
+
+def test_rule_types_of_ones_own(spark, tmp_path):
+    from logsentinel.operators import detectors as d
+    from logsentinel.streaming.detector import KINDS, MARKS, mark
+
+    rule = {"rules": [{"id": "mine", "type": "teapot", "severity": "low"}]}
+    with pytest.raises(ConfigError):
+        parse_rules(rule)
+
+    @d.detector("teapot")
+    def teapot(events, rule):
+        hits = events.where("status = 418").groupBy("ip").agg(F.array_sort(F.collect_list(d._proof())).alias("_hits"), F.min("_o").alias("emit"))
+        return d.DESCRIBE["brute-force"](d.from_list(hits), rule)
+
+    try:
+        (tmp_path / "t.log").write_text("".join(access(at(i), status=418) + "\n" for i in range(3)))
+        got = analyze(spark, [str(tmp_path / "t.log")], parse_rules(rule)).findings.collect()
+        assert [(r.rule_id, r["count"]) for r in got] == [("mine", 3)]
+        with pytest.raises(ConfigError):
+            mark(parse_rules(rule).rules[0])
+        from logsentinel.streaming.detector import follows
+
+        follows("teapot", "all", lambda r: (F.col("status") == 418, F.lit(False), F.lit(None).cast("string")))
+        assert len(mark(parse_rules(rule).rules[0])) == 3
+    finally:
+        from logsentinel.rules import OWN_TYPES
+
+        for known in (OWN_TYPES.discard, lambda k: d.REGISTRY.pop(k, None), lambda k: KINDS.pop(k, None), lambda k: MARKS.pop(k, None)):
+            known("teapot")
+
+
+def test_adversarial_lines_in_time(spark):
+    """A megabyte in one line, and paths made to backtrack, take no more than seconds on any operator that reads them."""
+    import time
+
+    long = ["/" + "../" * 70_000, "/?q=" + "%2527%20or" * 20_000, "/" + "a" * 1_000_000, "/" + "union" * 40_000]
+    rows = [access(path=x) for x in long] + ["\x00\x1b[31m" + "b" * 1_000_000]
+    began = time.monotonic()
+    assert parsers.parse_access(frame(spark, rows)).count() == len(rows)
+    secrets = "password=" + "x" * 500_000 + " http://" + "u:" * 100_000 + "@h a" + "b." * 100_000 + "@c.org"
+    got = spark.createDataFrame([(secrets,)], "t string").select(redact(F.col("t")).alias("r")).first().r
+    assert got.startswith("password=[REDACTED] ") and time.monotonic() - began < 30

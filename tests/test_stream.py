@@ -74,3 +74,24 @@ def test_watch_matches_batch_and_restarts(spark, tmp_path):
         assert not [x for x in got[n:] if x["rule_id"] == "ssh-brute-force"]  # once an ip
     finally:
         session.stop()
+
+
+def test_totals_outlive_the_session(spark, tmp_path):
+    """Totals are those of all batches, not of the last hundred, and go on after a restart; quiet polls leave no folder."""
+    f = tmp_path / "access.log"
+    f.write_text("".join(access(at(i)) + "\n" for i in range(10)))
+    args = (spark, [str(f)], load_rules(), str(tmp_path / "cp"))
+    session = WatchSession(*args, interval=0.1)
+    session.run(max_seconds=60, max_polls=4)
+    assert session.counters() == {"events": 10, "failures": 0, "findings": 0}
+    with f.open("a") as out:
+        out.write("broken\n" + "".join(access(at(100 + i), path="/login", status=401) + "\n" for i in range(6)))
+    session = WatchSession(*args, interval=0.1)
+    session.start()
+    try:
+        session.process_available()
+        assert session.counters() == {"events": 16, "failures": 1, "findings": 1}
+    finally:
+        session.stop()
+    assert WatchSession(*args).counters() == {"events": 16, "failures": 1, "findings": 1}
+    assert len(list((tmp_path / "cp" / "findings").glob("batch=*"))) == 1
