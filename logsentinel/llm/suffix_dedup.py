@@ -166,7 +166,7 @@ def doubled(steps: DataFrame, length: int, step: int) -> DataFrame:
         ahead = F.max("rank1").over(Window.partitionBy("key").orderBy("i").rangeBetween(size // 2, size // 2))
         held = _ranked(held.withColumnRenamed("rank", "rank1").withColumn("rank2", ahead).where("rank2 is not null"), "rank1", "rank2")
         found = found.union(held.select("key", "i", F.lit(size).alias("kind")))
-    return found.groupBy(F.xxhash64("key", "i").alias("key")).agg(F.max("kind").cast("long").alias("kind"))
+    return found.groupBy(F.xxhash64("key", "i").alias("key")).agg(F.max("kind").cast("tinyint").alias("kind"))
 
 
 def dedup(docs: DataFrame, length: int = 400, gram: int = GRAM, step: int = STEP, broadcast_rows: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -174,7 +174,7 @@ def dedup(docs: DataFrame, length: int = 400, gram: int = GRAM, step: int = STEP
     src = prepared(docs, id_col, text_col).withColumns({"_key": F.xxhash64(F.lit(1), "_id", "_text"), "_hash": F.xxhash64("_text")})
     texts = src.where(F.octet_length("_text") >= length).groupBy("_hash").agg(F.count(F.lit(1)).alias("n"), F.min("_key").alias("least")).where("n > 1")
     texts = staged(texts, "copies")
-    table = texts.select(F.col("_hash").alias("key"), F.lit(COPIED).cast("long").alias("kind")).union(texts.select("least", F.lit(STANDS).cast("long")))
+    table = texts.select(F.col("_hash").alias("key"), F.lit(COPIED).cast("tinyint").alias("kind")).union(texts.select("least", F.lit(STANDS).cast("tinyint")))
 
     def own(b: pa.RecordBatch, entries: Entries) -> pa.RecordBatch:
         """The rows that stand for their text."""
@@ -233,7 +233,7 @@ def dedup(docs: DataFrame, length: int = 400, gram: int = GRAM, step: int = STEP
 
     runs = positions.run(src, compare, keys, "key long, n long, lo long, hi long")
     runs = runs.groupBy("key").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("n > 1")
-    runs = runs.select("key", F.when(F.col("lo") == F.col("hi"), SETTLED).otherwise(AMBIGUOUS).cast("long").alias("kind"))
+    runs = runs.select("key", F.when(F.col("lo") == F.col("hi"), SETTLED).otherwise(AMBIGUOUS).cast("tinyint").alias("kind"))
     runs = Lookup(table.union(runs), "runs", broadcast_rows)  # positions have done their part: runs that don't repeat aren't in it
 
     def single(b, entries):
@@ -247,7 +247,7 @@ def dedup(docs: DataFrame, length: int = 400, gram: int = GRAM, step: int = STEP
             yield pa.RecordBatch.from_arrays([signed(names), pa.array(n)], names=["key", "n"])
 
     found = runs.run(src, single, keys, "key long, n long", [positions]).groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
-    windows = Lookup(runs.table.union(found.select("key", F.lit(WINDOW).cast("long").alias("kind"))), "windows", broadcast_rows)
+    windows = Lookup(runs.table.union(found.select("key", F.lit(WINDOW).cast("tinyint").alias("kind"))), "windows", broadcast_rows)
 
     def remove(b, entries):
         copied = _kinds(entries, b.column("_hash").to_numpy().view(U64)) == COPIED
