@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, media, mixing, ngram_join, pii, quality, substring_dedup, suffix_dedup, url_filter
+from . import decontaminate, html_extract, media, mixing, ngram_join, oracles, pii, quality, substring_dedup, suffix_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,11 +50,13 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_of(docs: DataFrame) -> DataFrame:
-    """Each document as a page that shows its payload as a captioned figure, parsed and resolved again."""
-    html = F.concat(F.lit("<figure><img src='media:"), media.digest(F.col("text")), F.lit("'><figcaption>"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("</figcaption></figure>"))
+    """Each document as a page that shows its payload between two paragraphs as a figure captioned with its id, parsed and
+    resolved again: position and caption tell whether references stay aligned. (No html of ``pages`` holds media.)"""
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    html = F.concat(F.lit("<p>A document.</p><figure><img src='media:"), media.digest(F.col("text")), F.lit("'><figcaption>"), name, F.lit("</figcaption></figure><p>Its payload is above.</p>"))
     sequences = media.interleave(docs.select("doc_id", html.alias("html")), "doc_id", "html")
     got = media.resolve(sequences, media.store(docs, with_media=False))
-    return got.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return got.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
 
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +79,10 @@ def queries() -> dict:
 
 
 ORACLES: dict[str, str] = {
+    "op1_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op7_ngram_join": oracles.NGRAM_JOIN,
+    "op8_media_columns": oracles.MEDIA,
+    "op10_suffix_dedup": oracles.SUFFIX_DEDUP,
     "op5_mixing": mixing.ORACLE,
     "op9_url_filter": url_filter.ORACLE,
 }

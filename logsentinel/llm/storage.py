@@ -23,10 +23,13 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset (tests), a temporary one of our own."""
+    """The folder named by spark.checkpoint.dir; only where that is unset and the master is local (tests), a temporary one of
+    our own: on a cluster each executor would write to its own disk."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir is not set: a cluster needs a folder that its executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="logsentinel-"))
         atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)

@@ -39,6 +39,7 @@ def test_query_and_resolve(spark):
         p = media.padded(raw)
         wav = media.encode(p)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
+        assert (r.position, r.caption) == (1, "" if r.doc_id is None else str(r.doc_id))
         assert (r.media_bytes, r.media_sha256, r.feature) == (len(wav), hashlib.sha256(wav).hexdigest(), media.features(p))
     assert op8_of(df.limit(0)).count() == 0
     html = spark.createDataFrame([(9, "<figure><img src='media:feed'><figcaption>c</figcaption></figure>")], "id long, html string")
