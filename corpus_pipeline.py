@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from logsentinel.llm import decontaminate, mixing, ngram_join, pii, quality
-from logsentinel.llm.storage import staged
+from logsentinel.llm.storage import remove, scratch, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,7 +50,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    """The mixed corpus. A stage's side tables go when its result is written, its input when the next one's is; the
+    result reads the last stage's input and side tables, which stay."""
+    docs, path = _table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark) as keep:
+            out = stage(spark, docs, sf_dir)
+            keep.append(written(out, name.replace(" ", "-")))
+        if path:
+            remove(spark, path)
+        path = keep[0]
+        docs = spark.read.schema(out.schema).parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,9 +46,36 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+_SCOPES: list[list[str]] = []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """All tables staged within go at the end, but for those whose path is put into the list that it yields."""
+    keep: list[str] = []
+    _SCOPES.append([])
+    try:
+        yield keep
+    finally:
+        for path in _SCOPES.pop():
+            if path not in keep:
+                remove(spark, path)
+
+
+def written(df: DataFrame, name: str) -> str:
+    """Write df there; its path."""
+    path = f"{shared_dir(df.sparkSession)}/staged/{name}-{uuid.uuid4().hex}"
+    for scope in _SCOPES:
+        scope.append(path)
+    df.write.parquet(path)
+    return path
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df there and read it again: lineage ends at files that outlive any executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/staged/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(written(df, name))

@@ -1,9 +1,11 @@
 """The pipeline against a brute-force version of its stages on a small corpus."""
 
+import pathlib
 import random
 import re
 
 from logsentinel.llm import quality
+from logsentinel.llm.storage import shared_dir
 
 from .test_ngram_join import brute, shingles
 
@@ -66,3 +68,23 @@ def test_against_brute_force(spark, tmp_path):
     whole = {d: (t or "").split() for d, t in got.items()}
     assert all((x.text or "").split() == (whole[x.doc_id] * 2)[: x.taken] for x in rows)
     assert 0 <= 1.5 * total - sum(x.taken for x in rows) <= 5
+
+
+def test_edges(spark, tmp_path):
+    """Empty tables, repeated rows, null columns, a very long text and columns with clashing names; side tables are gone."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _text string, taken string, root long, _row string"
+    long = "word " * 100_000 + "mail me@here.example.org"
+    rows = [(1, "the cat sat on the mat and so on", "en", "a", 30, "x", "y", 1, "z")] * 2 + [(2, long, "en", None, len(long), None, None, None, None), (None, None, None, None, None, None, None, None, None), (3, "", "en", "b", 0, "x", "y", 1, "z")]
+    for name, data in (("full", rows), ("empty", [])):
+        at = f"{tmp_path}/{name}"
+        spark.createDataFrame(data, schema).write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+        before = set(pathlib.Path(shared_dir(spark).removeprefix("file://")).glob("staged/*"))
+        got = corpus_pipeline.run(spark, at).collect()
+        left = set(pathlib.Path(shared_dir(spark).removeprefix("file://")).glob("staged/*")) - before
+        assert len(got) == len(data) and len(left) < 10 and sum("PII" in p.name for p in left) == 1 and not any("quality" in p.name or "profiles" in p.name for p in left)
+        if data:
+            assert {r.doc_id: r["_text"] for r in got} == {1: "x", 2: None, None: None, 3: "x"}
+            assert all(r.taken <= 2 * r.size and len((r.text or "").split()) == r.taken for r in got)
+            assert "me@here" not in next(r.text for r in got if r.doc_id == 2)
