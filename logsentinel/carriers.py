@@ -246,10 +246,46 @@ def dedup_correlations(spark, sf_dir):
     return new_correlations(found, seen).select("ip", F.array_join("correlated_rule_ids", ",").alias("rules"))
 
 
+def evidence_lines(spark, sf_dir):
+    """EVD-1, UID-1: the evidence of each finding of one rule, line by line, under an id that no two findings share."""
+    found = detectors.build(as_events(spark, sf_dir), RULES["brute_force"])
+    ids = found.groupBy("finding_id").agg(F.count(F.lit(1)).alias("_same"))
+    rows = found.join(ids, "finding_id").select("ip", "_same", F.explode("evidence").alias("e"))
+    return rows.select("ip", F.col("e.line_no").alias("line_no"), F.col("e.excerpt").alias("excerpt"), F.col("_same").alias("findings_of_the_id"))
+
+
+def sniff_choice(spark, sf_dir):
+    """SRC-5: the format that each file's scores choose."""
+    best = F.when(F.greatest("apache", "syslog") < parsers.SNIFF_SHARE, None).when(F.col("syslog") > F.col("apache"), "syslog").otherwise("apache")
+    return sniff_scores(spark, sf_dir).select("file_ord", best.alias("format"))
+
+
+def exit_codes(spark, sf_dir):
+    """FLT-12: by least severity shown, the exit code of a run that shows the findings at or above it."""
+    found = findings(spark, sf_dir)
+    loud = [at_least(found, s).agg(F.coalesce(F.max(F.when(F.col("severity_rank") >= 30, 1)), F.lit(0)).cast("int").alias("code")).select(F.lit(s).alias("shown"), "code") for s in ("low", "medium", "high", "critical")]
+    return reduce(DataFrame.unionByName, loud)
+
+
+def redact_twice(spark, sf_dir):
+    """STR-6: documents that a second redaction would change (none), with those that the first one does."""
+    once = redact(F.col("text"))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").agg(F.count(F.when(redact(once) != once, 1)).alias("twice"), F.count(F.when(once != F.col("text"), 1)).alias("once"))
+
+
+def loud_first(spark, sf_dir):
+    """FLT-11, TOPK-1: findings at or above an alert's severity, and the three that come first."""
+    from pyspark.sql import Window
+
+    loud = at_least(findings(spark, sf_dir), "high")
+    place = F.row_number().over(Window.orderBy(F.desc("severity_rank"), "rule_ord", "emit", "ip"))
+    return loud.withColumn("place", place.cast("long")).where("place <= 3").select("place", "rule_id", "ip", F.col("count").alias("n"))
+
+
 QUERIES = {
     **{k: _detector(k) for k in RULES},
     "brute_force_ties": _detector("brute_force", "hour"), "user_enum_ties": _detector("user_enum_distinct", "hour"), "rapid_success_ties": _detector("rapid_success", "hour"),
-    **{f.__name__: f for f in (parse_access_log, parse_failures, sniff_scores, syslog_year_inference, user_ip_extract, redact_documents, unquote_paths, pattern_hits_by_ip, sudo_by_user, correlate_findings, severity_rollup, report_order, export_csv_rows, sarif_rules, dedup_correlations)},
+    **{f.__name__: f for f in (parse_access_log, parse_failures, sniff_scores, syslog_year_inference, user_ip_extract, redact_documents, unquote_paths, pattern_hits_by_ip, sudo_by_user, correlate_findings, severity_rollup, report_order, export_csv_rows, sarif_rules, dedup_correlations, evidence_lines, sniff_choice, exit_codes, redact_twice, loud_first)},
 }
 
 _REDACT = "text"
@@ -291,4 +327,10 @@ SELECT count(*) AS n, min(us) AS first_us, max(us) AS last_us, count(*) AS n_evi
     "sarif_rules": f"""WITH {_ALL} SELECT DISTINCT rule_id AS id, CASE rule_id WHEN 'brute-force' THEN 'Brute Force' WHEN 'rate-limit-abuse' THEN 'Rate Limit Abuse' WHEN 'ssh-invalid-user-enum' THEN 'Ssh Invalid User Enum' ELSE 'Rapid Success After Failures' END AS name,
   CASE severity_rank WHEN 30 THEN 'error' WHEN 20 THEN 'warning' ELSE 'note' END AS level FROM fi""",
     "dedup_correlations": f"WITH {_CORR} SELECT ip, rules FROM co WHERE CAST(string_split(ip, '.')[4] AS INTEGER) % 2 = 1",
+    "evidence_lines": f"""WITH {_SECOND}, {_BF} SELECT w.ip, CAST(w.event_id AS INTEGER) AS line_no, w.event_id || ' ' || w.event_type || ' ' || w.ip AS excerpt, 1::BIGINT AS findings_of_the_id
+  FROM bf_w w JOIN bf_f f ON f.ip = w.ip AND w.rn BETWEEN f.rn - f.n + 1 AND f.rn""",
+    "exit_codes": f"WITH {_ALL} SELECT shown, CAST(coalesce(max(CASE WHEN severity_rank >= 30 THEN 1 END), 0) AS INTEGER) AS code FROM (VALUES ('low', 10), ('medium', 20), ('high', 30), ('critical', 40)) AS s(shown, least) LEFT JOIN fi ON severity_rank >= least GROUP BY shown",
+    "redact_twice": f"SELECT 0::BIGINT AS twice, count(*) FILTER (WHERE {_REDACT} <> text) AS once FROM documents",
+    "loud_first": f"WITH {_ALL} SELECT place, rule_id, ip, n FROM (SELECT row_number() OVER (ORDER BY severity_rank DESC, ord, fire_us, fire_id, ip) AS place, * FROM fi WHERE severity_rank >= 30) WHERE place <= 3",
 }
+ORACLES["sniff_choice"] = f"SELECT file_ord, CASE WHEN greatest(apache, syslog) < {parsers.SNIFF_SHARE} THEN NULL WHEN syslog > apache THEN 'syslog' ELSE 'apache' END AS format FROM ({ORACLES['sniff_scores']})"
