@@ -33,7 +33,7 @@ PACKETS = 1 << 17
 #: Ranges of finish time in a unit of it, and how often a range is parted again; times from ``LAST`` on are one range.
 RANGES, LAST = 4096, 2.0
 #: Rows of a bucket, about; and the least number of buckets.
-BUCKET_ROWS, LEAST_BUCKETS = 100_000, 1024
+BUCKET_ROWS, LEAST_BUCKETS = 10_000, 1024
 
 _KEY = ["_source", "_bucket", "_n"]
 
