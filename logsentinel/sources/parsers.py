@@ -38,15 +38,26 @@ def _part(text: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract(text, java_regex(pattern), group)
 
 
-#: A character that no text holds; parts the groups of a line that is matched once.
-_SEP = "\uffff"
+#: A character that hardly any text holds; parts the groups of a line that is matched once. In texts that hold it, it is
+#: written as the other character and 1 before the match, and put back in each group.
+_SEP, _ESCAPE = "\uffff", "\ufffe"
+
+
+def _swapped(text: Column, *pairs: tuple[str, str]) -> Column:
+    for old, new in pairs:
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return text
 
 
 def _groups(text: Column, pattern: str, n: int) -> Column:
     """All groups of one match ('' for those without part in it), or the text alone where it does not match."""
-    once = F.split(F.regexp_replace(text, java_regex(pattern), _SEP.join(f"${i}" for i in range(1, n + 1))), _SEP)
-    slow = F.when(text.rlike(java_regex(pattern)), F.array(*(_part(text, pattern, i) for i in range(1, n + 1)))).otherwise(F.array(text))
-    return F.when(text.contains(_SEP), slow).otherwise(once)
+
+    def cut(t: Column) -> Column:
+        return F.split(F.regexp_replace(t, java_regex(pattern), _SEP.join(f"${i}" for i in range(1, n + 1))), _SEP)
+
+    held = _swapped(text, (_ESCAPE, f"{_ESCAPE}0"), (_SEP, f"{_ESCAPE}1"))
+    rare = F.transform(cut(held), lambda x: _swapped(x, (f"{_ESCAPE}1", _SEP), (f"{_ESCAPE}0", _ESCAPE)))
+    return F.when(text.contains(_SEP), rare).otherwise(cut(text))
 
 
 def _null_if(text: Column, what: str) -> Column:

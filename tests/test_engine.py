@@ -100,6 +100,13 @@ def test_access_lines(spark):
     assert len(got[7].raw) == 8192
 
 
+def test_lines_with_noncharacters(spark):
+    """Characters that the parser uses itself are read like any other."""
+    odd = ["/\uffff", "/\ufffe1\uffff", "/\uffff\ufffe0\ufffe1x", "/\ufffe"]
+    got = parsers.parse_access(frame(spark, [access(path=p) for p in odd] + ["\uffff no"])).orderBy("line_no").collect()
+    assert [r.path for r in got] == [*odd, None] and got[4].reason == "does not match Apache access-log format" and got[4].raw == "\uffff no"
+
+
 @pytest.mark.parametrize("ref,line,want", [("2025-07-03", "Jul  5", "2025-07-05"), ("2025-01-01", "Dec 31", "2024-12-31"), ("2025-06-01", "Feb 29", "2024-02-29"), ("2025-07-03", "Aug 1", "2025-08-01"), ("2025-07-03", "Feb 30", None)])
 def test_years(spark, ref, line, want):
     r = parsers.parse_auth(frame(spark, [f"{line} 10:00:00 h sshd: x"]), F.lit(ref).cast("timestamp")).first()
