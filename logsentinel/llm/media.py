@@ -72,18 +72,18 @@ def store(docs: DataFrame, with_media: bool = True, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                out: list[list] = [[] for _ in range(8)]
-                for raw in part.column(1).cast(pa.binary()).to_pylist():
-                    raw = raw or b""
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                out: list[list] = [[] for _ in names[1:]]
+                for text in part.column(1):  # one text at a time, and its sound file only if it is asked for
+                    raw = (text.as_py() or "").encode()
                     media = encode(padded(raw))
                     back = decode(media)
                     row = (len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), features(back), media)
-                    for c, v in zip(out, row, strict=True):
+                    for c, v in zip(out, row, strict=False):
                         c.append(v)
                 types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-                cols = [pa.array(c, t) for c, t in zip(out, types, strict=True)][: 8 if with_media else 7]
+                cols = [pa.array(c, t) for c, t in zip(out, types, strict=False)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=names)
 
     schema = STORE + (", media binary" if with_media else "")
@@ -163,6 +163,7 @@ def interleave(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sequence(x) for x in b.column(1).to_pylist()], kind)], names=["id", "sequence"])
 
+    bounded_batches(pages.sparkSession)
     return pages.select(F.col(id_col).cast("long").alias("id"), F.col(html_col).cast("string").alias("html")).mapInArrow(run, f"id long, sequence {SEQUENCE}")
 
 
