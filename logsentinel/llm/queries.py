@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, media, mixing, ngram_join, oracles, pii, quality, substring_dedup, suffix_dedup, url_filter
+from . import byte_bpe, decontaminate, html_extract, media, mixing, ngram_join, oracles, pii, quality, resampling, substring_dedup, suffix_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,17 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    got = byte_bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return got.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), seed="2024")
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and "_" in k and callable(f) and k != "op8_of"}
 
@@ -85,4 +96,5 @@ ORACLES: dict[str, str] = {
     "op10_suffix_dedup": oracles.SUFFIX_DEDUP,
     "op5_mixing": mixing.ORACLE,
     "op9_url_filter": url_filter.ORACLE,
+    "op13_resampling": resampling.ORACLE,
 }
