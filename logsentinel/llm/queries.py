@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, html_extract, media, mixing, ngram_join, oracles, pii, quality, resampling, substring_dedup, suffix_dedup, url_filter
+from . import byte_bpe, collocations, decontaminate, html_extract, media, mixing, ngram_join, oracles, pii, quality, resampling, substring_dedup, suffix_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(_table(spark, sf_dir, "documents"))
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -96,5 +100,6 @@ ORACLES: dict[str, str] = {
     "op10_suffix_dedup": oracles.SUFFIX_DEDUP,
     "op5_mixing": mixing.ORACLE,
     "op9_url_filter": url_filter.ORACLE,
+    "op11_collocations": collocations.ORACLE,
     "op13_resampling": resampling.ORACLE,
 }
