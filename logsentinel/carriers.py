@@ -268,7 +268,7 @@ def exit_codes(spark, sf_dir):
 
 
 def redact_twice(spark, sf_dir):
-    """STR-6: documents that a second redaction would change (none), with those that the first one does."""
+    """STR-6: documents that the first redaction changes, and those that a second one would change again (see ``redact``)."""
     once = redact(F.col("text"))
     return spark.read.parquet(f"{sf_dir}/documents.parquet").agg(F.count(F.when(redact(once) != once, 1)).alias("twice"), F.count(F.when(once != F.col("text"), 1)).alias("once"))
 
@@ -288,9 +288,12 @@ QUERIES = {
     **{f.__name__: f for f in (parse_access_log, parse_failures, sniff_scores, syslog_year_inference, user_ip_extract, redact_documents, unquote_paths, pattern_hits_by_ip, sudo_by_user, correlate_findings, severity_rollup, report_order, export_csv_rows, sarif_rules, dedup_correlations, evidence_lines, sniff_choice, exit_codes, redact_twice, loud_first)},
 }
 
-_REDACT = "text"
-for _p, _f, _r in REDACTIONS:
-    _REDACT = f"regexp_replace({_REDACT}, '{_p.replace(chr(39), chr(39) * 2)}', '{_r.replace('$1', chr(92) + '1')}', 'g{_f}')"
+
+def _redacted(text: str) -> str:
+    for pattern, flags, new in REDACTIONS:
+        text = f"regexp_replace({text}, '{pattern.replace(chr(39), chr(39) * 2)}', '{new.replace('$1', chr(92) + '1')}', 'g{flags}')"
+    return text
+
 
 ORACLES = {
     "brute_force": f"WITH {_SECOND}, {_BF} {_out('bf', 30)}",
@@ -313,7 +316,7 @@ z AS (SELECT *, CASE WHEN month(t) = 2 AND day(t) = 29 AND NOT (yy % 4 = 0 AND (
 w AS (SELECT *, make_timestamp(y2, month(t), day(t), hour(t), minute(t), second(t)) AS m FROM z)
 SELECT CAST(event_id AS INTEGER) AS line_no, epoch_us(m) AS us, ip, 'root' AS "user", event_id AS pid, m > ref + INTERVAL 1 DAY AS future, CAST(NULL AS VARCHAR) AS reason FROM w""",
     "user_ip_extract": f"""WITH {_SECOND} SELECT event_id, CASE WHEN event_id % 6 IN (0, 1, 4) THEN ip END AS ip, CASE event_id % 6 WHEN 0 THEN 'u' || k WHEN 1 THEN 'v' || k WHEN 2 THEN 'w' || k || '.' WHEN 3 THEN 'x' || k WHEN 4 THEN 'z' END AS "user" FROM ev""",
-    "redact_documents": f"SELECT doc_id, md5({_REDACT}) AS md5 FROM documents",
+    "redact_documents": f"SELECT doc_id, md5({_redacted('text')}) AS md5 FROM documents",
     "unquote_paths": "SELECT event_id, CASE event_id % 7 " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(DECODED.values())) + " END AS path FROM events",
     "pattern_hits_by_ip": f"WITH {_SECOND} SELECT ip, count(*) AS n, min(us) AS first_us, max(us) AS last_us, count(*) AS n_evidence, '' AS users, 30 AS severity_rank FROM ev WHERE event_id % 11 < 3 GROUP BY ip",
     "sudo_by_user": f"""WITH {_SECOND}, h AS (SELECT *, CASE WHEN event_type = 'click' THEN 'u' || (user_id % 7) ELSE 'unknown' END AS u FROM ev WHERE event_type IN ('click', 'purchase') AND k % 2 = 0)
@@ -330,7 +333,7 @@ SELECT count(*) AS n, min(us) AS first_us, max(us) AS last_us, count(*) AS n_evi
     "evidence_lines": f"""WITH {_SECOND}, {_BF} SELECT w.ip, CAST(w.event_id AS INTEGER) AS line_no, w.event_id || ' ' || w.event_type || ' ' || w.ip AS excerpt, 1::BIGINT AS findings_of_the_id
   FROM bf_w w JOIN bf_f f ON f.ip = w.ip AND w.rn BETWEEN f.rn - f.n + 1 AND f.rn""",
     "exit_codes": f"WITH {_ALL} SELECT shown, CAST(coalesce(max(CASE WHEN severity_rank >= 30 THEN 1 END), 0) AS INTEGER) AS code FROM (VALUES ('low', 10), ('medium', 20), ('high', 30), ('critical', 40)) AS s(shown, least) LEFT JOIN fi ON severity_rank >= least GROUP BY shown",
-    "redact_twice": f"SELECT 0::BIGINT AS twice, count(*) FILTER (WHERE {_REDACT} <> text) AS once FROM documents",
+    "redact_twice": f"SELECT count(*) FILTER (WHERE {_redacted('once')} <> once) AS twice, count(*) FILTER (WHERE once <> text) AS once FROM (SELECT text, {_redacted('text')} AS once FROM documents)",
     "loud_first": f"WITH {_ALL} SELECT place, rule_id, ip, n FROM (SELECT row_number() OVER (ORDER BY severity_rank DESC, ord, fire_us, fire_id, ip) AS place, * FROM fi WHERE severity_rank >= 30) WHERE place <= 3",
 }
 ORACLES["sniff_choice"] = f"SELECT file_ord, CASE WHEN greatest(apache, syslog) < {parsers.SNIFF_SHARE} THEN NULL WHEN syslog > apache THEN 'syslog' ELSE 'apache' END AS format FROM ({ORACLES['sniff_scores']})"

@@ -45,8 +45,12 @@ def java_regex(pattern: str, flags: str = "") -> str:
 
 
 def redact(text: Column) -> Column:
-    """Secrets and e-mail addresses replaced by placeholders; redacting twice changes nothing. A pattern only runs on texts
-    that hold one of its markers: placeholders bring none, so the markers are looked for once, in the text as it comes."""
+    """Secrets and e-mail addresses replaced by placeholders. A pattern only runs on texts that hold one of its markers:
+    placeholders bring none, so the markers are looked for once, in the text as it comes.
+
+    No secret that one pass finds is left for a second one, but a second pass may change more: of ``token = "x"###`` the
+    quoted value goes and ``###`` stays, and then placeholder and rest stand together as one value without quotes, so that
+    the rest goes too. Texts in which no quoted value runs into other characters stay as the first pass leaves them."""
 
     def bound(value: Column, then) -> Column:  # the value is computed once, however often then refers to it
         return F.element_at(F.transform(F.array(value), then), 1)

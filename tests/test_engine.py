@@ -158,6 +158,8 @@ def test_text_functions(spark):
     df = spark.createDataFrame([(k,) for k in cases], "t string")
     for r in df.select("t", redact(F.col("t")).alias("r"), redact(redact(F.col("t"))).alias("rr")).collect():
         assert r.r == r.rr == cases[r.t] == redact_text(r.t)
+    glued = spark.createDataFrame([('token = "x"###',)], "t string").select(redact(F.col("t")).alias("r"), redact(redact(F.col("t"))).alias("rr")).first()
+    assert glued.r == redact_text('token = "x"###') == "token = [REDACTED]###" and glued.rr == redact_text(glued.r) == "token = [REDACTED]"
     paths = spark.createDataFrame([("/%2e%2e/a+b%zz",), ("/UNION%20SELECT",), (None,)], "t string").select(unquote(F.col("t")).alias("u"), any_match(unquote(F.col("t")), [r"(?i)\bunion\s+select\b"]).alias("m")).collect()
     assert [(r.u, r.m) for r in paths] == [("/../a+b%zz", False), ("/UNION SELECT", True), (None, False)]
 
