@@ -40,7 +40,7 @@ STATUS = "CASE event_type WHEN 'error' THEN 401 WHEN 'signup' THEN 200 WHEN 'cli
 
 def as_events(spark: SparkSession, sf_dir: str, cut: str = "second", path: Column | None = None) -> DataFrame:
     """Both a web and an auth reading of each event, told apart by source."""
-    b = base(spark, sf_dir, cut).withColumns({"file": F.lit("events"), "file_ord": F.lit(0), "line_no": F.col("event_id").cast("int"), "method": F.lit("GET"), "size": F.lit(None).cast("bigint"), "_k": F.col("k").cast("string")})
+    b = base(spark, sf_dir, cut).withColumns({"file": F.lit("events"), "file_ord": F.lit(0), "line_no": F.col("event_id"), "method": F.lit("GET"), "size": F.lit(None).cast("bigint"), "_k": F.col("k").cast("string")})
     line = F.concat_ws(" ", F.col("event_id").cast("string"), "event_type", "ip")
     nothing = F.lit(None).cast("string")
 
@@ -135,7 +135,7 @@ def access_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = base(spark, sf_dir)
     line = F.concat(F.col("ip"), F.lit(" - - ["), F.date_format("timestamp", "dd/MMM/yyyy:HH:mm:ss"), F.lit(' +0000] "GET /'), "event_type", F.lit("?k="), F.col("k").cast("string"), F.lit(' HTTP/1.1" '), _status().cast("string"), F.lit(" "),
                     F.when(F.col("event_id") % 5 == 0, "-").otherwise(F.col("event_id").cast("string")), F.when(F.col("event_id") % 3 == 0, "").otherwise(' "-" "agent x"'), F.lit("\r\n"))
-    return b.select(F.lit("events").alias("file"), F.lit(0).alias("file_ord"), F.col("event_id").cast("int").alias("line_no"), line.alias("value"))
+    return b.select(F.lit("events").alias("file"), F.lit(0).alias("file_ord"), F.col("event_id").alias("line_no"), line.alias("value"))
 
 
 def parse_access_log(spark, sf_dir):
@@ -155,7 +155,7 @@ def sniff_scores(spark, sf_dir):
     """SRC-4, 5: a file for each user, a third of its lines in the other format."""
     from pyspark.sql import Window
 
-    lines = access_lines(spark, sf_dir).join(base(spark, sf_dir).select(F.col("event_id").cast("int").alias("line_no"), F.col("user_id").cast("int").alias("_u")), "line_no").withColumn("file_ord", F.col("_u"))
+    lines = access_lines(spark, sf_dir).join(base(spark, sf_dir).select(F.col("event_id").alias("line_no"), F.col("user_id").cast("int").alias("_u")), "line_no").withColumn("file_ord", F.col("_u"))
     lines = lines.withColumn("value", F.when(F.col("line_no") % 3 == 0, F.lit("Jul  3 10:15:32 h sshd[1]: x")).when(F.col("line_no") % 7 == 0, F.lit("  ")).otherwise(F.col("value")))
     lines = lines.withColumn("line_no", F.row_number().over(Window.partitionBy("file_ord").orderBy("line_no")))
     return parsers.sniff_scores(lines).select("file_ord", F.round("apache", 9).alias("apache"), F.round("syslog", 9).alias("syslog"))
@@ -166,7 +166,7 @@ def syslog_year_inference(spark, sf_dir):
     b = base(spark, sf_dir)
     ref = b.agg((F.min("timestamp") + F.expr("INTERVAL 2 DAYS")).alias("r")).first().r
     line = F.concat(F.date_format(F.when(F.col("event_id") % 4 == 0, F.col("timestamp") + F.expr("INTERVAL 120 DAYS")).otherwise(F.col("timestamp")), "MMM d HH:mm:ss"), F.lit(" web-01 sshd["), F.col("event_id").cast("string"), F.lit("]: Failed password for root from "), "ip")
-    got = parsers.parse_auth(b.select(F.lit("f").alias("file"), F.lit(0).alias("file_ord"), F.col("event_id").cast("int").alias("line_no"), line.alias("value")), ref)
+    got = parsers.parse_auth(b.select(F.lit("f").alias("file"), F.lit(0).alias("file_ord"), F.col("event_id").alias("line_no"), line.alias("value")), ref)
     return got.select("line_no", F.unix_micros("timestamp").alias("us"), "ip", "user", F.col("extra.pid").alias("pid"), F.coalesce("extra.future_dated", F.lit(False)).alias("future"), "reason")
 
 
@@ -305,7 +305,7 @@ ORACLES = {
     "brute_force_success": f"WITH {_SECOND}, {_SUCCESS} {_out('bs', 40)}",
     "rapid_success": f"WITH {_SECOND}, {_RAPID} {_out('rs', 30)}",
     "rapid_success_ties": f"WITH {_HOUR}, {_RAPID} {_out('rs', 30)}",
-    "parse_access_log": f"""WITH {_SECOND} SELECT CAST(event_id AS INTEGER) AS line_no, us, ip, CAST(NULL AS VARCHAR) AS "user", 'GET' AS method, '/' || event_type || '?k=' || k AS path, {STATUS} AS status,
+    "parse_access_log": f"""WITH {_SECOND} SELECT event_id AS line_no, us, ip, CAST(NULL AS VARCHAR) AS "user", 'GET' AS method, '/' || event_type || '?k=' || k AS path, {STATUS} AS status,
   CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_id END AS size, 'HTTP/1.1' AS protocol, CASE WHEN event_id % 3 = 0 THEN NULL ELSE '-' END AS referer, CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'agent x' END AS agent FROM ev""",
     "parse_failures": """SELECT CASE event_id % 97 WHEN 0 THEN 'does not match Apache access-log format' WHEN 1 THEN 'empty line' ELSE 'invalid or missing Apache timestamp' END AS reason, count(*) AS n FROM events WHERE event_id % 97 < 4 GROUP BY 1""",
     "sniff_scores": """WITH l AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events), s AS (SELECT * FROM l WHERE i <= 20 AND (event_id % 3 = 0 OR event_id % 7 <> 0))
@@ -314,7 +314,7 @@ SELECT CAST(user_id AS INTEGER) AS file_ord, round(avg(CASE WHEN event_id % 3 =
 y AS (SELECT *, year(ref) - CASE WHEN month(t) > month(ref) + 1 THEN 1 ELSE 0 END AS yy FROM l, r),
 z AS (SELECT *, CASE WHEN month(t) = 2 AND day(t) = 29 AND NOT (yy % 4 = 0 AND (yy % 100 <> 0 OR yy % 400 = 0)) THEN yy - yy % 4 ELSE yy END AS y2 FROM y),
 w AS (SELECT *, make_timestamp(y2, month(t), day(t), hour(t), minute(t), second(t)) AS m FROM z)
-SELECT CAST(event_id AS INTEGER) AS line_no, epoch_us(m) AS us, ip, 'root' AS "user", event_id AS pid, m > ref + INTERVAL 1 DAY AS future, CAST(NULL AS VARCHAR) AS reason FROM w""",
+SELECT event_id AS line_no, epoch_us(m) AS us, ip, 'root' AS "user", event_id AS pid, m > ref + INTERVAL 1 DAY AS future, CAST(NULL AS VARCHAR) AS reason FROM w""",
     "user_ip_extract": f"""WITH {_SECOND} SELECT event_id, CASE WHEN event_id % 6 IN (0, 1, 4) THEN ip END AS ip, CASE event_id % 6 WHEN 0 THEN 'u' || k WHEN 1 THEN 'v' || k WHEN 2 THEN 'w' || k || '.' WHEN 3 THEN 'x' || k WHEN 4 THEN 'z' END AS "user" FROM ev""",
     "redact_documents": f"SELECT doc_id, md5({_redacted('text')}) AS md5 FROM documents",
     "unquote_paths": "SELECT event_id, CASE event_id % 7 " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(DECODED.values())) + " END AS path FROM events",
@@ -330,7 +330,7 @@ SELECT count(*) AS n, min(us) AS first_us, max(us) AS last_us, count(*) AS n_evi
     "sarif_rules": f"""WITH {_ALL} SELECT DISTINCT rule_id AS id, CASE rule_id WHEN 'brute-force' THEN 'Brute Force' WHEN 'rate-limit-abuse' THEN 'Rate Limit Abuse' WHEN 'ssh-invalid-user-enum' THEN 'Ssh Invalid User Enum' ELSE 'Rapid Success After Failures' END AS name,
   CASE severity_rank WHEN 30 THEN 'error' WHEN 20 THEN 'warning' ELSE 'note' END AS level FROM fi""",
     "dedup_correlations": f"WITH {_CORR} SELECT ip, rules FROM co WHERE CAST(string_split(ip, '.')[4] AS INTEGER) % 2 = 1",
-    "evidence_lines": f"""WITH {_SECOND}, {_BF} SELECT w.ip, CAST(w.event_id AS INTEGER) AS line_no, w.event_id || ' ' || w.event_type || ' ' || w.ip AS excerpt, 1::BIGINT AS findings_of_the_id
+    "evidence_lines": f"""WITH {_SECOND}, {_BF} SELECT w.ip, w.event_id AS line_no, w.event_id || ' ' || w.event_type || ' ' || w.ip AS excerpt, 1::BIGINT AS findings_of_the_id
   FROM bf_w w JOIN bf_f f ON f.ip = w.ip AND w.rn BETWEEN f.rn - f.n + 1 AND f.rn""",
     "exit_codes": f"WITH {_ALL} SELECT shown, CAST(coalesce(max(CASE WHEN severity_rank >= 30 THEN 1 END), 0) AS INTEGER) AS code FROM (VALUES ('low', 10), ('medium', 20), ('high', 30), ('critical', 40)) AS s(shown, least) LEFT JOIN fi ON severity_rank >= least GROUP BY shown",
     "redact_twice": f"SELECT count(*) FILTER (WHERE {_redacted('once')} <> once) AS twice, count(*) FILTER (WHERE once <> text) AS once FROM (SELECT text, {_redacted('text')} AS once FROM documents)",

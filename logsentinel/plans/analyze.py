@@ -34,19 +34,12 @@ class AnalysisResult:
             df.unpersist()
 
 
-def parse_files(spark: SparkSession, paths: list[str], fmt: str = "auto", reference: datetime | None = None) -> DataFrame:
+def parse_files(spark: SparkSession, paths: list[str], fmt: str = "auto", reference: datetime | None = None, kept: list[DataFrame] | None = None) -> DataFrame:
     """All lines of all files, parsed. Web files are parsed first: their latest event is the instant that the yearless
-    auth timestamps are read against (else now), unless a reference is given."""
+    auth timestamps are read against (else now), unless a reference is given. kept: gets what stays in memory."""
     files = text.listed(spark, paths)
-    lines = text.read_files(spark, files)
-    if fmt.strip().lower() == "auto":
-        scores = {r.file_ord: r.asDict() for r in parsers.sniff_scores(lines).collect()}  # a row a file
-        chosen = [parsers.choose(scores.get(i, {})) for i in range(len(files))]
-        for file, parser in zip(files, chosen, strict=True):
-            if parser is None:
-                raise parsers.UnknownFormatError(f"could not detect the log format of {file.name}")
-    else:
-        chosen = [parsers.get_parser(fmt)] * len(files)
+    chosen = parsers.sniffed(spark, files) if fmt.strip().lower() == "auto" else [parsers.get_parser(fmt)] * len(files)
+    lines = text.read_files(spark, files, kept)
 
     def of(parser: parsers.Parser) -> DataFrame:
         return lines.where(F.col("file_ord").isin(*(i for i, p in enumerate(chosen) if p is parser)))

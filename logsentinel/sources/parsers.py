@@ -10,11 +10,12 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import MAX_LINE, java_regex
 from ..schema import EVENT
+from .lines import LogFile, heads
 
 # Line formats (fixed values).
 ACCESS_LINE = r'^(\S+)\s+\S+\s+(\S+)\s+\[([^\]]+)\]\s+"([^"]*)"\s+(\d{3})\s+(\d+|-)(\s+"([^"]*)"\s+"([^"]*)")?\s*$'
@@ -164,6 +165,19 @@ def sniff_scores(lines: DataFrame) -> DataFrame:
     return lines.where((F.col("line_no") <= SNIFF_LINES) & ~blank).groupBy("file_ord").agg(*shares)
 
 
+def sniffed(spark: SparkSession, files: list[LogFile]) -> list[Parser]:
+    """The parser of each file, from its first lines alone; a file that none recognises is an error."""
+    rows = [(i, k, x) for i, first in enumerate(heads(spark, files, SNIFF_LINES, MAX_LINE)) for k, x in enumerate(first, 1)]
+    scores = {}
+    if rows:
+        scores = {r.file_ord: r.asDict() for r in sniff_scores(spark.createDataFrame(rows, "file_ord int, line_no long, value string")).collect()}  # a row a file
+    chosen = [choose(scores.get(i, {})) for i in range(len(files))]
+    for file, parser in zip(files, chosen, strict=True):
+        if parser is None:
+            raise UnknownFormatError(f"could not detect the log format of {file.name}")
+    return chosen
+
+
 def choose(score: dict[str, float]) -> Parser | None:
     best = max(PARSERS, key=lambda p: score.get(p.name, 0.0))
     return best if score.get(best.name, 0.0) >= SNIFF_SHARE else None

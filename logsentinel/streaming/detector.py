@@ -23,7 +23,7 @@ from ..schema import EVIDENCE, order_of
 
 KINDS = {"brute-force": "count", "rate-limit-abuse": "count", "scanner-burst": "distinct", "ssh-invalid-user-enum": "distinct", "brute-force-success": "success", "rapid-success-after-failures": "streak", "path-traversal": "all", "sqli-probe": "all", "sudo-sensitive-command": "all"}
 THRESHOLDS = {"scanner-burst": 6, "ssh-invalid-user-enum": 4}
-_HIT = "struct<us:bigint,source_rank:int,file_ord:int,line_no:int,file:string,excerpt:string>"
+_HIT = "struct<us:bigint,source_rank:int,file_ord:int,line_no:bigint,file:string,excerpt:string>"
 OUT = f"rule_ord int, ip string, hits array<{_HIT}>, names array<string>, wait double"
 
 

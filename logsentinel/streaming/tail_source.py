@@ -18,7 +18,7 @@ from ..sources.parsers import PARSERS, SNIFF_SHARE
 
 POLL_BYTES = 8 << 20
 PENDING = 100
-SCHEMA = "file string, file_ord int, line_no int, value string, format string"
+SCHEMA = "file string, file_ord int, line_no long, value string, format string"
 
 
 def sniff(lines: list[str]) -> str | None:

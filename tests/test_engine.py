@@ -19,7 +19,7 @@ from .logs import EXPECTED, access, at, attack, auth, failed
 
 
 def frame(spark, lines):
-    return spark.createDataFrame([("f", 0, i + 1, x) for i, x in enumerate(lines)], "file string, file_ord int, line_no int, value string")
+    return spark.createDataFrame([("f", 0, i + 1, x) for i, x in enumerate(lines)], "file string, file_ord int, line_no long, value string")
 
 
 @pytest.fixture(scope="module")
@@ -215,18 +215,84 @@ def test_windows_match_naive_loops(spark, seed, parts):
     assert got(RuleConfig("r", "brute-force-success", True, "high", "web", 10, {"threshold": 5})) == naive(events, "success", 10, 5)
 
 
-def test_line_breaks_do_not_depend_on_size(spark, tmp_path, monkeypatch):
-    """A file read in blocks has the lines and numbers of the same file read whole, other boundaries within lines included."""
+def python_lines(data: bytes) -> list[str]:
+    return data.decode("utf-8", "replace").splitlines()
+
+
+@pytest.mark.parametrize("limit", [text.WHOLE_BYTES, 0])
+def test_line_breaks_do_not_depend_on_size(spark, tmp_path, monkeypatch, limit):
+    """Files read in blocks have the lines and numbers of the same files read whole: those that Python has, whatever the
+    boundaries within lines, at the end of the file, and with a byte order mark."""
     r = random.Random(5)
-    p = tmp_path / "odd.log"
-    p.write_bytes("".join(f"line {i}" + r.choice(["", "", "", "\x0b", " a\x0cb", "\u2028x\x85y", "\x1c"]) + r.choice(["\n", "\r\n"]) for i in range(3000)).encode())
-    want = text.read(spark, [str(p)]).orderBy("line_no").collect()
-    monkeypatch.setattr(text, "WHOLE_BYTES", 10)
+    odd = "".join(f"line {i}" + r.choice(["", "", "", "\x0b", " a\x0cb", "\u2028x\x85y", "\x1c", "\r"]) + r.choice(["\n", "\r\n"]) for i in range(3000)).encode()
+    cases = [odd, odd + b"end", odd + b"end\x0b", b"a\nb\x0b", b"a\nb\x0b\n", b"a\r", b"\xef\xbb\xbfa\nb", b"\xef\xbb\xbfa\x0bb\r\n", b"\n\n", b"\x0b", b"x\xff\xc2\x85", b"a\rb\r\rc"]
+    for i, data in enumerate(cases):
+        (tmp_path / f"{i:02}.log").write_bytes(data)
+    monkeypatch.setattr(text, "WHOLE_BYTES", limit)
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
     try:
-        assert text.read(spark, [str(p)]).orderBy("line_no").collect() == want and len(want) > 4000
+        kept = []
+        got = text.read_files(spark, text.listed(spark, [str(tmp_path)]), kept).collect()
+        assert len(kept) == (limit == 0)
+        kept and kept[0].unpersist()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    for i, data in enumerate(cases):
+        mine = sorted((x.line_no, x.value) for x in got if x.file_ord == i)
+        assert mine == list(enumerate(python_lines(data), 1)), cases[i][-20:]
+
+
+def test_many_large_files_are_one_scan(spark, tmp_path, monkeypatch):
+    """However many files are above the switch: one scan of text in the plan besides that of the kept counts, no job a file."""
+    for i in range(30):
+        (tmp_path / f"{i:02}.log").write_text("".join(f"{i} {k}\n" for k in range(50)))
+    monkeypatch.setattr(text, "WHOLE_BYTES", 10)
+    spark.sparkContext.setJobGroup("lines", "")
+    try:
+        files = text.listed(spark, [str(tmp_path)])
+        before = len(spark.sparkContext.statusTracker().getJobIdsForGroup("lines"))
+        kept = []
+        df = text.read_files(spark, files, kept)
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("lines")) - before <= 6
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.split("InMemoryRelation")[0].count("Relation [value") + plan.count("+- Relation [value") in (1, 2) and plan.count("Union") == 0
+    rows = df.collect()
+    assert len(rows) == 1500 and all(x.value == f"{x.file_ord} {x.line_no - 1}" for x in rows)
+    kept[0].unpersist()
+
+
+def test_heads(spark, tmp_path, monkeypatch):
+    """The first lines as a read of the whole file has them, and no more bytes than these take."""
+    monkeypatch.setattr(text, "HEAD_BYTES", 7)
+    cases = [b"a", b"a\r", b"a\r\nb\x0bc\xc2\x85d\xe2\x80\xa8e\n", b"\n" * 40, b"x" * 900 + b"\ny\n", "\u00e9\n".encode() * 30, b"ab\r\n" * 30]
+    for i, data in enumerate(cases):
+        (tmp_path / f"{i:02}.log").write_bytes(data)
+    files = text.listed(spark, [str(tmp_path)])
+    for (data, got) in zip(cases, text.heads(spark, files, 5, 10), strict=True):
+        assert got == [x[:10] for x in python_lines(data)[:5]]
+    (tmp_path / "none.log").write_bytes(b"")
+    empty = text.listed(spark, [str(tmp_path / "none.log")])
+    assert text.heads(spark, empty, 5, 10) == [[]] and text.read_files(spark, empty).count() == 0
+    seen = []
+
+    class Counted:
+        def __init__(self, stream):
+            self.stream = stream
+
+        def readNBytes(self, n):
+            seen.append(n)
+            return self.stream.readNBytes(n)
+
+        def close(self):
+            self.stream.close()
+
+    (tmp_path / "long.log").write_bytes(b"line\n" * 100_000)
+    monkeypatch.setattr(text, "HEAD_BYTES", 1000)
+    each = text._each_open
+    monkeypatch.setattr(text, "_each_open", lambda s, f, fn: each(s, f, lambda file, stream: fn(file, Counted(stream))))
+    assert len(text.heads(spark, text.listed(spark, [str(tmp_path / "long.log")]), 20, 100)[0]) == 20 and sum(seen) == 1000
 
 
 def test_folders_and_patterns(spark, tmp_path):
