@@ -1,19 +1,19 @@
-"""Detectors: functions from events and a rule to findings, in built-in expressions only.
+"""What the rule types look for, how their findings read, and the registry of detectors of one's own.
 
-Findings carry ``emit``, the place in the total order at which the rule reports them, and ``rule_ord``.
+The types of this package run in one pass over the events (``shared``). Findings carry ``emit``, the place in the total
+order at which the rule reports them, and ``rule_ord``. Built-in expressions only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import any_match, any_prefix, excerpt, unquote
 from ..rules import OWN_TYPES, RULE_TYPES, RuleConfig
 from ..schema import EVIDENCE, FINDING, order_of, severity_rank
-from .windows import first_fire, trailing_before, trailing_count, trailing_distinct
 
 # Markers and defaults (fixed values).
 FAILED, ACCEPTED, INVALID_USER = "Failed password", "Accepted password", "invalid user"
@@ -38,6 +38,10 @@ def detector(*types: str) -> Callable[[Detector], Detector]:
 
 def build(events: DataFrame, rule: RuleConfig, ordinal: int = 0) -> DataFrame:
     """Findings of one rule over the events of its source."""
+    from . import shared
+
+    if rule.type in KINDS:
+        return shared.detect(events, [(ordinal, rule)])[0]
     if rule.source:
         events = events.where(F.col("source") == rule.source)
     found = REGISTRY[rule.type](events.withColumn("_o", order_of()), rule)
@@ -46,10 +50,13 @@ def build(events: DataFrame, rule: RuleConfig, ordinal: int = 0) -> DataFrame:
 
 def finish(found: DataFrame, rule: RuleConfig, ordinal: int) -> DataFrame:
     name = rule.severity
-    found = found.withColumns({
-        "rule_id": F.lit(rule.id), "severity": F.lit(name.upper()), "severity_rank": F.lit(severity_rank(name)), "rule_ord": F.lit(ordinal),
-        "finding_id": F.md5(F.concat_ws("|", F.lit(rule.id), F.coalesce("ip", F.element_at("users", 1), F.lit("")), F.unix_micros("first_seen").cast("string"), F.to_json("emit")).cast("binary")),
-    })
+    return shaped(found.withColumns({"rule_id": F.lit(rule.id), "severity": F.lit(name.upper()), "severity_rank": F.lit(severity_rank(name)), "rule_ord": F.lit(ordinal)}))
+
+
+def shaped(found: DataFrame) -> DataFrame:
+    """The columns of findings, with their ids, of those that say which rule they are of."""
+    named = F.concat_ws("|", "rule_id", F.coalesce("ip", F.element_at("users", 1), F.lit("")), F.unix_micros("first_seen").cast("string"), F.to_json("emit"))
+    found = found.withColumn("finding_id", F.md5(named.cast("binary")))
     kinds = {f.name: f.dataType for f in FINDING}
     return found.select(*(F.col(c).cast(kinds[c]).alias(c) for c in FINDING.names))
 
@@ -84,26 +91,52 @@ def from_list(grouped: DataFrame) -> DataFrame:
     })
 
 
-def _window_hits(windowed: DataFrame, fires: DataFrame, key: str, also: Column | None = None) -> DataFrame:
-    """Joins each firing row to the rows of its window (and rows for which also holds), as _hits sorted."""
-    w = windowed.withColumnsRenamed({"_o": "_o1", "_b": "_b1", "_rn": "_rn1", "_n": "_n1"}).drop("_values")
-    inside = (F.col("_rn1") > F.col("_rn") - F.col("_n")) & (F.col("_rn1") <= F.col("_rn"))
-    both = w.join(fires, (w[key] == fires["_key"]) & (F.col("_b1") == F.col("_b")) & (inside if also is None else also))
-    extra = [F.first("_values").alias("_values")] if "_values" in fires.columns else []
-    hit = F.struct(F.col("_o1").alias("_o"), F.col("timestamp").alias("ts"), F.struct("file", "line_no", excerpt(F.col("raw"), F.col("message")).alias("excerpt")).alias("e"))
-    out = both.groupBy(F.col("_key").alias("ip")).agg(F.array_sort(F.collect_list(hit)).alias("_hits"), F.first("_o").alias("emit"), *extra)
-    return from_list(out)
+def pattern_hit(rule: RuleConfig) -> Column:
+    patterns = rule.params.get("patterns", [])
+    return any_match(F.col("path"), patterns) | any_match(unquote(F.col("path")), patterns)
+
+
+def sudo_hit(rule: RuleConfig) -> Column:
+    return F.coalesce(F.col("extra.program") == "sudo", F.lit(False)) & any_match(F.coalesce("message", F.lit("")), rule.params.get("sensitive_patterns", []))
+
+
+def who() -> Column:
+    return F.coalesce(F.when(F.col("user") != "", F.col("user")), F.lit("unknown"))
+
 
+#: How each type of this package decides: by counting a window's rows or different values, by a success after the counted
+#: rows of a window, by streaks that a success ends, or by every hit.
+KINDS = {"brute-force": "count", "rate-limit-abuse": "count", "scanner-burst": "distinct", "ssh-invalid-user-enum": "distinct", "brute-force-success": "success", "rapid-success-after-failures": "streak", "path-traversal": "all", "sqli-probe": "all", "sudo-sensitive-command": "all"}
+#: Of the window kinds, where a rule gives none (fixed values).
+THRESHOLDS = {"brute-force": 5, "brute-force-success": 5, "rate-limit-abuse": 5, "scanner-burst": 6, "ssh-invalid-user-enum": 4}
+BY_USER = ("sudo-sensitive-command",)
 
-def _slim(events: DataFrame) -> DataFrame:
-    return events.select("_o", "source", "file", "line_no", "timestamp", "raw", "message", "ip", "user", "path")
 
+def threshold_of(rule: RuleConfig) -> int:
+    return rule.params.get("threshold", THRESHOLDS.get(rule.type, 5))
 
-def _no_users() -> Column:
-    return F.array().cast("array<string>")
 
+def mark(rule: RuleConfig) -> tuple[Column, Column, Column]:
+    """(counts, succeeds, value) of an event under a rule of this package's types; a row that is both only counts."""
+    no, none, p = F.lit(False), F.lit(None).cast("string"), rule.params
+    counts, succeeds, value = {
+        "brute-force": lambda: (failure(rule), no, none),
+        "brute-force-success": lambda: (failure(rule), success(rule), none),
+        "rate-limit-abuse": lambda: (in_statuses(F.col("status"), p.get("statuses", RATE_STATUSES)), no, none),
+        "scanner-burst": lambda: (in_statuses(F.col("status"), p.get("statuses", SCANNER_STATUSES)) & any_prefix(F.col("path"), p.get("probe_paths", [])), no, F.col("path")),
+        "ssh-invalid-user-enum": lambda: (says(INVALID_USER), no, F.col("user")),
+        "rapid-success-after-failures": lambda: (says(FAILED), says(ACCEPTED), none),
+        "path-traversal": lambda: (pattern_hit(rule), no, none),
+        "sqli-probe": lambda: (pattern_hit(rule), no, none),
+        "sudo-sensitive-command": lambda: (sudo_hit(rule), no, who()),
+    }[rule.type]()
+    source = F.lit(True) if rule.source is None else F.col("source") == rule.source
+    return source & counts, source & succeeds & ~counts, value
 
-#: Titles and descriptions of findings are part of the output format (fixed values).
+
+#: users, title and description of findings by type, from ip, count, _values, _wait and _user: part of the output format
+#: (fixed values). DESCRIBE has the same as functions that add the columns; types of one's own register there.
+SAYS: dict[str, Callable[[RuleConfig], dict[str, Column]]] = {}
 DESCRIBE: dict[str, Callable[[DataFrame, RuleConfig], DataFrame]] = {}
 
 
@@ -117,163 +150,30 @@ def describes(kind: str):
     return add
 
 
-@detector("brute-force")
-def brute_force(events: DataFrame, rule: RuleConfig) -> DataFrame:
-    """Threshold failures of an ip within the window; once for each ip."""
-    threshold = rule.params.get("threshold", 5)
-    w = trailing_count(_slim(events.where(failure(rule))), "ip", rule.window_seconds)
-    found = _window_hits(w, first_fire(w, "ip", F.col("_n") >= threshold, []), "ip")
-    return DESCRIBE["brute-force"](found, rule)
-
-
-@describes("brute-force")
-def said_brute_force(found: DataFrame, rule: RuleConfig) -> DataFrame:
-    threshold = rule.params.get("threshold", 5)
-    return found.withColumns({
-        "users": _no_users(), "title": F.concat(F.lit("Brute-force attempt from "), "ip"),
-        "description": F.concat(F.col("count").cast("string"), F.lit(" authentication failures from "), "ip", F.lit(f" within {rule.window_seconds}s (threshold {threshold}).")),
-    })
-
-
-@detector("rate-limit-abuse")
-def rate_limit(events: DataFrame, rule: RuleConfig) -> DataFrame:
-    threshold = rule.params.get("threshold", 5)
-    w = trailing_count(_slim(events.where(in_statuses(F.col("status"), rule.params.get("statuses", RATE_STATUSES)))), "ip", rule.window_seconds)
-    found = _window_hits(w, first_fire(w, "ip", F.col("_n") >= threshold, []), "ip")
-    return DESCRIBE["rate-limit-abuse"](found, rule)
-
-
-@describes("rate-limit-abuse")
-def said_rate_limit_abuse(found: DataFrame, rule: RuleConfig) -> DataFrame:
-    threshold = rule.params.get("threshold", 5)
-    return found.withColumns({
-        "users": _no_users(), "title": F.concat(F.lit("Rate-limit abuse from "), "ip"),
-        "description": F.concat(F.col("count").cast("string"), F.lit(" rate-limited (429) responses to "), "ip", F.lit(f" within {rule.window_seconds}s (threshold {threshold}).")),
-    })
-
-
-def _distinct(events: DataFrame, rule: RuleConfig, value: str, threshold: int) -> DataFrame:
-    w = trailing_distinct(_slim(events), "ip", rule.window_seconds, F.col(value))
-    return _window_hits(w, first_fire(w, "ip", F.size("_values") >= threshold, ["_values"]), "ip")
-
-
-@detector("scanner-burst")
-def scanner_burst(events: DataFrame, rule: RuleConfig) -> DataFrame:
-    """Threshold distinct probe paths (with their query strings) of an ip within the window."""
-    threshold = rule.params.get("threshold", 6)
-    probes = events.where(in_statuses(F.col("status"), rule.params.get("statuses", SCANNER_STATUSES)) & any_prefix(F.col("path"), rule.params.get("probe_paths", [])))
-    found = _distinct(probes, rule, "path", threshold)
-    return DESCRIBE["scanner-burst"](found, rule)
-
-
-@describes("scanner-burst")
-def said_scanner_burst(found: DataFrame, rule: RuleConfig) -> DataFrame:
-    threshold = rule.params.get("threshold", 6)
-    return found.withColumns({
-        "users": _no_users(), "title": F.concat(F.lit("Scanner burst from "), "ip"),
-        "description": F.concat(F.col("ip"), F.lit(" probed "), F.size("_values").cast("string"), F.lit(f" distinct sensitive paths within {rule.window_seconds}s (threshold {threshold}).")),
-    })
-
-
-@detector("ssh-invalid-user-enum")
-def invalid_users(events: DataFrame, rule: RuleConfig) -> DataFrame:
-    threshold = rule.params.get("threshold", 4)
-    found = _distinct(events.where(says(INVALID_USER)), rule, "user", threshold)
-    return DESCRIBE["ssh-invalid-user-enum"](found, rule)
-
-
-@describes("ssh-invalid-user-enum")
-def said_ssh_invalid_user_enum(found: DataFrame, rule: RuleConfig) -> DataFrame:
-    threshold = rule.params.get("threshold", 4)
-    return found.withColumns({
-        "users": F.col("_values"), "title": F.concat(F.lit("SSH invalid-user enumeration from "), "ip"),
-        "description": F.concat(F.col("ip"), F.lit(" attempted "), F.size("_values").cast("string"), F.lit(f" distinct invalid usernames within {rule.window_seconds}s (threshold {threshold}).")),
-    })
-
-
-@detector("brute-force-success")
-def brute_force_success(events: DataFrame, rule: RuleConfig) -> DataFrame:
-    """A success after threshold failures of its ip in the window before it; a row that is both is a failure."""
-    threshold = rule.params.get("threshold", 5)
-    tagged = events.withColumn("_f", failure(rule)).withColumn("_s", ~F.col("_f") & success(rule)).where("_f OR _s")
-    w = trailing_before(tagged.select("_o", "source", "file", "line_no", "timestamp", "raw", "message", "ip", "user", "path", "_f", "_s"), "ip", rule.window_seconds, F.col("_f"))
-    fires = first_fire(w, "ip", F.col("_s") & (F.col("_n") >= threshold), [])
-    span = rule.window_seconds * 1_000_000
-    inside = ((F.col("_rn1") < F.col("_rn")) & F.col("_f") & (F.col("_o1.us") >= F.col("_o.us") - span)) | (F.col("_rn1") == F.col("_rn"))
-    found = _window_hits(w, fires, "ip", inside)
-    return DESCRIBE["brute-force-success"](found, rule)
-
-
-@describes("brute-force-success")
-def said_brute_force_success(found: DataFrame, rule: RuleConfig) -> DataFrame:
-    return found.withColumns({
-        "users": _no_users(), "title": F.concat(F.lit("Brute-force followed by successful login from "), "ip"),
-        "description": F.concat((F.col("count") - 1).cast("string"), F.lit(" authentication failures from "), "ip", F.lit(" were followed by a successful login within the same window — the attack likely succeeded.")),
-    })
-
-
-@detector("rapid-success-after-failures")
-def rapid_success(events: DataFrame, rule: RuleConfig) -> DataFrame:
-    """Streaks of failures of an ip that a success ends within max_gap_seconds; may report an ip again."""
-    least, gap = rule.params.get("min_failures", 3), rule.params.get("max_gap_seconds", 30)
-    tagged = events.where("ip IS NOT NULL").withColumn("_f", says(FAILED)).withColumn("_s", ~F.col("_f") & says(ACCEPTED)).where("_f OR _s")
-    before = Window.partitionBy("ip").orderBy("_o").rowsBetween(Window.unboundedPreceding, -1)
-    streaks = tagged.withColumn("_streak", F.coalesce(F.sum(F.col("_s").cast("int")).over(before), F.lit(0)))
-    ends = F.max(F.when(F.col("_s"), F.col("_o")))
-    last = F.max(F.when(F.col("_f"), F.col("_o.us")))
-    got = streaks.groupBy("ip", "_streak").agg(F.array_sort(F.collect_list(_proof())).alias("_hits"), ends.alias("emit"), last.alias("_last"))
-    wait = (F.col("emit.us") - F.col("_last")) / 1e6
-    got = got.where(F.col("emit").isNotNull() & (F.size("_hits") > least) & (F.size("_hits") > 1) & wait.between(0, gap))
-    return DESCRIBE["rapid-success-after-failures"](from_list(got.withColumn("_wait", wait)), rule)
-
-
-@describes("rapid-success-after-failures")
-def said_rapid_success(found: DataFrame, rule: RuleConfig) -> DataFrame:
-    return found.withColumns({
-        "users": _no_users(), "title": F.concat(F.lit("Rapid success after failures from "), "ip"),
-        "description": F.concat(F.lit("A login from "), "ip", F.lit(" succeeded "), F.format_string("%.0f", F.col("_wait")), F.lit("s after "), (F.col("count") - 1).cast("string"), F.lit(" consecutive failures.")),
-    })
-
-
-def pattern_hit(rule: RuleConfig) -> Column:
-    patterns = rule.params.get("patterns", [])
-    return any_match(F.col("path"), patterns) | any_match(unquote(F.col("path")), patterns)
-
-
-def _pattern(kind: str, title: str, what: str) -> None:
-    @detector(kind)
-    def detect(events: DataFrame, rule: RuleConfig) -> DataFrame:
-        # the ip's first appearance among all events of the source is its place in the report
-        hits = F.array_sort(F.collect_list(F.when(pattern_hit(rule), _proof())))
-        got = events.where("ip IS NOT NULL").groupBy("ip").agg(hits.alias("_hits"), F.min("_o").alias("emit")).where(F.size("_hits") > 0)
-        return DESCRIBE[kind](from_list(got), rule)
-
-    @describes(kind)
-    def said(found: DataFrame, rule: RuleConfig) -> DataFrame:
-        return found.withColumns({
-            "users": _no_users(), "title": F.concat(F.lit(f"{title} from "), "ip"),
-            "description": F.concat(F.col("count").cast("string"), F.lit(" request(s) from "), "ip", F.lit(f" {what}.")),
-        })
+def _says(kind: str):
+    def add(fn):
+        SAYS[kind] = fn
+        describes(kind)(lambda found, rule: found.withColumns(fn(rule)))
+        return fn
 
+    return add
 
-_pattern("path-traversal", "Path traversal attempt", "attempted directory traversal")
-_pattern("sqli-probe", "SQL injection probe", "matched a SQL-injection pattern")
 
-
-def sudo_hit(rule: RuleConfig) -> Column:
-    return F.coalesce(F.col("extra.program") == "sudo", F.lit(False)) & any_match(F.coalesce("message", F.lit("")), rule.params.get("sensitive_patterns", []))
+def _text(title: str, *parts: Column | str, who: str = "ip", users: Column | None = None) -> dict[str, Column]:
+    said = F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    return {"users": F.array().cast("array<string>") if users is None else users, "title": F.concat(F.lit(title), who), "description": said}
 
 
-@detector("sudo-sensitive-command")
-def sudo_command(events: DataFrame, rule: RuleConfig) -> DataFrame:
-    who = F.coalesce(F.when(F.col("user") != "", F.col("user")), F.lit("unknown"))
-    got = events.where(sudo_hit(rule)).groupBy(who.alias("_user")).agg(F.array_sort(F.collect_list(_proof())).alias("_hits"), F.min("_o").alias("emit"))
-    return DESCRIBE["sudo-sensitive-command"](from_list(got), rule)
+def _n(less: int = 0) -> Column:
+    return (F.col("count") - less if less else F.col("count")).cast("string")
 
 
-@describes("sudo-sensitive-command")
-def said_sudo_sensitive_command(found: DataFrame, rule: RuleConfig) -> DataFrame:
-    return found.withColumns({
-        "ip": F.lit(None).cast("string"), "users": F.array("_user"), "title": F.concat(F.lit("Sensitive sudo command by "), "_user"),
-        "description": F.concat(F.col("_user"), F.lit(" ran "), F.col("count").cast("string"), F.lit(" sudo command(s) touching a sensitive path.")),
-    })
+_says("brute-force")(lambda r: _text("Brute-force attempt from ", _n(), " authentication failures from ", F.col("ip"), f" within {r.window_seconds}s (threshold {threshold_of(r)})."))
+_says("rate-limit-abuse")(lambda r: _text("Rate-limit abuse from ", _n(), " rate-limited (429) responses to ", F.col("ip"), f" within {r.window_seconds}s (threshold {threshold_of(r)})."))
+_says("scanner-burst")(lambda r: _text("Scanner burst from ", F.col("ip"), " probed ", F.size("_values").cast("string"), f" distinct sensitive paths within {r.window_seconds}s (threshold {threshold_of(r)})."))
+_says("ssh-invalid-user-enum")(lambda r: _text("SSH invalid-user enumeration from ", F.col("ip"), " attempted ", F.size("_values").cast("string"), f" distinct invalid usernames within {r.window_seconds}s (threshold {threshold_of(r)}).", users=F.col("_values")))
+_says("brute-force-success")(lambda r: _text("Brute-force followed by successful login from ", _n(1), " authentication failures from ", F.col("ip"), " were followed by a successful login within the same window — the attack likely succeeded."))
+_says("rapid-success-after-failures")(lambda r: _text("Rapid success after failures from ", "A login from ", F.col("ip"), " succeeded ", F.format_string("%.0f", F.col("_wait")), "s after ", _n(1), " consecutive failures."))
+_says("path-traversal")(lambda r: _text("Path traversal attempt from ", _n(), " request(s) from ", F.col("ip"), " attempted directory traversal."))
+_says("sqli-probe")(lambda r: _text("SQL injection probe from ", _n(), " request(s) from ", F.col("ip"), " matched a SQL-injection pattern."))
+_says("sudo-sensitive-command")(lambda r: _text("Sensitive sudo command by ", F.col("_user"), " ran ", _n(), " sudo command(s) touching a sensitive path.", who="_user", users=F.array("_user")) | {"ip": F.lit(None).cast("string")})

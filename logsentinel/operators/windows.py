@@ -1,9 +1,10 @@
-"""Trailing event-time windows per key, exact under tied timestamps and safe for a hot key.
+"""Trailing event-time windows by rule and key: linear in their rows, exact under tied timestamps, safe for a hot key.
 
-A window never reaches further back than its width, so a key's events are cut into time buckets of that width and each
-event also joins the next bucket as context. A partition then holds at most two widths of one key's events, not all of
-them. In it, the number of rows in the window that ends with a row is its row number less the count of the rows
-older than the width: rows of the same second that come later in the total order are not counted.
+A window reaches no further back than its width, so a key's rows are cut into time buckets of that width and each counted
+row also joins the next bucket as context: a partition holds at most two widths of one key's rows. A window's contents
+change where a row comes and where one expires, so both are events of one running sum, and rules of different widths share
+one exchange. At the same time an expiry comes first, and rows stand in the total order of events: those of the same second
+that come later aren't counted yet.
 """
 
 from __future__ import annotations
@@ -11,46 +12,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def bucketed(events: DataFrame, key: str, seconds: int) -> DataFrame:
-    """Adds _b, the bucket, and _own, whether the event belongs there or is context for it."""
-    own = F.floor(F.col("_o.us") / (seconds * 1_000_000)).cast("long")
-    both = events.where(F.col(key).isNotNull()).withColumn("_home", own).withColumn("_b", F.explode(F.array(F.col("_home"), F.col("_home") + 1)))
-    return both.withColumn("_own", F.col("_b") == F.col("_home")).drop("_home")
-
-
-def _frames(key: str, seconds: int):
-    rows = Window.partitionBy(key, "_b").orderBy("_o")
-    by_time = Window.partitionBy(key, "_b").orderBy(F.col("_o.us"))
-    old = by_time.rangeBetween(Window.unboundedPreceding, -(seconds * 1_000_000) - 1)
-    return rows, by_time, old
-
-
-def trailing_count(events: DataFrame, key: str, seconds: int) -> DataFrame:
-    """Adds _rn, the place in the partition, and _n, the number of rows in the window that ends with the row."""
-    rows, _, old = _frames(key, seconds)
-    df = bucketed(events, key, seconds)
-    return df.withColumn("_rn", F.row_number().over(rows)).withColumn("_n", F.col("_rn") - F.count(F.lit(1)).over(old))
-
-
-def trailing_distinct(events: DataFrame, key: str, seconds: int, value: Column) -> DataFrame:
-    """Also _values, the distinct non-empty values in that window, sorted."""
-    _, by_time, _ = _frames(key, seconds)
-    df = trailing_count(events.withColumn("_value", F.when(value != "", value)), key, seconds)
-    seen = F.collect_list(F.struct(F.col("_rn").alias("rn"), F.col("_value").alias("v"))).over(by_time.rangeBetween(-(seconds * 1_000_000), 0))
-    got = F.array_sort(F.array_distinct(F.transform(F.filter(seen, lambda x: (x.rn <= F.col("_rn")) & x.v.isNotNull()), lambda x: x.v)))
-    return df.withColumn("_values", got)
-
-
-def trailing_before(events: DataFrame, key: str, seconds: int, counted: Column) -> DataFrame:
-    """For rows of a mixed stream: _n, the number of counted rows in the window that ends with the row."""
-    rows, _, old = _frames(key, seconds)
-    df = bucketed(events, key, seconds).withColumn("_one", F.when(counted, 1).otherwise(0))
-    so_far = F.sum("_one").over(rows.rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("_rn", F.row_number().over(rows)).withColumn("_n", so_far - F.coalesce(F.sum("_one").over(old), F.lit(0)))
-
-
-def first_fire(windowed: DataFrame, key: str, fires: Column, keep: list[str]) -> DataFrame:
-    """The first firing row of each key: a partial aggregate, so a key that fires often is cheap."""
-    best = F.min(F.struct("_o", "_b", "_rn", "_n", *keep)).alias("_f")
-    return windowed.where(F.col("_own") & fires).groupBy(key).agg(best).select(F.col(key).alias("_key"), "_f.*")
+#: Width of the time buckets in which streaks are counted.
+STREAK_BUCKET = 3600 * 1_000_000
+
+
+def trailing(rows: DataFrame, span: Column, distinct: bool) -> DataFrame:
+    """rows: (rule, key, counts, value, _o), where only rows that count are in windows. Each row with _n, the counted rows of
+    the window that ends with it, and _m, the different values that are not empty among them (0 if not asked for)."""
+    home = F.floor(F.col("_o.us") / span).cast("long")
+    rows = rows.withColumns({"_span": span, "_home": home})
+    here = rows.withColumn("_b", F.explode(F.when(F.col("counts"), F.array("_home", F.col("_home") + 1)).otherwise(F.array("_home"))))
+    here = here.withColumn("_own", F.col("_b") == F.col("_home"))
+    comes, goes = F.lit(0), F.lit(0)
+    if distinct:
+        # of the rows of a value only the first within a width of the one before it adds it, only the last takes it away
+        same = Window.partitionBy("rule", "key", "_b", "value").orderBy("_o")
+        held = F.col("counts") & F.coalesce(F.col("value") != "", F.lit(False))
+        fresh = F.coalesce(F.col("_o.us") - F.lag("_o.us").over(same) > F.col("_span"), F.lit(True))
+        ends = F.coalesce(F.lead("_o.us").over(same) - F.col("_o.us") > F.col("_span"), F.lit(True))
+        # rows that don't count share the partition of rows without a value, which hold nothing
+        here = here.withColumns({"value": F.when(held, F.col("value")), "_held": held})
+        here = here.withColumns({"_comes": F.when(F.col("_held") & fresh, 1).otherwise(0), "_goes": F.when(F.col("_held") & ends, -1).otherwise(0)})
+        comes, goes = F.col("_comes"), F.col("_goes")
+    row = F.struct(F.col("_o.us").alias("t"), F.lit(1).alias("turn"), F.when(F.col("counts"), 1).otherwise(0).alias("n"), comes.alias("m"))
+    expiry = F.struct((F.col("_o.us") + F.col("_span") + 1).alias("t"), F.lit(0).alias("turn"), F.lit(-1).alias("n"), goes.alias("m"))
+    both = here.withColumn("_e", F.explode(F.when(F.col("_own"), F.array(row)).otherwise(F.array(row, expiry))))
+    so_far = Window.partitionBy("rule", "key", "_b").orderBy("_e.t", "_e.turn", "_o").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumns({"_n": F.sum("_e.n").over(so_far), "_m": F.sum("_e.m").over(so_far)})
+    return both.where("_own").select("rule", "key", "counts", "_span", "_o", "_n", "_m")
+
+
+def streaks(rows: DataFrame) -> DataFrame:
+    """Adds _streak, how many successes (rows that don't count) of the rule and key came before the row. Each bucket counts its
+    own; a row a bucket carries the sums of those before it, so no key is one sort."""
+    ended = F.when(F.col("counts"), 0).otherwise(1)
+    rows = rows.withColumn("_b", F.floor(F.col("_o.us") / STREAK_BUCKET).cast("long"))
+    before = Window.partitionBy("rule", "key", "_b").orderBy("_o").rowsBetween(Window.unboundedPreceding, -1)
+    carried = Window.partitionBy("rule", "key").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("rule", "key", "_b").agg(F.sum(ended).alias("_sum")).withColumn("_carry", F.coalesce(F.sum("_sum").over(carried), F.lit(0)))
+    inside = rows.withColumn("_in", F.coalesce(F.sum(ended).over(before), F.lit(0)))
+    return inside.join(sums.drop("_sum"), ["rule", "key", "_b"]).withColumn("_streak", F.col("_in") + F.col("_carry")).drop("_b", "_in", "_carry")

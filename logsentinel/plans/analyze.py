@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import detectors
 from ..operators.correlate import correlate
+from ..operators.shared import detect as detect_shared
 from ..rules import AppConfig, RuleConfig
 from ..schema import FINDING
 from ..sources import lines as text
@@ -71,11 +72,16 @@ def split_rules(config: AppConfig) -> tuple[list[tuple[int, RuleConfig]], list[t
 def detect(events: DataFrame, config: AppConfig) -> tuple[DataFrame, tuple[DataFrame, ...]]:
     """Findings of all enabled rules, correlations last; these never feed other correlations. And what is kept for them."""
     rules, joint, sources = split_rules(config)
-    parts = [detectors.build(events, r, i) for i, r in rules]
+    shared, own = [(i, r) for i, r in rules if r.type in detectors.KINDS], [(i, r) for i, r in rules if r.type not in detectors.KINDS]
+    parts, kept = [detectors.build(events, r, i) for i, r in own], ()
+    if shared:
+        found, kept = detect_shared(events, shared, keep=True)
+        parts.insert(0, found)
     found = reduce(DataFrame.unionByName, parts) if parts else empty_findings(events.sparkSession)
     if joint:
         found = found.persist(StorageLevel.MEMORY_AND_DISK)  # read by each correlation and the union
-    return reduce(DataFrame.unionByName, [correlate(found, r, sources, i) for i, r in joint], found), (found,) if joint else ()
+        kept = (*kept, found)
+    return reduce(DataFrame.unionByName, [correlate(found, r, sources, i) for i, r in joint], found), kept
 
 
 def analyze(spark: SparkSession, paths: list[str], config: AppConfig, fmt: str = "auto", reference: datetime | None = None, warn: int = 20) -> AnalysisResult:

@@ -16,13 +16,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import any_prefix, excerpt
+from ..functions.text import excerpt
 from ..operators import detectors as d
 from ..rules import ConfigError, RuleConfig
 from ..schema import EVIDENCE, order_of
 
-KINDS = {"brute-force": "count", "rate-limit-abuse": "count", "scanner-burst": "distinct", "ssh-invalid-user-enum": "distinct", "brute-force-success": "success", "rapid-success-after-failures": "streak", "path-traversal": "all", "sqli-probe": "all", "sudo-sensitive-command": "all"}
-THRESHOLDS = {"scanner-burst": 6, "ssh-invalid-user-enum": 4}
+KINDS, THRESHOLDS = dict(d.KINDS), dict(d.THRESHOLDS)
 _HIT = "struct<us:bigint,source_rank:int,file_ord:int,line_no:bigint,file:string,excerpt:string>"
 OUT = f"rule_ord int, ip string, hits array<{_HIT}>, names array<string>, wait double"
 
@@ -39,24 +38,13 @@ def follows(kind: str, state: str, mark: Callable[[RuleConfig], tuple[Column, Co
 
 def mark(rule: RuleConfig) -> tuple[Column, Column, Column]:
     """(counts, succeeds, value) of an event under a rule."""
-    no, none, p = F.lit(False), F.lit(None).cast("string"), rule.params
-    got = {
-        "brute-force": lambda: (d.failure(rule), no, none),
-        "brute-force-success": lambda: (d.failure(rule), d.success(rule), none),
-        "rate-limit-abuse": lambda: (d.in_statuses(F.col("status"), p.get("statuses", d.RATE_STATUSES)), no, none),
-        "scanner-burst": lambda: (d.in_statuses(F.col("status"), p.get("statuses", d.SCANNER_STATUSES)) & any_prefix(F.col("path"), p.get("probe_paths", [])), no, F.col("path")),
-        "ssh-invalid-user-enum": lambda: (d.says(d.INVALID_USER), no, F.col("user")),
-        "rapid-success-after-failures": lambda: (d.says(d.FAILED), d.says(d.ACCEPTED), none),
-        "path-traversal": lambda: (d.pattern_hit(rule), no, none),
-        "sqli-probe": lambda: (d.pattern_hit(rule), no, none),
-        "sudo-sensitive-command": lambda: (d.sudo_hit(rule), no, F.coalesce(F.when(F.col("user") != "", F.col("user")), F.lit("unknown"))),
-        **{k: (lambda f=f: f(rule)) for k, f in MARKS.items()},
-    }.get(rule.type)
-    if got is None:
+    if rule.type in d.KINDS:
+        return d.mark(rule)
+    if rule.type not in MARKS:
         raise ConfigError(f"rule {rule.id!r}: type {rule.type!r} has no form on a stream")
-    got = got()
+    counts, succeeds, value = MARKS[rule.type](rule)
     source = F.lit(True) if rule.source is None else F.col("source") == rule.source
-    return got[0] & source, got[1] & source & ~got[0], got[2]
+    return counts & source, succeeds & source & ~counts, value
 
 
 def marked(events: DataFrame, rules: list[tuple[int, RuleConfig]]) -> DataFrame:
