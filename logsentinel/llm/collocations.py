@@ -32,7 +32,7 @@ from .storage import bounded_batches, staged
 
 #: Bytes of text in a slice (more only where a piece is longer), of texts that wait to be one, and nodes of a shard's trie
 #: that are held before they are written.
-SLICE_BYTES, WAITING_BYTES, TRIE_ROWS = 4 << 20, 16 << 20, 1 << 20
+SLICE_BYTES, WAITING_BYTES, TRIE_ROWS = 1 << 20, 8 << 20, 1 << 18
 #: Tables of nodes of more bytes are joined.
 NODES_BYTES = 48 << 20
 #: Parts of a word's slices in such a join, and of a language's phrases in the first round of the ranking.
