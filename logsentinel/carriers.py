@@ -6,6 +6,7 @@ Timestamps are cut to seconds, as in both log formats, and event_id is the line
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,9 +15,12 @@ from pyspark.sql import functions as F
 from .functions.text import REDACTIONS, iso, redact, unquote
 from .operators import detectors
 from .operators.correlate import correlate, new_correlations
-from .plans.analyze import at_least
+from .plans.analyze import at_least, exit_code
 from .rules import RuleConfig
+from .session import shared_folder
 from .sinks import export
+from .sinks.alerts import loud
+from .sources import lines as text
 from .sources import parsers
 
 DAY = 86_400
@@ -184,14 +188,29 @@ def redact_documents(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.md5(redact(F.col("text")).cast("binary")).alias("md5"))
 
 
-#: Encoded path and what it decodes to (fixed values of the query).
-DECODED = {"/a%2e%2e%2fb": "/a../b", "/q?x=union+select": "/q?x=union+select", "/bad%zz%2": "/bad%zz%2", "/%C3%A9%20x": "/é x", "/p%25%32%65": "/p%2e", "/plain": "/plain", "/%FF": "/�"}
+#: Ends of encoded texts that stay as they are: a plus sign and malformed escapes (fixed values of the query).
+UNDECODED = "+%zz%2"
 
 
-def unquote_paths(spark, sf_dir):
-    """STR-5."""
-    coded = F.element_at(F.array(*map(F.lit, DECODED)), (F.col("event_id") % len(DECODED) + 1).cast("int"))
-    return base(spark, sf_dir).select("event_id", unquote(coded).alias("path"))
+def unquote_documents(spark, sf_dir):
+    """STR-5: percent-encoded texts decoded again."""
+    coded = F.concat(F.replace(F.url_encode("text"), F.lit("+"), F.lit("%20")), F.lit(UNDECODED))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.md5(unquote(coded).cast("binary")).alias("md5"))
+
+
+#: Files that the lines of numbered_lines are dealt to.
+FILES = 64
+
+
+def numbered_lines(spark, sf_dir):
+    """SRC-1, 2: access lines written to files, each cut at a vertical tab where its number allows, and read in blocks."""
+    lines = access_lines(spark, sf_dir).select(F.concat("value", F.when(F.col("line_no") % 5 == 0, F.concat(F.lit("\x0bmore "), "line_no")).otherwise("")).alias("value"), "line_no", (F.col("line_no") % FILES).alias("part"))
+    folder = f"{shared_folder(spark, 'lines')}/{uuid.uuid4().hex}"
+    dealt = lines.withColumn("value", F.replace("value", F.lit("\r\n"), F.lit(""))).repartition("part").sortWithinPartitions("part", "line_no")
+    dealt.select("part", "value").write.partitionBy("part").option("lineSep", "\r\n").text(folder)
+    files = text.listed(spark, [f"{folder}/*"])
+    got = text.blocks(spark, list(enumerate(files)))
+    return got.select(F.regexp_extract("file", "/part=([0-9]+)/", 1).cast("long").alias("part"), "line_no", F.md5(F.col("value").cast("binary")).alias("md5"))
 
 
 _ATTACK = "CASE WHEN event_id % 11 = 0 THEN '/../etc' WHEN event_id % 11 = 1 THEN '/%2e%2e/x' WHEN event_id % 11 = 2 THEN '/%25252e' ELSE '/ok' || k END"
@@ -256,15 +275,14 @@ def evidence_lines(spark, sf_dir):
 
 def sniff_choice(spark, sf_dir):
     """SRC-5: the format that each file's scores choose."""
-    best = F.when(F.greatest("apache", "syslog") < parsers.SNIFF_SHARE, None).when(F.col("syslog") > F.col("apache"), "syslog").otherwise("apache")
-    return sniff_scores(spark, sf_dir).select("file_ord", best.alias("format"))
+    named = [(r.file_ord, p.name if (p := parsers.choose(r.asDict())) else None) for r in sniff_scores(spark, sf_dir).collect()]  # a row a file
+    return spark.createDataFrame(named, "file_ord int, format string")
 
 
 def exit_codes(spark, sf_dir):
     """FLT-12: by least severity shown, the exit code of a run that shows the findings at or above it."""
     found = findings(spark, sf_dir)
-    loud = [at_least(found, s).agg(F.coalesce(F.max(F.when(F.col("severity_rank") >= 30, 1)), F.lit(0)).cast("int").alias("code")).select(F.lit(s).alias("shown"), "code") for s in ("low", "medium", "high", "critical")]
-    return reduce(DataFrame.unionByName, loud)
+    return spark.createDataFrame([(s, exit_code(at_least(found, s))) for s in ("low", "medium", "high", "critical")], "shown string, code int")
 
 
 def redact_twice(spark, sf_dir):
@@ -277,15 +295,15 @@ def loud_first(spark, sf_dir):
     """FLT-11, TOPK-1: findings at or above an alert's severity, and the three that come first."""
     from pyspark.sql import Window
 
-    loud = at_least(findings(spark, sf_dir), "high")
-    place = F.row_number().over(Window.orderBy(F.desc("severity_rank"), "rule_ord", "emit", "ip"))
-    return loud.withColumn("place", place.cast("long")).where("place <= 3").select("place", "rule_id", "ip", F.col("count").alias("n"))
+    first = loud(findings(spark, sf_dir), "high").limit(3)
+    place = F.row_number().over(Window.orderBy("rule_ord", "emit", "ip"))  # three rows
+    return first.withColumn("place", place.cast("long")).select("place", "rule_id", "ip", F.col("count").alias("n"))
 
 
 QUERIES = {
     **{k: _detector(k) for k in RULES},
     "brute_force_ties": _detector("brute_force", "hour"), "user_enum_ties": _detector("user_enum_distinct", "hour"), "rapid_success_ties": _detector("rapid_success", "hour"),
-    **{f.__name__: f for f in (parse_access_log, parse_failures, sniff_scores, syslog_year_inference, user_ip_extract, redact_documents, unquote_paths, pattern_hits_by_ip, sudo_by_user, correlate_findings, severity_rollup, report_order, export_csv_rows, sarif_rules, dedup_correlations, evidence_lines, sniff_choice, exit_codes, redact_twice, loud_first)},
+    **{f.__name__: f for f in (parse_access_log, parse_failures, sniff_scores, syslog_year_inference, user_ip_extract, redact_documents, unquote_documents, numbered_lines, pattern_hits_by_ip, sudo_by_user, correlate_findings, severity_rollup, report_order, export_csv_rows, sarif_rules, dedup_correlations, evidence_lines, sniff_choice, exit_codes, redact_twice, loud_first)},
 }
 
 
@@ -317,7 +335,11 @@ w AS (SELECT *, make_timestamp(y2, month(t), day(t), hour(t), minute(t), second(
 SELECT event_id AS line_no, epoch_us(m) AS us, ip, 'root' AS "user", event_id AS pid, m > ref + INTERVAL 1 DAY AS future, CAST(NULL AS VARCHAR) AS reason FROM w""",
     "user_ip_extract": f"""WITH {_SECOND} SELECT event_id, CASE WHEN event_id % 6 IN (0, 1, 4) THEN ip END AS ip, CASE event_id % 6 WHEN 0 THEN 'u' || k WHEN 1 THEN 'v' || k WHEN 2 THEN 'w' || k || '.' WHEN 3 THEN 'x' || k WHEN 4 THEN 'z' END AS "user" FROM ev""",
     "redact_documents": f"SELECT doc_id, md5({_redacted('text')}) AS md5 FROM documents",
-    "unquote_paths": "SELECT event_id, CASE event_id % 7 " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(DECODED.values())) + " END AS path FROM events",
+    "unquote_documents": f"SELECT doc_id, md5(text || '{UNDECODED}') AS md5 FROM documents",
+    "numbered_lines": f"""WITH {_SECOND}, v AS (SELECT event_id, event_id % {FILES} AS part, ip || ' - - [' || strftime(t, '%d/%b/%Y:%H:%M:%S') || ' +0000] "GET /' || event_type || '?k=' || k || ' HTTP/1.1" ' || {STATUS} || ' '
+  || CASE WHEN event_id % 5 = 0 THEN '-' ELSE event_id::VARCHAR END || CASE WHEN event_id % 3 = 0 THEN '' ELSE ' "-" "agent x"' END AS value FROM ev),
+p AS (SELECT part, event_id, 0 AS i, value FROM v UNION ALL SELECT part, event_id, 1, 'more ' || event_id FROM v WHERE event_id % 5 = 0)
+SELECT part, row_number() OVER (PARTITION BY part ORDER BY event_id, i) AS line_no, md5(value) AS md5 FROM p""",
     "pattern_hits_by_ip": f"WITH {_SECOND} SELECT ip, count(*) AS n, min(us) AS first_us, max(us) AS last_us, count(*) AS n_evidence, '' AS users, 30 AS severity_rank FROM ev WHERE event_id % 11 < 3 GROUP BY ip",
     "sudo_by_user": f"""WITH {_SECOND}, h AS (SELECT *, CASE WHEN event_type = 'click' THEN 'u' || (user_id % 7) ELSE 'unknown' END AS u FROM ev WHERE event_type IN ('click', 'purchase') AND k % 2 = 0)
 SELECT count(*) AS n, min(us) AS first_us, max(us) AS last_us, count(*) AS n_evidence, u AS users, 30 AS severity_rank FROM h GROUP BY u""",
@@ -334,6 +356,6 @@ SELECT count(*) AS n, min(us) AS first_us, max(us) AS last_us, count(*) AS n_evi
   FROM bf_w w JOIN bf_f f ON f.ip = w.ip AND w.rn BETWEEN f.rn - f.n + 1 AND f.rn""",
     "exit_codes": f"WITH {_ALL} SELECT shown, CAST(coalesce(max(CASE WHEN severity_rank >= 30 THEN 1 END), 0) AS INTEGER) AS code FROM (VALUES ('low', 10), ('medium', 20), ('high', 30), ('critical', 40)) AS s(shown, least) LEFT JOIN fi ON severity_rank >= least GROUP BY shown",
     "redact_twice": f"SELECT count(*) FILTER (WHERE {_redacted('once')} <> once) AS twice, count(*) FILTER (WHERE once <> text) AS once FROM (SELECT text, {_redacted('text')} AS once FROM documents)",
-    "loud_first": f"WITH {_ALL} SELECT place, rule_id, ip, n FROM (SELECT row_number() OVER (ORDER BY severity_rank DESC, ord, fire_us, fire_id, ip) AS place, * FROM fi WHERE severity_rank >= 30) WHERE place <= 3",
+    "loud_first": f"WITH {_ALL} SELECT place, rule_id, ip, n FROM (SELECT row_number() OVER (ORDER BY ord, fire_us, fire_id, ip) AS place, * FROM fi WHERE severity_rank >= 30) WHERE place <= 3",
 }
 ORACLES["sniff_choice"] = f"SELECT file_ord, CASE WHEN greatest(apache, syslog) < {parsers.SNIFF_SHARE} THEN NULL WHEN syslog > apache THEN 'syslog' ELSE 'apache' END AS format FROM ({ORACLES['sniff_scores']})"

@@ -29,7 +29,8 @@ def run(args: argparse.Namespace) -> int:
     result = analyze(spark, args.files, config, args.format)
     shown = (at_least(result.findings, args.min_severity) if args.min_severity else result.findings).persist()
     try:
-        print(report(shown, result.events.count(), result.failures.count()))
+        n = result.totals()
+        print(report(shown, n["events"], n["failures"]))
         if args.export:
             WRITERS[args.export](shown, args.output)
             print(f"wrote {args.output}")

@@ -8,7 +8,7 @@ from datetime import UTC, datetime
 from functools import reduce
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import detectors
@@ -28,6 +28,13 @@ class AnalysisResult:
     failures: DataFrame
     findings: DataFrame
     kept: tuple[DataFrame, ...] = ()
+    seen: Observation | None = None
+
+    def totals(self) -> dict[str, int]:
+        """Events and failures, as the pass that parsed the lines has counted them."""
+        if self.seen is None:
+            return {"events": self.events.count(), "failures": self.failures.count()}
+        return dict(self.seen.get)
 
     def unpersist(self) -> None:
         """Release what the plan keeps; the frames can still be computed."""
@@ -87,12 +94,15 @@ def detect(events: DataFrame, config: AppConfig) -> tuple[DataFrame, tuple[DataF
 def analyze(spark: SparkSession, paths: list[str], config: AppConfig, fmt: str = "auto", reference: datetime | None = None, warn: int = 20) -> AnalysisResult:
     """Parsed lines are kept for the rules that read them (memory, then disk); failures are counted and the first logged."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    parsed = parse_files(spark, paths, fmt, reference).persist(StorageLevel.MEMORY_AND_DISK)
+    kept: list[DataFrame] = []
+    seen = Observation("lines")
+    parsed = parse_files(spark, paths, fmt, reference, kept).observe(seen, F.count(F.when(F.col("reason").isNull(), 1)).alias("events"), F.count("reason").alias("failures"))
+    parsed = parsed.persist(StorageLevel.MEMORY_AND_DISK)
     events, failures = parsers.events_and_failures(parsed)
-    for f in failures.orderBy("file", "line_no").limit(warn).collect():
+    for f in failures.orderBy("file", "line_no").limit(max(1, warn)).collect()[:warn]:  # reads, keeps and counts all lines
         log.warning("%s:%d: %s", f.file, f.line_no, f.reason)
-    findings, kept = detect(events, config)
-    return AnalysisResult(events, failures, findings, (parsed, *kept))
+    findings, more = detect(events, config)
+    return AnalysisResult(events, failures, findings, (parsed, *more, *kept), seen)
 
 
 def in_order(findings: DataFrame) -> DataFrame:

@@ -39,6 +39,7 @@ def test_golden(attacked):
     got = [(r.rule_id, r.severity, r.ip, r.users, r["count"]) for r in findings.collect()]
     assert got == EXPECTED
     assert result.events.count() == len(web) + len(ssh) - 1
+    assert result.totals() == {"events": len(web) + len(ssh) - 1, "failures": 1}
     assert [(r.line_no, r.reason) for r in result.failures.collect()] == [(web.index("garbage line") + 1, "does not match Apache access-log format")]
     assert exit_code(findings) == 1 and exit_code(findings.where("severity = 'MEDIUM'")) == 0
     assert at_least(findings, "critical").count() == 4
