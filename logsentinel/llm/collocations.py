@@ -312,14 +312,14 @@ def phrases(docs: DataFrame, least: int = 100, longest: int = 5, lang_col: str =
     """For 1 to longest words, all phrases with at least so many occurrences: (node, lang, phrase, n, lefts, rights), lefts
     the counts of its first 1, 2, ... words and rights those of its last, and parent and link for more than one word; and
     all occurrences of words by lang, as (lang, all)."""
-    done = staged(_word_pass(docs, lang_col, text_col), "words")
+    done = staged(_word_pass(docs, lang_col, text_col), "words", large_rows=True)
     words = done.where("word IS NOT NULL")
     totals = staged(words.groupBy("lang").agg(F.sum("n").alias("all")), "totals")
     nodes, kind = _merged(words.select("lang", "word", "n"), ["lang", "word"], least, "level1"), _Words
     known = staged(nodes.select("node", "lang", "n", F.col("word").alias("phrase"), F.col("word").alias("last"), F.array("n").alias("lefts"), F.array("n").alias("rights")), "known1")
     out = [known]
     for depth in range(2, longest + 1):
-        done = staged(_pair_pass(done.where("seq IS NOT NULL"), nodes, kind, nodes_bytes, depth < longest), f"pairs{depth}")
+        done = staged(_pair_pass(done.where("seq IS NOT NULL"), nodes, kind, nodes_bytes, depth < longest), f"pairs{depth}", large_rows=True)
         nodes, kind = _merged(done.where("n IS NOT NULL").select("parent", "link", "n"), ["parent", "link"], least, f"level{depth}"), _Pairs
         parent = known.select(F.col("node").alias("parent"), "lang", F.col("phrase").alias("_before"), F.col("lefts").alias("_lefts"))
         link = known.select(F.col("node").alias("link"), "last", F.col("rights").alias("_rights"))

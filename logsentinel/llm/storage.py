@@ -67,15 +67,20 @@ def scratch(spark: SparkSession) -> Iterator[list[str]]:
                 remove(spark, path)
 
 
-def written(df: DataFrame, name: str) -> str:
+#: Parquet's writer looks at the size of a page, or of a group of rows, only after 100 rows; of rows of megabytes it would
+#: hold hundreds of them at once, and so would a reader.
+LARGE_ROWS = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1000", "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1000", "parquet.block.size": str(32 << 20)}
+
+
+def written(df: DataFrame, name: str, large_rows: bool = False) -> str:
     """Write df there; its path."""
     path = f"{shared_dir(df.sparkSession)}/staged/{name}-{uuid.uuid4().hex}"
     for scope in _SCOPES:
         scope.append(path)
-    df.write.parquet(path)
+    df.write.options(**(LARGE_ROWS if large_rows else {})).parquet(path)
     return path
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, large_rows: bool = False) -> DataFrame:
     """Write df there and read it again: lineage ends at files that outlive any executor."""
-    return df.sparkSession.read.schema(df.schema).parquet(written(df, name))
+    return df.sparkSession.read.schema(df.schema).parquet(written(df, name, large_rows))
