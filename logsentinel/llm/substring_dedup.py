@@ -96,8 +96,8 @@ def dedup(docs: DataFrame, window: int = 20, hot_anchor: int = 1000, broadcast_r
 
     def count_anchors(batches):
         for b in batches:
-            got = [(runs.anchor, runs.content, runs.twice) for *_, runs, _ in _parts(b, window, twice=True)]
-            if not got:
+            got = [(runs.anchor, runs.content, runs.twice) for *_, runs, _ in _parts(b, window, twice=True) if len(runs.anchor)]
+            if not got:  # no text has a window
                 continue
             anchor, content, twice = (np.concatenate(x) for x in zip(*got, strict=True))
             content = content.view(np.int64)

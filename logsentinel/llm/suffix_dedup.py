@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .repeats import Entries, Lookup, find, prepared
 from .storage import staged
-from .tokens import U64, Rolling, byte_tokens, mix, signed, slices
+from .tokens import U64, RollingBytes, mix, signed, slices
 
 GRAM, STEP = 16, 64
 #: Kinds of entries in the lookup table; below 100 the kind is the number of steps that repeat at a position.
@@ -69,7 +69,7 @@ class Slice:
 
     def __init__(self, data: np.ndarray, off: np.ndarray, length: int, gram: int, step: int):
         self.off, self.length, self.gram, self.sizes = off, length, gram, sizes(length, step)
-        self.roll = Rolling(byte_tokens(data))
+        self.roll = RollingBytes(data)
         hit = np.flatnonzero(self.roll.grams(gram) % U64(step) == 0)
         doc = np.searchsorted(off, hit, side="right") - 1
         inside = hit + gram <= off[doc + 1]
