@@ -10,7 +10,9 @@
    a place that holds the share of the item's mass holds one of them, so each such place is a candidate.
 4. Around each candidate the longest common subsequence with the item must reach ``lcs`` of the item's words, and the
    item's answer (its last sentence, or what follows its question) must be there too, so paraphrases and edits are caught
-   while chance likeness is not.
+   while chance likeness is not. Of an item of fewer than ``SHORT`` words all words must be there in order, with a quarter
+   as many others between them at most; one of a word or two proves nothing inside a text, so that it only matches texts
+   that are nothing else.
 
 The benchmark is a stated query set: it goes out in blocks of at most ``BLOCK_ITEMS`` items and ``BLOCK_CHARS``
 characters, as many of them at once as ``LOT_BYTES`` hold, each against all documents: one pass for Y and one search a lot.
@@ -258,6 +260,20 @@ def lcs(a: list[int], b: list[int]) -> int:
     return len(a) - bin(row).count("1")
 
 
+def stands_in_order(item: list[int], region: list[int]) -> int:
+    """Where a stretch of the region begins that holds all words of the item in order and few others; -1 if none does."""
+    most = len(item) + len(item) // 4
+    for i, x in enumerate(region[: max(0, len(region) - len(item) + 1)]):
+        if x == item[0]:
+            k = 1
+            for y in region[i + 1 : i + most]:
+                if k < len(item) and y == item[k]:
+                    k += 1
+            if k == len(item):
+                return i
+    return -1
+
+
 def _search(q: Query, words: np.ndarray, lo: int, hi: int, has, at, mass, gate: float, cosine: float, share: float):
     """Candidates (item, word position) among the windows of one slice; lo, hi: first and end word of each window."""
     inside, whole = mass[0][hi] - mass[0][lo], mass[1][hi] - mass[1][lo]
@@ -375,7 +391,12 @@ def _best(q: Query, words: np.ndarray, first: np.ndarray, lcs_share: float, gate
     seen = set()
 
     def look(row, item, a, z):
-        region = words[a:z].tolist()
+        region, m = words[a:z].tolist(), len(q.items[item])
+        if m < SHORT:
+            i = stands_in_order(q.items[item], region)
+            if i >= 0 and (m > 2 or first[row + 1] - first[row] == m):
+                best[row, item] = max(best.get((row, item), (0.0, 0)), (1.0, -int(a + i - first[row])))
+            return
         got = lcs(q.items[item], region) / len(q.items[item])
         answer = q.answers[item]
         if got >= lcs_share and (not answer or 2 * len(answer & set(region)) >= len(answer)):

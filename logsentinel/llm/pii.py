@@ -9,9 +9,10 @@ honorific) and script, mails of one domain keep a common domain.
 Collision checks: a draw that two entities share goes to one of them; a draw that is itself an entity of the corpus goes
 to none. The others draw again until none is left, so distinct entities stay distinct, and equal ones equal, in every
 document. Domains of mails are entities of their own (whatever their case) and are settled first, so distinct ones stay
-distinct. After ``ATTEMPTS`` draws the query fails with the kind that has no free surrogate, rather than run on. No space of surrogates is empty or stays full: letters of other alphabets, and all of a secret without letters
-and digits, are drawn from a known alphabet; names gain a syllable with each attempt, and after some failed attempts
-secrets, keys, mails and numbers gain a character with each. Cards and IP addresses keep their length: 1e11 and 4e9 of a kind.
+distinct. No space of surrogates is empty or stays full, so the draws end: letters of other alphabets, and all of a secret
+without letters and digits, are drawn from a known alphabet; names gain a syllable with each attempt, and after some failed
+attempts secrets, keys, mails and numbers gain a character with each. Cards and IP addresses keep their length, 1e11 and 4e9
+of a kind, until ``LAST`` draws have failed, as where a corpus uses up nearly all of them; then they gain digits too.
 The map is joined to the documents by entity, never collected, and only texts with entities are shuffled.
 
 Defined cases: null and empty texts and texts without entities are unchanged; all rows and columns are kept (n_chars
@@ -21,6 +22,8 @@ name are carried as they are, but for one named as ``count_col``, which the coun
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,7 +67,8 @@ _ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTU
 _DIGITS, _SMALL, _CAPITAL = _ALPHABETS[:3]
 #: Failed attempts after which a surrogate gets longer than its entity: of letters, and of digits only.
 LONGER, LONGER_NUMBER = 4, 16
-ATTEMPTS = 100
+#: Draws after which cards and IP addresses give up their format to stay distinct.
+LAST = 40
 
 
 def kind_of(entity: Column) -> Column:
@@ -136,6 +140,7 @@ def surrogate(kind: Column, core: Column, attempt: int = 0) -> Column:
     """Of an entity whose draws, and the surrogate of whose domain if it is a mail, are columns beside it."""
     draw = F.col("_draw")
     plain = _redraw(core, draw)
+    last = _more(_DIGITS, draw, max(0, attempt - LAST + 1))
     letters, longer = _more(_SMALL, draw, max(0, attempt - LONGER + 1)), _more(_DIGITS, draw, max(0, attempt - LONGER_NUMBER + 1))
 
     mail = F.concat(_redraw(F.substring_index(core, "@", 1), draw), letters, F.lit("@"), F.col("domain"))
@@ -158,7 +163,7 @@ def surrogate(kind: Column, core: Column, attempt: int = 0) -> Column:
         return F.concat(F.when(two, F.concat(F.when(kind == "name_f", pick("f")).otherwise(pick("m")), F.lit(" "))).otherwise(""), F.initcap(F.concat(*parts)))
 
     name = F.when(core.rlike(r"\p{IsCyrillic}"), named("cyrillic")).otherwise(named("latin"))
-    return F.when(kind == "mail", mail).when(kind == "domain", domain).when(kind == "ip", ip).when(kind == "card", card).when(kind.startswith("name"), name).when(kind.isin("secret", "key"), F.concat(plain, letters)).otherwise(F.concat(plain, longer))
+    return F.when(kind == "mail", mail).when(kind == "domain", domain).when(kind == "ip", F.concat(ip, last)).when(kind == "card", F.concat(card, last)).when(kind.startswith("name"), name).when(kind.isin("secret", "key"), F.concat(plain, letters)).otherwise(F.concat(plain, longer))
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
@@ -169,7 +174,7 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     open_, done = entities, None
     width = entities.sparkSession.sparkContext.defaultParallelism * 4
     real = entities.select(F.col("kind").alias("_k"), F.col("core").alias("_c"))
-    for attempt in range(ATTEMPTS):
+    for attempt in itertools.count():
         # digests once, before the exchange; few bytes but costly expressions, so dealt out by number and not by size
         drawn = open_.withColumns(draws(key, F.col("kind"), F.col("core"), attempt)).repartition(width, "kind", "core")
         drawn = drawn.select("kind", "core", surrogate(F.col("kind"), F.col("core"), attempt).alias("surrogate"))
@@ -180,7 +185,6 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
         open_ = staged(open_.join(done.select("kind", "core"), ["kind", "core"], "left_anti"), "again")
         if open_.isEmpty():
             return done
-    raise RuntimeError(f"no free surrogate after {ATTEMPTS} draws for a {open_.first()['kind']}")
 
 
 def anonymise(docs: DataFrame, key: str = "surrogate-key", text_col: str = "text", count_col: str | None = None) -> DataFrame:

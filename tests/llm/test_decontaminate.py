@@ -81,6 +81,17 @@ def test_short_items_inside_longer_texts(spark):
     assert [k for k, _ in items if got.get((k, k)) != 1.0] == []
 
 
+def test_short_items_are_not_found_by_chance(spark):
+    """All words of a short item must stand in order and near each other; one of a word or two only as a whole text."""
+    assert d.stands_in_order([1, 2, 3], [9, 1, 2, 9, 3, 1, 2, 3]) == 5 and d.stands_in_order([1, 2, 3], [1, 2, 9, 3, 2, 1]) == -1
+    assert d.stands_in_order([1, 2, 3, 4], [1, 2, 9, 3, 4]) == 0 and d.stands_in_order([1], []) == -1
+    items = [(1, "the"), (2, "the cat"), (3, "the cat sat"), (4, "the cat sat on a mat"), (5, "zq")]
+    docs = [(1, "the"), (2, "The cat."), (3, "all the while the cat sat and sat"), (4, "sat cat the on mat a the"), (5, "the cat sat on one a mat"), (6, "cat the sat"), (7, "a zq b")]
+    docs += [(100 + i, f"the dog and the bird number {i} of the yard") for i in range(300)]
+    got = d.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.lcs) for r in got) == [(1, 1, 1.0), (2, 2, 1.0), (3, 3, 1.0), (5, 3, 1.0), (5, 4, 1.0)]
+
+
 def test_blocks_and_empty(spark, monkeypatch):
     docs, items, want = corpus(6)
     df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
