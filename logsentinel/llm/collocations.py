@@ -8,7 +8,9 @@ start one word apart, the first its parent and the second its suffix link, so th
    they stand. It counts the words in a trie of its own, which is written sorted.
 2. The tries of all shards are merged by ranges of prefixes, and nodes with fewer than ``least`` occurrences go: no longer
    phrase that holds one can be frequent.
-3. The slices look up the nodes that stayed, line up neighbours, and count the pairs in the shard's trie: the next level.
+3. The slices look up the nodes that stayed and line up neighbours: the pairs of the next level. Most are rare, so each shard
+   first sums them by a hash into ``SUMS`` buckets; a pair of a bucket that stays below ``least`` in the sum over all shards
+   can't be frequent. The others are counted in the shard's trie.
 
 Walks from the root give the counts of left parts, chains of suffix links those of right parts. Texts are read once; later
 passes read slices, which shrink with each level. Tables of nodes above ``NODES_BYTES`` are joined, not broadcast.
@@ -28,13 +30,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import bounded_batches, staged
+from .storage import bounded_batches, remove, staged, written
+from .tokens import U64, mix
 
 #: Bytes of text in a slice (more only where a piece is longer), of texts that wait to be one, and nodes of a shard's trie
 #: that are held before they are written.
 SLICE_BYTES, WAITING_BYTES, TRIE_ROWS = 1 << 20, 8 << 20, 1 << 18
 #: Tables of nodes of more bytes are joined.
 NODES_BYTES = 48 << 20
+#: Buckets of pairs (a power of two), and of how many the sums travel together.
+SUMS, CHUNK = 1 << 22, 1 << 16
 #: Parts of a word's slices in such a join, and of a language's phrases in the first round of the ranking.
 SALTS, SHARES = 16, 256
 
@@ -46,7 +51,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
 _WORD_PASS = "slice long, lang string, words string, seq binary, word string, n long"
-_PAIR_PASS = "slice long, parents binary, links binary, seq binary, parent long, link long, n long"
+_PAIR_PASS = "slice long, parents binary, links binary, counts binary, seq binary, chunk int, part int, sums binary"
 
 
 def _places(data: np.ndarray) -> tuple[pa.StringArray, np.ndarray]:
@@ -253,10 +258,19 @@ def _index(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, table[at] == keys
 
 
-def _pair_pass(slices: DataFrame, nodes: DataFrame, kind: type[_Words] | type[_Pairs], limit: int, go_on: bool) -> DataFrame:
-    """Neighbours in all slices whose nodes stayed: the pairs of each shard's trie and, if another level follows, new slices."""
+def _kind_of_sums(least: int) -> str:
+    """Sums never pass least: a byte mostly."""
+    return "<u1" if least < 1 << 8 else "<u2" if least < 1 << 16 else "<u4"
+
+
+def _bucket(parent: np.ndarray, link: np.ndarray) -> np.ndarray:
+    return (mix(mix(parent.view(U64)) ^ link.view(U64)) & U64(SUMS - 1)).astype(np.int64)
+
+
+def _pair_pass(slices: DataFrame, nodes: DataFrame, kind: type[_Words] | type[_Pairs], limit: int, least: int) -> DataFrame:
+    """Neighbours in all slices whose nodes stayed, as new slices, and the shard's sums of them by bucket, none above least."""
     spark = slices.sparkSession
-    schema = pa.schema([("slice", pa.int64()), ("parents", pa.binary()), ("links", pa.binary()), ("seq", pa.binary()), ("parent", pa.int64()), ("link", pa.int64()), ("n", pa.int64())])
+    schema = pa.schema([("slice", pa.int64()), ("parents", pa.binary()), ("links", pa.binary()), ("counts", pa.binary()), ("seq", pa.binary()), ("chunk", pa.int32()), ("part", pa.int32()), ("sums", pa.binary())])
     bytes_ = nodes.agg(F.count(F.lit(1)) * 24 + (F.coalesce(F.sum(F.octet_length("word")), F.lit(0)) if kind is _Words else F.lit(0))).first()[0]
     sent = None
     slim = slices.select("slice", *kind.sides, "seq")
@@ -270,7 +284,7 @@ def _pair_pass(slices: DataFrame, nodes: DataFrame, kind: type[_Words] | type[_P
         slim = slim.join(lists, "slice", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, look = _PairTrie(schema), kind(sent.value) if sent else None
+        total, part, look = None, TaskContext.get().partitionId() % SALTS, kind(sent.value) if sent else None
         for b in batches:
             for i in range(len(b)):
                 row = {c: b.column(c)[i].as_py() for c in ("slice", *kind.sides)}
@@ -290,17 +304,71 @@ def _pair_pass(slices: DataFrame, nodes: DataFrame, kind: type[_Words] | type[_P
                     continue
                 pairs, places, n = np.unique(seq[:-1][both] * len(node) + seq[1:][both], return_inverse=True, return_counts=True)
                 parent, link = node[pairs // len(node)], node[pairs % len(node)]
-                yield from trie.add(parent, link, n)
-                if go_on:
-                    ahead = np.full(len(both), -1, "<i4")
-                    ahead[both] = places
-                    ahead = ahead[both | np.append(False, both[:-1])]  # one mark between runs is enough
-                    yield _rows(schema, slice=b.column("slice")[i : i + 1], parents=pa.array([parent.astype("<i8").tobytes()]), links=pa.array([link.astype("<i8").tobytes()]), seq=pa.array([ahead.tobytes()]))
-        yield from trie.flush()
+                total = np.zeros(SUMS, np.uint32) if total is None else total
+                np.add.at(total, _bucket(parent, link), n.astype(np.uint32))
+                np.minimum(total, least, out=total)
+                ahead = np.full(len(both), -1, "<i4")
+                ahead[both] = places
+                ahead = ahead[both | np.append(False, both[:-1])]  # one mark between runs is enough
+                made = {"parents": parent.astype("<i8"), "links": link.astype("<i8"), "counts": n.astype("<i4"), "seq": ahead}
+                yield _rows(schema, slice=b.column("slice")[i : i + 1], **{k: pa.array([v.tobytes()]) for k, v in made.items()})
+        if total is not None:
+            for k in range(0, SUMS, CHUNK):
+                if (own := total[k : k + CHUNK]).any():
+                    yield _rows(schema, chunk=pa.array([k // CHUNK], pa.int32()), part=pa.array([part], pa.int32()), sums=pa.array([own.astype(_kind_of_sums(least)).tobytes()]))
 
     return slim.mapInArrow(run, _PAIR_PASS)
 
 
+def _heavy(sums: DataFrame, least: int) -> np.ndarray:
+    """Which buckets reach least in the sum over all shards: a bit each, whatever the corpus. Sums meet in two rounds, each
+    streamed in the order of the chunks."""
+    width = sums.sparkSession.sparkContext.defaultParallelism * 2
+
+    def add(rows: DataFrame, *by: str) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            key, total = None, None
+            for b in batches:
+                for chunk, part, blob in zip(b.column("chunk").to_pylist(), b.column("part").to_pylist(), b.column("sums"), strict=True):
+                    if (chunk, part) != key:
+                        if key:
+                            yield _summed(key, total, least)
+                        key, total = (chunk, part), np.zeros(CHUNK, np.uint32)
+                    total += np.frombuffer(blob.as_buffer(), _kind_of_sums(least))
+                    np.minimum(total, least, out=total)
+            if key:
+                yield _summed(key, total, least)
+
+        return rows.repartition(width, *by).sortWithinPartitions(*by).mapInArrow(run, "chunk int, part int, sums binary")
+
+    once = add(sums.select("chunk", "part", "sums"), "chunk", "part")
+    out = np.zeros(SUMS, bool)
+    for r in add(once.withColumn("part", F.lit(0)), "chunk").toLocalIterator():
+        out[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.sums, _kind_of_sums(least)) >= least
+    return out
+
+
+def _summed(key: tuple[int, int], total: np.ndarray, least: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([total.astype(_kind_of_sums(least)).tobytes()])], names=["chunk", "part", "sums"])
+
+
+def _trie_pass(slices: DataFrame, heavy: np.ndarray) -> DataFrame:
+    """The pairs of each shard's trie that may be frequent."""
+    sent = slices.sparkSession.sparkContext.broadcast(np.packbits(heavy))
+    schema = pa.schema([("parent", pa.int64()), ("link", pa.int64()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie, may = _PairTrie(schema), np.unpackbits(sent.value).astype(bool)
+        for b in batches:
+            for i in range(len(b)):
+                parent, link, n = (np.frombuffer(b.column(c)[i].as_buffer(), k) for c, k in (("parents", "<i8"), ("links", "<i8"), ("counts", "<i4")))
+                pick = may[_bucket(parent, link)]
+                yield from trie.add(parent[pick], link[pick], n[pick].astype(np.int64))
+        yield from trie.flush()
+
+    return slices.select("parents", "links", "counts").mapInArrow(run, "parent long, link long, n long")
+
+
 def _merged(trie: DataFrame, keys: list[str], least: int, name: str) -> DataFrame:
     """The shards' sorted tries merged by ranges of prefixes: nodes with at least so many occurrences, numbered."""
     whole = trie.repartitionByRange(*keys).sortWithinPartitions(*keys).groupBy(*keys).agg(F.sum("n").alias("n"))
@@ -312,15 +380,22 @@ def phrases(docs: DataFrame, least: int = 100, longest: int = 5, lang_col: str =
     """For 1 to longest words, all phrases with at least so many occurrences: (node, lang, phrase, n, lefts, rights), lefts
     the counts of its first 1, 2, ... words and rights those of its last, and parent and link for more than one word; and
     all occurrences of words by lang, as (lang, all)."""
-    done = staged(_word_pass(docs, lang_col, text_col), "words", large_rows=True)
+    spark = docs.sparkSession
+    path = written(passed := _word_pass(docs, lang_col, text_col), "words", large_rows=True)
+    done = spark.read.schema(passed.schema).parquet(path)
     words = done.where("word IS NOT NULL")
     totals = staged(words.groupBy("lang").agg(F.sum("n").alias("all")), "totals")
     nodes, kind = _merged(words.select("lang", "word", "n"), ["lang", "word"], least, "level1"), _Words
     known = staged(nodes.select("node", "lang", "n", F.col("word").alias("phrase"), F.col("word").alias("last"), F.array("n").alias("lefts"), F.array("n").alias("rights")), "known1")
     out = [known]
     for depth in range(2, longest + 1):
-        done = staged(_pair_pass(done.where("seq IS NOT NULL"), nodes, kind, nodes_bytes, depth < longest), f"pairs{depth}", large_rows=True)
-        nodes, kind = _merged(done.where("n IS NOT NULL").select("parent", "link", "n"), ["parent", "link"], least, f"level{depth}"), _Pairs
+        old, path = path, written(passed := _pair_pass(done.where("seq IS NOT NULL"), nodes, kind, nodes_bytes, least), f"pairs{depth}", large_rows=True)
+        remove(spark, old)  # nothing reads the slices before these again
+        done = spark.read.schema(passed.schema).parquet(path)
+        heavy = _heavy(done.where("sums IS NOT NULL"), least)
+        tries = written(passed := _trie_pass(done.where("seq IS NOT NULL"), heavy), f"tries{depth}")
+        nodes, kind = _merged(spark.read.schema(passed.schema).parquet(tries), ["parent", "link"], least, f"level{depth}"), _Pairs
+        remove(spark, tries)
         parent = known.select(F.col("node").alias("parent"), "lang", F.col("phrase").alias("_before"), F.col("lefts").alias("_lefts"))
         link = known.select(F.col("node").alias("link"), "last", F.col("rights").alias("_rights"))
         joined = nodes.join(parent, "parent").join(link, "link")
@@ -328,6 +403,7 @@ def phrases(docs: DataFrame, least: int = 100, longest: int = 5, lang_col: str =
             "node", "lang", "n", F.concat_ws(" ", "_before", "last").alias("phrase"), "last", F.concat("_lefts", F.array("n")).alias("lefts"), F.concat("_rights", F.array("n")).alias("rights"), "parent", "link",
         ), f"known{depth}")
         out.append(known)
+    remove(spark, path)
     return out, totals
 
 

@@ -68,6 +68,18 @@ def test_small_slices_and_tries(spark, monkeypatch):
     assert sorted(map(tuple, got)) == brute(docs, 3, 5, 500)
 
 
+def test_sums_of_buckets(spark):
+    """Pairs of the same bucket add up over slices, tasks and parts; only buckets that reach the least are heavy."""
+    import numpy as np
+
+    chunk = collocations.CHUNK
+    one, two = np.zeros((2, chunk), "<u1")
+    one[[0, 5]], two[[0, 6]] = [3, 2], [2, 4]
+    rows = [(0, 0, bytearray(one.tobytes())), (0, 1, bytearray(two.tobytes())), (3, 0, bytearray(one.tobytes())), (3, 0, bytearray(two.tobytes())), (3, 2, bytearray(one.tobytes()))]
+    heavy = collocations._heavy(spark.createDataFrame(rows, "chunk int, part int, sums binary").repartition(3), 4)
+    assert np.flatnonzero(heavy).tolist() == [0, 6, 3 * chunk, 3 * chunk + 5, 3 * chunk + 6]
+
+
 def test_products_beyond_64_bits(spark):
     """a * n and l * r are exact where they pass 2 ** 63."""
     big = 3_000_000_007
