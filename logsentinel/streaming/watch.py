@@ -14,7 +14,6 @@ from typing import Any
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from ..operators.correlate import correlate, new_correlations
@@ -22,7 +21,7 @@ from ..plans.analyze import empty_findings, split_rules
 from ..rules import AppConfig
 from ..schema import FINDING
 from ..sources import parsers
-from .detector import as_findings, fired
+from .detector import PROVIDER, as_findings, fired
 from .tail_source import TailSource
 
 
@@ -76,38 +75,55 @@ class WatchSession:
         found = fired(parsers.events_and_failures(parsed)[0], self.rules)
         trigger = {"availableNow": True} if available_now else {"processingTime": f"{int(self.interval * 1000)} milliseconds"}
         self.spark.streams.addListener(self._progress)
+        self.spark.conf.set(*PROVIDER)
         self.query = found.writeStream.outputMode("append").option("checkpointLocation", f"{self.checkpoint}/query").trigger(**trigger).foreachBatch(self._batch).start()
         self._progress.query_id = str(self.query.id)
 
-    def _history(self, before: int) -> DataFrame:
-        path = f"{self.checkpoint}/findings"
-        try:
-            df = self.spark.read.schema(T.StructType([*FINDING.fields, T.StructField("batch", T.LongType())])).parquet(path)
-        except AnalysisException:  # nothing is written yet
-            return empty_findings(self.spark)
-        return df.where(F.col("batch") < before).select(FINDING.names)
+    def _folders(self, name: str) -> list[int]:
+        """Batches that have a folder of that name in the checkpoint."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.checkpoint}/{name}")
+        files = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return sorted(int(s.getPath().getName().removeprefix("batch=")) for s in files.listStatus(path) if s.getPath().getName().startswith("batch=")) if files.exists(path) else []
+
+    def _drop(self, name: str, batch: int) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.checkpoint}/{name}/batch={batch}")
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    def _correlated(self, new: DataFrame, batch_id: int) -> DataFrame:
+        """new and its correlations with what the batch before left open: the findings within the longest correlation window of
+        the latest one, and of correlations only which (ip, rules) they reported. A batch reads and writes these alone, so it
+        takes as long after a thousand batches as after one; the folder before stays in case that this batch runs again."""
+        before = [b for b in self._folders("open") if b < batch_id]
+        past = self.spark.read.schema(FINDING).parquet(f"{self.checkpoint}/open/batch={before[-1]}") if before else empty_findings(self.spark)
+        span = max(r.window_seconds for _, r in self.joint)
+        seen = past.where(F.size("correlated_rule_ids") > 0)
+        single = past.where(F.size("correlated_rule_ids") == 0).unionByName(new)
+        latest = single.agg(F.max("last_seen").alias("_latest"))
+        near = single.join(F.broadcast(latest), F.col("last_seen") >= F.col("_latest") - F.make_dt_interval(secs=F.lit(span))).drop("_latest")  # one row
+        joint = [new_correlations(correlate(near, r, self.sources, i), seen.where(F.col("rule_id") == r.id)) for i, r in self.joint]
+        joint = reduce(DataFrame.unionByName, joint).persist()
+        kinds = {f.name: f.dataType for f in FINDING}
+        slim = joint.select(*(F.col(c) if c in ("rule_id", "ip", "correlated_rule_ids") else F.lit(None).cast(kinds[c]).alias(c) for c in FINDING.names))
+        near.unionByName(seen).unionByName(slim).coalesce(1).write.mode("overwrite").parquet(f"{self.checkpoint}/open/batch={batch_id}")
+        for old in before[:-1]:
+            self._drop("open", old)
+        return joint.unionByName(new)
 
     def _batch(self, batch: DataFrame, batch_id: int) -> None:
-        """Idempotent: a batch that is run again writes the same folder."""
+        """Idempotent: a batch that is run again writes the same folders."""
         self._keep_counts()
-        path = f"{self.checkpoint}/findings/batch={batch_id}"
         batch = batch.persist()  # the detectors' state advances once
-        new = as_findings(batch, self.rules)
-        if self.joint:
-            # findings within the longest correlation window of the latest one
-            past = self._history(batch_id)
-            span = max(r.window_seconds for _, r in self.joint)
-            single = past.where(F.size("correlated_rule_ids") == 0).unionByName(new)
-            latest = single.agg(F.max("last_seen").alias("_latest"))
-            near = single.join(F.broadcast(latest), F.col("last_seen") >= F.col("_latest") - F.make_dt_interval(secs=F.lit(span))).drop("_latest")  # one row
-            joint = [new_correlations(correlate(near, r, self.sources, i), past.where(F.col("rule_id") == r.id)) for i, r in self.joint]
-            new = reduce(DataFrame.unionByName, joint, new)
-        new = new.persist()
-        rows = new.orderBy(F.desc("severity_rank"), "rule_ord", "emit").collect()
-        if rows:  # most polls find nothing and leave no folder
-            new.coalesce(1).write.mode("overwrite").parquet(path)
-        new.unpersist()
-        batch.unpersist()
+        try:
+            if batch.isEmpty():  # most polls find nothing, and leave no folder
+                return
+            new = as_findings(batch, self.rules).persist()
+            shown = (self._correlated(new, batch_id) if self.joint else new).persist()
+            rows = shown.orderBy(F.desc("severity_rank"), "rule_ord", "emit").collect()
+            shown.coalesce(1).write.mode("overwrite").parquet(f"{self.checkpoint}/findings/batch={batch_id}")
+            shown.unpersist()
+            new.unpersist()
+        finally:
+            batch.unpersist()
         if rows and self.on_findings:
             self.on_findings([r.asDict(recursive=True) for r in rows])
 

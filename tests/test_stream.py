@@ -1,4 +1,12 @@
-from logsentinel.rules import load_rules
+import random
+import time
+
+import pytest
+from pyspark.sql import functions as F
+
+from logsentinel.rules import RuleConfig, load_rules
+from logsentinel.schema import FINDING
+from logsentinel.streaming.detector import TrailingWindow, fires_of
 from logsentinel.streaming.tail_source import TailReader
 from logsentinel.streaming.watch import WatchSession
 
@@ -36,6 +44,61 @@ def test_tail_waits_for_format(tmp_path):
     assert len(rows) == 300 and rows[0][2] == 51 and rows[-1][4] == "apache"
 
 
+@pytest.mark.parametrize("kind,params", [("brute-force", {"threshold": 6}), ("scanner-burst", {"threshold": 4}), ("brute-force-success", {"threshold": 5})])
+def test_windows_match_plain_lists(kind, params):
+    """Batches of unordered rows, late ones among them, against lists that are filtered anew for each row."""
+    r = random.Random(7)
+    rule = RuleConfig("r", kind, True, "high", None, 10, params)
+    for _ in range(40):
+        kept, window, fired = [], TrailingWindow(), None
+        for _ in range(6):
+            batch = sorted(((r.randrange(0, 60) * 1_000_000, 0, 0, k, "f", "", r.choice([None, "a", "b", "c", "d", "e"])), r.random() < 0.7) for k in range(r.randrange(0, 12)))
+            want = None
+            for row, counts in batch:
+                kept = [x for x in kept if x[0] >= row[0] - 10_000_000] + ([row] if counts else [])
+                n = len({x[-1] for x in kept if x[-1]}) if kind == "scanner-burst" else len(kept)
+                if want is None and n >= params["threshold"] and (kind != "brute-force-success" or not counts):
+                    want = kept + ([] if counts else [row])
+                    break
+            got, done = fires_of(iter(batch), rule, window)
+            assert ([h for h, *_ in got] == ([want] if want else [])) and done == bool(want)
+            window = TrailingWindow(list(window.rows.values()))  # as it is stored
+            if done:
+                break
+
+
+def test_many_rows_of_one_key_in_time():
+    """100,000 rows of one key in one window that doesn't fire, and 100,000 that come and go: no row looks at all others."""
+    rule = RuleConfig("r", "scanner-burst", True, "high", None, 100, {"threshold": 5})
+    for step in (0, 10_000):
+        window = TrailingWindow()
+        began = time.monotonic()
+        rows = ((i * step, 0, 0, i, "f", "", "same") for i in range(100_000))
+        assert fires_of(((x, True) for x in rows), rule, window) == ([], False)
+        assert time.monotonic() - began < 10 and len(window.rows) == (100_000 if not step else 10_001)
+
+
+def test_correlation_reads_the_last_batch_only(spark, tmp_path):
+    """What is left open doesn't grow with the batches: findings out of the window go, and two folders stay."""
+    session = WatchSession(spark, [str(tmp_path / "a.log")], load_rules(), str(tmp_path / "cp"))
+    found = analyze_rows(spark, at(0))
+    sizes = []
+    for batch in range(6):
+        late = found.withColumns({c: F.col(c) + F.expr(f"INTERVAL {batch * 400} SECONDS") for c in ("first_seen", "last_seen")})
+        out = session._correlated(late, batch).collect()
+        assert len([x for x in out if x.rule_id == "multi-vector-correlation"]) == (1 if batch == 0 else 0)
+        sizes.append(spark.read.parquet(str(tmp_path / f"cp/open/batch={batch}")).count())
+        assert session._folders("open") == list(range(max(0, batch - 1), batch + 1))
+    assert sizes == [3, 5, 5, 5, 5, 5]
+    assert [x.rule_id for x in session._correlated(found.limit(0), 3).collect()] == []  # run again
+
+
+def analyze_rows(spark, t):
+    """Two findings of one ip from two sources."""
+    rows = [(f"id{i}", rule, "HIGH", 30, "t", "d", t, t, 5, "10.0.0.50", [], [], [], i, (0, 0, 0, i)) for i, rule in enumerate(("web-brute-force", "ssh-brute-force"))]
+    return spark.createDataFrame(rows, FINDING)
+
+
 def test_watch_matches_batch_and_restarts(spark, tmp_path):
     web, ssh = attack()
     files = [tmp_path / "access.log", tmp_path / "auth.log"]
