@@ -258,6 +258,14 @@ def sarif_rules(spark, sf_dir):
     return export.sarif_rules(findings(spark, sf_dir))
 
 
+def sarif_results(spark, sf_dir):
+    """SNK-4: the results of a document, read back from their text."""
+    part = lambda path: F.get_json_object("text", f"$.{path}")
+    got = export.sarif_results(detectors.build(as_events(spark, sf_dir), RULES["brute_force"]))
+    lines = F.from_json(part("locations"), "array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:bigint>>>>")
+    return got.select(part("ruleId").alias("rule"), part("level").alias("level"), part("message.text").alias("message"), F.array_join(F.transform(lines, lambda x: F.concat(x["physicalLocation"]["artifactLocation"]["uri"], F.lit(":"), x["physicalLocation"]["region"]["startLine"].cast("string"))), ";").alias("lines"))
+
+
 def dedup_correlations(spark, sf_dir):
     """SET-2: correlations not reported yet; even addresses have been."""
     found = correlations(spark, sf_dir)
@@ -303,7 +311,7 @@ def loud_first(spark, sf_dir):
 QUERIES = {
     **{k: _detector(k) for k in RULES},
     "brute_force_ties": _detector("brute_force", "hour"), "user_enum_ties": _detector("user_enum_distinct", "hour"), "rapid_success_ties": _detector("rapid_success", "hour"),
-    **{f.__name__: f for f in (parse_access_log, parse_failures, sniff_scores, syslog_year_inference, user_ip_extract, redact_documents, unquote_documents, numbered_lines, pattern_hits_by_ip, sudo_by_user, correlate_findings, severity_rollup, report_order, export_csv_rows, sarif_rules, dedup_correlations, evidence_lines, sniff_choice, exit_codes, redact_twice, loud_first)},
+    **{f.__name__: f for f in (parse_access_log, parse_failures, sniff_scores, syslog_year_inference, user_ip_extract, redact_documents, unquote_documents, numbered_lines, pattern_hits_by_ip, sudo_by_user, correlate_findings, severity_rollup, report_order, export_csv_rows, sarif_rules, sarif_results, dedup_correlations, evidence_lines, sniff_choice, exit_codes, redact_twice, loud_first)},
 }
 
 
@@ -349,6 +357,8 @@ SELECT count(*) AS n, min(us) AS first_us, max(us) AS last_us, count(*) AS n_evi
     "export_csv_rows": f"""WITH {_SECOND}, {_BF} SELECT 'brute-force' AS rule_id, 'HIGH' AS severity, 'Brute-force attempt from ' || h.ip AS title, h.n || ' authentication failures from ' || h.ip || ' within 86400s (threshold 3).' AS description, h.ip AS ip,
   strftime(make_timestamp(first_us), '%Y-%m-%dT%H:%M:%S') || '+00:00' AS first_seen, strftime(make_timestamp(last_us), '%Y-%m-%dT%H:%M:%S') || '+00:00' AS last_seen, h.n AS count, '' AS users,
   (SELECT string_agg('events:' || w.event_id, ';' ORDER BY w.rn) FROM bf_w w JOIN bf_f f ON f.ip = w.ip WHERE w.ip = h.ip AND w.rn BETWEEN f.rn - f.n + 1 AND f.rn) AS evidence FROM bf_h h""",
+    "sarif_results": f"""WITH {_SECOND}, {_BF} SELECT 'brute-force' AS rule, 'error' AS level, h.n || ' authentication failures from ' || h.ip || ' within 86400s (threshold 3).' AS message,
+  (SELECT string_agg('events:' || w.event_id, ';' ORDER BY w.rn) FROM bf_w w JOIN bf_f f ON f.ip = w.ip WHERE w.ip = h.ip AND w.rn BETWEEN f.rn - f.n + 1 AND f.rn) AS lines FROM bf_h h""",
     "sarif_rules": f"""WITH {_ALL} SELECT DISTINCT rule_id AS id, CASE rule_id WHEN 'brute-force' THEN 'Brute Force' WHEN 'rate-limit-abuse' THEN 'Rate Limit Abuse' WHEN 'ssh-invalid-user-enum' THEN 'Ssh Invalid User Enum' ELSE 'Rapid Success After Failures' END AS name,
   CASE severity_rank WHEN 30 THEN 'error' WHEN 20 THEN 'warning' ELSE 'note' END AS level FROM fi""",
     "dedup_correlations": f"WITH {_CORR} SELECT ip, rules FROM co WHERE CAST(string_split(ip, '.')[4] AS INTEGER) % 2 = 1",

@@ -1,13 +1,20 @@
-"""Findings to JSON, CSV, SARIF and a console report. Every text leaves through ``exported``, which redacts it."""
+"""Findings to JSON, CSV, SARIF and a console report. Every text leaves through ``exported``, which redacts it.
+
+A document is written piece by piece: executors make the text of each finding, in report order, and the driver passes one
+partition of them at a time on to the file, between a head and a tail."""
 
 from __future__ import annotations
 
 import csv
+import itertools
 import json
 import os
+import textwrap
+from collections.abc import Callable, Iterator
 from io import StringIO
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,16 +22,18 @@ from .. import __version__
 from ..functions.text import iso, redact
 from ..plans.analyze import in_order
 
+#: Findings rendered at once.
+ROWS = 64
 # Fixed values of the formats.
 FIELDS = ["finding_id", "rule_id", "severity", "title", "description", "ip", "first_seen", "last_seen", "count", "users", "correlated_rule_ids", "evidence"]
 SARIF_SCHEMA = "https://raw.githubusercontent.com/oasis-tcs/sarif-spec/master/Schemata/sarif-schema-2.1.0.json"
 LEVELS = {"LOW": "note", "MEDIUM": "warning", "HIGH": "error", "CRITICAL": "error"}
 
 
-def exported(findings: DataFrame) -> DataFrame:
-    """The columns that leave the engine, redacted, in report order."""
+def exported(findings: DataFrame, ordered: bool = True) -> DataFrame:
+    """The columns that leave the engine, redacted; in report order, unless part files without one will do."""
     safe = F.transform("evidence", lambda e: F.struct(e["file"].alias("file"), e["line_no"].alias("line_no"), redact(e["excerpt"]).alias("excerpt")))
-    return in_order(findings).select(
+    return (in_order(findings) if ordered else findings).select(
         "finding_id", "rule_id", "severity", redact(F.col("title")).alias("title"), redact(F.col("description")).alias("description"), "ip", F.transform("users", redact).alias("users"),
         iso(F.col("first_seen")).alias("first_seen"), iso(F.col("last_seen")).alias("last_seen"), "count", "correlated_rule_ids", safe.alias("evidence"))
 
@@ -33,28 +42,57 @@ def to_dicts(findings: DataFrame) -> list[dict[str, Any]]:
     return [r.asDict(recursive=True) for r in exported(findings).toLocalIterator()]
 
 
+def _rendered(findings: DataFrame, render: Callable[[dict[str, Any]], Any], depth: int) -> DataFrame:
+    """(text) of what render makes of each finding, indented as it stands in its document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, len(b), ROWS):
+                said = [textwrap.indent(json.dumps(render(r), indent=2, ensure_ascii=False), " " * depth, lambda line: True) for r in b.slice(at, ROWS).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(said, pa.string())], names=["text"])
+
+    return exported(findings).mapInArrow(run, "text string")
+
+
+def _joined(rows: DataFrame, head: str, tail: str, empty: str) -> Iterator[str]:
+    """Pieces of a document; a partition of rows at a time is on the driver."""
+    between = head
+    for r in rows.toLocalIterator():
+        yield between
+        yield r.text
+        between = ",\n"
+    yield tail if between != head else empty
+
+
+def json_pieces(findings: DataFrame) -> Iterator[str]:
+    return _joined(_rendered(findings, dict, 2), "[\n", "\n]", "[]")
+
+
 def to_json(findings: DataFrame) -> str:
-    return json.dumps(to_dicts(findings), indent=2, ensure_ascii=False)
+    return "".join(json_pieces(findings))
 
 
-def csv_columns(findings: DataFrame) -> DataFrame:
+def csv_columns(findings: DataFrame, ordered: bool = True) -> DataFrame:
     """One string or number a field: users and rule ids joined by ';', evidence as file:line."""
     places = F.transform("evidence", lambda e: F.concat(e["file"], F.lit(":"), e["line_no"].cast("string")))
-    return exported(findings).withColumns({"users": F.array_join("users", ";"), "correlated_rule_ids": F.array_join("correlated_rule_ids", ";"), "evidence": F.array_join(places, ";")}).select(FIELDS)
+    return exported(findings, ordered).withColumns({"users": F.array_join("users", ";"), "correlated_rule_ids": F.array_join("correlated_rule_ids", ";"), "evidence": F.array_join(places, ";")}).select(FIELDS)
+
+
+def csv_pieces(findings: DataFrame) -> Iterator[str]:
+    for row in itertools.chain([FIELDS], csv_columns(findings).toLocalIterator()):
+        out = StringIO()
+        csv.writer(out).writerow(["" if v is None else v for v in row])
+        yield out.getvalue()
 
 
 def to_csv(findings: DataFrame) -> str:
-    out = StringIO()
-    rows = csv.writer(out)
-    rows.writerow(FIELDS)
-    for r in csv_columns(findings).toLocalIterator():
-        rows.writerow(["" if v is None else v for v in r])
-    return out.getvalue()
+    return "".join(csv_pieces(findings))
 
 
-def artifact_uri(file: str) -> str:
+def artifact_uri(file: str, base: str | None = None) -> str:
+    """A file's path with forward slashes, relative to base (the working folder) if it is absolute."""
     uri = file.replace("\\", "/").removeprefix("./")
-    return os.path.relpath(uri).replace("\\", "/") if os.path.isabs(uri) else uri
+    return os.path.relpath(uri, base).replace("\\", "/") if os.path.isabs(uri) else uri
 
 
 def level_of(severity: Column) -> Column:
@@ -68,33 +106,47 @@ def sarif_rules(findings: DataFrame) -> DataFrame:
     return got.select("id", F.initcap(F.replace(F.col("id"), F.lit("-"), F.lit(" "))).alias("name"), level_of(F.col("s")).alias("level")).orderBy("id")
 
 
-def to_sarif(findings: DataFrame) -> dict[str, Any]:
-    rules = [{"id": r.id, "name": r.id, "shortDescription": {"text": r.name}, "defaultConfiguration": {"level": r.level}} for r in sarif_rules(findings).collect()]
-    results = []
-    for f in to_dicts(findings):
-        one: dict[str, Any] = {"ruleId": f["rule_id"], "level": LEVELS.get(f["severity"], "warning"), "message": {"text": f["description"]}}
+def sarif_results(findings: DataFrame) -> DataFrame:
+    """(text) of each finding's result, in report order."""
+    base = os.getcwd()
+
+    def result(f: dict[str, Any]) -> dict[str, Any]:
+        out: dict[str, Any] = {"ruleId": f["rule_id"], "level": LEVELS.get(f["severity"], "warning"), "message": {"text": f["description"]}}
         if f["evidence"]:
-            one["locations"] = [{"physicalLocation": {"artifactLocation": {"uri": artifact_uri(e["file"])}, "region": {"startLine": max(e["line_no"], 1)}}} for e in f["evidence"]]
-        results.append(one)
+            out["locations"] = [{"physicalLocation": {"artifactLocation": {"uri": artifact_uri(e["file"], base)}, "region": {"startLine": max(e["line_no"], 1)}}} for e in f["evidence"]]
+        return out
+
+    return _rendered(findings, result, 8)
+
+
+def sarif_pieces(findings: DataFrame) -> Iterator[str]:
+    rules = [{"id": r.id, "name": r.id, "shortDescription": {"text": r.name}, "defaultConfiguration": {"level": r.level}} for r in sarif_rules(findings).collect()]  # a row a rule
     tool = {"driver": {"name": "logsentinel", "version": __version__, "rules": rules}}
-    return {"$schema": SARIF_SCHEMA, "version": "2.1.0", "runs": [{"tool": tool, "results": results}]}
+    around = json.dumps({"$schema": SARIF_SCHEMA, "version": "2.1.0", "runs": [{"tool": tool, "results": []}]}, indent=2, ensure_ascii=False)
+    head, tail = around.rsplit("[]", 1)
+    return _joined(sarif_results(findings), f"{head}[\n", f"\n      ]{tail}", around)
+
+
+def to_sarif(findings: DataFrame) -> dict[str, Any]:
+    return json.loads("".join(sarif_pieces(findings)))
 
 
-def _write(text: str, path: str) -> None:
+def _write(pieces: Iterator[str], path: str) -> None:
     with open(path, "w", encoding="utf-8", newline="") as out:
-        out.write(text)
+        for piece in pieces:
+            out.write(piece)
 
 
 WRITERS = {
-    "json": lambda findings, path: _write(to_json(findings), path),
-    "csv": lambda findings, path: _write(to_csv(findings), path),
-    "sarif": lambda findings, path: _write(json.dumps(to_sarif(findings), indent=2, ensure_ascii=False), path),
+    "json": lambda findings, path: _write(json_pieces(findings), path),
+    "csv": lambda findings, path: _write(csv_pieces(findings), path),
+    "sarif": lambda findings, path: _write(sarif_pieces(findings), path),
 }
 
 
 def write_distributed(findings: DataFrame, path: str, fmt: str = "json") -> None:
     """Many findings: part files written by the executors (json lines, csv or parquet)."""
-    df = csv_columns(findings) if fmt == "csv" else exported(findings)
+    df = csv_columns(findings, ordered=False) if fmt == "csv" else exported(findings, ordered=False)
     options = {"header": True, "escape": '"'} if fmt == "csv" else {}
     df.write.format(fmt).options(**options).save(path)
 

@@ -18,7 +18,7 @@ from ..rules import ConfigError
 MORE_BREAKS = "[\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 BREAKS = f"\r\n|[\n\r]|{MORE_BREAKS}"
 #: Files above this size are read in blocks; their lines are the same.
-WHOLE_BYTES = 64 << 20
+WHOLE_BYTES = 4 << 20
 #: A read of the start of a file, the files read at once, and the bytes of a lookup table that may be broadcast.
 HEAD_BYTES, READERS, BROADCAST_BYTES = 64 << 10, 32, 64 << 20
 

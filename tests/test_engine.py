@@ -60,6 +60,10 @@ def test_exports(attacked):
     said = export.report(findings, 5, 1)
     assert said.startswith("Correlated") and said.endswith("14 finding(s) across 5 event(s); 1 line(s) failed to parse.")
     assert export.artifact_uri(".\\a\\b.log") == "a/b.log"
+    assert export.to_json(findings) == json.dumps(export.to_dicts(findings), indent=2, ensure_ascii=False)
+    assert "".join(export.sarif_pieces(findings)) == json.dumps(sarif, indent=2, ensure_ascii=False)
+    none = findings.limit(0)
+    assert export.to_json(none) == "[]" and export.to_sarif(none)["runs"][0]["results"] == [] and len(export.to_csv(none).splitlines()) == 1
 
 
 def test_alerts(attacked):
@@ -335,6 +339,23 @@ def test_rule_types_of_ones_own(spark, tmp_path):
             known("teapot")
 
 
+def test_hot_ip_in_time(spark):
+    """200,000 hits of one ip in one window, of few values and never enough, and one streak over all of them."""
+    import time
+
+    n = 200_000
+    hits = spark.range(n).select(
+        F.lit("web").alias("source"), F.lit("f").alias("file"), F.lit(0).alias("file_ord"), "id", F.timestamp_seconds(1_750_000_000 + (F.col("id") % 50)).alias("timestamp"), F.lit("x").alias("raw"), F.lit("10.0.0.1").alias("ip"),
+        F.concat(F.lit("/p"), F.col("id") % 3).alias("path"), F.lit(404).alias("status"), F.lit("Failed password").alias("message"))
+    hits = hits.withColumnRenamed("id", "line_no").withColumns({c: F.lit(None).cast("string") for c in ("user", "method")} | {"extra": F.struct(F.lit(None).cast("string").alias("program"))})
+    began = time.monotonic()
+    assert detectors.build(hits, RuleConfig("r", "scanner-burst", True, "high", "web", 100, {"threshold": 4})).count() == 0
+    got = detectors.build(hits, RuleConfig("r", "scanner-burst", True, "high", "web", 100, {"threshold": 3})).collect()
+    assert [(r.ip, r["count"], len(r.evidence)) for r in got] == [("10.0.0.1", 3, 3)]  # the first three of the first second
+    assert detectors.build(hits, RuleConfig("r", "rapid-success-after-failures", True, "high", "web", 60, {})).count() == 0
+    assert time.monotonic() - began < 90
+
+
 def test_adversarial_lines_in_time(spark):
     """A megabyte in one line, and paths made to backtrack, take no more than seconds on any operator that reads them."""
     import time
