@@ -358,7 +358,7 @@ SELECT count(*) AS n, min(us) AS first_us, max(us) AS last_us, count(*) AS n_evi
   strftime(make_timestamp(first_us), '%Y-%m-%dT%H:%M:%S') || '+00:00' AS first_seen, strftime(make_timestamp(last_us), '%Y-%m-%dT%H:%M:%S') || '+00:00' AS last_seen, h.n AS count, '' AS users,
   (SELECT string_agg('events:' || w.event_id, ';' ORDER BY w.rn) FROM bf_w w JOIN bf_f f ON f.ip = w.ip WHERE w.ip = h.ip AND w.rn BETWEEN f.rn - f.n + 1 AND f.rn) AS evidence FROM bf_h h""",
     "sarif_results": f"""WITH {_SECOND}, {_BF} SELECT 'brute-force' AS rule, 'error' AS level, h.n || ' authentication failures from ' || h.ip || ' within 86400s (threshold 3).' AS message,
-  (SELECT string_agg('events:' || w.event_id, ';' ORDER BY w.rn) FROM bf_w w JOIN bf_f f ON f.ip = w.ip WHERE w.ip = h.ip AND w.rn BETWEEN f.rn - f.n + 1 AND f.rn) AS lines FROM bf_h h""",
+  (SELECT string_agg('events:' || greatest(w.event_id, 1), ';' ORDER BY w.rn) FROM bf_w w JOIN bf_f f ON f.ip = w.ip WHERE w.ip = h.ip AND w.rn BETWEEN f.rn - f.n + 1 AND f.rn) AS lines FROM bf_h h""",
     "sarif_rules": f"""WITH {_ALL} SELECT DISTINCT rule_id AS id, CASE rule_id WHEN 'brute-force' THEN 'Brute Force' WHEN 'rate-limit-abuse' THEN 'Rate Limit Abuse' WHEN 'ssh-invalid-user-enum' THEN 'Ssh Invalid User Enum' ELSE 'Rapid Success After Failures' END AS name,
   CASE severity_rank WHEN 30 THEN 'error' WHEN 20 THEN 'warning' ELSE 'note' END AS level FROM fi""",
     "dedup_correlations": f"WITH {_CORR} SELECT ip, rules FROM co WHERE CAST(string_split(ip, '.')[4] AS INTEGER) % 2 = 1",
