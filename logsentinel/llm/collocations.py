@@ -9,8 +9,9 @@ start one word apart, the first its parent and the second its suffix link, so th
 2. The tries of all shards are merged by ranges of prefixes, and nodes with fewer than ``least`` occurrences go: no longer
    phrase that holds one can be frequent.
 3. The slices look up the nodes that stayed and line up neighbours: the pairs of the next level. Most are rare, so each shard
-   first sums them by a hash into ``SUMS`` buckets; a pair of a bucket that stays below ``least`` in the sum over all shards
-   can't be frequent. The others are counted in the shard's trie.
+   first sums them by a hash into buckets, in proportion to the corpus; a pair of a bucket that stays below ``least`` in the sum
+   over all shards can't be frequent. The others are counted in the shard's trie. (Past ``MOST_SUMS`` buckets, more and more
+   rare pairs are counted; the result is the same.)
 
 Walks from the root give the counts of left parts, chains of suffix links those of right parts. Texts are read once; later
 passes read slices, which shrink with each level. Tables of nodes above ``NODES_BYTES`` are joined, not broadcast.
@@ -38,8 +39,8 @@ from .tokens import U64, mix
 SLICE_BYTES, WAITING_BYTES, TRIE_ROWS = 1 << 20, 8 << 20, 1 << 18
 #: Tables of nodes of more bytes are joined.
 NODES_BYTES = 48 << 20
-#: Buckets of pairs (a power of two), and of how many the sums travel together.
-SUMS, CHUNK = 1 << 22, 1 << 16
+#: Buckets for as many words as make a phrase frequent, the most buckets, and of how many the sums travel together.
+SPARE, MOST_SUMS, CHUNK = 8, 1 << 25, 1 << 16
 #: Parts of a word's slices in such a join, and of a language's phrases in the first round of the ranking.
 SALTS, SHARES = 16, 256
 
@@ -263,11 +264,24 @@ def _kind_of_sums(least: int) -> str:
     return "<u1" if least < 1 << 8 else "<u2" if least < 1 << 16 else "<u4"
 
 
-def _bucket(parent: np.ndarray, link: np.ndarray) -> np.ndarray:
-    return (mix(mix(parent.view(U64)) ^ link.view(U64)) & U64(SUMS - 1)).astype(np.int64)
+def _buckets(words: int, least: int) -> int:
+    """A power of two."""
+    return min(MOST_SUMS, max(CHUNK, 1 << (SPARE * words // least).bit_length()))
 
 
-def _pair_pass(slices: DataFrame, nodes: DataFrame, kind: type[_Words] | type[_Pairs], limit: int, least: int) -> DataFrame:
+def _bucket(parent: np.ndarray, link: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(mix(parent.view(U64)) ^ link.view(U64)) & U64(buckets - 1)).astype(np.int64)
+
+
+def _add_up(total: np.ndarray, bucket: np.ndarray, n: np.ndarray, least: int) -> None:
+    order = np.argsort(bucket)
+    bucket, n = bucket[order], n[order]
+    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    at = bucket[first]
+    total[at] = np.minimum(total[at] + np.add.reduceat(n, first), least)
+
+
+def _pair_pass(slices: DataFrame, nodes: DataFrame, kind: type[_Words] | type[_Pairs], limit: int, least: int, buckets: int) -> DataFrame:
     """Neighbours in all slices whose nodes stayed, as new slices, and the shard's sums of them by bucket, none above least."""
     spark = slices.sparkSession
     schema = pa.schema([("slice", pa.int64()), ("parents", pa.binary()), ("links", pa.binary()), ("counts", pa.binary()), ("seq", pa.binary()), ("chunk", pa.int32()), ("part", pa.int32()), ("sums", pa.binary())])
@@ -304,23 +318,22 @@ def _pair_pass(slices: DataFrame, nodes: DataFrame, kind: type[_Words] | type[_P
                     continue
                 pairs, places, n = np.unique(seq[:-1][both] * len(node) + seq[1:][both], return_inverse=True, return_counts=True)
                 parent, link = node[pairs // len(node)], node[pairs % len(node)]
-                total = np.zeros(SUMS, np.uint32) if total is None else total
-                np.add.at(total, _bucket(parent, link), n.astype(np.uint32))
-                np.minimum(total, least, out=total)
+                total = np.zeros(buckets, _kind_of_sums(least)) if total is None else total
+                _add_up(total, _bucket(parent, link, buckets), n, least)
                 ahead = np.full(len(both), -1, "<i4")
                 ahead[both] = places
                 ahead = ahead[both | np.append(False, both[:-1])]  # one mark between runs is enough
                 made = {"parents": parent.astype("<i8"), "links": link.astype("<i8"), "counts": n.astype("<i4"), "seq": ahead}
                 yield _rows(schema, slice=b.column("slice")[i : i + 1], **{k: pa.array([v.tobytes()]) for k, v in made.items()})
         if total is not None:
-            for k in range(0, SUMS, CHUNK):
+            for k in range(0, buckets, CHUNK):
                 if (own := total[k : k + CHUNK]).any():
-                    yield _rows(schema, chunk=pa.array([k // CHUNK], pa.int32()), part=pa.array([part], pa.int32()), sums=pa.array([own.astype(_kind_of_sums(least)).tobytes()]))
+                    yield _rows(schema, chunk=pa.array([k // CHUNK], pa.int32()), part=pa.array([part], pa.int32()), sums=pa.array([own.tobytes()]))
 
     return slim.mapInArrow(run, _PAIR_PASS)
 
 
-def _heavy(sums: DataFrame, least: int) -> np.ndarray:
+def _heavy(sums: DataFrame, least: int, buckets: int) -> np.ndarray:
     """Which buckets reach least in the sum over all shards: a bit each, whatever the corpus. Sums meet in two rounds, each
     streamed in the order of the chunks."""
     width = sums.sparkSession.sparkContext.defaultParallelism * 2
@@ -342,7 +355,7 @@ def _heavy(sums: DataFrame, least: int) -> np.ndarray:
         return rows.repartition(width, *by).sortWithinPartitions(*by).mapInArrow(run, "chunk int, part int, sums binary")
 
     once = add(sums.select("chunk", "part", "sums"), "chunk", "part")
-    out = np.zeros(SUMS, bool)
+    out = np.zeros(buckets, bool)
     for r in add(once.withColumn("part", F.lit(0)), "chunk").toLocalIterator():
         out[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.sums, _kind_of_sums(least)) >= least
     return out
@@ -362,7 +375,7 @@ def _trie_pass(slices: DataFrame, heavy: np.ndarray) -> DataFrame:
         for b in batches:
             for i in range(len(b)):
                 parent, link, n = (np.frombuffer(b.column(c)[i].as_buffer(), k) for c, k in (("parents", "<i8"), ("links", "<i8"), ("counts", "<i4")))
-                pick = may[_bucket(parent, link)]
+                pick = may[_bucket(parent, link, len(may))]
                 yield from trie.add(parent[pick], link[pick], n[pick].astype(np.int64))
         yield from trie.flush()
 
@@ -385,14 +398,15 @@ def phrases(docs: DataFrame, least: int = 100, longest: int = 5, lang_col: str =
     done = spark.read.schema(passed.schema).parquet(path)
     words = done.where("word IS NOT NULL")
     totals = staged(words.groupBy("lang").agg(F.sum("n").alias("all")), "totals")
+    buckets = _buckets(totals.agg(F.sum("all").alias("n")).first().n or 0, least)
     nodes, kind = _merged(words.select("lang", "word", "n"), ["lang", "word"], least, "level1"), _Words
     known = staged(nodes.select("node", "lang", "n", F.col("word").alias("phrase"), F.col("word").alias("last"), F.array("n").alias("lefts"), F.array("n").alias("rights")), "known1")
     out = [known]
     for depth in range(2, longest + 1):
-        old, path = path, written(passed := _pair_pass(done.where("seq IS NOT NULL"), nodes, kind, nodes_bytes, least), f"pairs{depth}", large_rows=True)
+        old, path = path, written(passed := _pair_pass(done.where("seq IS NOT NULL"), nodes, kind, nodes_bytes, least, buckets), f"pairs{depth}", large_rows=True)
         remove(spark, old)  # nothing reads the slices before these again
         done = spark.read.schema(passed.schema).parquet(path)
-        heavy = _heavy(done.where("sums IS NOT NULL"), least)
+        heavy = _heavy(done.where("sums IS NOT NULL"), least, buckets)
         tries = written(passed := _trie_pass(done.where("seq IS NOT NULL"), heavy), f"tries{depth}")
         nodes, kind = _merged(spark.read.schema(passed.schema).parquet(tries), ["parent", "link"], least, f"level{depth}"), _Pairs
         remove(spark, tries)

@@ -76,10 +76,16 @@ def test_sums_of_buckets(spark):
     one, two = np.zeros((2, chunk), "<u1")
     one[[0, 5]], two[[0, 6]] = [3, 2], [2, 4]
     rows = [(0, 0, bytearray(one.tobytes())), (0, 1, bytearray(two.tobytes())), (3, 0, bytearray(one.tobytes())), (3, 0, bytearray(two.tobytes())), (3, 2, bytearray(one.tobytes()))]
-    heavy = collocations._heavy(spark.createDataFrame(rows, "chunk int, part int, sums binary").repartition(3), 4)
+    heavy = collocations._heavy(spark.createDataFrame(rows, "chunk int, part int, sums binary").repartition(3), 4, 8 * chunk)
     assert np.flatnonzero(heavy).tolist() == [0, 6, 3 * chunk, 3 * chunk + 5, 3 * chunk + 6]
 
 
+    total = np.array([0, 3, 0], "u1")
+    collocations._add_up(total, np.array([1, 2, 1, 2]), np.array([1, 300, 70_000, 1]), 200)
+    assert total.tolist() == [0, 200, 200]
+    assert [collocations._buckets(n, 100) for n in (0, 10**8, 10**14)] == [chunk, 1 << 23, collocations.MOST_SUMS]
+
+
 def test_products_beyond_64_bits(spark):
     """a * n and l * r are exact where they pass 2 ** 63."""
     big = 3_000_000_007
