@@ -135,7 +135,7 @@ class JobQueue:
     def cancel_as(self, user: User, job_id: str) -> bool:
         """A user's own jobs; those of others only with the permission for any."""
         job = self.get(job_id)
-        require_own_or(user, job.submitted_by if job else user.username, Permission.CANCEL_JOB, Permission.CANCEL_ANY_JOB)
+        require_own_or(user, job.submitted_by if job else user.username, Permission.STOP_OWN_JOB, Permission.STOP_ANY_JOB)
         return self.cancel(job_id)
 
     def wait(self, job_id: str, timeout: float = 60) -> Job | None:

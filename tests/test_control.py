@@ -57,7 +57,7 @@ def test_users():
         login.login("bob", "Correct-Horse-2")
     now[0] = 901
     user = login.login("bob", "Correct-Horse-2")
-    users.require(user, users.Permission.VIEW_JOBS)
+    users.require(user, users.Permission.VIEW_FINDINGS)
     with pytest.raises(users.AuthError):
         users.require(user, users.Permission.MANAGE_USERS)
     assert [u.username for u in store.list_users()] == ["ann", "bob"] and store.remove("bob") and not store.remove("bob")
@@ -110,7 +110,7 @@ def test_permission_matrix():
     may = {r: users.PERMISSIONS[r] for r in users.Role}
     p = users.Permission
     assert may[users.Role.ADMIN] == set(p)
-    assert set(p) - may[users.Role.ANALYST] == {p.CANCEL_ANY_JOB, p.VIEW_ALL_TOOL_LOGS, p.MANAGE_USERS, p.MANAGE_RULES, p.MANAGE_ALERTS}
+    assert set(p) - may[users.Role.ANALYST] == {p.STOP_ANY_JOB, p.VIEW_ALL_TOOL_LOGS, p.MANAGE_USERS, p.MANAGE_RULES}
     ann, bob = users.User("ann", "", users.Role.ADMIN), users.User("bob", "", users.Role.ANALYST)
     worker = Slow()
     q = jobs.JobQueue(worker, workers=1)
@@ -120,9 +120,9 @@ def test_permission_matrix():
     assert q.cancel_as(ann, other) and q.cancel_as(bob, mine)
     worker.go.set()
     assert q.shutdown()
-    users.require_own_or(bob, "bob", p.VIEW_TOOL_LOGS, p.VIEW_ALL_TOOL_LOGS)
+    users.require_own_or(bob, "bob", p.VIEW_OWN_TOOL_LOGS, p.VIEW_ALL_TOOL_LOGS)
     with pytest.raises(users.AuthError):
-        users.require_own_or(bob, "ann", p.VIEW_TOOL_LOGS, p.VIEW_ALL_TOOL_LOGS)
+        users.require_own_or(bob, "ann", p.VIEW_OWN_TOOL_LOGS, p.VIEW_ALL_TOOL_LOGS)
 
 
 def test_users_command(tmp_path, capsys, monkeypatch):
