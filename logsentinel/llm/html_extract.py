@@ -31,11 +31,13 @@ from .storage import bounded_batches
 WINDOW = 3  # lines in a window
 LEVEL = 40  # weight of a window at which text surges
 
+#: A tag ends before another begins, and nothing in it is tried twice, so that no text takes longer than its length.
+_INSIDE = r"(?>[^<>\"']|\"[^\"]*\"|'[^']*')*+"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|math|iframe|object|textarea|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    rf"|<(script|style|noscript|template|svg|math|iframe|object|textarea|title)\b{_INSIDE}>.*?(?:</\1\s*>|\Z)"
+    r"|<[!?][^<>]*>"
+    rf"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({_INSIDE})>",
     re.S | re.I,
 )
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -66,13 +68,40 @@ def _boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
     return False
 
 
-def _lines(source: str, ignore: set[int]) -> tuple[list[tuple[str, int, bool]], int]:
-    """(text, length or 0 where it is link text, in a marked article) for each line; and where a skipped element began that never ends, or -1."""
+def _holds(source: str, tokens: list[re.Match]) -> set[int]:
+    """Where elements begin that are no boilerplate whatever they are named: those that never end, and those that hold most of
+    the page's text (all but a fifth; half, if an article or headline stands in them)."""
+    opened: dict[str, list[tuple[int, int, int]]] = {}
+    ended: dict[int, tuple[int, bool]] = {}
+    total = marks = at = 0
+    for m in tokens:
+        total += len(source[at : m.start()].strip())
+        at = m.end()
+        if m[3] is None:
+            continue
+        tag = m[3].lower()
+        if tag in ("article", "main", "h1"):
+            marks += m[2] != "/"
+        if m[2] == "/":
+            if opened.get(tag):
+                began, before, marked = opened[tag].pop()
+                ended[began] = total - before, marks > marked
+        elif tag not in _VOID and not m[4].endswith("/"):
+            opened.setdefault(tag, []).append((m.start(), total, marks))
+    total += len(source[at:].strip())
+    large = {began for began, (n, marked) in ended.items() if 5 * n > 4 * total or marked and 2 * n > total}
+    return large | {began for rest in opened.values() for began, *_ in rest}
+
+
+def lines(source: str) -> list[tuple[str, int, bool]]:
+    """(text, length or 0 where it is link text, in a marked article) for each line."""
+    tokens = list(_TOKEN.finditer(source))
+    held = _holds(source, tokens)
     out: list[tuple[str, int, bool]] = []
     text: list[str] = []
     linked = total = article = 0
     in_link = False
-    skip, depth, began = "", 0, -1
+    skip, depth = "", 0
 
     def flush():
         nonlocal linked, total
@@ -89,7 +118,7 @@ def _lines(source: str, ignore: set[int]) -> tuple[list[tuple[str, int, bool]],
         linked += len(piece.strip()) if in_link else 0
 
     at = 0
-    for m in _TOKEN.finditer(source):
+    for m in tokens:
         if not skip and m.start() > at:
             take(entities.unescape(source[at : m.start()]))
         at = m.end()
@@ -111,9 +140,9 @@ def _lines(source: str, ignore: set[int]) -> tuple[list[tuple[str, int, bool]],
             text.append(" ")
         if empty:
             continue
-        if not closing and m.start() not in ignore and _boilerplate(tag, m[4], article > 0):
+        if not closing and (m.start() not in held or tag in _SKIP and tag != "form") and _boilerplate(tag, m[4], article > 0):
             flush()
-            skip, depth, began = tag, 1, m.start()
+            skip, depth = tag, 1
         elif tag in ("article", "main"):
             article = max(0, article + (-1 if closing else 1))
         elif tag == "a":
@@ -121,16 +150,7 @@ def _lines(source: str, ignore: set[int]) -> tuple[list[tuple[str, int, bool]],
     if not skip and at < len(source):
         take(entities.unescape(source[at:]))
     flush()
-    return out, began if skip and skip not in _SKIP else -1
-
-
-def lines(source: str) -> list[tuple[str, int, bool]]:
-    ignore: set[int] = set()
-    while True:
-        got, unclosed = _lines(source, ignore)
-        if unclosed < 0:
-            return got
-        ignore.add(unclosed)
+    return out
 
 
 def regions(weights: list[int]) -> list[tuple[int, int]]:

@@ -101,7 +101,9 @@ def digest(text: Column) -> Column:
     return F.sha2(F.concat(raw, F.substring(F.lit(bytes(BLOCK)), F.lit(1), short)), 256)
 
 
-_PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+#: As in ``html_extract``: no text takes longer than its length.
+_INSIDE = r"(?>[^<>\"']|\"[^\"]*\"|'[^']*')*+"
+_PIECE = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style)\b[^<>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)({_INSIDE})>", re.S | re.I)
 _SRC = re.compile(r"\bsrc\s*=\s*[\"']?media:([0-9A-Za-z]+)", re.I)
 _MEDIA = frozenset("img audio video source embed".split())
 

@@ -1,5 +1,10 @@
+import time
+
+import pytest
+
 from pyspark.sql import functions as F
 
+from logsentinel.llm import html_extract as h
 from logsentinel.llm.html_extract import extract, main_text, regions
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{x}</style><script>var t="</p>";</script></head><body>
@@ -59,3 +64,25 @@ def test_rows(spark):
     got = extract(df).collect()
     assert len(got) == 3 and {r.text for r in got} == {main_text(PAGE), ""}
     assert extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("wrapper", ['div class="has-sidebar"', 'div class="content no-sidebar"', 'div class="top-nav-layout"', 'div class="social-science"', 'section class="related-work"', 'div class="ad-free article"', 'div id="notice-of-intent"', 'form action="x"'])
+def test_what_holds_the_article_is_no_boilerplate(wrapper):
+    """A name alone doesn't make it one: the wrapper stays, what is beside the article goes."""
+    said = "This is a sentence of the article with many words in it. " * 12
+    tag = wrapper.split()[0]
+    page = f'<html><body><div class="sidebar">Other things to read</div><{wrapper}><h1>The title stands here</h1><p>{said}</p><p>{said}</p></{tag}><div class="ads">Buy this now</div></body></html>'
+    got = [line for line, *_ in h.lines(page)]
+    assert got == ["The title stands here", said.strip(), said.strip()]
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<div class="ad">x', '<p "', "<p '", "<!", "<!--", "<script ", "<div class=ad>x</div>", "<nav>", "</div>"])
+def test_hostile_pages_in_time(piece):
+    """A megabyte of it takes no more than seconds in either parser."""
+    from logsentinel.llm import media
+
+    page = piece * (1_000_000 // len(piece))
+    began = time.monotonic()
+    h.lines(page)
+    media.sequence(page)
+    assert time.monotonic() - began < 8
