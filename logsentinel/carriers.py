@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from .functions.text import REDACTIONS, iso, redact, unquote
 from .operators import detectors
 from .operators.correlate import correlate, new_correlations
-from .plans.analyze import at_least, exit_code
-from .rules import RuleConfig
+from .plans.analyze import at_least, detect_apart, exit_code
+from .rules import AlertConfig, AppConfig, RuleConfig
 from .session import shared_folder
 from .sinks import export
 from .sinks.alerts import loud
@@ -125,6 +125,16 @@ co AS (SELECT a.ip, string_agg(DISTINCT m.rule_id, ',' ORDER BY m.rule_id) AS ru
   FROM an a JOIN fx m ON m.ip = a.ip AND m.i >= a.i AND m.first_us <= a.first_us + {5 * DAY * 1_000_000} GROUP BY a.ip)"""
 
 
+
+def _proof(name: str, rule_id: str) -> str:
+    return f"SELECT '{rule_id}' AS rule_id, f.ip, f.event_id AS fire_id, w.us, w.event_id, w.event_type FROM {name}_f f JOIN {name}_w w ON w.ip = f.ip AND w.rn BETWEEN f.rn - f.n + 1 AND f.rn"
+
+
+_EVIDENCE = f"""{_CORR}, pr AS ({_proof("bf", "brute-force")} UNION ALL {_proof("rl", "rate-limit-abuse")} UNION ALL {_proof("ue", "ssh-invalid-user-enum")}
+  UNION ALL SELECT 'rapid-success-after-failures', h.ip, h.fire_id, t.us, t.event_id, t.event_type FROM rs_h h JOIN rs_g g ON g.ip = h.ip AND g.fire_id = h.fire_id JOIN rs_t t ON t.ip = g.ip AND t.streak = g.streak),
+me AS (SELECT m.ip, m.rule_id, m.fire_id, CAST(row_number() OVER (PARTITION BY m.ip ORDER BY m.i) - 1 AS INTEGER) AS part FROM an a JOIN fx m ON m.ip = a.ip AND m.i >= a.i AND m.first_us <= a.first_us + {5 * DAY * 1_000_000})"""
+
+
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = as_events(spark, sf_dir)
     return reduce(DataFrame.unionByName, [detectors.build(e, RULES[k], i) for i, k in enumerate(JOINED)])
@@ -281,6 +291,14 @@ def evidence_lines(spark, sf_dir):
     return rows.select("ip", F.col("e.line_no").alias("line_no"), F.col("e.excerpt").alias("excerpt"), F.col("_same").alias("findings_of_the_id"))
 
 
+def evidence_table(spark, sf_dir):
+    """EVD-1, AGG-2 to AGG-4: the evidence of all findings and of their correlations, as a table beside them."""
+    config = AppConfig(1, DAY, AlertConfig(), (*(RULES[k] for k in JOINED), CORRELATION))
+    found, rows, _ = detect_apart(as_events(spark, sf_dir), config)
+    got = found.select("finding_id", "rule_id", "ip").join(rows, "finding_id")
+    return got.select("rule_id", "ip", "part", F.col("place.line_no").alias("line_no"), "excerpt")
+
+
 def sniff_choice(spark, sf_dir):
     """SRC-5: the format that each file's scores choose."""
     named = [(r.file_ord, p.name if (p := parsers.choose(r.asDict())) else None) for r in sniff_scores(spark, sf_dir).collect()]  # a row a file
@@ -311,7 +329,7 @@ def loud_first(spark, sf_dir):
 QUERIES = {
     **{k: _detector(k) for k in RULES},
     "brute_force_ties": _detector("brute_force", "hour"), "user_enum_ties": _detector("user_enum_distinct", "hour"), "rapid_success_ties": _detector("rapid_success", "hour"),
-    **{f.__name__: f for f in (parse_access_log, parse_failures, sniff_scores, syslog_year_inference, user_ip_extract, redact_documents, unquote_documents, numbered_lines, pattern_hits_by_ip, sudo_by_user, correlate_findings, severity_rollup, report_order, export_csv_rows, sarif_rules, sarif_results, dedup_correlations, evidence_lines, sniff_choice, exit_codes, redact_twice, loud_first)},
+    **{f.__name__: f for f in (parse_access_log, parse_failures, sniff_scores, syslog_year_inference, user_ip_extract, redact_documents, unquote_documents, numbered_lines, pattern_hits_by_ip, sudo_by_user, correlate_findings, severity_rollup, report_order, export_csv_rows, sarif_rules, sarif_results, dedup_correlations, evidence_lines, evidence_table, sniff_choice, exit_codes, redact_twice, loud_first)},
 }
 
 
@@ -364,6 +382,9 @@ SELECT count(*) AS n, min(us) AS first_us, max(us) AS last_us, count(*) AS n_evi
     "dedup_correlations": f"WITH {_CORR} SELECT ip, rules FROM co WHERE CAST(string_split(ip, '.')[4] AS INTEGER) % 2 = 1",
     "evidence_lines": f"""WITH {_SECOND}, {_BF} SELECT w.ip, w.event_id AS line_no, w.event_id || ' ' || w.event_type || ' ' || w.ip AS excerpt, 1::BIGINT AS findings_of_the_id
   FROM bf_w w JOIN bf_f f ON f.ip = w.ip AND w.rn BETWEEN f.rn - f.n + 1 AND f.rn""",
+    "evidence_table": f"""WITH {_EVIDENCE}, al AS (SELECT rule_id, ip, 0 AS part, event_id, event_type FROM pr
+  UNION ALL SELECT 'multi-vector-correlation', me.ip, me.part, pr.event_id, pr.event_type FROM me JOIN pr ON pr.ip = me.ip AND pr.rule_id = me.rule_id AND pr.fire_id = me.fire_id)
+SELECT rule_id, ip, part, event_id AS line_no, event_id || ' ' || event_type || ' ' || ip AS excerpt FROM al""",
     "exit_codes": f"WITH {_ALL} SELECT shown, CAST(coalesce(max(CASE WHEN severity_rank >= 30 THEN 1 END), 0) AS INTEGER) AS code FROM (VALUES ('low', 10), ('medium', 20), ('high', 30), ('critical', 40)) AS s(shown, least) LEFT JOIN fi ON severity_rank >= least GROUP BY shown",
     "redact_twice": f"SELECT count(*) FILTER (WHERE {_redacted('once')} <> once) AS twice, count(*) FILTER (WHERE once <> text) AS once FROM (SELECT text, {_redacted('text')} AS once FROM documents)",
     "loud_first": f"WITH {_ALL} SELECT place, rule_id, ip, n FROM (SELECT row_number() OVER (ORDER BY ord, fire_us, fire_id, ip) AS place, * FROM fi WHERE severity_rank >= 30) WHERE place <= 3",

@@ -8,7 +8,7 @@ from ..plans.analyze import analyze, at_least, exit_code
 from ..rules import DEFAULT_RULES, load_rules
 from ..session import session
 from ..sinks.alerts import build_dispatcher
-from ..sinks.export import WRITERS, report
+from ..sinks.export import WRITERS, report, write
 from ..sources.parsers import PARSERS
 
 
@@ -26,13 +26,13 @@ def register(commands) -> None:
 
 def run(args: argparse.Namespace) -> int:
     config, spark = load_rules(args.rules), session()
-    result = analyze(spark, args.files, config, args.format)
+    result = analyze(spark, args.files, config, args.format, apart=True)
     shown = (at_least(result.findings, args.min_severity) if args.min_severity else result.findings).persist()
     try:
         n = result.totals()
         print(report(shown, n["events"], n["failures"]))
         if args.export:
-            WRITERS[args.export](shown, args.output)
+            write(shown, args.output, args.export, result.evidence)
             print(f"wrote {args.output}")
         if args.alert:
             for o in build_dispatcher(config.alerts).dispatch(result.findings):

@@ -13,8 +13,9 @@ from ..rules import RuleConfig
 from .detectors import finish
 
 
-def correlate(findings: DataFrame, rule: RuleConfig, sources: dict[str, str | None], ordinal: int) -> DataFrame:
-    """At most one finding for each ip: of the earliest anchor whose forward window holds enough rules and sources."""
+def correlate(findings: DataFrame, rule: RuleConfig, sources: dict[str, str | None], ordinal: int, *more: str) -> DataFrame:
+    """At most one finding for each ip: of the earliest anchor whose forward window holds enough rules and sources. more:
+    columns beside those of findings, as ``members``, the ids of the findings that it joins, in order."""
     least, span = rule.params.get("min_distinct_rules", 2), rule.window_seconds * 1_000_000
     order = ["first_seen", "rule_ord", "emit"]
     known = {k: v for k, v in sources.items() if v}
@@ -30,17 +31,17 @@ def correlate(findings: DataFrame, rule: RuleConfig, sources: dict[str, str | No
     # reports follow the place of each ip's first finding: by rule, then by time
     f = f.withColumn("_a", F.min(F.when(enough, F.struct("_i", "_us"))).over(by_ip)).withColumn("_first", F.min(F.struct("rule_ord", "emit")).over(by_ip))
     group = f.where((F.col("_i") >= F.col("_a._i")) & (F.col("_us") <= F.col("_a._us") + span))
-    members = F.array_sort(F.collect_list(F.struct("_i", "evidence", "users", "rule_id")))
+    members = F.array_sort(F.collect_list(F.struct("_i", "evidence", "users", "rule_id", "finding_id")))
     got = group.groupBy("ip").agg(members.alias("_m"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("count").alias("count"), F.min("_first").alias("_first"))
     ids = F.array_sort(F.array_distinct(F.transform("_m", lambda x: x["rule_id"])))
     got = got.withColumns({
         "correlated_rule_ids": ids, "users": F.array_sort(F.array_distinct(F.flatten(F.transform("_m", lambda x: x["users"])))), "evidence": F.flatten(F.transform("_m", lambda x: x["evidence"])),
-        "title": F.concat(F.lit("Multi-vector attack correlated on "), "ip"),
+        "members": F.transform("_m", lambda x: x["finding_id"]), "title": F.concat(F.lit("Multi-vector attack correlated on "), "ip"),
         "description": F.concat(F.col("ip"), F.lit(" triggered "), F.size(ids).cast("string"), F.lit(" distinct rules ("), F.array_join(ids, ", "), F.lit(") across multiple log sources within one window — likely a single coordinated attack.")),
     })
     place = F.struct((F.col("_first.rule_ord") * F.lit(10**17) + F.col("_first.emit.us")).alias("us"), "_first.emit.source_rank", "_first.emit.file_ord", "_first.emit.line_no")
     got = got.withColumn("emit", place)
-    return finish(got, rule, ordinal)
+    return finish(got, rule, ordinal, *more)
 
 
 def new_correlations(found: DataFrame, reported: DataFrame) -> DataFrame:

@@ -48,17 +48,17 @@ def build(events: DataFrame, rule: RuleConfig, ordinal: int = 0) -> DataFrame:
     return finish(found, rule, ordinal)
 
 
-def finish(found: DataFrame, rule: RuleConfig, ordinal: int) -> DataFrame:
+def finish(found: DataFrame, rule: RuleConfig, ordinal: int, *more: str) -> DataFrame:
     name = rule.severity
-    return shaped(found.withColumns({"rule_id": F.lit(rule.id), "severity": F.lit(name.upper()), "severity_rank": F.lit(severity_rank(name)), "rule_ord": F.lit(ordinal)}))
+    return shaped(found.withColumns({"rule_id": F.lit(rule.id), "severity": F.lit(name.upper()), "severity_rank": F.lit(severity_rank(name)), "rule_ord": F.lit(ordinal)}), *more)
 
 
-def shaped(found: DataFrame) -> DataFrame:
-    """The columns of findings, with their ids, of those that say which rule they are of."""
+def shaped(found: DataFrame, *more: str) -> DataFrame:
+    """The columns of findings, with their ids, of those that say which rule they are of; and more of their columns."""
     named = F.concat_ws("|", "rule_id", F.coalesce("ip", F.element_at("users", 1), F.lit("")), F.unix_micros("first_seen").cast("string"), F.to_json("emit"))
     found = found.withColumn("finding_id", F.md5(named.cast("binary")))
     kinds = {f.name: f.dataType for f in FINDING}
-    return found.select(*(F.col(c).cast(kinds[c]).alias(c) for c in FINDING.names))
+    return found.select(*(F.col(c).cast(kinds[c]).alias(c) for c in FINDING.names), *more)
 
 
 def in_statuses(status: Column, allowed: list[int]) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..rules import RuleConfig
-from ..schema import order_of, severity_rank
+from ..schema import EVIDENCE, order_of, severity_rank
 from . import detectors as d
 from .windows import streaks, trailing
 
@@ -49,8 +49,12 @@ def tagged(events: DataFrame, rules: Rules) -> DataFrame:
 _KEY = ["rule", "key"]
 
 
-def _windows(tags: DataFrame, rules: Rules) -> DataFrame:
-    """The first row at which each key of a rule has enough in its window, with the window's rows."""
+#: What a finding's rows are folded by: a streak is one of several of its key, all other findings are one a key.
+_ONE = [*_KEY, "_streak"]
+
+
+def _window_rows(tags: DataFrame, rules: Rules) -> DataFrame:
+    """The rows of the window that ends at the first row at which a key of a rule has enough in it."""
     rows = tags.where(is_of(rules))
     span, enough = by_rule(rules, lambda r: F.lit(r.window_seconds * 1_000_000)), by_rule(rules, lambda r: F.lit(d.threshold_of(r)))
     distinct, success = of_kind(rules, "distinct"), of_kind(rules, "success")
@@ -60,36 +64,44 @@ def _windows(tags: DataFrame, rules: Rules) -> DataFrame:
     fires = w.where(takes & (n >= enough)).groupBy(*_KEY).agg(F.min(F.struct("_o", "_span")).alias("_f"))
     fires = fires.select(*_KEY, F.col("_f._o").alias("emit"), (F.col("_f._o.us") - F.col("_f._span")).alias("_since"))
     inside = rows.join(fires, _KEY).where((F.col("_o") <= F.col("emit")) & (F.col("_o.us") >= F.col("_since")) & (F.col("counts") | (F.col("_o") == F.col("emit"))))
-    values = F.array_sort(F.collect_set(F.when(F.col("value") != "", F.col("value"))))
-    return inside.groupBy(*_KEY).agg(F.array_sort(F.collect_list(d._proof())).alias("_hits"), F.first("emit").alias("emit"), values.alias("_values")).withColumn("_wait", F.lit(None).cast("double"))
+    return inside.withColumns({"_streak": F.lit(0).cast("long"), "_wait": F.lit(None).cast("double")})
 
 
-def _streaks(tags: DataFrame, rules: Rules) -> DataFrame:
-    """Streaks that are long enough and that a success ends in time, with their rows; only of these are rows gathered."""
+def _streak_rows(tags: DataFrame, rules: Rules) -> DataFrame:
+    """The rows of streaks that are long enough and that a success ends in time; only of these are rows gathered."""
     rows = streaks(tags.where(is_of(rules)))
-    key = [*_KEY, "_streak"]
-    sums = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.max(F.when(~F.col("counts"), F.col("_o"))).alias("emit"), F.max(F.when(F.col("counts"), F.col("_o.us"))).alias("_last"))
+    sums = rows.groupBy(*_ONE).agg(F.count(F.lit(1)).alias("_n"), F.max(F.when(~F.col("counts"), F.col("_o"))).alias("emit"), F.max(F.when(F.col("counts"), F.col("_o.us"))).alias("_last"))
     least, gap = by_rule(rules, lambda r: F.lit(max(1, r.params.get("min_failures", 3)))), by_rule(rules, lambda r: F.lit(r.params.get("max_gap_seconds", 30)))
     ends = sums.withColumn("_wait", (F.col("emit.us") - F.col("_last")) / 1e6).where((F.col("_n") > least) & F.col("_wait").between(0, gap))
-    got = rows.join(ends, key).groupBy(*key).agg(F.array_sort(F.collect_list(d._proof())).alias("_hits"), F.first("emit").alias("emit"), F.first("_wait").alias("_wait"))
-    return got.withColumn("_values", F.array().cast("array<string>"))
+    return rows.join(ends.drop("_n", "_last"), _ONE).withColumn("value", F.lit(None).cast("string"))
+
 
+def _all_rows(tags: DataFrame, rules: Rules) -> DataFrame:
+    """Every hit of a key."""
+    return tags.where(is_of(rules)).withColumns({"_streak": F.lit(0).cast("long"), "emit": F.col("_o"), "_wait": F.lit(None).cast("double"), "value": F.lit(None).cast("string")})
 
-def _all(tags: DataFrame, events: DataFrame, rules: Rules) -> DataFrame:
-    """Every hit of a key. An ip's place in the report is its first appearance among all events of the rule's source."""
-    got = tags.where(is_of(rules)).groupBy(*_KEY).agg(F.array_sort(F.collect_list(d._proof())).alias("_hits"), F.min("_o").alias("emit"))
+
+def _placed(got: DataFrame, events: DataFrame, rules: Rules) -> DataFrame:
+    """An ip's place in the report is its first appearance among all events of the rule's source."""
     by_ip = [(i, r) for i, r in rules if r.type not in d.BY_USER]
-    if by_ip:
-        sources = sorted({r.source or "" for _, r in by_ip})
-        first = [F.min(order_of() if not s else F.when(F.col("source") == s, order_of())).alias(f"_at_{s}") for s in sources]
-        seen = events.where("ip IS NOT NULL").groupBy(F.col("ip").alias("_ip")).agg(*first)
-        at = by_rule(by_ip, lambda r: F.col(f"_at_{r.source or ''}"))
-        got = got.join(seen, (F.col("key") == F.col("_ip")) & is_of(by_ip), "left").withColumn("emit", F.coalesce(at, "emit"))
-    return got.select(*_KEY, "_hits", "emit").withColumns({"_values": F.array().cast("array<string>"), "_wait": F.lit(None).cast("double")})
+    if not by_ip:
+        return got
+    sources = sorted({r.source or "" for _, r in by_ip})
+    first = [F.min(order_of() if not s else F.when(F.col("source") == s, order_of())).alias(f"_at_{s}") for s in sources]
+    seen = events.where("ip IS NOT NULL").groupBy(F.col("ip").alias("_ip")).agg(*first)
+    at = by_rule(by_ip, lambda r: F.col(f"_at_{r.source or ''}"))
+    return got.join(seen, (F.col("key") == F.col("_ip")) & is_of(by_ip), "left").withColumn("emit", F.coalesce(at, "emit")).drop("_ip", *(f"_at_{s}" for s in sources))
+
 
+def _folded(rows: DataFrame, lists: bool) -> DataFrame:
+    """A row a finding: with all its rows as a list, or only with their number and the first and last time."""
+    sums = [F.array_sort(F.collect_list(d._proof())).alias("_hits")] if lists else [F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"), F.count(F.lit(1)).alias("count")]
+    values = F.array_sort(F.collect_set(F.when(F.col("value") != "", F.col("value")))).alias("_values")
+    return rows.groupBy(*_ONE).agg(*sums, F.min("emit").alias("emit"), F.max("_wait").alias("_wait"), values)
 
-def described(hits: DataFrame, rules: Rules) -> DataFrame:
-    """Findings of (rule, key, _hits or what from_list makes of them, emit, _values, _wait)."""
+
+def described(hits: DataFrame, rules: Rules, *more: str) -> DataFrame:
+    """Findings of (rule, key, _hits or what from_list makes of them, emit, _values, _wait), and more columns of these."""
     user = [(i, r) for i, r in rules if r.type in d.BY_USER]
     found = hits.withColumns({"_user": F.col("key"), "ip": F.when(is_of(user), None).otherwise(F.col("key")) if user else F.col("key")})
     if "_hits" in found.columns:
@@ -99,21 +111,39 @@ def described(hits: DataFrame, rules: Rules) -> DataFrame:
     return d.shaped(found.withColumns({
         **{name: pick(name) for name in ("users", "title", "description")}, "rule_id": by_rule(rules, lambda r: F.lit(r.id)), "severity": by_rule(rules, lambda r: F.lit(r.severity.upper())),
         "severity_rank": by_rule(rules, lambda r: F.lit(severity_rank(r.severity))), "rule_ord": F.col("rule"),
-    }))
+    }), *more)
+
+
+def _parts(tags: DataFrame, rules: Rules) -> list[tuple[Rules, DataFrame]]:
+    """The rows of findings by kind, each with its finding's emit and _wait."""
+    kinds = [(("count", "distinct", "success"), _window_rows), (("streak",), _streak_rows), (("all",), _all_rows)]
+    return [(own, rows(tags, own)) for names, rows in kinds if (own := of_kind(rules, *names))]
+
+
+def _hits(parts: list[tuple[Rules, DataFrame]], events: DataFrame, lists: bool) -> DataFrame:
+    out = []
+    for own, rows in parts:
+        got = _folded(rows, lists)
+        out.append(_placed(got, events, own) if of_kind(own, "all") else got)
+    return reduce(DataFrame.unionByName, out)
 
 
 def detect(events: DataFrame, rules: Rules, keep: bool = False) -> tuple[DataFrame, tuple[DataFrame, ...]]:
-    """Findings of all rules, and what is kept for them if so asked: the tagged rows, which each kind reads twice."""
+    """Findings of all rules, each with its evidence as a list, and what is kept for them if so asked: the tagged rows, which
+    each kind reads twice."""
     tags = tagged(events, rules)
     if keep:
         tags = tags.persist(StorageLevel.MEMORY_AND_DISK)
-    parts = []
-    if own := of_kind(rules, "count", "distinct", "success"):
-        parts.append(_windows(tags, own))
-    if own := of_kind(rules, "streak"):
-        parts.append(_streaks(tags, own))
-    if own := of_kind(rules, "all"):
-        parts.append(_all(tags, events, own))
-    names = [*_KEY, "_hits", "emit", "_values", "_wait"]
-    hits = reduce(DataFrame.unionByName, [p.select(*names) for p in parts])
-    return described(hits, rules), (tags,) if keep else ()
+    return described(_hits(_parts(tags, rules), events, True), rules), (tags,) if keep else ()
+
+
+def detect_apart(events: DataFrame, rules: Rules) -> tuple[DataFrame, DataFrame, tuple[DataFrame, ...]]:
+    """Findings of all rules without evidence, their evidence as a table, and what is kept for them. No row grows with the hits of
+    a key: findings are sums with partial aggregates, and evidence stays rows of (finding_id, part, place, file, line_no, excerpt)."""
+    tags = tagged(events, rules).persist(StorageLevel.MEMORY_AND_DISK)
+    parts = _parts(tags, rules)
+    none = {"evidence": F.array().cast(f"array<{EVIDENCE}>"), "correlated_rule_ids": F.array().cast("array<string>")}
+    found = described(_hits(parts, events, False).withColumns(none), rules, *_ONE).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = reduce(DataFrame.unionByName, [p.select(*_ONE, d._proof().alias("_p")) for _, p in parts])
+    proof = rows.join(found.select("finding_id", *_ONE), _ONE).select("finding_id", F.lit(0).alias("part"), F.col("_p._o").alias("place"), "_p.e.*")
+    return found.drop(*_ONE), proof, (tags, found)

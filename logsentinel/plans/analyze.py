@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..operators import detectors
 from ..operators.correlate import correlate
 from ..operators.shared import detect as detect_shared
+from ..operators.shared import detect_apart as detect_shared_apart
 from ..rules import AppConfig, RuleConfig
 from ..schema import FINDING
 from ..sources import lines as text
@@ -28,6 +29,8 @@ class AnalysisResult:
     failures: DataFrame
     findings: DataFrame
     kept: tuple[DataFrame, ...] = ()
+    #: Where it stands apart from the findings: rows of (finding_id, part, place, file, line_no, excerpt).
+    evidence: DataFrame | None = None
     seen: Observation | None = None
 
     def totals(self) -> dict[str, int]:
@@ -91,8 +94,46 @@ def detect(events: DataFrame, config: AppConfig) -> tuple[DataFrame, tuple[DataF
     return reduce(DataFrame.unionByName, [correlate(found, r, sources, i) for i, r in joint], found), kept
 
 
-def analyze(spark: SparkSession, paths: list[str], config: AppConfig, fmt: str = "auto", reference: datetime | None = None, warn: int = 20) -> AnalysisResult:
-    """Parsed lines are kept for the rules that read them (memory, then disk); failures are counted and the first logged."""
+def detect_apart(events: DataFrame, config: AppConfig) -> tuple[DataFrame, DataFrame, tuple[DataFrame, ...]]:
+    """As detect, with the evidence as a table beside the findings: no row grows with the hits of an address. That of a
+    correlation is that of its members, one part after the other."""
+    rules, joint, sources = split_rules(config)
+    shared, own = [(i, r) for i, r in rules if r.type in detectors.KINDS], [(i, r) for i, r in rules if r.type not in detectors.KINDS]
+    found, proof, kept = [empty_findings(events.sparkSession)], [], ()
+    if shared:
+        findings, rows, kept = detect_shared_apart(events, shared)
+        found, proof = [findings], [rows]
+    for i, r in own:  # detectors of one's own make lists
+        listed = detectors.build(events, r, i)
+        proof.append(unnested(listed))
+        found.append(listed.withColumn("evidence", F.slice("evidence", 1, 0)))
+    findings = reduce(DataFrame.unionByName, found)
+    rows = reduce(DataFrame.unionByName, proof) if proof else unnested(findings)
+    if joint:
+        joined = reduce(DataFrame.unionByName, [correlate(findings, r, sources, i, "members") for i, r in joint]).persist(StorageLevel.MEMORY_AND_DISK)
+        members = joined.select(F.col("finding_id").alias("_of"), F.posexplode("members").alias("_part", "finding_id"))
+        theirs = rows.join(members, "finding_id").select(F.col("_of").alias("finding_id"), F.col("_part").alias("part"), "place", "file", "line_no", "excerpt")
+        findings, rows, kept = findings.unionByName(joined.drop("members")), rows.unionByName(theirs), (*kept, joined)
+    return findings, rows, kept
+
+
+def unnested(findings: DataFrame) -> DataFrame:
+    """The evidence lists of findings as a table."""
+    place = F.struct(F.col("_i").cast("long").alias("us"), F.lit(0).alias("source_rank"), F.lit(0).alias("file_ord"), F.lit(0).cast("long").alias("line_no"))
+    return findings.select("finding_id", F.posexplode("evidence").alias("_i", "_e")).select("finding_id", F.lit(0).alias("part"), place.alias("place"), "_e.*")
+
+
+def nested(findings: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Findings with their evidence as lists again, for those who want single rows: one holds all lines of its finding."""
+    lists = evidence.groupBy("finding_id").agg(F.array_sort(F.collect_list(F.struct("part", "place", "file", "line_no", "excerpt"))).alias("_l"))
+    lists = lists.select(F.col("finding_id").alias("_id"), F.transform("_l", lambda x: F.struct(x["file"].alias("file"), x["line_no"].alias("line_no"), x["excerpt"].alias("excerpt"))).alias("_l"))
+    got = findings.join(lists, findings["finding_id"] == lists["_id"], "left")
+    return got.withColumn("evidence", F.coalesce("_l", "evidence").cast(findings.schema["evidence"].dataType)).select(*findings.columns)
+
+
+def analyze(spark: SparkSession, paths: list[str], config: AppConfig, fmt: str = "auto", reference: datetime | None = None, warn: int = 20, apart: bool = False) -> AnalysisResult:
+    """Parsed lines are kept for the rules that read them (memory, then disk); failures are counted and the first logged.
+    apart: the evidence is a table of the result, and the lists of the findings are empty."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     kept: list[DataFrame] = []
     seen = Observation("lines")
@@ -101,8 +142,12 @@ def analyze(spark: SparkSession, paths: list[str], config: AppConfig, fmt: str =
     events, failures = parsers.events_and_failures(parsed)
     for f in failures.orderBy("file", "line_no").limit(max(1, warn)).collect()[:warn]:  # reads, keeps and counts all lines
         log.warning("%s:%d: %s", f.file, f.line_no, f.reason)
-    findings, more = detect(events, config)
-    return AnalysisResult(events, failures, findings, (parsed, *more, *kept), seen)
+    proof = None
+    if apart:
+        findings, proof, more = detect_apart(events, config)
+    else:
+        findings, more = detect(events, config)
+    return AnalysisResult(events, failures, findings, (parsed, *more, *kept), proof, seen)
 
 
 def in_order(findings: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ import itertools
 import json
 import os
 import textwrap
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 from io import StringIO
 from typing import Any
 
@@ -20,7 +21,8 @@ from pyspark.sql import functions as F
 
 from .. import __version__
 from ..functions.text import iso, redact
-from ..plans.analyze import in_order
+from ..plans.analyze import in_order, nested
+from ..schema import EVIDENCE, ORDER
 
 #: Findings rendered at once.
 ROWS = 64
@@ -33,9 +35,14 @@ LEVELS = {"LOW": "note", "MEDIUM": "warning", "HIGH": "error", "CRITICAL": "erro
 def exported(findings: DataFrame, ordered: bool = True) -> DataFrame:
     """The columns that leave the engine, redacted; in report order, unless part files without one will do."""
     safe = F.transform("evidence", lambda e: F.struct(e["file"].alias("file"), e["line_no"].alias("line_no"), redact(e["excerpt"]).alias("excerpt")))
-    return (in_order(findings) if ordered else findings).select(
+    return (in_order(findings) if ordered else findings).select(*_safe(), safe.alias("evidence"))
+
+
+def _safe() -> list[Column | str]:
+    """All columns that leave but the evidence, redacted."""
+    return [
         "finding_id", "rule_id", "severity", redact(F.col("title")).alias("title"), redact(F.col("description")).alias("description"), "ip", F.transform("users", redact).alias("users"),
-        iso(F.col("first_seen")).alias("first_seen"), iso(F.col("last_seen")).alias("last_seen"), "count", "correlated_rule_ids", safe.alias("evidence"))
+        iso(F.col("first_seen")).alias("first_seen"), iso(F.col("last_seen")).alias("last_seen"), "count", "correlated_rule_ids"]
 
 
 def to_dicts(findings: DataFrame) -> list[dict[str, Any]]:
@@ -48,7 +55,7 @@ def _rendered(findings: DataFrame, render: Callable[[dict[str, Any]], Any], dept
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, len(b), ROWS):
-                said = [textwrap.indent(json.dumps(render(r), indent=2, ensure_ascii=False), " " * depth, lambda line: True) for r in b.slice(at, ROWS).to_pylist()]
+                said = [_indented(render(r), depth) for r in b.slice(at, ROWS).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(said, pa.string())], names=["text"])
 
     return exported(findings).mapInArrow(run, "text string")
@@ -64,8 +71,70 @@ def _joined(rows: DataFrame, head: str, tail: str, empty: str) -> Iterator[str]:
     yield tail if between != head else empty
 
 
-def json_pieces(findings: DataFrame) -> Iterator[str]:
-    return _joined(_rendered(findings, dict, 2), "[\n", "\n]", "[]")
+@dataclass(frozen=True)
+class Layout:
+    """How a document puts findings and their evidence together: text of a finding up to its evidence, text of a line of
+    evidence, and what stands before, between and after these."""
+
+    finding: Callable[[dict[str, Any]], str]
+    line: Callable[[dict[str, Any]], str]
+    start: str
+    between: str
+    stop: str
+    none: str
+    end: str
+    next: str
+
+
+def _pieces_apart(findings: DataFrame, evidence: DataFrame, layout: Layout) -> DataFrame:
+    """(is_finding, text): each finding and then its evidence, line by line, in report order. The sort's ranges cut through the
+    evidence of a large finding, so no row and no partition grows with it."""
+    order = ["rule_ord", "emit", "ip", "finding_id"]
+    heads = findings.select(*order, F.lit(-1).alias("part"), F.lit(None).cast(ORDER).alias("place"), F.struct(*_safe()).alias("f"), F.lit(None).cast(EVIDENCE).alias("e"))
+    line = F.struct("file", "line_no", redact(F.col("excerpt")).alias("excerpt")).cast(EVIDENCE)
+    lines = evidence.join(findings.select(*order), "finding_id").select(*order, "part", "place", F.lit(None).cast(heads.schema["f"].dataType).alias("f"), line.alias("e"))
+    rows = heads.unionByName(lines).orderBy(*order, "part", "place").select("f", "e")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, len(b), ROWS):
+                got = b.slice(at, ROWS).to_pylist()
+                said = [layout.line(r["e"]) if r["f"] is None else layout.finding(r["f"]) for r in got]
+                yield pa.RecordBatch.from_arrays([pa.array([r["f"] is not None for r in got]), pa.array(said, pa.string())], names=["is_finding", "text"])
+
+    return rows.mapInArrow(run, "is_finding boolean, text string")
+
+
+def _joined_apart(rows: DataFrame, layout: Layout, head: str, tail: str, empty: str) -> Iterator[str]:
+    """Pieces of a document, as they come."""
+    said, lines = False, False
+    for r in rows.toLocalIterator():
+        if r.is_finding:
+            yield (layout.stop if lines else layout.none) + layout.end + layout.next if said else head
+            said, lines = True, False
+        else:
+            yield layout.between if lines else layout.start
+            lines = True
+        yield r.text
+    yield (layout.stop if lines else layout.none) + layout.end + tail if said else empty
+
+
+def _indented(value: Any, depth: int) -> str:
+    return textwrap.indent(json.dumps(value, indent=2, ensure_ascii=False), " " * depth, lambda line: True)
+
+
+def _objects(key: str, depth: int, none: str, finding: Callable[[dict[str, Any]], Any], line: Callable[[dict[str, Any]], Any]) -> Layout:
+    """A JSON object a finding, whose last member is the list of its evidence."""
+    pad, end = " " * (depth + 2), "\n" + " " * depth + "}"
+    return Layout(lambda f: _indented(finding(f), depth).removesuffix(end), lambda e: _indented(line(e), depth + 4), f',\n{pad}"{key}": [\n', ",\n", f"\n{pad}]", none, end, ",\n")
+
+
+def json_pieces(findings: DataFrame, evidence: DataFrame | None = None) -> Iterator[str]:
+    """evidence: the table of it, where the findings' own lists are empty; the document is the same."""
+    if evidence is None:
+        return _joined(_rendered(findings, dict, 2), "[\n", "\n]", "[]")
+    layout = _objects("evidence", 2, ',\n    "evidence": []', dict, dict)
+    return _joined_apart(_pieces_apart(findings, evidence, layout), layout, "[\n", "\n]", "[]")
 
 
 def to_json(findings: DataFrame) -> str:
@@ -78,11 +147,24 @@ def csv_columns(findings: DataFrame, ordered: bool = True) -> DataFrame:
     return exported(findings, ordered).withColumns({"users": F.array_join("users", ";"), "correlated_rule_ids": F.array_join("correlated_rule_ids", ";"), "evidence": F.array_join(places, ";")}).select(FIELDS)
 
 
-def csv_pieces(findings: DataFrame) -> Iterator[str]:
-    for row in itertools.chain([FIELDS], csv_columns(findings).toLocalIterator()):
-        out = StringIO()
-        csv.writer(out).writerow(["" if v is None else v for v in row])
-        yield out.getvalue()
+def _csv_row(values: Iterable[Any]) -> str:
+    out = StringIO()
+    csv.writer(out).writerow(["" if v is None else v for v in values])
+    return out.getvalue()
+
+
+def csv_pieces(findings: DataFrame, evidence: DataFrame | None = None) -> Iterator[str]:
+    """evidence: as for json_pieces; its cells are quoted then."""
+    if evidence is None:
+        return map(_csv_row, itertools.chain([FIELDS], csv_columns(findings).toLocalIterator()))
+
+    def finding(f: dict[str, Any]) -> str:
+        f |= {"users": ";".join(f["users"]), "correlated_rule_ids": ";".join(f["correlated_rule_ids"])}
+        return _csv_row([*(f[c] for c in FIELDS[:-1]), ""]).removesuffix("\r\n")
+
+    layout = Layout(finding, lambda e: f"{e['file']}:{e['line_no']}".replace('"', '""'), '"', ";", '"', "", "\r\n", "")
+    names = _csv_row(FIELDS)
+    return _joined_apart(_pieces_apart(findings, evidence, layout), layout, names, "", names)
 
 
 def to_csv(findings: DataFrame) -> str:
@@ -106,25 +188,36 @@ def sarif_rules(findings: DataFrame) -> DataFrame:
     return got.select("id", F.initcap(F.replace(F.col("id"), F.lit("-"), F.lit(" "))).alias("name"), level_of(F.col("s")).alias("level")).orderBy("id")
 
 
+def _sarif_result(f: dict[str, Any]) -> dict[str, Any]:
+    return {"ruleId": f["rule_id"], "level": LEVELS.get(f["severity"], "warning"), "message": {"text": f["description"]}}
+
+
+def _sarif_location(e: dict[str, Any], base: str) -> dict[str, Any]:
+    return {"physicalLocation": {"artifactLocation": {"uri": artifact_uri(e["file"], base)}, "region": {"startLine": max(e["line_no"], 1)}}}
+
+
 def sarif_results(findings: DataFrame) -> DataFrame:
     """(text) of each finding's result, in report order."""
     base = os.getcwd()
 
     def result(f: dict[str, Any]) -> dict[str, Any]:
-        out: dict[str, Any] = {"ruleId": f["rule_id"], "level": LEVELS.get(f["severity"], "warning"), "message": {"text": f["description"]}}
-        if f["evidence"]:
-            out["locations"] = [{"physicalLocation": {"artifactLocation": {"uri": artifact_uri(e["file"], base)}, "region": {"startLine": max(e["line_no"], 1)}}} for e in f["evidence"]]
-        return out
+        places = {"locations": [_sarif_location(e, base) for e in f["evidence"]]} if f["evidence"] else {}
+        return _sarif_result(f) | places
 
     return _rendered(findings, result, 8)
 
 
-def sarif_pieces(findings: DataFrame) -> Iterator[str]:
+def sarif_pieces(findings: DataFrame, evidence: DataFrame | None = None) -> Iterator[str]:
+    """evidence: as for json_pieces."""
     rules = [{"id": r.id, "name": r.id, "shortDescription": {"text": r.name}, "defaultConfiguration": {"level": r.level}} for r in sarif_rules(findings).collect()]  # a row a rule
     tool = {"driver": {"name": "logsentinel", "version": __version__, "rules": rules}}
     around = json.dumps({"$schema": SARIF_SCHEMA, "version": "2.1.0", "runs": [{"tool": tool, "results": []}]}, indent=2, ensure_ascii=False)
     head, tail = around.rsplit("[]", 1)
-    return _joined(sarif_results(findings), f"{head}[\n", f"\n      ]{tail}", around)
+    if evidence is None:
+        return _joined(sarif_results(findings), f"{head}[\n", f"\n      ]{tail}", around)
+    base = os.getcwd()
+    layout = _objects("locations", 8, "", _sarif_result, lambda e: _sarif_location(e, base))
+    return _joined_apart(_pieces_apart(findings, evidence, layout), layout, f"{head}[\n", f"\n      ]{tail}", around)
 
 
 def to_sarif(findings: DataFrame) -> dict[str, Any]:
@@ -144,8 +237,28 @@ WRITERS = {
 }
 
 
-def write_distributed(findings: DataFrame, path: str, fmt: str = "json") -> None:
-    """Many findings: part files written by the executors (json lines, csv or parquet)."""
+#: Of those, the ones that can take the evidence as a table.
+PIECES = {"json": json_pieces, "csv": csv_pieces, "sarif": sarif_pieces}
+
+
+def write(findings: DataFrame, path: str, fmt: str, evidence: DataFrame | None = None) -> None:
+    """To one file. evidence: the table of it, where the findings' own lists are empty; writers of one's own get lists."""
+    if evidence is None:
+        WRITERS[fmt](findings, path)
+    elif fmt in PIECES:
+        _write(PIECES[fmt](findings, evidence), path)
+    else:
+        WRITERS[fmt](nested(findings, evidence), path)
+
+
+def write_distributed(findings: DataFrame, path: str, fmt: str = "json", evidence: DataFrame | None = None) -> None:
+    """Many findings: part files written by the executors (json lines, csv or parquet). With a table of evidence, folders
+    findings and evidence, the second with finding_id, part and place as keys."""
+    if evidence is not None:
+        place = [F.col(f"place.{c}").alias(c) for c in ("us", "source_rank", "file_ord")]
+        out = evidence.select("finding_id", "part", *place, "file", "line_no", redact(F.col("excerpt")).alias("excerpt"))
+        out.write.format(fmt).options(**({"header": True, "escape": '"'} if fmt == "csv" else {})).save(f"{path}/evidence")
+        path = f"{path}/findings"
     df = csv_columns(findings, ordered=False) if fmt == "csv" else exported(findings, ordered=False)
     options = {"header": True, "escape": '"'} if fmt == "csv" else {}
     df.write.format(fmt).options(**options).save(path)

@@ -1,14 +1,16 @@
+import csv
 import json
 import random
 from datetime import datetime
+from io import StringIO
 
 import pytest
 from pyspark.sql import functions as F
 
 from logsentinel.functions.text import any_match, redact, redact_text, unquote
 from logsentinel.operators import detectors
-from logsentinel.plans.analyze import analyze, at_least, exit_code, in_order
-from logsentinel.rules import ConfigError, RuleConfig, load_env_file, load_rules, parse_rules
+from logsentinel.plans.analyze import analyze, at_least, detect_apart, exit_code, in_order, nested
+from logsentinel.rules import AlertConfig, AppConfig, ConfigError, RuleConfig, load_env_file, load_rules, parse_rules
 from logsentinel.schema import EVENT
 from logsentinel.sinks import export
 from logsentinel.sinks.alerts import AlertDispatcher, EmailSink, ToastSink, build_dispatcher
@@ -66,6 +68,31 @@ def test_exports(attacked):
     assert export.to_json(none) == "[]" and export.to_sarif(none)["runs"][0]["results"] == [] and len(export.to_csv(none).splitlines()) == 1
 
 
+def test_evidence_apart(spark, attacked, tmp_path):
+    """The same findings and documents whether evidence is lists or a table, also of detectors of one's own."""
+    _, findings, *_ = attacked
+    first = findings.first().evidence[0].file
+    result = analyze(spark, [first.replace("auth.log", "access.log"), first.replace("access.log", "auth.log")], load_rules(), apart=True)
+    apart, rows = result.findings, result.evidence
+    assert apart.where(F.size("evidence") > 0).isEmpty() and rows.columns == ["finding_id", "part", "place", "file", "line_no", "excerpt"]
+    assert [r.asDict(True) for r in in_order(nested(apart, rows)).collect()] == [r.asDict(True) for r in findings.collect()]
+    assert "".join(export.json_pieces(apart, rows)) == export.to_json(findings)
+    assert "".join(export.sarif_pieces(apart, rows)) == "".join(export.sarif_pieces(findings))
+    read = lambda pieces: list(csv.reader(StringIO("".join(pieces), newline="")))
+    assert read(export.csv_pieces(apart, rows)) == read(export.csv_pieces(findings))
+    none = apart.limit(0)
+    assert "".join(export.json_pieces(none, rows)) == "[]" and json.loads("".join(export.sarif_pieces(none, rows)))["runs"][0]["results"] == [] and len(read(export.csv_pieces(none, rows))) == 1
+    bare = rows.limit(0)
+    assert [f["evidence"] for f in json.loads("".join(export.json_pieces(apart, bare)))] == [[]] * len(EXPECTED)
+    assert "locations" not in "".join(export.sarif_pieces(apart, bare)) and {r[-1] for r in read(export.csv_pieces(apart, bare))[1:]} == {""}
+    export.write_distributed(apart, str(tmp_path / "out"), "json", rows)
+    assert spark.read.json(f"{tmp_path}/out/evidence").count() == rows.count() and spark.read.json(f"{tmp_path}/out/findings").count() == len(EXPECTED)
+    for name, pieces in export.PIECES.items():
+        export.write(apart, str(tmp_path / name), name, rows)
+        assert (tmp_path / name).read_bytes() == "".join(pieces(apart, rows)).encode()
+    result.unpersist()
+
+
 def test_alerts(attacked):
     _, findings, *_ = attacked
     sent = []
@@ -356,6 +383,23 @@ def test_hot_ip_in_time(spark):
     assert time.monotonic() - began < 90
 
 
+def test_evidence_of_a_hot_ip(spark):
+    """300,000 hits of one ip: no row of the plan holds more than one of them, and the document is cut through its finding."""
+    n = 300_000
+    hits = spark.range(n).select(
+        F.lit("web").alias("source"), F.lit("f").alias("file"), F.lit(0).alias("file_ord"), F.col("id").alias("line_no"), F.timestamp_seconds(1_750_000_000 + F.col("id") % 900).alias("timestamp"), F.lit("x").alias("raw"), F.lit("10.0.0.1").alias("ip"),
+        F.lit("/../etc").alias("path"), F.lit(200).alias("status"), F.lit(None).cast("string").alias("message"))
+    hits = hits.withColumns({c: F.lit(None).cast("string") for c in ("user", "method")} | {"extra": F.struct(F.lit(None).cast("string").alias("program"))})
+    config = AppConfig(1, 60, AlertConfig(), (RuleConfig("r", "path-traversal", True, "high", "web", 60, {"patterns": [r"\.\./"]}),))
+    found, rows, kept = detect_apart(hits, config)
+    assert [(r["count"], r.evidence) for r in found.collect()] == [(n, [])]
+    pieces = export._pieces_apart(found, rows, export._objects("evidence", 2, "", dict, dict))
+    sizes = pieces.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in sizes) == n + 1 and len(sizes) > 1 and max(r["count"] for r in sizes) < 0.7 * n
+    for df in kept:
+        df.unpersist()
+
+
 def test_adversarial_lines_in_time(spark):
     """A megabyte in one line, and paths made to backtrack, take no more than seconds on any operator that reads them."""
     import time
