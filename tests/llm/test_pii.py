@@ -125,3 +125,36 @@ def test_random_entities_against_plain_rules(spark):
         if k == "mail":
             assert domain.setdefault(e.split("@")[1], v.split("@")[1]) == v.split("@")[1]
     assert len(set(domain.values())) == len(domain)
+
+
+def mod97(iban):
+    s = re.sub("[^A-Z0-9]", "", iban)
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97
+
+
+def test_mentions_and_formats(spark):
+    """Names come back without their honorific; one number or mail has one surrogate in all its formats."""
+    texts = [
+        "Mr. John Smith met us. John Smith left. Smith was late, Smith's car too; Smithson and blacksmith stayed. Write John Smith@mail.org",
+        "Dr. Ada O'Brien and Prof. Dr. Max McDonald spoke. O'Brien agreed, McDonald didn't. Dr. Ada O'Brien's talk.",
+        "Cards 4111 1111 1111 1111, 4111111111111111 and 4111-1111-1111-1111. DE44 5001 0517 5407 3249 31 is DE44500105175407324931, GB82WEST12345698765432 another.",
+        "Bob@Example.com, bob@example.com and BOB@EXAMPLE.COM. Call (988) 555-2485 or 988-555-2485.",
+        "Smith and John Smith are nobody here.",
+        "Frau Dr. Anna Weiß sah Herrn Weiß nicht. Weiß ging. Mr. Smith",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r.text for r in pii.anonymise(df).collect()}
+    m = re.fullmatch(r"Mr\. ((\w+) (\w+)) met us\. (.+?) left\. (\w+) was late, (\w+)'s car too; Smithson and blacksmith stayed\. Write John (\S+@\S+)", out[0])
+    assert m and m[1] == m[4] and m[3] == m[5] == m[6] and m[2] in pii.GIVEN["m", "latin"] and m[7] != "Smith@mail.org"
+    m = re.fullmatch(r"Dr\. (\w+ (\w+)) and Prof\. Dr\. \w+ (\w+) spoke\. (\w+) agreed, (\w+) didn't\. Dr\. (\w+ \w+)'s talk\.", out[1])
+    assert m and m[2] == m[4] and m[3] == m[5] and m[1] == m[6] and not re.search("Brien|Donald", out[1])
+    cards = re.findall(r"\d[\d -]{14,}\d", out[2].split(" DE")[0])
+    assert len(cards) == 3 and len({re.sub(r"\D", "", c) for c in cards}) == 1 and luhn(cards[0]) and [re.sub(r"\d", "9", c) for c in cards] == ["9999 9999 9999 9999", "9" * 16, "9999-9999-9999-9999"]
+    de = re.search(r"(DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d) is (DE\d{20}), (GB\d\d[A-Z]{4}\d{14}) another", out[2])
+    assert de and de[1].replace(" ", "") == de[2] and {mod97(x) for x in de.groups()} == {1} and de[2] != "DE44500105175407324931"
+    mails = re.findall(r"\S+@[\w.]+\w", out[3])
+    assert len({x.lower() for x in mails}) == 1 and mails[0][0].isupper() and mails[1].islower() and mails[2].isupper() and "example" not in out[3].lower()
+    assert len({re.sub(r"\D", "", x) for x in re.findall(r"[(\d][\d() -]{9,}\d", out[3])}) == 1
+    assert out[4] == texts[4]
+    m = re.match(r"Frau Dr\. (\w+) (\w+) sah Herrn (\w+) nicht\. (\w+) ging\.", out[5])
+    assert m and m[1] in pii.GIVEN["f", "latin"] and m[2] == m[3] == m[4]
