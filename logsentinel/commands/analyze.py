@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import argparse
 
-from ..plans.analyze import analyze, at_least, exit_code
+from ..plans.analyze import analyze, at_least, exit_code, nested
 from ..rules import DEFAULT_RULES, load_rules
 from ..session import session
 from ..sinks.alerts import build_dispatcher
@@ -35,7 +35,7 @@ def run(args: argparse.Namespace) -> int:
             write(shown, args.output, args.export, result.evidence)
             print(f"wrote {args.output}")
         if args.alert:
-            for o in build_dispatcher(config.alerts).dispatch(result.findings):
+            for o in build_dispatcher(config.alerts).dispatch(nested(result.findings, result.evidence)):  # sinks get whole findings
                 print(f"alert {o.sink}: {'sent' if o.ok else 'failed: ' + (o.error or '')}")
         return exit_code(shown)
     finally:
