@@ -9,11 +9,14 @@ start one word apart, the first its parent and the second its suffix link, so th
 2. The tries of all shards are merged by ranges of prefixes, and nodes with fewer than ``least`` occurrences go: no longer
    phrase that holds one can be frequent.
 3. The slices look up the nodes that stayed and line up neighbours: the pairs of the next level. Most are rare, so each shard
-   first sums them by a hash into ``SUMS`` buckets; a pair of a bucket that stays below ``least`` in the sum over all shards
-   can't be frequent. The others are counted in the shard's trie.
+   first sums them by a hash into buckets; a pair of a bucket that stays below ``least`` in the sum over all shards can't be
+   frequent. The others are counted in the shard's trie.
 
-Walks from the root give the counts of left parts, chains of suffix links those of right parts. Texts are read once; later
-passes read slices, which shrink with each level. Tables of nodes above ``NODES_BYTES`` are joined, not broadcast.
+From the second level on there are as many shards as cores, so a frequent pair has a row a core, however many files the
+texts fill, and the buckets can grow with the occurrences (one for eight, ``MOST_SUMS`` at most): sums of all shards stay in
+proportion to the input. Walks from the root give the counts of left parts, chains of suffix links those of right parts.
+Texts are read once; later passes read slices, which shrink with each level. Tables of nodes above ``NODES_BYTES`` are
+joined, not broadcast.
 
 Rows: a null or empty text has no words; a null lang counts as ``und``. Ids aren't read, and repeated rows count each time.
 Empty tables give no rows. A text may be of any length: it is cut between pieces. Other columns are not read.
@@ -33,13 +36,13 @@ from pyspark.sql import functions as F
 from .storage import bounded_batches, remove, staged, written
 from .tokens import U64, mix
 
-#: Bytes of text in a slice (more only where a piece is longer), of texts that wait to be one, and nodes of a shard's trie
-#: that are held before they are written.
-SLICE_BYTES, WAITING_BYTES, TRIE_ROWS = 1 << 20, 8 << 20, 1 << 18
+#: Bytes of text in a slice (more only where a piece is longer), of texts that wait to be one, and words and pairs of a
+#: shard's trie that are held before they are written.
+SLICE_BYTES, WAITING_BYTES, TRIE_ROWS, PAIR_ROWS = 1 << 20, 8 << 20, 1 << 18, 1 << 20
 #: Tables of nodes of more bytes are joined.
 NODES_BYTES = 48 << 20
-#: Buckets of pairs (a power of two), and of how many the sums travel together.
-SUMS, CHUNK = 1 << 22, 1 << 16
+#: Buckets of pairs (powers of two), at least and at most, and of how many the sums travel together.
+SUMS, MOST_SUMS, CHUNK = 1 << 20, 1 << 26, 1 << 16
 #: Parts of a word's slices in such a join, and of a language's phrases in the first round of the ranking.
 SALTS, SHARES = 16, 256
 
@@ -131,13 +134,14 @@ class _PairTrie:
     def add(self, parent: np.ndarray, link: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         self.held.append((parent, link, n))
         self.rows += len(n)
-        if self.rows > TRIE_ROWS:
+        if self.rows > PAIR_ROWS:
             self._merge()
-            if self.rows > TRIE_ROWS // 2:
+            if self.rows > PAIR_ROWS // 2:
                 yield from self.flush()
 
     def _merge(self) -> None:
         parent, link, n = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        self.held = []
         order = np.lexsort((link, parent))
         parent, link, n = parent[order], link[order], n[order]
         first = np.flatnonzero(np.append(True, (parent[1:] != parent[:-1]) | (link[1:] != link[:-1]))) if len(n) else np.zeros(0, np.int64)
@@ -197,7 +201,7 @@ class _Words:
         self.by = {}
         for lang in pc.unique(table.column("lang")).to_pylist():
             own = table.filter(pc.equal(table.column("lang"), lang))
-            self.by[lang] = own.column("word").combine_chunks(), own.column("node").to_numpy()
+            self.by[lang] = pa.concat_arrays(own.column("word").chunks), own.column("node").to_numpy()
 
     def find(self, row: dict) -> np.ndarray:
         words = pa.array(row["words"].split("\n"))
@@ -263,28 +267,73 @@ def _kind_of_sums(least: int) -> str:
     return "<u1" if least < 1 << 8 else "<u2" if least < 1 << 16 else "<u4"
 
 
-def _bucket(parent: np.ndarray, link: np.ndarray) -> np.ndarray:
-    return (mix(mix(parent.view(U64)) ^ link.view(U64)) & U64(SUMS - 1)).astype(np.int64)
+def _buckets(occurrences: int) -> int:
+    """One for eight occurrences, within bounds."""
+    return min(MOST_SUMS, max(SUMS, 1 << (max(occurrences, 1) // 8).bit_length()))
+
+
+def _bucket(parent: np.ndarray, link: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(mix(parent.view(U64)) ^ link.view(U64)) & U64(buckets - 1)).astype(np.int64)
+
+
+def _add(total: np.ndarray, at: np.ndarray, n: np.ndarray, least: int) -> None:
+    """Adds to the buckets that a slice has; none passes least."""
+    order = np.argsort(at)
+    at, n = at[order], n[order]
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    at = at[first]
+    total[at] = np.minimum(np.add.reduceat(n, first) + total[at], least)
+
+
+def _by_core(df: DataFrame) -> DataFrame:
+    """As many shards as cores, each reads its part of the slices one by one."""
+    return df.coalesce(df.sparkSession.sparkContext.defaultParallelism)
 
 
-def _pair_pass(slices: DataFrame, nodes: DataFrame, kind: type[_Words] | type[_Pairs], limit: int, least: int) -> DataFrame:
-    """Neighbours in all slices whose nodes stayed, as new slices, and the shard's sums of them by bucket, none above least."""
+def _lists(found: DataFrame) -> DataFrame:
+    """The nodes of each slice as a row: (slice, _pos, _node). Rows are streamed in the order of the slices, so a task holds
+    one slice's, where lists that Spark collects would be held for many slices at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def packed() -> pa.RecordBatch:
+            pos, node = (np.concatenate(x) for x in zip(*held, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array([key]), pa.array([pos.tobytes()]), pa.array([node.tobytes()])], names=["slice", "_pos", "_node"])
+
+        for b in batches:
+            own, pos, node = (b.column(c).to_numpy() for c in ("slice", "pos", "node"))
+            cuts = np.flatnonzero(own[1:] != own[:-1]) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(own)], strict=True) if len(own) else ():
+                if held and own[lo] != key:
+                    yield packed()
+                    held = []
+                key = int(own[lo])
+                held.append((pos[lo:hi], node[lo:hi]))
+        if held:
+            yield packed()
+
+    return found.select("slice", "pos", "node").repartition("slice").sortWithinPartitions("slice").mapInArrow(run, "slice long, _pos binary, _node binary")
+
+
+def _pair_pass(slices: DataFrame, nodes: DataFrame, kind: type[_Words] | type[_Pairs], limit: int, least: int) -> tuple[DataFrame, int]:
+    """Neighbours in all slices whose nodes stayed, as new slices, and the shard's sums of them by bucket, none above least;
+    and how many buckets there are."""
     spark = slices.sparkSession
     schema = pa.schema([("slice", pa.int64()), ("parents", pa.binary()), ("links", pa.binary()), ("counts", pa.binary()), ("seq", pa.binary()), ("chunk", pa.int32()), ("part", pa.int32()), ("sums", pa.binary())])
-    bytes_ = nodes.agg(F.count(F.lit(1)) * 24 + (F.coalesce(F.sum(F.octet_length("word")), F.lit(0)) if kind is _Words else F.lit(0))).first()[0]
-    sent = None
+    bytes_, seen = nodes.agg(F.count(F.lit(1)) * 24 + (F.coalesce(F.sum(F.octet_length("word")), F.lit(0)) if kind is _Words else F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    sent, buckets = None, _buckets(seen)
     slim = slices.select("slice", *kind.sides, "seq")
-    if bytes_ <= limit:
-        sent = spark.sparkContext.broadcast(nodes.select(*kind.keys, "node").toArrow().combine_chunks())
+    if bytes_ <= limit:  # the look-up is made once, on the driver: its makings would be held by every worker
+        sent = spark.sparkContext.broadcast(kind(nodes.select(*kind.keys, "node").toArrow()))
     else:  # a word that every slice has is dealt to SALTS tasks
         salt = F.explode(F.array(*(F.lit(i) for i in range(SALTS))))
         own = nodes.select(*kind.keys, "node", salt.alias("_salt"))
         found = kind.needs(slices).withColumn("_salt", F.pmod("slice", F.lit(SALTS)).cast("int")).join(own, [*kind.keys, "_salt"])
-        lists = found.groupBy("slice").agg(F.collect_list("pos").alias("_pos"), F.collect_list("node").alias("_node"))
-        slim = slim.join(lists, "slice", "left")
+        slim = slim.join(_lists(found), "slice", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, part, look = None, TaskContext.get().partitionId() % SALTS, kind(sent.value) if sent else None
+        total, part, look = None, TaskContext.get().partitionId() % SALTS, sent.value if sent else None
         for b in batches:
             for i in range(len(b)):
                 row = {c: b.column(c)[i].as_py() for c in ("slice", *kind.sides)}
@@ -293,7 +342,7 @@ def _pair_pass(slices: DataFrame, nodes: DataFrame, kind: type[_Words] | type[_P
                 else:
                     node = np.full(kind.size(row), -1)
                     if b.column("_pos")[i].is_valid:
-                        node[b.column("_pos")[i].values.to_numpy()] = b.column("_node")[i].values.to_numpy()
+                        node[np.frombuffer(b.column("_pos")[i].as_buffer(), "<i4")] = np.frombuffer(b.column("_node")[i].as_buffer(), "<i8")
                 stays = node >= 0
                 local = np.where(stays, np.cumsum(stays) - 1, -1)
                 node = node[stays]
@@ -304,25 +353,24 @@ def _pair_pass(slices: DataFrame, nodes: DataFrame, kind: type[_Words] | type[_P
                     continue
                 pairs, places, n = np.unique(seq[:-1][both] * len(node) + seq[1:][both], return_inverse=True, return_counts=True)
                 parent, link = node[pairs // len(node)], node[pairs % len(node)]
-                total = np.zeros(SUMS, np.uint32) if total is None else total
-                np.add.at(total, _bucket(parent, link), n.astype(np.uint32))
-                np.minimum(total, least, out=total)
+                total = np.zeros(buckets, _kind_of_sums(least)) if total is None else total
+                _add(total, _bucket(parent, link, buckets), n, least)
                 ahead = np.full(len(both), -1, "<i4")
                 ahead[both] = places
                 ahead = ahead[both | np.append(False, both[:-1])]  # one mark between runs is enough
                 made = {"parents": parent.astype("<i8"), "links": link.astype("<i8"), "counts": n.astype("<i4"), "seq": ahead}
                 yield _rows(schema, slice=b.column("slice")[i : i + 1], **{k: pa.array([v.tobytes()]) for k, v in made.items()})
         if total is not None:
-            for k in range(0, SUMS, CHUNK):
+            for k in range(0, buckets, CHUNK):
                 if (own := total[k : k + CHUNK]).any():
-                    yield _rows(schema, chunk=pa.array([k // CHUNK], pa.int32()), part=pa.array([part], pa.int32()), sums=pa.array([own.astype(_kind_of_sums(least)).tobytes()]))
+                    yield _rows(schema, chunk=pa.array([k // CHUNK], pa.int32()), part=pa.array([part], pa.int32()), sums=pa.array([own.tobytes()]))
 
-    return slim.mapInArrow(run, _PAIR_PASS)
+    return _by_core(slim).mapInArrow(run, _PAIR_PASS), buckets
 
 
-def _heavy(sums: DataFrame, least: int) -> np.ndarray:
-    """Which buckets reach least in the sum over all shards: a bit each, whatever the corpus. Sums meet in two rounds, each
-    streamed in the order of the chunks."""
+def _heavy(sums: DataFrame, least: int, buckets: int = SUMS) -> np.ndarray:
+    """Which buckets reach least in the sum over all shards: a bit each. Sums meet in two rounds, each streamed in the order
+    of the chunks."""
     width = sums.sparkSession.sparkContext.defaultParallelism * 2
 
     def add(rows: DataFrame, *by: str) -> DataFrame:
@@ -342,9 +390,15 @@ def _heavy(sums: DataFrame, least: int) -> np.ndarray:
         return rows.repartition(width, *by).sortWithinPartitions(*by).mapInArrow(run, "chunk int, part int, sums binary")
 
     once = add(sums.select("chunk", "part", "sums"), "chunk", "part")
-    out = np.zeros(SUMS, bool)
-    for r in add(once.withColumn("part", F.lit(0)), "chunk").toLocalIterator():
-        out[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.sums, _kind_of_sums(least)) >= least
+    out = np.zeros(buckets, bool)
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            reach = [np.packbits(np.frombuffer(x.as_buffer(), _kind_of_sums(least)) >= least).tobytes() for x in b.column("sums")]
+            yield pa.RecordBatch.from_arrays([b.column("chunk"), pa.array(reach, pa.binary())], names=["chunk", "bits"])
+
+    for r in add(once.withColumn("part", F.lit(0)), "chunk").mapInArrow(bits, "chunk int, bits binary").toLocalIterator():
+        out[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.unpackbits(np.frombuffer(r.bits, np.uint8))
     return out
 
 
@@ -358,15 +412,16 @@ def _trie_pass(slices: DataFrame, heavy: np.ndarray) -> DataFrame:
     schema = pa.schema([("parent", pa.int64()), ("link", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, may = _PairTrie(schema), np.unpackbits(sent.value).astype(bool)
+        trie, may = _PairTrie(schema), sent.value
         for b in batches:
             for i in range(len(b)):
                 parent, link, n = (np.frombuffer(b.column(c)[i].as_buffer(), k) for c, k in (("parents", "<i8"), ("links", "<i8"), ("counts", "<i4")))
-                pick = may[_bucket(parent, link)]
+                at = _bucket(parent, link, len(may) * 8)
+                pick = (may[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
                 yield from trie.add(parent[pick], link[pick], n[pick].astype(np.int64))
         yield from trie.flush()
 
-    return slices.select("parents", "links", "counts").mapInArrow(run, "parent long, link long, n long")
+    return _by_core(slices.select("parents", "links", "counts")).mapInArrow(run, "parent long, link long, n long")
 
 
 def _merged(trie: DataFrame, keys: list[str], least: int, name: str) -> DataFrame:
@@ -389,10 +444,11 @@ def phrases(docs: DataFrame, least: int = 100, longest: int = 5, lang_col: str =
     known = staged(nodes.select("node", "lang", "n", F.col("word").alias("phrase"), F.col("word").alias("last"), F.array("n").alias("lefts"), F.array("n").alias("rights")), "known1")
     out = [known]
     for depth in range(2, longest + 1):
-        old, path = path, written(passed := _pair_pass(done.where("seq IS NOT NULL"), nodes, kind, nodes_bytes, least), f"pairs{depth}", large_rows=True)
+        passed, buckets = _pair_pass(done.where("seq IS NOT NULL"), nodes, kind, nodes_bytes, least)
+        old, path = path, written(passed, f"pairs{depth}", large_rows=True)
         remove(spark, old)  # nothing reads the slices before these again
         done = spark.read.schema(passed.schema).parquet(path)
-        heavy = _heavy(done.where("sums IS NOT NULL"), least)
+        heavy = _heavy(done.where("sums IS NOT NULL"), least, buckets)
         tries = written(passed := _trie_pass(done.where("seq IS NOT NULL"), heavy), f"tries{depth}")
         nodes, kind = _merged(spark.read.schema(passed.schema).parquet(tries), ["parent", "link"], least, f"level{depth}"), _Pairs
         remove(spark, tries)

@@ -91,3 +91,46 @@ def test_products_beyond_64_bits(spark):
 def test_empty(spark):
     assert collocations.mine(table(spark, [("en", "a b")]).limit(0)).collect() == []
     assert collocations.mine(table(spark, [("en", "a b")])).collect() == []
+
+
+def test_tries_by_core(spark, monkeypatch):
+    """A frequent pair has a row a core, not a row for each file or part of the table that holds it."""
+    real, rows = collocations.written, {}
+
+    def spy(df, name, **more):
+        path = real(df, name, **more)
+        if name.startswith("tries"):
+            rows[name] = spark.read.parquet(path).count()
+        return path
+
+    monkeypatch.setattr(collocations, "written", spy)
+    docs = spark.createDataFrame([("en", "new york times of new york")] * 400, "lang string, text string").repartition(40)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        found, _ = collocations.phrases(docs, least=100, longest=3)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found[1].count() == 4 and found[2].count() == 4
+    assert rows["tries2"] <= 4 * spark.sparkContext.defaultParallelism and rows["tries3"] <= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_buckets(spark):
+    """Buckets follow the occurrences within bounds; a slice's sums stop at the least, also beyond a byte."""
+    import numpy as np
+
+    assert [collocations._buckets(n) for n in (0, 1 << 23, 1 << 25, 1 << 40)] == [1 << 20, 1 << 21, 1 << 23, 1 << 26]
+    total = np.array([0, 99, 50, 7], "<u1")
+    collocations._add(total, np.array([2, 0, 2, 1, 0]), np.array([30, 1000, 19, 1, 1]), 100)
+    assert total.tolist() == [100, 100, 99, 7]
+
+
+def test_joined_nodes_by_slice(spark):
+    """Each slice's nodes come as one row, wherever its rows came from."""
+    import numpy as np
+
+    rows = [(s, p, 10 * s + p) for s in range(9) for p in range(s * 700)]
+    got = collocations._lists(spark.createDataFrame(rows, "slice long, pos int, node long").repartition(7)).collect()
+    assert sorted(r.slice for r in got) == list(range(1, 9))
+    for r in got:
+        pos, node = np.frombuffer(r._pos, "<i4"), np.frombuffer(r._node, "<i8")
+        assert sorted(pos.tolist()) == list(range(r.slice * 700)) and (node == 10 * r.slice + pos).all()
